@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ from . import common
 
 MAX_ROWS = 12_000
 MAX_TERMS = 4_000
+#: An entry occurs in so many toxic rows, in so large a share of them, so many times more often than in clean ones, and against such odds.
+MIN_ROWS, MIN_SHARE, LIFT, SURPRISE = 5, 0.01, 20, 4.0
 #: Look-alikes of Latin letters and digits used for letters: fixed values.
 HOMOGLYPHS = str.maketrans(
     {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ո": "n", "ν": "v", "ο": "o", "α": "a", "ε": "e", "ι": "i", "κ": "k", "τ": "t", "ρ": "p", "υ": "u", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
@@ -123,9 +126,27 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
     return common.one_per_id(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), id_col).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
+def one_of_copies(rows: DataFrame) -> DataFrame:
+    """Of rows (label, text) one for each least hash of the words next to each other, which near copies mostly share, in
+    a few rounds: else the words of a text that is copied often would look like evidence."""
+    for size, seed in ((3, 1), (2, 2), (2, 3)):
+
+        def run(batches: Iterator[pa.RecordBatch], size: int = size, seed: int = seed) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keys = []
+                for text in batch.column(1).to_pylist():
+                    w = text.encode("utf-8", "surrogatepass").lower().split()
+                    keys.append(min(xxhash.xxh3_64_intdigest(b" ".join(w[i : i + size]), seed) for i in range(max(1, len(w) - size + 1))) >> 1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], ["label", "text", "key"])
+
+        keyed = rows.select("label", "text").mapInArrow(run, "label int, text string, key long")
+        rows = keyed.groupBy("key").agg(F.max(F.struct("label", "text")).alias("x")).select("x.label", "x.text")
+    return rows
+
+
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
     common.small_batches(docs.sparkSession)
-    rows = common.checkpoint(sample(docs, labels, label_col, id_col, text_col, max_rows))
+    rows = common.checkpoint(one_of_copies(sample(docs, labels, label_col, id_col, text_col, max_rows)))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:
@@ -145,8 +166,8 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
     entries = (
         rows.select("label", "text").mapInArrow(count, "term string, toxic long, clean long")
         .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where((F.col("toxic") >= max(4, toxic // 500)) & (F.col("toxic") / toxic >= 8 * F.col("clean") / clean))
-        .withColumn("odds", odds).orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(max_terms).collect()
+        .where((F.col("toxic") >= max(MIN_ROWS, MIN_SHARE * toxic)) & (F.col("toxic") / toxic >= LIFT * F.col("clean") / clean))
+        .withColumn("odds", odds).where(F.col("toxic") * F.log(F.lit((toxic + clean) / toxic)) - F.col("clean") * 3 > SURPRISE).orderBy(F.desc(F.col("toxic") * F.col("odds")), "term").limit(max_terms).collect()
     )
     weights = {r["term"]: float(r["odds"]) for r in entries}
     lexicon = Lexicon(weights)
