@@ -1,6 +1,6 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick after folding, normalised by length, with exceptions.
 
-The lexicon isn't written by hand: terms (whole words, and word starts of four to seven letters) are counted over a
+The lexicon isn't written by hand: terms (whole words, and word starts of four to nine letters) are counted over a
 bounded sample of labelled rows, and those that toxic rows have far more often become entries, weighted by their log
 odds. Words and two-word phrases that contain an entry but occur in clean rows become exceptions, which take the entry
 out where they match. A text's score is a logistic function of its summed weights and of their share of the words.
@@ -37,7 +37,7 @@ HOMOGLYPHS = str.maketrans(
 )
 BETWEEN = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
-STARTS = range(4, 8)
+STARTS = range(4, 10)
 
 
 def fold(text: str) -> str:
@@ -113,10 +113,15 @@ class Matcher:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, bias + total * a + share * b))))
 
 
+def usable_labels(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
+    """The id and label of the rows that may be learned from."""
+    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(F.col(id_col))).select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
+    return common.one_per_id(usable, id_col)
+
+
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int) -> DataFrame:
     """Labelled rows that may be learned from, with their texts: label, text. At most about max_rows, half of them of each label where there are as many."""
-    usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(F.col(id_col))).select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
-    usable = common.one_per_id(usable, id_col)
+    usable = usable_labels(labels, label_col, id_col)
     counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for label, n in counts.items():
@@ -200,13 +205,14 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x]), pa.array([b for _, b in x])], ["label", "a", "b"])
 
     points = np.array([tuple(r) for r in rows.select("label", "text").mapInArrow(features, "label int, a double, b double").orderBy("a", "b", "label").collect()], dtype=float)
-    return Lexicon(weights, lexicon.exceptions, logistic(points[:, 1:], points[:, 0]))
+    share = usable_labels(labels, label_col, id_col).agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
+    return Lexicon(weights, lexicon.exceptions, logistic(points[:, 1:], points[:, 0], share))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
-    """Bias and weights of a logistic regression by Newton's method, each label weighing the same."""
+def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2, steps: int = 50) -> tuple[float, ...]:
+    """Bias and weights of a logistic regression by Newton's method; label 1 weighs its share of all labels."""
     design = np.column_stack((np.ones(len(x)), x))
-    per = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y != 1).sum())) * len(y)
+    per = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y != 1).sum())) * len(y)
     w = np.zeros(design.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
