@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -22,18 +23,33 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of spark.checkpoint.dir, which all executors share.
-
-    A session without that setting (a local test) gets a folder of its own.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a session without that setting (a local test) gets one of its own."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        configured = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="framelake-checkpoint-"))
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="framelake-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written as Parquet to the shared folder and read again."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def whole_rows(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Each row as one struct `row` beside its text, for operators that take an id: whole rows then go through them."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(text_col).alias("text"))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value evaluated once for the row, however often body uses it."""
     return F.transform(F.array(value), body)[0]

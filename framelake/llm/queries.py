@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, decontam, jaccard_join, pii, quality_model, quality_rules, token_counts, toxicity, url_filter
+from . import byte_bpe, common, decontam, html_extract, jaccard_join, pii, quality_model, quality_rules, token_counts, toxicity, url_filter
 from .common import table
 
 
@@ -25,6 +25,10 @@ def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality_model.AT_THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.personal_data(table(spark, sf_dir, "documents"))
     return found.select("doc_id", *pii.counts(F.col("base")), F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
@@ -56,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_model, op5_pii, op6_toxicity, op7_quality_rules, op8_url_filter, op9_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_model, op4_html_extraction, op5_pii, op6_toxicity, op7_quality_rules, op8_url_filter, op9_jaccard_join, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
