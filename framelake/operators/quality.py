@@ -1,0 +1,177 @@
+"""Full-reference quality: PSNR, SSIM and their multi-scale forms, tiles, regions and edge energy.
+
+Rows hold a pixel of both pictures: (keys..., x, y, a, b). Tile and frame figures are plain aggregates of moments.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .frames import tile
+
+C1, C2 = 6.5025, 58.5225
+INF = float("inf")
+PSNR_WEIGHTS = (0.4, 0.3, 0.2, 0.1)
+SSIM_WEIGHTS = (0.0448, 0.2856, 0.3001, 0.2363, 0.1333)
+
+
+def psnr_of(mse: Column) -> Column:
+    """Decibels; identical pictures give infinity."""
+    return F.when(mse <= 0, INF).otherwise(10.0 * F.log10(F.lit(65025.0) / F.when(mse > 0, mse)))
+
+
+def psnr(pairs: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
+    """Over channels c held as c and p_c."""
+    square = sum(((F.col(c) - F.col(f"p_{c}")) * (F.col(c) - F.col(f"p_{c}")) for c in channels), F.lit(0))
+    return pairs.groupBy(*keys).agg((F.sum(square) / (len(channels) * F.count(F.lit(1)))).cast("double").alias("mse")).withColumn("psnr", psnr_of(F.col("mse")))
+
+
+def frame_difference(pairs: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
+    total = sum((F.abs(F.col(c) - F.col(f"p_{c}")) for c in channels), F.lit(0))
+    return pairs.groupBy(*keys).agg((F.sum(total) / (float(len(channels)) * F.count(F.lit(1)))).alias("diff"))
+
+
+def moments(a: str, b: str) -> list[Column]:
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return [F.avg(x).alias("ma"), F.avg(y).alias("mb"), F.avg(x * x).alias("aa"), F.avg(y * y).alias("bb"), F.avg(x * y).alias("ab")]
+
+
+def ssim_terms() -> tuple[Column, Column]:
+    """SSIM and its contrast term from the columns of moments(), variances at least zero."""
+    ma, mb = F.col("ma"), F.col("mb")
+    va, vb = F.greatest(F.lit(0.0), F.col("aa") - ma * ma), F.greatest(F.lit(0.0), F.col("bb") - mb * mb)
+    cs = (2 * (F.col("ab") - ma * mb) + C2) / (va + vb + C2)
+    return (2 * ma * mb + C1) / (ma * ma + mb * mb + C1) * cs, cs
+
+
+def global_ssim(pairs: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    ssim, cs = ssim_terms()
+    return pairs.groupBy(*keys).agg(*moments(a, b)).select(*keys, ssim.alias("ssim"), cs.alias("cs"))
+
+
+def block_ssim(pairs: DataFrame, a: str, b: str, cell: int, keys: list[str], whole: bool = False) -> DataFrame:
+    """SSIM of each tile; with whole, of tiles that are complete."""
+    per = pairs.groupBy(*keys, *tile(cell)).agg(*moments(a, b), F.count(F.lit(1)).alias("n"))
+    return (per.where(F.col("n") == cell * cell) if whole else per).select(*keys, "bx", "by", ssim_terms()[0].alias("ssim"))
+
+
+def sliding_ssim(pairs: DataFrame, a: str, b: str, width: int, height: int, keys: list[str], size: int = 11) -> DataFrame:
+    """Mean SSIM of a frame over all size x size windows inside it; smaller frames are one window.
+
+    Box sums are two running sums, along x and then along y.
+    """
+    if width < size or height < size:
+        return global_ssim(pairs, a, b, keys).select(*keys, "ssim")
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    parts = {"ma": x, "mb": y, "aa": x * x, "bb": y * y, "ab": x * y}
+    half = size // 2
+    along = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-half, half)
+    down = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-half, half)
+    rows = pairs.select(*keys, "x", "y", *(F.sum(e).over(along).alias(k) for k, e in parts.items()))
+    boxes = rows.select(*keys, "x", "y", *((F.sum(k).over(down) / (size * size)).alias(k) for k in parts))
+    inner = boxes.where(F.col("x").between(half, width - 1 - half) & F.col("y").between(half, height - 1 - half))
+    return inner.select(*keys, ssim_terms()[0].alias("s")).groupBy(*keys).agg(F.avg("s").alias("ssim"))
+
+
+def halved(pairs: DataFrame, a: str, b: str, keys: list[str], width: int, height: int) -> DataFrame:
+    """Means of 2 x 2 samples; an odd last row or column is left out."""
+    kept = pairs.where((F.col("x") < width // 2 * 2) & (F.col("y") < height // 2 * 2))
+    return kept.groupBy(*keys, F.floor(F.col("x") / 2).cast("int").alias("x"), F.floor(F.col("y") / 2).cast("int").alias("y")).agg(F.avg(a).alias(a), F.avg(b).alias(b))
+
+
+def ms_psnr(pairs: DataFrame, a: str, b: str, width: int, height: int, keys: list[str]) -> DataFrame:
+    """Weighted PSNR over halved scales, infinite ones as 100 dB, unless all are: then infinity."""
+    scales, level, w, h = [], pairs.select(*keys, "x", "y", F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)), width, height
+    for i, weight in enumerate(PSNR_WEIGHTS):
+        if i:
+            if w < 2 or h < 2:
+                break
+            level, w, h = halved(level, a, b, keys, w, h), w // 2, h // 2
+        square = (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+        scales.append(level.groupBy(*keys).agg(F.avg(square).alias("mse")).select(*keys, F.lit(weight).alias("w"), psnr_of(F.when(F.col("mse") > 1e-12, F.col("mse")).otherwise(0.0)).alias("p")))
+    every = scales[0]
+    for s in scales[1:]:
+        every = every.unionByName(s)
+    mean = F.sum(F.col("w") * F.least(F.col("p"), F.lit(100.0))) / F.sum("w")
+    return every.groupBy(*keys).agg(F.when(F.min("p") == INF, INF).otherwise(mean).alias("ms_psnr"))
+
+
+def ms_ssim(pairs: DataFrame, a: str, b: str, width: int, height: int, keys: list[str]) -> DataFrame:
+    """Product over halved scales of the contrast terms, of SSIM at the last, to weights that sum to one; from 0 to 1."""
+    scales, level, w, h = [], pairs.select(*keys, "x", "y", F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)), width, height
+    sizes = []
+    for i in range(len(SSIM_WEIGHTS)):
+        if i:
+            if w < 2 or h < 2:
+                break
+            level, w, h = halved(level, a, b, keys, w, h), w // 2, h // 2
+        sizes.append((level, w, h))
+    total = sum(SSIM_WEIGHTS[: len(sizes)])
+    for i, (level, w, h) in enumerate(sizes):
+        if w < 11 or h < 11 or w * h <= 4096:
+            terms = global_ssim(level, a, b, keys)
+        else:
+            terms = sliding_terms(level, a, b, w, h, keys)
+        value = F.col("ssim") if i == len(sizes) - 1 else F.col("cs")
+        scales.append(terms.select(*keys, F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value)), F.lit(SSIM_WEIGHTS[i] / total)).alias("f")))
+    every = scales[0]
+    for s in scales[1:]:
+        every = every.unionByName(s)
+    return every.groupBy(*keys).agg(F.product("f").alias("ms_ssim"))
+
+
+def sliding_terms(pairs: DataFrame, a: str, b: str, width: int, height: int, keys: list[str], size: int = 11) -> DataFrame:
+    """Means of SSIM and contrast over windows."""
+    x, y, half = F.col(a), F.col(b), size // 2
+    parts = {"ma": x, "mb": y, "aa": x * x, "bb": y * y, "ab": x * y}
+    along = Window.partitionBy(*keys, "y").orderBy("x").rowsBetween(-half, half)
+    down = Window.partitionBy(*keys, "x").orderBy("y").rowsBetween(-half, half)
+    rows = pairs.select(*keys, "x", "y", *(F.sum(e).over(along).alias(k) for k, e in parts.items()))
+    boxes = rows.select(*keys, "x", "y", *((F.sum(k).over(down) / (size * size)).alias(k) for k in parts)).where(F.col("x").between(half, width - 1 - half) & F.col("y").between(half, height - 1 - half))
+    ssim, cs = ssim_terms()
+    return boxes.select(*keys, ssim.alias("s"), cs.alias("c")).groupBy(*keys).agg(F.avg("s").alias("ssim"), F.avg("c").alias("cs"))
+
+
+def edge_energy(px: DataFrame, value: str, width: int, height: int, keys: list[str]) -> DataFrame:
+    """Mean of |dx| + |dy| by forward differences, the last row and column left out."""
+    along, down = Window.partitionBy(*keys, "y").orderBy("x"), Window.partitionBy(*keys, "x").orderBy("y")
+    d = px.withColumn("dx", F.lead(value).over(along) - F.col(value)).withColumn("dy", F.lead(value).over(down) - F.col(value))
+    return d.where((F.col("x") < width - 1) & (F.col("y") < height - 1)).groupBy(*keys).agg(F.avg(F.abs("dx") + F.abs("dy")).alias("energy"))
+
+
+def vmaf_proxy(pairs: DataFrame, cur: str, ref: str, width: int, height: int, keys: list[str]) -> DataFrame:
+    """A score of 0 to 100 from MS-SSIM and MS-PSNR, less for edges that the reference doesn't have."""
+    quality = ms_ssim(pairs, cur, ref, width, height, keys).join(ms_psnr(pairs, cur, ref, width, height, keys), keys)
+    edges = edge_energy(pairs, cur, width, height, keys).withColumnRenamed("energy", "e_cur").join(edge_energy(pairs, ref, width, height, keys).withColumnRenamed("energy", "e_ref"), keys)
+    norm = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.least(F.col("ms_psnr"), F.lit(1000.0)) - 20) / 30))
+    excess = F.greatest(F.lit(0.0), (F.col("e_cur") - F.col("e_ref")) / F.greatest(F.col("e_ref"), F.lit(1.0)))
+    score = 100 * (0.72 * F.col("ms_ssim") + 0.28 * norm) - 20 * excess
+    return quality.join(edges, keys).select(*keys, F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("vmaf"))
+
+
+def signed_tiles(pairs: DataFrame, cur: str, ref: str, cell: int, keys: list[str]) -> DataFrame:
+    """Mean of current less reference in each tile."""
+    return pairs.groupBy(*keys, *tile(cell or 64)).agg(F.avg(F.col(cur) - F.col(ref)).alias("value"))
+
+
+def diff_stats(pairs: DataFrame, ref: str, cur: str, keys: list[str]) -> DataFrame:
+    """Mean and population variance of reference less current."""
+    d = F.col(ref) - F.col(cur)
+    return pairs.groupBy(*keys).agg(F.avg(d).alias("mean"), F.greatest(F.lit(0.0), F.avg(d * d) - F.avg(d) * F.avg(d)).alias("var"))
+
+
+def region_quality(pairs: DataFrame, blocks: DataFrame, a: str, b: str, keys: list[str], block_keys: list[str]) -> DataFrame:
+    """PSNR and SSIM of each block's rectangle: blocks are spread over the pixels they cover, and joined by equality."""
+    across = F.explode(F.sequence(F.col("x"), F.col("x") + F.col("w") - 1))
+    down = F.explode(F.sequence(F.col("y"), F.col("y") + F.col("h") - 1))
+    spread = blocks.withColumn("px", across).withColumn("py", down).select(*keys, *block_keys, F.col("px").alias("x"), F.col("py").alias("y"))
+    d = F.col(a) - F.col(b)
+    per = spread.join(pairs.select(*keys, "x", "y", a, b), [*keys, "x", "y"]).groupBy(*keys, *block_keys).agg(F.avg((d * d).cast("double")).alias("mse"), *moments(a, b))
+    return per.select(*keys, *block_keys, psnr_of(F.col("mse")).alias("psnr"), ssim_terms()[0].alias("ssim"))
+
+
+def tile_psnr(pairs: DataFrame, a: str, b: str, cell: int, keys: list[str], cap: float = 99.0) -> DataFrame:
+    """PSNR of each grid cell, at most 99 dB."""
+    d = F.col(a) - F.col(b)
+    return pairs.groupBy(*keys, *tile(cell)).agg(F.least(F.lit(cap), psnr_of(F.avg((d * d).cast("double")))).alias("psnr"))
