@@ -504,3 +504,86 @@ def class_table(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT frame, count_if(valid)::BIGINT AS n_valid, round(avg(valid::INT::DOUBLE), 6) AS share FROM cells GROUP BY ALL", *ALL)
 def valid_share(spark: SparkSession, d: str) -> DataFrame:
     return correlate.valid_share(aligned(spark, d), ["frame"]).select("frame", "n_valid", *r6("share"))
+
+
+# --- names, sizes and bytes ---------------------------------------------------------------------------------------
+
+
+def files(spark: SparkSession, d: str) -> DataFrame:
+    """File names with sizes, as raw clips might have."""
+    k = F.col("p_partkey")
+    form = F.element_at(F.array(*map(F.lit, ("nv12", "i420", "yuv422p10le", "RGB3", "nv16", "clip"))), (k % 6 + 1).cast("int"))
+    size = F.when(k % 3 == 0, "qcif").when(k % 3 == 1, F.concat(((k % 50 + 10) * 16).cast("string"), F.lit("x"), ((k % 30 + 8) * 8).cast("string"))).otherwise("1080p")
+    path = F.concat(F.lit("/clips/"), F.regexp_replace("p_brand", "[^A-Za-z0-9]", ""), F.lit("_"), size, F.lit("_"), form, F.lit("_"), (k % 4 * 15).cast("string"), F.lit("fps_"), (F.lit(8) + k % 3 * 2).cast("string"), F.lit("bit.yuv"))
+    return ad.table(spark, d, "part").select(F.col("p_partkey").alias("file"), path.alias("path"), (F.lit(38016) * (k % 40 + 1)).alias("size"))
+
+
+FILES = """files AS (SELECT p_partkey AS file, p_partkey AS k, 38016 * (p_partkey % 40 + 1) AS size FROM part)"""
+
+
+@query("""SELECT file, (CASE k%3 WHEN 0 THEN 176 WHEN 1 THEN (k%50+10)*16 ELSE 1920 END)::INT AS width, (CASE k%3 WHEN 0 THEN 144 WHEN 1 THEN (k%30+8)*8 ELSE 1080 END)::INT AS height,
+CASE k%6 WHEN 0 THEN 'NV12' WHEN 1 THEN 'YU12' WHEN 2 THEN '2T22' WHEN 3 THEN 'RGB3' END AS fourcc, CASE WHEN k%4 > 0 THEN (k%4*15)::DOUBLE END AS fps, (8 + k%3*2)::INT AS bit_depth FROM files""", FILES)
+def filename_hints(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import hints
+
+    return hints.filename_hints(files(spark, d)).select("file", "width", "height", "fourcc", "fps", "bit_depth")
+
+
+def cand(codes: list[str]) -> str:
+    from ..functions import formats, hints
+
+    sizes = sorted((r for r in hints.RESOLUTIONS if r[4]), key=lambda r: -r[2] * r[3])
+    rows = [f"({i * len(codes) + j},{w},{h},'{c}',{formats.frame_bytes(c, w, h)})" for i, (_, _, w, h, _) in enumerate(sizes) for j, c in enumerate(codes) if formats.viewable(c)]
+    return f"cand AS (SELECT * FROM (VALUES {','.join(rows)}) t(ord, width, height, fourcc, fb))"
+
+
+def size_guesses(all_: bool) -> None:
+    from ..functions import hints
+
+    codes = hints.LISTED if all_ else hints.GUESSED
+    body = "SELECT size, width, height, fourcc, size // fb AS frames FROM (SELECT DISTINCT size FROM files) JOIN cand ON size % fb = 0"
+    if not all_:
+        body = "SELECT size, width, height, fourcc, frames FROM (SELECT size, width, height, fourcc, size // fb AS frames, row_number() OVER (PARTITION BY size ORDER BY ord) AS k FROM (SELECT DISTINCT size FROM files) JOIN cand ON size % fb = 0) WHERE k = 1"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        sizes = files(spark, d).select("size").distinct()
+        found = hints.guess_all(sizes) if all_ else hints.guess_first(sizes)
+        return found.select("size", "width", "height", "fourcc", *longs("frames"))
+
+    run.__name__ = "size_guess_all" if all_ else "size_guess_first"
+    query(body, FILES, cand(codes))(run)
+
+
+size_guesses(False)
+size_guesses(True)
+
+
+@query("""SELECT doc_id, i - 2 AS unit, (before + 3 * (i - 2))::BIGINT AS "offset", 3 AS start_code_len, n AS size FROM (SELECT doc_id, i, n, sum(n) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM (SELECT doc_id, unnest(generate_series(1, len(p))) AS i, unnest(list_transform(p, lambda s: strlen(s)))::INT AS n FROM (SELECT doc_id, string_split(text, ' ') AS p FROM documents))) WHERE i > 1""")
+def nal_units(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import nal
+
+    data = F.encode(F.replace("text", F.lit(" "), F.lit("\x00\x00\x01")), "UTF-8")
+    return nal.located(ad.table(spark, d, "documents").select("doc_id", data.alias("data")), ["doc_id"]).select("doc_id", *longs("unit", "offset"), "start_code_len", "size")
+
+
+@query("""SELECT page_id, o AS "offset", least(16, least(4096, strlen(html)) - o)::INT * 3 - 1 AS width FROM (SELECT page_id, html, unnest(generate_series(0, least(4096, strlen(html)) - 1, 16)) AS o FROM pages)""")
+def hex_dump(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import nal
+
+    pages = ad.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("data"))
+    return nal.hex_lines(pages, ["page_id"]).select("page_id", "offset", F.char_length("hex").alias("width"))
+
+
+def registry_queries() -> None:
+    from ..functions import formats
+
+    rows = ", ".join(f"('{c}', {formats.frame_bytes(c, 176, 144)}, {formats.frame_bytes(c, 640, 360)})" for c in formats.BY_FOURCC)
+
+    def frame_size(spark: SparkSession, d: str) -> DataFrame:
+        of = lambda w, h: formats.frame_size(F.col("fourcc"), F.lit(w), F.lit(h)).cast("long")
+        return formats.registry(spark).select("fourcc", of(176, 144).alias("qcif"), of(640, 360).alias("p360"))
+
+    query(f"SELECT fourcc, qcif::BIGINT AS qcif, p360::BIGINT AS p360 FROM (VALUES {rows}) t(fourcc, qcif, p360)")(frame_size)
+
+
+registry_queries()
