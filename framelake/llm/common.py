@@ -31,18 +31,26 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read again."""
+    """The rows written as Parquet to the shared folder and read again.
+
+    This cuts the lineage as a checkpoint does and outlives lost executors; later reads take only the columns they need.
+    Checkpointed plans also carry their constraints along, which grow without end in a loop; a table's plan has none.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables made by stored() that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        at = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def whole_rows(df: DataFrame, text_col: str = "text") -> DataFrame:

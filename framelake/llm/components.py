@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import dropped, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -15,28 +15,31 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     of hooks, short as hashes are random, are followed to their roots; edges are then moved to the roots and those inside
     a root dropped. The edges shrink by a constant factor a round, so the number of rounds grows with the logarithm of
     the input. Hot nodes are reduced by partial aggregation before each shuffle; nothing is collected but counts. Null
-    ends are dropped; an empty table gives an empty table.
+    ends are dropped; an empty table gives an empty table. The result is a table made by stored().
     """
     pairs = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    pairs = checkpoint(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = checkpoint(pairs.groupBy("u").agg(F.first("u").alias("root")).withColumnRenamed("u", "node"))
-    left = pairs.where("u <> v")
-    for number in range(64):
-        if left.isEmpty():
-            break
+    left = stored(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    labels = stored(left.select(F.col("u").alias("node"), F.col("u").alias("root")).distinct())
+    left, old = left.where("u <> v"), left
+    number = 0
+    while not left.isEmpty():
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(number)).alias("h"), F.col(c).alias("n"))  # noqa: E731, B023
-        hooks = left.groupBy("u").agg(F.min(rank("v")).alias("least"), F.first(rank("u")).alias("own"))
-        hooks = checkpoint(hooks.select("u", F.least("least", "own")["n"].alias("up")))
+        hooks = stored(left.groupBy("u").agg(F.min(rank("v")).alias("least")).select("u", F.least("least", rank("u"))["n"].alias("up")))
         while True:  # to the roots, twice as far each time
             above = hooks.select(F.col("u").alias("w"), F.col("up").alias("top"))
-            hooks = checkpoint(hooks.join(above, F.col("up") == F.col("w")).select("u", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            further = stored(hooks.join(above, F.col("up") == F.col("w")).select("u", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            dropped(hooks)
+            hooks = further
             if hooks.where("moved").isEmpty():
                 break
-            hooks = hooks.drop("moved")
-        hooks = hooks.select("u", "up")
-        labels = checkpoint(labels.join(hooks, labels["root"] == hooks["u"], "left").select("node", F.coalesce("up", "root").alias("root")))
-        at = hooks.select(F.col("u").alias("w"), F.col("up").alias("v_up"))
-        left = left.join(hooks, "u").select(F.col("up").alias("u"), "v").join(at, F.col("v") == F.col("w")).select("u", F.col("v_up").alias("v")).where("u <> v").distinct()
-        left = checkpoint(left)
+        ups = hooks.select("u", "up")
+        newer = stored(labels.join(ups, labels["root"] == ups["u"], "left").select("node", F.coalesce("up", "root").alias("root")))
+        at = ups.select(F.col("u").alias("w"), F.col("up").alias("v_up"))
+        shrunk = stored(left.join(ups, "u").select(F.col("up").alias("u"), "v").join(at, F.col("v") == F.col("w")).select("u", F.col("v_up").alias("v")).where("u <> v").distinct())
+        dropped(labels, old, hooks)
+        labels, left, old = newer, shrunk, shrunk
+        number += 1
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return labels.join(least, "root").select("node", "component")
+    out = stored(labels.join(least, "root").select("node", "component"))
+    dropped(labels, old)
+    return out

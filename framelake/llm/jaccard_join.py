@@ -10,7 +10,8 @@ are dropped. The others are verified on the sets, so the links are exact (but fo
 Copies: equal sets are one class; only its least id is sketched. No group is expanded into all its pairs:
 
 * a word shared by two sets gives that pair; by more sets, each member with two members chosen by hash. Of a set's
-  partners only the nearest by sketch is verified at first, and the links found are contracted to components;
+  partners the nearest by sketch are verified first, and the links found are contracted to components; then the
+  other partners, as far as they are across components;
 * then, for words whose members are in different components still, pairs across components are compared inside the
   join, hot words dealt into blocks by a salt; only pairs that the sketches can't rule out leave the join, and are
   verified. Nothing is capped, so no link between components is lost.
@@ -39,6 +40,8 @@ from .components import components
 LANES = 16
 #: Members of a word that are compared in one block.
 BLOCK = 1024
+#: Partners of a set that are verified first.
+NEAREST = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 TURN = np.uint64(0xBF58476D1CE4E5B9)
 
@@ -165,59 +168,70 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size
     """Of pairs (a, b) of ids those that link, by their sets. Only the texts of ids in pairs are shuffled into sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    known = common.checkpoint(sets(needed, "id", "text", size))
+    known = common.stored(sets(needed, "id", "text", size))
     left, right = known.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), known.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    return both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b")
+    links = common.stored(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"))
+    common.dropped(known)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: the id, n_shingles, and component_id, the least id that links reach (the id itself without links)."""
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
-    all_rows = common.checkpoint(features(docs, id_col, text_col, size, percent))
+    all_rows = common.stored(features(docs, id_col, text_col, size, percent))
     classes = all_rows.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"))
-    classes = common.checkpoint(classes)
+    classes = common.stored(classes)
     own = F.struct("sketch", "words")
     reps = all_rows.where("size(words) > 0 and id is not null").join(classes.select(F.col("rep").alias("id"), "fp1", "fp2"), ["id", "fp1", "fp2"], "left_semi").groupBy("id", "n_shingles").agg(F.first(own).alias("x")).select("id", "n_shingles", "x.sketch", "x.words")
-    reps = common.checkpoint(reps)
+    reps = common.stored(reps)
+    ids = common.stored(all_rows.select("id", "n_shingles", "fp1", "fp2"))
+    common.dropped(all_rows)
 
     members = reps.select("id", F.explode("words").alias("word"))
     rank = F.struct(F.xxhash64("id", "word").alias("h"), F.col("id").alias("id"))
     shared = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("low"), F.max(rank).alias("high")).where("n > 1")
-    shared = common.checkpoint(shared.select("word", "n", F.col("low.id").alias("low"), F.col("high.id").alias("high")))
-    pair = lambda x, y: F.struct(F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    twos = shared.where("n = 2").select(pair("low", "high").alias("p"))
-    many = common.checkpoint(members.join(shared.where("n > 2"), "word"))
-    stars = many.select(F.explode(F.array(pair("id", "low"), pair("id", "high"))).alias("p"))
-    pairs = twos.union(stars).select("p.a", "p.b").where("a <> b").distinct()
-
+    shared = common.stored(shared.select("word", "n", F.col("low.id").alias("low"), F.col("high.id").alias("high")))
+    many = common.stored(members.join(shared.where("n > 2"), "word"))
+    # of each set's partners there are at most two for each of its own words
+    stars = many.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
+    pairs = shared.where("n = 2").select(F.col("low").alias("id"), F.col("high").alias("other")).union(stars).distinct()
     slim = reps.select("id", "n_shingles", "sketch")
-    one, other = slim.alias("x"), slim.alias("y")
-    near = pairs.join(one, F.col("a") == F.col("x.id")).join(other, F.col("b") == F.col("y.id")).where(within("x", "y", percent)).select("a", "b", hamming("x", "y").alias("far"))
-    near = common.checkpoint(near)
-    # of each set the nearest partner by sketch, from either end of its pairs
-    ends = near.select(F.col("a").alias("id"), F.struct("far", "b", "a").alias("p")).union(near.select(F.col("b").alias("id"), F.struct("far", F.col("a").alias("b"), F.col("b").alias("a")).alias("p")))
-    nearest = ends.groupBy("id").agg(F.min("p").alias("p")).select(pair("p.a", "p.b").alias("q")).select("q.a", "q.b").distinct()
-    links = common.checkpoint(verified(nearest, docs, id_col, text_col, size, percent))
-    found = common.checkpoint(components(links))
-
-    # what is left: pairs across components, of the pairs above and of all words with more than two members
-    label = lambda df, key, name: df.join(found.select(F.col("node").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
-    rest = label(label(near.select("a", "b"), "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b")
+    one, other = slim.alias("x"), slim.withColumnRenamed("id", "other").alias("y")
+    near = common.stored(pairs.join(one, "id").join(other, "other").where(within("x", "y", percent)).select("id", "other", hamming("x", "y").alias("far")))
+    nearest = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, NEAREST).alias("p")).select("id", F.explode("p.other").alias("other"))
+    both_ways = lambda df: df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    tested = common.stored(both_ways(nearest))
+    links = verified(tested, docs, id_col, text_col, size, percent)
+    found = components(links)
+
+    def label(df: DataFrame, key: str, name: str) -> DataFrame:
+        named = found.select(F.col("node").alias(key), F.col("component").alias(name))
+        return df.join(named, key, "left").withColumn(name, F.coalesce(name, key))
+
+    def settle(candidates: DataFrame) -> None:
+        """Verify pairs across components, and join the components that they link."""
+        nonlocal tested, links, found
+        rest = common.stored(candidates.join(tested, ["a", "b"], "left_anti"))
+        more = verified(rest, docs, id_col, text_col, size, percent)
+        if not more.isEmpty():
+            links, tested = links.union(more), tested.union(rest)
+            found = components(links)
+
+    # the other partners, as far as they are across components; then all members of words that hold several components
+    settle(both_ways(label(label(near, "id", "ca"), "other", "cb").where("ca <> cb")))
     labelled = label(many.select("id", "word", "n"), "id", "c")
     mixed_words = labelled.groupBy("word").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("word")
-    open_rows = common.checkpoint(labelled.join(mixed_words, "word", "left_semi").join(slim, "id"))
+    open_rows = common.stored(labelled.join(mixed_words, "word", "left_semi").join(slim, "id"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     left = open_rows.withColumn("block", F.pmod(F.hash("id"), blocks)).alias("x")
     right = open_rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
     across = left.join(right, (F.col("x.word") == F.col("y.word")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & within("x", "y", percent))
-    rest = common.checkpoint(rest.union(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))).distinct().join(nearest, ["a", "b"], "left_anti"))
-    more = common.checkpoint(verified(rest, docs, id_col, text_col, size, percent))
-    if not more.isEmpty():
-        found = common.checkpoint(components(links.union(more)))
+    settle(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
+    common.dropped(reps, shared, many, near, open_rows)
     placed = classes.join(found, classes["rep"] == found["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    out = all_rows.select("id", "n_shingles", "fp1", "fp2").join(placed, ["fp1", "fp2", "n_shingles"], "left")
+    out = ids.join(placed, ["fp1", "fp2", "n_shingles"], "left")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
     return out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

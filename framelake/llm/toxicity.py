@@ -151,7 +151,7 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
     common.small_batches(docs.sparkSession)
-    rows = common.checkpoint(one_of_copies(sample(docs, labels, label_col, id_col, text_col, max_rows)))
+    rows = common.stored(one_of_copies(sample(docs, labels, label_col, id_col, text_col, max_rows)))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     if not toxic or not clean:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import stored
 from .components import components
 
 
@@ -92,7 +92,7 @@ def url_filter(pages: DataFrame, rules: list[Rule] | None = None, redirects: Dat
     edges = pages.sparkSession.createDataFrame([], "a string, b string") if html_col is None else links(pages, url_col, html_col)
     if redirects is not None:
         edges = edges.union(redirects.select(node(F.col("src")), node(F.col("dst"))).where("a is not null and b is not null and a <> b").toDF("a", "b"))
-    edges = checkpoint(edges)
+    edges = stored(edges)
     decided = judged.where("node is not null").select("node", "own")
     if not edges.isEmpty():
         # ends of edges that are no page are judged too
@@ -102,7 +102,7 @@ def url_filter(pages: DataFrame, rules: list[Rule] | None = None, redirects: Dat
     flags = lambda df: df.groupBy("node").agg(F.max((F.col("own") == "block").cast("int")).alias("block"), F.max((F.col("own") == "allow").cast("int")).alias("allow"))
     by_node = flags(decided)
     if not edges.isEmpty():
-        of = checkpoint(components(edges))
+        of = components(edges)
         by_node = by_node.join(of.withColumnRenamed("node", "end"), F.col("node") == F.col("end"), "left").withColumn("component", F.coalesce("component", "node"))
         total = by_node.groupBy("component").agg(F.max("block").alias("block"), F.max("allow").alias("allow"))
         by_node = by_node.select("node", "component").join(total, "component")
