@@ -46,7 +46,7 @@ j AS (SELECT *, {rule_case('rule')} AS rule, {rule_case('verdict')} AS own FROM
 t AS (SELECT host, node AS a, {TARGET} AS target FROM j),
 u AS (SELECT a, CASE WHEN instr(target, '://') > 0 THEN substr(target, instr(target, '://') + 3) WHEN starts_with(target, '//') THEN substr(target, 3) WHEN starts_with(target, '/') THEN host || target END AS rest FROM t WHERE target <> ''),
 e AS (SELECT DISTINCT a, {node('rest')} AS b FROM u WHERE rest IS NOT NULL), e2 AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
-n AS (SELECT node, own FROM j WHERE node IS NOT NULL UNION ALL SELECT a, {rule_case('verdict', "regexp_extract(a, '^[^/?#]*')", "regexp_extract(a, '^[^/?#]*([^?#&]*)', 1)")} FROM e2),
+n AS (SELECT node, own FROM j WHERE node IS NOT NULL UNION ALL SELECT {node('rest')}, {rule_case('verdict', A_TO_Z.format("regexp_extract(rest, '^[^/?#]*')"), "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)")} FROM u WHERE rest IS NOT NULL),
 reach(x, y) AS (SELECT DISTINCT node, node FROM n UNION SELECT r.x, e2.b FROM reach r JOIN e2 ON e2.a = r.y),
 blocked AS (SELECT r.x AS node FROM reach r JOIN n ON n.node = r.y GROUP BY r.x HAVING bool_or(n.own = 'block') AND NOT coalesce(bool_or(n.own = 'allow'), false))
 SELECT page_id, host, path, rule, coalesce(own, CASE WHEN EXISTS (SELECT 1 FROM blocked b WHERE b.node = j.node) THEN 'block' ELSE 'allow' END) AS verdict FROM j"""

@@ -72,13 +72,18 @@ def absolute(url: Column, target: Column) -> Column:
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The edges (a, b) of canonical links and page redirects, as nodes."""
+    """The edges (a, b) of canonical links and page redirects, as nodes, with the urls that they come from."""
     tag = lambda name, key, value: F.regexp_extract(html_col, rf"(?is)<{name}\b[^>]*?\b{key}\s*=\s*[\"']?{value}\b[^>]*>", 0)
     canonical = F.regexp_extract(tag("link", "rel", "canonical"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
     refresh = F.regexp_extract(tag("meta", "http-equiv", "refresh"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     named = pages.where(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("url"), F.explode(F.array(canonical, refresh)).alias("target"))
-    edges = named.where("target <> ''").select(node(F.col("url")).alias("a"), node(absolute(F.col("url"), F.col("target"))).alias("b"))
-    return edges.where("a is not null and b is not null and a <> b").distinct()
+    return usable(named.where("target <> ''").select("url", absolute(F.col("url"), F.col("target"))))
+
+
+def usable(edges: DataFrame) -> DataFrame:
+    """Edges of two urls as nodes, without those that have no address or stay where they are."""
+    ends = edges.toDF("a_url", "b_url").withColumn("a", node(F.col("a_url"))).withColumn("b", node(F.col("b_url")))
+    return ends.where("a is not null and b is not null and a <> b").distinct()
 
 
 def url_filter(pages: DataFrame, rules: list[Rule] | None = None, redirects: DataFrame | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html") -> DataFrame:
@@ -89,16 +94,15 @@ def url_filter(pages: DataFrame, rules: list[Rule] | None = None, redirects: Dat
     name, verdict = fitting(F.col("host"), F.col("path"), rules)
     judged = parts.select(id_col, "host", "path", "node", name.alias("rule"), verdict.alias("own"))
 
-    edges = pages.sparkSession.createDataFrame([], "a string, b string") if html_col is None else links(pages, url_col, html_col)
+    edges = pages.sparkSession.createDataFrame([], "a_url string, b_url string, a string, b string") if html_col is None else links(pages, url_col, html_col)
     if redirects is not None:
-        edges = edges.union(redirects.select(node(F.col("src")), node(F.col("dst"))).where("a is not null and b is not null and a <> b").toDF("a", "b"))
+        edges = edges.unionByName(usable(redirects.select("src", "dst")))
     edges = stored(edges)
     decided = judged.where("node is not null").select("node", "own")
     if not edges.isEmpty():
         # ends of edges that are no page are judged too
-        ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        at = F.concat(F.lit("http://"), F.col("node"))
-        decided = decided.union(ends.select("node", fitting(host(at), F.regexp_replace(path(at), "&.*$", ""), rules)[1].alias("own")))
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_url").alias("url")), F.struct(F.col("b").alias("node"), F.col("b_url").alias("url")))).alias("end")).select("end.*")
+        decided = decided.union(ends.select("node", fitting(host(F.col("url")), path(F.col("url")), rules)[1].alias("own")))
     flags = lambda df: df.groupBy("node").agg(F.max((F.col("own") == "block").cast("int")).alias("block"), F.max((F.col("own") == "allow").cast("int")).alias("allow"))
     by_node = flags(decided)
     if not edges.isEmpty():
