@@ -110,3 +110,53 @@ def grouped_digits(bits: Column) -> Column:
 
 def has_bit(flags: Column, bit: int) -> Column:
     return flags.bitwiseAND(bit) != 0
+
+
+#: Half of a right angle's slope, in degrees; and the directions of AVC modes for small blocks and whole macroblocks: fixed values.
+HALF = 26.56505
+AVC_SMALL = {0: 90.0, 1: 0.0, 3: 45.0, 4: 135.0, 5: 90.0 + HALF, 6: 180.0 - HALF, 7: 90.0 - HALF, 8: HALF}
+AVC_LARGE = {1: 0.0, 2: 90.0}
+
+
+def looked_up(value: Column, table: dict) -> Column:
+    return F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), value)
+
+
+def intra_angle_avc(mode: Column, large: bool = False) -> Column:
+    """Degrees of a directional mode; null for the others."""
+    return looked_up(mode, AVC_LARGE if large else AVC_SMALL)
+
+
+def intra_badge(name: Column, mode: Column) -> Column:
+    """DC or P (planar, plane) for modes without direction, else empty."""
+    small = name.isin("intra4x4_pred_mode", "intra8x8_pred_mode") & mode.isin(2, 9, 10, 11)
+    large = name == "intra16x16_pred_mode"
+    luma = name == "intra_luma_pred_mode"
+    return F.when(small | (large & mode.isin(0, 4, 5, 6)) | (luma & (mode == 1)), "DC").when((large & (mode == 3)) | (luma & (mode == 0)), "P").otherwise("")
+
+
+def level_at(levels: Column, scan: Column) -> Column:
+    """Coefficient levels put where the scan says: an array indexed by position, zeros elsewhere."""
+    last = F.greatest(F.lit(-1), F.array_max(scan))
+    by = F.map_from_arrays(scan, levels)
+    return F.when(F.size(levels) == 0, F.expr("cast(array() as array<int>)")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.coalesce(F.try_element_at(by, i), F.lit(0))))
+
+
+def coeff_columns(count: Column, group_w: Column, group_h: Column, width: Column) -> Column:
+    """Columns of a coefficient grid: of its 4 x 4 groups if they fill it, else the transform's width if that divides it, else one row."""
+    return F.when((group_w > 0) & (16 * group_w * group_h == count), 4 * group_w).when((width > 0) & (count % width == 0), width).otherwise(count)
+
+
+def quality_colour(t: Column) -> Column:
+    """Red over amber to green for 0 to 1."""
+    mix = lambda low, high: F.floor(low * (1 - t) + high * t).cast("int")
+    return F.array(mix(220.0, 30.0), mix(45.0, 210.0), mix(35.0, 70.0))
+
+
+def metric_colour(kind: str, value: Column) -> Column:
+    """The colour of a tile: signed differences green or red by size, qualities on their own scales."""
+    if kind == "signed":
+        size = F.floor(40 + 215.0 * F.least(F.abs(value), F.lit(64.0)) / 64).cast("int")
+        return F.when(value >= 0, F.array(F.lit(20), size, F.lit(40))).otherwise(F.array(size, F.lit(35), F.lit(25)))
+    low, span = {"psnr": (20.0, 30.0), "ssim": (0.85, 0.15), "vmaf": (0.0, 100.0)}[kind]
+    return quality_colour(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.least(value, F.lit(1e6)) - low) / span)))
