@@ -587,3 +587,70 @@ def registry_queries() -> None:
 
 
 registry_queries()
+
+
+@query("SELECT event_id, (SELECT max(m.event_id) FROM events m WHERE m.event_id < e.event_id AND m.user_id % 5 = e.user_id % 5 AND m.event_type = 'purchase') AS previous, (SELECT min(m.event_id) FROM events m WHERE m.event_id > e.event_id AND m.user_id % 5 = e.user_id % 5 AND m.event_type = 'purchase') AS next FROM events e WHERE event_type = 'click'")
+def scene_navigation(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import files as fl
+
+    e = ad.table(spark, d, "events").withColumn("video", F.col("user_id") % 5)
+    marks = e.where("event_type = 'purchase'").select("video", F.col("event_id").alias("frame"))
+    at = e.where("event_type = 'click'").select("video", F.col("event_id").alias("current"))
+    return fl.neighbours(marks, at).select(F.col("current").alias("event_id"), "previous", "next")
+
+
+@query("SELECT kind, count(*) AS n FROM (SELECT CASE WHEN page_id % 4 = 0 THEN 'telemetry' WHEN page_id % 4 = 1 THEN 'bitstream' WHEN page_id % 4 = 2 AND page_id % 8 = 2 THEN 'bitstream' ELSE 'other' END AS kind FROM pages) GROUP BY ALL")
+def file_kinds(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import files as fl
+
+    k = F.col("page_id")
+    name = F.when(k % 4 == 0, "run.catb").when(k % 4 == 1, "clip.H265").when(k % 4 == 2, "dump.bin").otherwise("frame.yuv")
+    head = F.concat(F.encode(F.lit("ab"), "UTF-8"), F.when(k % 8 == 2, F.unhex(F.lit("00000140"))).otherwise(F.unhex(F.lit("00001040"))), F.encode("html", "UTF-8"))
+    return ad.table(spark, d, "pages").select(fl.kind(F.concat(F.lit("/in/"), name), head).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT event_type AS run, max_by(event_id, ts_key) AS newest FROM (SELECT event_type, event_id, epoch_us(ts)::HUGEINT * 1000000 + event_id AS ts_key FROM events) GROUP BY ALL")
+def newest_file(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import files as fl
+
+    listed = ad.table(spark, d, "events").select(F.col("event_type").alias("run"), F.col("ts").alias("mtime"), F.col("event_id").alias("path"))
+    return fl.newest(listed, ["run"]).select("run", F.col("path").alias("newest"))
+
+
+@query("SELECT l_returnflag, l_linestatus, mode, round(angle, 4) AS angle, count(*) AS n FROM (SELECT l_returnflag, l_linestatus, l_partkey % 12 AS mode, CASE WHEN l_returnflag = 'A' THEN CASE l_partkey % 12 WHEN 1 THEN 0.0 WHEN 2 THEN 90.0 END ELSE CASE l_partkey % 12 WHEN 0 THEN 90.0 WHEN 1 THEN 0.0 WHEN 3 THEN 45.0 WHEN 4 THEN 135.0 WHEN 5 THEN 116.56505 WHEN 6 THEN 153.43495 WHEN 7 THEN 63.43495 WHEN 8 THEN 26.56505 END END::DOUBLE AS angle FROM lineitem) GROUP BY ALL")
+def intra_angles_avc(spark: SparkSession, d: str) -> DataFrame:
+    mode = (F.col("l_partkey") % 12).cast("int")
+    angle = F.when(F.col("l_returnflag") == "A", labels.intra_angle_avc(mode, True)).otherwise(labels.intra_angle_avc(mode))
+    rows = ad.table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", mode.cast("long").alias("mode"), F.round(angle, 4).alias("angle"))
+    return rows.groupBy("l_returnflag", "l_linestatus", "mode", "angle").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT file, size, width, height, fourcc FROM (SELECT file, f.size, coalesce(hw, gw, 640)::INT AS width, coalesce(hh, gh, 480)::INT AS height, coalesce(hf, CASE WHEN hw IS NULL THEN gf END, 'YU12') AS fourcc FROM (SELECT *, CASE WHEN k%4 = 0 THEN 1920 END AS hw, CASE WHEN k%4 = 0 THEN 1080 END AS hh, CASE WHEN k%5 = 0 THEN 'NV12' END AS hf FROM files) f LEFT JOIN (SELECT size, width AS gw, height AS gh, fourcc AS gf FROM (SELECT size, width, height, fourcc, row_number() OVER (PARTITION BY size ORDER BY ord) AS r FROM (SELECT DISTINCT size FROM files) JOIN cand ON size % fb = 0) WHERE r = 1) g ON g.size = f.size)", FILES, cand(["YU12", "NV12", "YUYV", "RGB3"]))
+def resolved_parameters(spark: SparkSession, d: str) -> DataFrame:
+    from ..functions import hints
+
+    k = F.col("p_partkey")
+    path = F.concat(F.lit("/c/clip"), k.cast("string"), F.when(k % 4 == 0, "_1080p").otherwise(""), F.when(k % 5 == 0, "_nv12").otherwise(""), F.lit(".yuv"))
+    named = ad.table(spark, d, "part").select(path.alias("path"), (F.lit(38016) * (k % 40 + 1)).alias("size"))
+    found = hints.resolved(named)
+    return found.select(F.regexp_extract("path", "clip([0-9]+)", 1).cast("long").alias("file"), "size", "width", "height", "fourcc")
+
+
+def format_names() -> None:
+    from ..functions import formats
+
+    rows = ", ".join(f"('{f[0]}', '{f[2]}', '{f[1]}', {i})" for i, f in enumerate(formats.FORMATS))
+    table = f"(VALUES {rows}) t(name, fourcc, family, i)"
+
+    def format_lookup(spark: SparkSession, d: str) -> DataFrame:
+        keys = formats.registry(spark).select(F.explode(F.array("name", "fourcc", F.concat("name", F.lit(" ["), "fourcc", F.lit("]")))).alias("key"))
+        return formats.look_up(keys.distinct(), "key").select("key", "fourcc")
+
+    def format_families(spark: SparkSession, d: str) -> DataFrame:
+        return formats.by_family(spark)
+
+    query(f"SELECT name AS key, fourcc FROM {table} UNION SELECT name || ' [' || fourcc || ']', fourcc FROM {table} UNION SELECT fourcc, fourcc FROM {table}")(format_lookup)
+    query(f"SELECT family, count(*) AS n, string_agg(name, '; ' ORDER BY i) AS names FROM {table} GROUP BY ALL")(format_families)
+
+
+format_names()
