@@ -77,3 +77,32 @@ def pixels(rgb: DataFrame) -> DataFrame:
 
     v, f = (rgb.schema[c].dataType.simpleString() for c in ("video", "frame_idx"))
     return rgb.select("video", "frame_idx", "width", "height", "rgb").mapInArrow(run, f"video {v}, frame {f}, x int, y int, r int, g int, b int")
+
+
+def pixel_info(frames: DataFrame, points: DataFrame, before: int = 4, after: int = 4) -> DataFrame:
+    """For points (video, frame_idx, x, y): the channels' values there and the first channel around it, in hex.
+
+    The window is 8 x 8 with the point in row and column 4; places outside the picture are empty, and a point outside
+    has no values. Points of a frame are brought to it together, so its bytes move once.
+    """
+    asked = points.groupBy("video", "frame_idx").agg(F.collect_set(F.struct("x", "y")).alias("points"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                video, frame, w, h, code, data, wanted = (batch.column(k)[i].as_py() for k in range(7))
+                planes = kernels.channels_of(data, code, w, h)
+                first = next(iter(planes.values()))
+                cols: list[list] = [[], [], [], []]
+                for p in wanted:
+                    x, y = p["x"], p["y"]
+                    inside = 0 <= x < w and 0 <= y < h
+                    cols[0].append(x)
+                    cols[1].append(y)
+                    cols[2].append([(name, int(plane[y, x])) for name, plane in planes.items()] if inside else [])
+                    cols[3].append([[f"{first[r, c]:02X}" if 0 <= c < w and 0 <= r < h else "" for c in range(x - before, x + after)] for r in range(y - before, y + after)])
+                n = len(wanted)
+                yield pa.RecordBatch.from_arrays([pa.array([video] * n), pa.array([frame] * n, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.map_(pa.string(), pa.int32())), pa.array(cols[3], pa.list_(pa.list_(pa.string())))], ["video", "frame_idx", "x", "y", "components", "neighbourhood"])
+
+    joined = frames.join(asked, ["video", "frame_idx"]).select("video", F.col("frame_idx").cast("long"), "width", "height", "fourcc", "data", F.transform("points", lambda p: F.struct(p["x"].cast("long").alias("x"), p["y"].cast("long").alias("y"))).alias("points"))
+    return joined.mapInArrow(run, "video string, frame_idx long, x long, y long, components map<string,int>, neighbourhood array<array<string>>")

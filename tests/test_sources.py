@@ -136,3 +136,14 @@ def test_labels(spark):
 
     row = spark.range(1).select(labels.mode_class(F.lit("Merge_SKIP")).alias("a"), labels.frame_type_class(F.lit("bla_n")).alias("b"), labels.ref_tier(F.lit(3)).alias("c"), labels.zscan_to_raster(F.lit(6)).alias("d"), labels.intra_angle_hevc(F.lit(2)).alias("e"), labels.grouped_digits(F.lit(1234567)).alias("f"), labels.normalized(F.lit(3.0), F.lit(3.0), F.lit(3.0)).alias("g")).first()
     assert tuple(row) == ("skip", "I", 2, 6, 225.0, "1,234,567", 1.0)
+
+
+def test_pixel_info(spark):
+    w, h = 8, 4
+    data = bytearray(range(w * h)) + bytes([100] * 8) + bytes([200] * 8)
+    frames = spark.createDataFrame([("v", 0, w, h, "YU12", data)], "video string, frame_idx long, width int, height int, fourcc string, data binary")
+    points = spark.createDataFrame([("v", 0, 1, 2), ("v", 0, 99, 0), ("v", 3, 0, 0)], "video string, frame_idx long, x int, y int")
+    got = {r.x: r for r in decode.pixel_info(frames, points).collect()}
+    assert set(got) == {1, 99} and got[99].components == {}
+    assert got[1].components == {"Y": 17, "U": 100, "V": 200}
+    assert got[1].neighbourhood[4][4] == "11" and got[1].neighbourhood[0][4] == "" and got[1].neighbourhood[3][3] == "08"
