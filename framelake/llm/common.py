@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zlib
@@ -36,10 +37,13 @@ def stored(df: DataFrame) -> DataFrame:
 
     This cuts the lineage as a checkpoint does and outlives lost executors; later reads take only the columns they need.
     Checkpointed plans also carry their constraints along, which grow without end in a loop; a table's plan has none.
+    The plan that made the table is let go of at once, so that Spark's cleaner can remove its shuffle files.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -190,9 +190,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     common.dropped(all_rows)
 
     members = reps.select("id", F.explode("words").alias("word"))
-    rank = F.struct(F.xxhash64("id", "word").alias("h"), F.col("id").alias("id"))
-    shared = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("low"), F.max(rank).alias("high")).where("n > 1")
-    shared = common.stored(shared.select("word", "n", F.col("low.id").alias("low"), F.col("high.id").alias("high")))
+    # two members of each word, by an order that differs from word to word; plain numbers keep the shuffle small
+    mark = F.col("id").bitwiseXOR(F.col("word"))
+    shared = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
+    shared = common.stored(shared.select("word", "n", *(F.col(c).bitwiseXOR(F.col("word")).alias(c) for c in ("low", "high"))))
     many = common.stored(members.join(shared.where("n > 2"), "word"))
     # of each set's partners there are at most two for each of its own words
     stars = many.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
