@@ -40,6 +40,8 @@ from .components import components
 LANES = 16
 #: Members of a word that are compared in one block.
 BLOCK = 1024
+#: Parts that the words are dealt into.
+PARTS = 4
 #: Partners of a set that are verified first.
 NEAREST = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -181,24 +183,27 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: the id, n_shingles, and component_id, the least id that links reach (the id itself without links)."""
     docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
     all_rows = common.stored(features(docs, id_col, text_col, size, percent))
-    classes = all_rows.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("rep"))
-    classes = common.stored(classes)
+    # one shuffle of the sketches makes both the classes of equal sets and their representatives; copies are combined before it
     own = F.struct("sketch", "words")
-    reps = all_rows.where("size(words) > 0 and id is not null").join(classes.select(F.col("rep").alias("id"), "fp1", "fp2"), ["id", "fp1", "fp2"], "left_semi").groupBy("id", "n_shingles").agg(F.first(own).alias("x")).select("id", "n_shingles", "x.sketch", "x.words")
-    reps = common.stored(reps)
+    reps = common.stored(all_rows.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("id"), F.min_by(own, "id").alias("x")).select("id", "n_shingles", "fp1", "fp2", "x.sketch", "x.words"))
     ids = common.stored(all_rows.select("id", "n_shingles", "fp1", "fp2"))
     common.dropped(all_rows)
-
-    members = reps.select("id", F.explode("words").alias("word"))
-    # two members of each word, by an order that differs from word to word; plain numbers keep the shuffle small
-    mark = F.col("id").bitwiseXOR(F.col("word"))
-    shared = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
-    shared = common.stored(shared.select("word", "n", *(F.col(c).bitwiseXOR(F.col("word")).alias(c) for c in ("low", "high"))))
-    many = common.stored(members.join(shared.where("n > 2"), "word"))
+    classes = common.stored(reps.select(F.col("id").alias("rep"), "n_shingles", "fp1", "fp2"))
+    slim = common.stored(reps.select("id", "n_shingles", "sketch"))
+
+    # the words are dealt into parts by their hash, joined one after another, so that shuffle files of one part at a time are kept
+    mark = F.col("id").bitwiseXOR(F.col("word"))  # two members of each word, by an order that differs from word to word
+    shared_parts, many_parts = [], []
+    for part in range(PARTS):
+        members = reps.select("id", F.explode("words").alias("word")).where(F.pmod("word", F.lit(PARTS)) == part)
+        counted = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
+        shared_parts.append(common.stored(counted.select("word", "n", *(F.col(c).bitwiseXOR(F.col("word")).alias(c) for c in ("low", "high")))))
+        many_parts.append(common.stored(members.join(shared_parts[-1].where("n > 2"), "word")))
+    common.dropped(reps)
+    shared, many = (functools.reduce(DataFrame.union, parts) for parts in (shared_parts, many_parts))
     # of each set's partners there are at most two for each of its own words
     stars = many.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
     pairs = shared.where("n = 2").select(F.col("low").alias("id"), F.col("high").alias("other")).union(stars).distinct()
-    slim = reps.select("id", "n_shingles", "sketch")
     one, other = slim.alias("x"), slim.withColumnRenamed("id", "other").alias("y")
     near = common.stored(pairs.join(one, "id").join(other, "other").where(within("x", "y", percent)).select("id", "other", hamming("x", "y").alias("far")))
     nearest = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, NEAREST).alias("p")).select("id", F.explode("p.other").alias("other"))
@@ -231,7 +236,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     across = left.join(right, (F.col("x.word") == F.col("y.word")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & within("x", "y", percent))
     settle(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
 
-    common.dropped(reps, shared, many, near, open_rows)
+    common.dropped(slim, *shared_parts, *many_parts, near, open_rows)
     placed = classes.join(found, classes["rep"] == found["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = ids.join(placed, ["fp1", "fp2", "n_shingles"], "left")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
