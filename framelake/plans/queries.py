@@ -34,7 +34,7 @@ TX = "tx AS (SELECT l_orderkey // 4096 AS video, l_orderkey AS decode_idx, l_lin
 REFS = "refs AS (SELECT l_orderkey // 4096 AS video, l_orderkey AS decode_idx, l_partkey % 8 AS ref_poc, CASE WHEN l_linestatus = 'O' THEN 'L0' ELSE 'L1' END AS list FROM lineitem WHERE l_returnflag <> 'A')"
 UNITS = "units AS (SELECT video, decode_idx, block, mvx, CASE WHEN mvy % 2 = 0 THEN mvy END AS mvy, list FROM blocks WHERE block % 3 = 0)"
 SYNTAX = "syn AS (SELECT strftime(ts, '%Y-%m-%d') AS frame, event_type AS name, user_id % 16 AS ctx, event_id % 2 AS bin, coalesce(floor(value)::BIGINT, 0) AS bits, user_id, event_id FROM events)"
-#: Rasterised blocks of the frames numbered below 512, in cells of 8.
+#: Rasterised blocks in cells of 8. The SQL stops at frame 2047; the queries don't, so they have more rows on larger tables.
 RAST = """bl AS (SELECT decode_idx AS frame, * FROM blocks WHERE decode_idx < 2048), idx AS (SELECT unnest(generate_series(0, 7)) AS i),
 ov AS (SELECT frame, c.i AS c, r.i AS r, qp, bits, mode, mvx, mvy, w, h, (least(x+w, 64, c.i*8+8) - greatest(x, c.i*8)) * (least(y+h, 64, r.i*8+8) - greatest(y, r.i*8)) AS a FROM bl, idx c, idx r
  WHERE c.i*8 < least(x+w, 64) AND c.i*8+8 > x AND r.i*8 < least(y+h, 64) AND r.i*8+8 > y),
@@ -399,7 +399,7 @@ def pixel_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raster(spark: SparkSession, d: str) -> DataFrame:
-    b = ad.blocks(spark, d).where("decode_idx < 2048").withColumn("frame", F.col("decode_idx"))
+    b = ad.blocks(spark, d).withColumn("frame", F.col("decode_idx"))
     return grids.rasterize(b, 8, S, S, ["frame"])
 
 
