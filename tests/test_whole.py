@@ -16,6 +16,7 @@ def small(tmp_path_factory):
     at, con = tmp_path_factory.mktemp("small"), duckdb.connect()
     source = {
         "lineitem": "'/root/testdata/sf0.01/lineitem.parquet' WHERE l_orderkey BETWEEN 1990 AND 2110 OR l_orderkey > 14900",
+        "orders": "'/root/testdata/sf0.01/orders.parquet' WHERE o_orderkey % 25 = 3",
         "embeddings": "'/root/testdata/sf0.1/embeddings.parquet' WHERE vec_id < 640",
     }
     for name, rows in source.items():
@@ -48,3 +49,7 @@ def test_all_telemetry_frames(spark, small, name):
 @pytest.mark.parametrize("name", ALIGNED)
 def test_all_telemetry_frames_aligned(spark, small, name):
     same(spark, small, name, ALL_FRAMES)
+
+
+def test_all_records(spark, small):
+    same(spark, small, "frame_block_join", (" WHERE o_orderkey < 400", ""))
