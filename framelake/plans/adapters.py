@@ -12,10 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def pixel_frames(spark: SparkSession, sf_dir: str) -> int:
+    """The number of whole pixel frames."""
+    return table(spark, sf_dir, "embeddings").count() // SIDE
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """64 x 64 frames: each vector is a row of samples, 64 vectors a frame; an incomplete last frame is left out."""
     vectors = table(spark, sf_dir, "embeddings")
-    whole = vectors.count() // SIDE
+    whole = pixel_frames(spark, sf_dir)
     rows = vectors.where(F.col("vec_id") < whole * SIDE).select("vec_id", F.posexplode("embedding").alias("x", "v"))
     r = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v").cast("double") * 128 + 128))).cast("int")
     px = rows.select(F.floor(F.col("vec_id") / SIDE).cast("int").alias("frame"), "x", (F.col("vec_id") % SIDE).cast("int").alias("y"), r.alias("r"))

@@ -46,6 +46,7 @@ CELLS = """bs AS (SELECT frame, x//8 AS c, y//8 AS r, avg(v) AS mean, greatest(0
 ga AS (SELECT frame, c//2 AS gc, r//2 AS gr, avg(var) + greatest(0, avg(mean*mean)-avg(mean)*avg(mean)) AS a FROM bs GROUP BY ALL),
 gb AS (SELECT frame, c//2 AS gc, r//2 AS gr, sum(qp*coverage)/sum(coverage) AS qp, sum(bpp*coverage)/sum(coverage) AS bpp, sum(mv*coverage)/sum(coverage) AS mv, sum(CASE WHEN mode=1 THEN coverage ELSE 0 END)/sum(coverage) AS intra, sum(coverage)*64 >= 0.3*256 AS valid FROM rastf GROUP BY ALL),
 cells AS (SELECT ga.frame, gc, gr, a, bpp AS b, qp, bpp, mv, intra, valid FROM ga JOIN gb USING (frame, gc, gr))"""
+#: Folded on to seven frames; the queries fold on to as many as there are pixel frames, which is more on larger tables.
 RASTF = "rastf AS (SELECT frame % 7 AS frame, c, r, avg(qp) AS qp, avg(bpp) AS bpp, avg(mv) AS mv, avg(coverage) AS coverage, max(mode) AS mode FROM rast GROUP BY ALL)"
 
 
@@ -449,7 +450,8 @@ def subtract_grid(spark: SparkSession, d: str) -> DataFrame:
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
     """Cells of 16 pixels: luma variance against the cost of telemetry folded on to as many frames as there are."""
-    folded = raster(spark, d).groupBy((F.col("frame") % 7).alias("frame"), "c", "r").agg(*(F.avg(x).alias(x) for x in ("qp", "bpp", "mv", "coverage")), F.max("mode").alias("mode"))
+    n = max(1, ad.pixel_frames(spark, d))
+    folded = raster(spark, d).groupBy((F.col("frame") % n).alias("frame"), "c", "r").agg(*(F.avg(x).alias(x) for x in ("qp", "bpp", "mv", "coverage")), F.max("mode").alias("mode"))
     y = grids.telemetry_to_coarse(folded, 8, 16, S, S, ["frame"])
     covered = grids.to_coarse(folded, 8, 16).groupBy("frame", "gc", "gr").agg((F.sum(F.col("coverage") * F.col("a")) >= 0.3 * 256).alias("valid"))
     y = y.drop("valid").join(covered, ["frame", "gc", "gr"]).withColumn("b", F.col("bpp"))
