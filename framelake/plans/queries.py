@@ -218,7 +218,7 @@ def waveform(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT frame, x, y, round(-0.1146::DOUBLE*r - 0.3854::DOUBLE*g + 0.5::DOUBLE*b, 6) AS cb, round(0.5::DOUBLE*r - 0.4542::DOUBLE*g - 0.0458::DOUBLE*b, 6) AS cr FROM px WHERE (y*64+x) % 4 = 0", PX)
 def vectorscope(spark: SparkSession, d: str) -> DataFrame:
-    return fr.vectorscope(ad.pixels(spark, d), S, S, most=1024).select(*longs("frame", "x", "y"), *r6("cb", "cr"))
+    return fr.vectorscope(ad.pixels(spark, d), S, S).select(*longs("frame", "x", "y"), *r6("cb", "cr"))
 
 
 @query("SELECT frame, x//8 AS bx, y//8 AS \"by\", round(avg(v), 6) AS mean, round(greatest(0, avg(v*v)-avg(v)*avg(v)), 6) AS var FROM lu GROUP BY ALL", PX)

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_queries import normal
 
+from framelake.operators import frames
 from framelake.plans.queries import ORACLES, QUERIES
 
 RASTERS = ["rasterize", "resample_mean", "resample_angle", "resample_class", "telemetry_to_coarse", "diff_grid", "subtract_grid"]
@@ -54,3 +55,13 @@ def test_all_telemetry_frames_aligned(spark, small, name):
 
 def test_all_records(spark, small):
     same(spark, small, "frame_block_join", (" WHERE o_orderkey < 400", ""))
+
+
+def test_all_points(spark, small):
+    assert len(same(spark, small, "vectorscope", (" WHERE (y*64+x) % 4 = 0", ""))) == 10 * 64 * 64
+
+
+def test_points_of_large_frames(spark):
+    px = spark.createDataFrame([(0, x, y, x, y, 7) for x in range(6) for y in range(5)], "frame int, x int, y int, r int, g int, b int")
+    drawn = lambda most: sorted(r.y * 6 + r.x for r in frames.vectorscope(px, 6, 5, most=most).collect())
+    assert [drawn(n) for n in (30, 29, 10, 4)] == [list(range(30)), list(range(30)), list(range(0, 30, 3)), list(range(0, 30, 7))]
