@@ -76,12 +76,15 @@ def codec_violations(units_hevc: DataFrame, units_avc: DataFrame, keys: list[str
     return hevc.join(avc, keys).withColumn("codec", F.when(F.col("avc") < F.col("hevc"), "avc").otherwise("hevc"))
 
 
-def hex_lines(streams: DataFrame, keys: list[str], data: str = "data", page: int = 0, page_bytes: int = 4096, width: int = 16) -> DataFrame:
-    """A page of bytes as lines: offset, hex pairs and the printable characters."""
-    n = F.octet_length(data)
-    start = F.lit(page * page_bytes)
-    stop = F.least(n, start + page_bytes)
-    at = F.explode(F.when(stop > start, F.sequence(start, stop - 1, F.lit(width))).otherwise(F.expr("cast(array() as array<int>)")))
-    lines = streams.select(*keys, F.substring(F.col(data), F.lit(page * page_bytes + 1), F.lit(page_bytes)).alias("d"), at.alias("offset"))
-    part = F.substring(F.col("d"), F.col("offset") - page * page_bytes + 1, F.lit(width))
-    return lines.select(*keys, F.col("offset").cast("long").alias("offset"), F.rtrim(F.regexp_replace(F.hex(part), "(..)", "$1 ")).alias("hex"), F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7E]", ".").alias("ascii"))
+def hex_lines(streams: DataFrame, keys: list[str], data: str = "data", page: int | None = None, page_bytes: int = 4096, width: int = 16) -> DataFrame:
+    """Bytes as lines: page, offset, hex pairs and the printable characters; of all pages, or of one."""
+    last = lambda n, size: F.floor((n - 1) / size).cast("int")
+    upto = lambda n, size: F.explode(F.when(n > 0, F.sequence(F.lit(0), last(n, size))).otherwise(F.expr("cast(array() as array<int>)")))
+    pages = streams.select(*keys, F.col(data).alias("d"), upto(F.octet_length(data), page_bytes).alias("page"))
+    if page is not None:
+        pages = pages.where(F.col("page") == page)
+    pages = pages.select(*keys, "page", F.substring("d", F.col("page") * page_bytes + 1, F.lit(page_bytes)).alias("d"))
+    lines = pages.select(*keys, "page", "d", upto(F.octet_length("d"), width).alias("line"))
+    part = F.substring(F.col("d"), F.col("line") * width + 1, F.lit(width))
+    offset = F.col("page").cast("long") * page_bytes + F.col("line") * width
+    return lines.select(*keys, F.col("page").cast("long").alias("page"), offset.alias("offset"), F.rtrim(F.regexp_replace(F.hex(part), "(..)", "$1 ")).alias("hex"), F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7E]", ".").alias("ascii"))

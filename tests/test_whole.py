@@ -4,6 +4,7 @@ import duckdb
 import pytest
 from test_queries import normal
 
+from framelake.functions import nal
 from framelake.operators import frames
 from framelake.plans.queries import ORACLES, QUERIES
 
@@ -18,6 +19,7 @@ def small(tmp_path_factory):
     source = {
         "lineitem": "'/root/testdata/sf0.01/lineitem.parquet' WHERE l_orderkey BETWEEN 1990 AND 2110 OR l_orderkey > 14900",
         "orders": "'/root/testdata/sf0.01/orders.parquet' WHERE o_orderkey % 25 = 3",
+        "pages": "'/root/testdata/sf0.01/pages.parquet' WHERE page_id % 5 = 0",
         "embeddings": "'/root/testdata/sf0.1/embeddings.parquet' WHERE vec_id < 640",
     }
     for name, rows in source.items():
@@ -65,3 +67,19 @@ def test_points_of_large_frames(spark):
     px = spark.createDataFrame([(0, x, y, x, y, 7) for x in range(6) for y in range(5)], "frame int, x int, y int, r int, g int, b int")
     drawn = lambda most: sorted(r.y * 6 + r.x for r in frames.vectorscope(px, 6, 5, most=most).collect())
     assert [drawn(n) for n in (30, 29, 10, 4)] == [list(range(30)), list(range(30)), list(range(0, 30, 3)), list(range(0, 30, 7))]
+
+
+def test_all_bytes(spark, small):
+    offsets = [r[1] for r in same(spark, small, "hex_dump", ("least(4096, strlen(html))", "strlen(html)"))]
+    assert max(offsets) >= 4096
+
+
+def test_hex_pages(spark):
+    data = bytes(range(256)) * 33 + b"end"
+    df = spark.createDataFrame([("a", bytearray(data)), ("b", bytearray()), ("c", None), ("d", bytearray(4096))], "k string, data binary")
+    lines = sorted(nal.hex_lines(df, ["k"]).where("k <> 'd'").collect(), key=lambda r: r.offset)
+    assert {r.k for r in lines} == {"a"} and bytes.fromhex("".join(r.hex for r in lines)) == data
+    assert [(r.page, r.offset) for r in lines] == [(i // 4096, i) for i in range(0, len(data), 16)]
+    assert (lines[-1].hex, lines[-1].ascii) == ("65 6E 64", "end")
+    assert sorted(nal.hex_lines(df, ["k"], page=1).collect()) == [r for r in lines if r.page == 1]
+    assert {(r.k, r.page) for r in nal.hex_lines(df, ["k"], page=0).collect()} == {("a", 0), ("d", 0)}
