@@ -104,11 +104,11 @@ def lanes(band: int, percent: int) -> tuple[int, int]:
 
 
 def words_of(h: np.ndarray, percent: int) -> np.ndarray:
-    """The sketch words of a set, hashed with their places: of its own band, and of the next if a set there can link with it."""
+    """The sketch words of a set, hashed with their places: of its own band, and of each longer one that has sets that can link with it."""
     ends, n = bands(percent), len(h)
     own = int(np.searchsorted(ends, n, side="right")) - 1
     out = []
-    for band in (own, own + 1):
+    for band in range(own, len(ends) - 1):
         if band > own and 100 * n < percent * ends[band]:
             break
         k, m = lanes(band, percent)

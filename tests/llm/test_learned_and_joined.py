@@ -108,6 +108,22 @@ def test_jaccard(spark, size, percent, seed, monkeypatch):
         assert (r.n_shingles, r.component_id) == (want[r.doc_id] if r.doc_id is not None else (r.n_shingles, None))
 
 
+@pytest.mark.parametrize("percent,short,long", [(70, 5, 7), (60, 3, 5), (60, 30, 50), (40, 40, 100), (10, 12, 120)])
+def test_jaccard_of_subsets(spark, percent, short, long):
+    text = [f"w{i}" for i in range(long)]
+    rows = [(1, " ".join(text[:short])), (2, " ".join(text)), (3, "other words of no link")]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), size=1, percent=percent).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(rows, 1, percent) == {1: (short, 1), 2: (long, 1), 3: (5, 3)}
+
+
+def test_words_at_eighty_percent():
+    """From 80 percent on only the next band can hold partners."""
+    ends = jaccard_join.bands(80)
+    for n in range(1, 5000):
+        own = max(k for k in range(60) if ends[k] <= n)
+        assert 100 * n < 80 * ends[own + 2]
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
