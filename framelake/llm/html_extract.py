@@ -1,17 +1,19 @@
 """Main text of web pages: boosted trees over DOM-node features, decoded along the tree.
 
 A page's elements are nodes with features: tag group, tokens of class, id and role, depth, place and share among
-siblings, text of the subtree, its density of links and tags, commas and stops. Boosted trees give each node the
-log odds that it belongs to the article. Decoding is hierarchical: a dropped node drops all below it, and among the
-consistent choices the one of greatest total likelihood is taken, by dynamic programming from the leaves up. So a menu
-inside an article goes and no paragraph of a dropped sidebar stays.
+siblings, text of the subtree, its density of links and tags, commas and stops. Text directly in a wrapper is a node
+by itself. Boosted trees give each node the log odds that it belongs to the article. Decoding is hierarchical: a
+dropped node drops all below it, and among the consistent choices the one of greatest total likelihood is taken, by
+dynamic programming from the leaves up. So a menu inside an article goes and no paragraph of a dropped sidebar stays.
 
 There are no labels for pages: the trees are boosted, on the driver, on pages made by a fixed rule (`made_page`) in
 which the answer is known; their number is a parameter and doesn't depend on any table.
 
-Text is cut into blocks at block-level tags; white space inside a block becomes one space; blocks are joined by an
-empty line. Null html, or html without text, gives the empty string. Unclosed and stray tags are tolerated. Repeated
-rows give repeated results, an empty table an empty result; only the named columns are read.
+Text is cut into blocks at block-level tags; white space inside a block, a lone one between two elements and line
+breaks too, becomes one space; blocks are joined by an empty line. Text below the root itself counts as text of the
+page. Null html, or html without text, gives the empty string. Broken markup is tolerated (see `Page`). Repeated rows
+give repeated results, an empty table an empty result; only the named columns are read, so others may have any name.
+A page takes time and memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,21 +31,40 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import common
+from .boosting import Trees, boost
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"\b(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|(?:^|\s)hidden(?:[\s=]|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 WORD = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: A tag's attributes up to its end, quoted values whole; possessive, so it never steps back.
+ATTRIBUTES = re.compile(r"[^>\"']*+(?:(?:\"[^\"]*+\"|'[^']*+')[^>\"']*+)*+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas".split())
+#: Their content is not markup.
+RAW = frozenset("script style textarea title iframe xmp noembed noframes".split())
+#: Their content is markup that is never part of the text.
+HIDING = frozenset("svg math object canvas template noscript".split())
+FOREIGN = frozenset(["svg", "math"])
+HEADED = frozenset("html head base link meta title style script noscript template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-#: A start tag of the first closes an open one of the second within the nearest of the third.
-CLOSES = {"li": ({"li", "p"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd", "p"}, {"dl"}), "dd": ({"dt", "dd", "p"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: HTML elements that end an svg or math element left open.
+BREAKOUT = BLOCK | frozenset("b big br code em embed hr i img nobr ruby s small span strike strong sub sup tt u var".split())
 P_SCOPE = frozenset("article aside body blockquote div footer form header html li main nav section table td th ul ol".split())
-GROUPS = ["article main", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "nav menu", "header", "footer", "aside", "form button select label fieldset input dialog", "ul ol dl", "li dd dt", "table tr td th tbody thead", "div section", "a", "b i em strong span code u small font sub sup mark q cite"]
+#: A start tag of the first closes an open one of the second, if no one of the third is open within it.
+CLOSES = [("p", "", "p", P_SCOPE), ("li", "li", "li p", frozenset("ul ol menu".split())), ("dt", "dt dd", "dt dd p", frozenset(["dl"])), ("tr", "tr", "tr td th", frozenset(["table"])), ("td", "td th", "td th", frozenset(["tr", "table"])), ("option", "option", "option", frozenset(["select"]))]
+RULE_OF = {t: k for k, (_, starts, _, _) in enumerate(CLOSES) for t in starts.split()}
+CLOSED = [frozenset(c.split()) for _, _, c, _ in CLOSES]
+WATCHED = {t: tuple(k for k, (_, _, _, scope) in enumerate(CLOSES) if t in CLOSED[k] or t in scope) for t in {t for k, (_, _, _, scope) in enumerate(CLOSES) for t in scope | CLOSED[k]}}
+#: Text directly in these is a node by itself: a wrapper can be kept and the text beside the article in it dropped.
+WRAPPERS = frozenset("html body div section main article center td".split())
+TEXT = "#text"
+GROUPS = ["article main", "p blockquote pre", "h1 h2 h3 h4 h5 h6", "nav menu", "header", "footer", "aside", "form button select label fieldset input dialog", "ul ol dl", "li dd dt", "table tr td th tbody thead", "div section center", "a", "b i em strong span code u small font sub sup mark q cite", TEXT, "figure figcaption"]
 GROUP = {tag: i for i, tags in enumerate(GROUPS) for tag in tags.split()}
-CUES = ["nav menu breadcrumb breadcrumbs toc pagination pager skip", "header masthead topbar banner hero logo", "footer copyright legal colophon bottom", "sidebar side aside related recommended popular trending widget rail more links tags", "ad ads advert advertisement sponsor sponsored promo promotion adsense", "comment comments reply replies respond disqus discussion reader responses feedback", "notice cookie cookies consent gdpr alert popup modal overlay subscribe newsletter signup paywall message warning", "share social follow facebook twitter form search login", "article main content post entry story body text articlebody page prose"]
+CUES = ["nav menu navbar breadcrumb breadcrumbs toc pagination pager skip topnav", "header masthead topbar banner hero logo brand", "footer copyright legal colophon bottom imprint", "sidebar side aside related recommended popular trending widget rail more links tags author bio", "ad ads advert advertisement sponsor sponsored promo promotion adsense adslot", "comment comments reply replies respond disqus discussion reader responses feedback thread", "notice cookie cookies consent gdpr alert popup modal overlay subscribe newsletter signup paywall message warning", "share social follow facebook twitter form search login", "article main content post entry story body text articlebody page prose", "hidden"]
 CUE = {word: i for i, words in enumerate(CUES) for word in words.split()}
-N = len(GROUPS) + 2 * len(CUES) + 16
+N = len(GROUPS) + 2 * len(CUES) + 20
+#: Characters of pages whose nodes are scored together.
+TOGETHER = 4_000_000
 
 
 @dataclass
@@ -52,93 +74,211 @@ class Node:
     depth: int
     cues: int = 0
     own: int = 0
-    links: int = 0
     stops: int = 0
+    hiding: bool = False
+    mark: str = ""
     children: list[int] = field(default_factory=list)
 
 
-def parse(page: str) -> tuple[list[Node], list[tuple[int, int, str]]]:
-    """The elements in page order, the root first, and texts as (node, block number, text)."""
-    nodes, texts, stack = [Node("html", -1, 0)], [], [0]
-    block, at, head, n = 0, 0, False, len(page)
-
-    def text(piece: str) -> None:
-        if piece.strip():
-            texts.append((stack[-1], block, html.unescape(piece) if "&" in piece else piece))
-
-    while at < n:
-        m = TOKEN.search(page, at)
-        if m is None:
-            if not head:
-                text(page[at:])
-            break
-        if m.start() > at and not head:
-            text(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            if m[0].startswith("<![CDATA[") and not head:
-                text(m[0][9:-3].replace("&", "&amp;"))
-            continue
-        tag = tag.lower()
+class Page:
+    """The elements of a page in page order, the root first, and its texts as (node, block number, text).
+
+    Never fails, and takes time in proportion to the page: tags left open, stray end tags, quotes left open, comments
+    without an end and a head without an end are all tolerated.
+    """
+
+    def __init__(self, page: str, mark: str = ""):
+        self.page, self.marked = page, re.compile(mark + r"=\"(\d)\"") if mark else None
+        self.nodes, self.texts = [Node("html", -1, 0)], []
+        self.stack, self.open = [0], Counter()
+        self.nearest: list[list[int]] = [[] for _ in CLOSES]
+        self.block, self.head, self.unquoted = 0, False, -1
+        self.ends: dict[str, int] = {}
+        self.loose: dict[int, tuple[int, int]] = {}
+        self.parse()
+
+    def text(self, piece: str) -> None:
+        if not piece:
+            return
+        blank = piece.isspace()
+        if self.head:
+            if blank:
+                return
+            self.head = False
+        at = self.stack[-1]
+        if not blank and self.nodes[at].tag in WRAPPERS:
+            block, node = self.loose.get(at, (-1, 0))
+            if block != self.block:
+                node = self.add(Node(TEXT, at, len(self.stack)))
+                self.loose[at] = self.block, node
+            at = node
+        self.texts.append((at, self.block, html.unescape(piece) if "&" in piece else piece))
+
+    def add(self, node: Node) -> int:
+        self.nodes[node.parent].children.append(len(self.nodes))
+        self.nodes.append(node)
+        return len(self.nodes) - 1
+
+    def pop_to(self, size: int) -> None:
+        """Close elements until so many are open."""
+        while len(self.stack) > size:
+            tag = self.nodes[self.stack.pop()].tag
+            self.open[tag] -= 1
+            for k in WATCHED.get(tag, ()):
+                self.nearest[k].pop()
+
+    def close(self, tag: str) -> None:
+        """Close the innermost open element of that tag and what is open in it; nothing if there is none."""
+        if self.open[tag] > 0:
+            size = len(self.stack) - 1
+            while self.nodes[self.stack[size]].tag != tag:
+                size -= 1
+            self.pop_to(size)
+
+    def tag_end(self, at: int) -> int:
+        """Where the attributes that start here end. A tag with a quote that nothing closes ends at its first >, and so do those after it up to that quote."""
+        page, n = self.page, len(self.page)
+        if at >= self.unquoted:
+            end = ATTRIBUTES.match(page, at).end()
+            if end == n or page[end] == ">":
+                return end
+            self.unquoted = end
+        end = page.find(">", at)
+        return n if end < 0 else end
+
+    def closes_later(self, tag: str, at: int) -> bool:
+        """Whether an end tag of that name comes after this place."""
+        if tag not in self.ends:
+            self.ends[tag] = max((m.start() for m in re.finditer(rf"</{tag}(?=[\s/>])", self.page, re.I)), default=-1)
+        return self.ends[tag] >= at
+
+    def parse(self) -> None:
+        page, n, at = self.page, len(self.page), 0
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                self.text(page[at:])
+                return
+            self.text(page[at:lt])
+            kind = page[lt + 1 : lt + 2]
+            if kind.isascii() and kind.isalpha():
+                at = self.start(lt)
+            elif kind == "/":
+                at = self.finish(lt)
+            elif kind == "!" or kind == "?":
+                at = self.aside(lt)
+            else:
+                self.text("<")
+                at = lt + 1
+
+    def aside(self, lt: int) -> int:
+        """Comments, declarations and CDATA sections; the latter are text."""
+        page, n = self.page, len(self.page)
+        if page.startswith("<!--", lt):
+            if page.startswith(("<!-->", "<!--->"), lt):
+                return page.find(">", lt) + 1
+            end = page.find("-->", lt + 4)
+            return n if end < 0 else end + 3
+        if page.startswith("<![CDATA[", lt):
+            end = page.find("]]>", lt)
+            self.text(page[lt + 9 : n if end < 0 else end].replace("&", "&amp;"))
+            return n if end < 0 else end + 3
+        end = page.find(">", lt)
+        return n if end < 0 else end + 1
+
+    def finish(self, lt: int) -> int:
+        page, n = self.page, len(self.page)
+        name = NAME.match(page, lt + 2)
+        if not name:
+            end = page.find(">", lt)
+            return n if end < 0 else end + 1
+        tag, end = name[0].lower(), self.tag_end(name.end())
         if tag == "head":
-            head = not m[1]
-            continue
-        if tag == "body":
-            head = False
+            self.head = False
+        elif tag == "br":
+            self.text(" ")
+        else:
+            if tag in BLOCK:
+                self.block += 1
+            self.close(tag)
+        return min(n, end + 1)
+
+    def start(self, lt: int) -> int:
+        page, n = self.page, len(self.page)
+        name = NAME.match(page, lt + 1)
+        tag, end = name[0].lower(), self.tag_end(name.end())
+        named, at = page[name.end() : end], min(n, end + 1)
+        closed = named.endswith("/")
+        if tag == "head":
+            self.head = True
+            return at
+        if self.head and tag not in HEADED:
+            self.head = False
+        if tag == "html":
+            return at
+        if tag in BREAKOUT and (self.open["svg"] > 0 or self.open["math"] > 0) and not self.open["foreignobject"] > 0:
+            size = len(self.stack) - 1
+            while self.open["svg"] > 0 or self.open["math"] > 0:
+                self.pop_to(size)
+                size -= 1
         if tag in RAW:
-            if not m[1] and not m[0].endswith("/>"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-            continue
-        if tag in VOID or head:
+            if closed and self.open["svg"] > 0:
+                return at
+            if self.closes_later(tag, at):
+                return re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at).start()
+            # without an end a script or style takes the rest; of others only the text up to the next tag is theirs
+            following = n if tag in ("script", "style") else page.find("<", at)
+            return n if following < 0 else following
+        if tag in VOID:
             if tag == "hr":
-                block += 1
-            elif tag == "br" and not head and texts:
-                text_at = texts[-1]
-                texts[-1] = (text_at[0], text_at[1], text_at[2] + " ")
-            continue
+                self.block += 1
+            elif tag == "br":
+                self.text(" ")
+            return at
+        if self.head and tag not in HIDING:
+            return at
+        hiding = tag in HIDING
+        if hiding and (closed or tag not in FOREIGN and not self.closes_later(tag, at)):
+            return at
         if tag in BLOCK:
-            block += 1
-        if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]].tag == tag:
-                    del stack[i:]
-                    break
-            continue
-        if tag == "html":
-            continue
-        if tag in BLOCK or tag in CLOSES:
-            closes, scope = CLOSES.get(tag, ({"p"}, P_SCOPE))
-            for i in range(len(stack) - 1, 0, -1):
-                open_tag = nodes[stack[i]].tag
-                if open_tag in closes:
-                    del stack[i:]
-                    break
-                if open_tag in scope:
-                    break
-        node = Node(tag, stack[-1], len(stack))
-        if m[3]:
-            for named in NAMED.finditer(m[3]):
-                for word in WORD.findall((named[1] or named[2] or named[3] or "").lower()):
+            self.block += 1
+        k = RULE_OF.get(tag, 0 if tag in BLOCK else -1)
+        while k >= 0 and self.nearest[k] and self.nodes[self.stack[self.nearest[k][-1]]].tag in CLOSED[k]:
+            self.pop_to(self.nearest[k][-1])
+        node = Node(tag, self.stack[-1], len(self.stack), hiding=hiding)
+        if named:
+            for found in NAMED.finditer(named):
+                for word in WORD.findall((found[1] or found[2] or found[3] or "").lower()):
                     if word in CUE:
                         node.cues |= 1 << CUE[word]
-        nodes[stack[-1]].children.append(len(nodes))
-        stack.append(len(nodes))
-        nodes.append(node)
-        if m[0].endswith("/>"):
-            stack.pop()
-    return nodes, texts
+            if HIDDEN.search(named):
+                node.cues |= 1 << CUE["hidden"]
+            if self.marked and (m := self.marked.search(named)):
+                node.mark = m[1]
+        number = self.add(node)
+        if not closed:
+            for rule in WATCHED.get(tag, ()):
+                self.nearest[rule].append(len(self.stack))
+            self.stack.append(number)
+            self.open[tag] += 1
+        return at
+
+
+def parse(page: str, mark: str = "") -> tuple[list[Node], list[tuple[int, int, str]]]:
+    """The elements in page order, the root first, and texts as (node, block number, text); blank texts stay."""
+    found = Page(page, mark)
+    return found.nodes, found.texts
 
 
 def features(nodes: list[Node], texts: list[tuple[int, int, str]]) -> np.ndarray:
     """A row of N numbers for each node."""
     for i, _, piece in texts:
-        nodes[i].own += len(piece)
-        nodes[i].stops += piece.count(".") + piece.count(",")
+        if not piece.isspace():
+            nodes[i].own += len(piece)
+            nodes[i].stops += piece.count(".") + piece.count(",")
     n = len(nodes)
     x = np.zeros((n, N), np.float32)
-    total, tags, links, stops, paras, articles = ([0] * n for _ in range(6))
+    total, tags, links, stops, paras, articles, heads = ([0] * n for _ in range(7))
     for i in range(n - 1, -1, -1):  # children come after their parents
         node = nodes[i]
         total[i] += node.own
@@ -147,10 +287,11 @@ def features(nodes: list[Node], texts: list[tuple[int, int, str]]) -> np.ndarray
         links[i] = total[i] if node.tag == "a" else links[i]
         paras[i] += node.tag == "p"
         articles[i] += node.tag in ("article", "main")
+        heads[i] += node.tag == "h1"
         if node.parent >= 0:
-            for a in (total, tags, links, stops, paras, articles):
+            for a in (total, tags, links, stops, paras, articles, heads):
                 a[node.parent] += a[i]
-    above = [0] * n  # groups and cues of ancestors, as bits
+    above = [0] * n  # cues and groups of ancestors, as bits
     rank = [0] * n
     base, c = len(GROUPS), len(CUES)
     whole = max(1, total[0])
@@ -162,113 +303,77 @@ def features(nodes: list[Node], texts: list[tuple[int, int, str]]) -> np.ndarray
         up = node.parent
         if up >= 0:
             above[i] = above[up] | nodes[up].cues | (1 << 20 + max(0, GROUP.get(nodes[up].tag, 19)))
-        for k in range(c):
-            if node.cues >> k & 1:
-                row[base + k] = 1
-            if above[i] >> k & 1:
-                row[base + c + k] = 1
+        bits, over = node.cues, above[i]
+        while bits:
+            row[base + (bits & -bits).bit_length() - 1] = 1
+            bits &= bits - 1
+        bits = over & ((1 << c) - 1)
+        while bits:
+            row[base + c + (bits & -bits).bit_length() - 1] = 1
+            bits &= bits - 1
         for k, child in enumerate(node.children):
             rank[child] = k
         t = max(1, total[i])
         kin = len(nodes[up].children) if up >= 0 else 1
         row[base + 2 * c :] = (
             node.depth, rank[i], kin, rank[i] / kin, total[i] / max(1, total[up] if up >= 0 else t), np.log1p(total[i]), np.log1p(node.own), links[i] / t,
-            tags[i] / t * 100, stops[i] / t * 100, paras[i], total[i] / whole, above[i] >> 20 & 1, articles[i], above[i] >> 23 & 0b1111, tags[i],
+            tags[i] / t * 100, stops[i] / t * 100, paras[i], total[i] / whole, over >> 20 & 1, articles[i], over >> 23 & 0b1111, tags[i],
+            articles[0], paras[0], heads[i], node.own / t,
         )
     return x
 
 
-@dataclass
-class Trees:
-    """Depth-three trees: features (rounds, 7), cuts (rounds, 7) and leaves (rounds, 8)."""
-
-    feature: np.ndarray
-    cut: np.ndarray
-    leaf: np.ndarray
-    bias: float
-
-    def margin(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.bias, np.float32)
-        rows = np.arange(len(x))
-        for f, c, v in zip(self.feature, self.cut, self.leaf):
-            at = np.zeros(len(x), np.int64)
-            for _ in range(3):
-                at = 2 * at + 1 + (x[rows, f[at]] > c[at])
-            out += v[at - 7]
-        return out
-
-
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 40, rate: float = 0.3, bins: int = 24, ridge: float = 1.0) -> Trees:
-    """Gradient boosting of the logistic loss on binned features."""
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins)[1:-1])) for j in range(x.shape[1])]
-    binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(edges)])
-    share = y.mean()
-    bias = float(np.log(share / (1 - share)))
-    margin = np.full(len(y), bias)
-    feature, cut, leaf = np.zeros((rounds, 7), np.int64), np.full((rounds, 7), np.inf, np.float32), np.zeros((rounds, 8), np.float32)
-    for r in range(rounds):
-        p = 1 / (1 + np.exp(-margin))
-        g, h = y - p, p * (1 - p)
-        at = np.zeros(len(y), np.int64)
-        for level in range(3):
-            for node in range(2**level - 1, 2 ** (level + 1) - 1):
-                mine = at == node
-                best = (1e-6, 0, np.inf)
-                gm, hm = g[mine], h[mine]
-                if len(gm) > 1:
-                    whole = gm.sum() ** 2 / (hm.sum() + ridge)
-                    for j, e in enumerate(edges):
-                        b = binned[j, mine]
-                        gl, hl = np.cumsum(np.bincount(b, gm, len(e) + 1))[:-1], np.cumsum(np.bincount(b, hm, len(e) + 1))[:-1]
-                        if len(gl):
-                            gain = gl**2 / (hl + ridge) + (gm.sum() - gl) ** 2 / (hm.sum() - hl + ridge) - whole
-                            k = int(gain.argmax())
-                            if gain[k] > best[0]:
-                                best = (float(gain[k]), j, float(e[k]))
-                feature[r, node], cut[r, node] = best[1], best[2]
-                at[mine] = 2 * node + 1 + (x[mine, best[1]] > np.float32(best[2]))
-        at -= 7
-        leaf[r] = rate * np.bincount(at, g, 8) / (np.bincount(at, h, 8) + ridge)
-        margin += leaf[r][at]
-    return Trees(feature, cut, leaf, bias)
+@functools.cache
+def made_words(count: int = 5_000) -> list[str]:
+    rng = random.Random(3)
+    return ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 9))) for _ in range(count)]
 
 
 def made_page(rng: random.Random) -> tuple[str, str]:
-    """A page by the rule, and a mark that its article's elements carry in an attribute: data-y for those to keep."""
-    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9)))
-    words = lambda a, b: " ".join(word() for _ in range(rng.randint(a, b)))
+    """A page by the rule, and the mark of its root. Marks, in data-y: 1 keep the element and its own text, 2 the element alone; none: drop."""
+    known = made_words()
+    word = lambda: rng.choice(known)
+
+    def words(a: int, b: int) -> str:
+        at = rng.randrange(len(known) - b)
+        return " ".join(known[at : at + rng.randint(a, b)])
+
     sentence = lambda: (words(4, 18) + rng.choice([".", ".", ",", "?"])).capitalize()
     some = lambda *x: rng.choice(x)
     link = lambda: f'<a href="/{word()}">{words(1, 3)}</a>'
     menu = lambda: "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(rng.randint(2, 9))) + "</ul>"
     para = lambda a=1, b=6: " ".join(sentence() for _ in range(rng.randint(a, b)))
-    y = ' data-y="1"'
+    y, wrap = ' data-y="1"', ' data-y="2"'
 
-    def junk() -> str:
-        kind = rng.randrange(10)
+    def junk(kinds: int = 13) -> str:
+        kind = rng.randrange(kinds)
         if kind == 0:
             return some(f"<nav>{menu()}</nav>", f'<div class="{some("nav", "menu", "navbar menu", "breadcrumb")}">{menu()}</div>', f'<ul class="menu">{"".join(f"<li>{link()}" for _ in range(5))}</ul>', f'<div id="nav">{link()} | {link()} | {link()}</div>')
         if kind == 1:
-            return some(f"<header>{words(1, 5)} {link()}</header>", f'<div class="{some("header", "masthead", "site-header")}"><h2>{words(1, 4)}</h2>{link()}</div>')
+            return some(f"<header>{words(1, 5)} {link()}</header>", f"<header><h1>{words(1, 3)}</h1><p>{words(2, 6)}</p></header>", f'<div class="{some("header", "masthead", "site-header")}"><h2>{words(1, 4)}</h2>{link()}</div>')
         if kind == 2:
             return some(f"<footer>&copy; {words(1, 8)} {para(0, 3)}</footer>", f'<div id="footer"><p>{words(2, 6)}</p>{link()}</div>', f'<footer class="site-footer"><p>{para(1, 2)}</p></footer>')
         if kind == 3:
-            return some(f"<aside>{some(menu(), f'<h3>{words(1, 3)}</h3><p>{para(1, 3)}</p>')}</aside>", f'<div class="{some("sidebar", "related", "widget", "popular-posts")}"><h3>{words(1, 3)}</h3>{some(menu(), f"<p>{para(1, 3)}</p>")}</div>')
+            return some(f"<aside>{some(menu(), f'<h3>{words(1, 3)}</h3><p>{para(1, 3)}</p>')}</aside>", f'<div class="{some("sidebar", "related", "widget", "popular-posts", "author-bio")}"><h3>{words(1, 3)}</h3>{some(menu(), f"<p>{para(1, 3)}</p>")}</div>')
         if kind == 4:
             return f'<{(t := some("div", "section", "p"))} class="{some("ad", "ads", "advert", "sponsored", "promo ad-slot", "advertisement")}">{para(1, 3)}</{t}>'
-        if kind == 5:
-            one = lambda: some(f'<div class="comment"><p>{para(1, 3)}</p></div>', f"<li><b>{word()}</b><p>{para(1, 2)}</p></li>", f'<p class="comment">{para(1, 3)}</p>', f"<article><p>{para(1, 2)}</p></article>")
-            return f'<{(t := some("div", "section", "ul", "ol"))} {some("id", "class")}="{some("comments", "comment-list", "reader-comments", "discussion", "responses")}">{some(f"<h3>{words(1, 2)}</h3>", "")}{"".join(one() for _ in range(rng.randint(1, 6)))}</{t}>'
-        if kind == 6:
-            return f'<div class="{some("cookie-notice", "notice", "alert", "newsletter", "subscribe", "popup", "cookie banner")}">{some(f"<p>{para(1, 2)}</p>", para(1, 2))}{some("", f"<button>{word()}</button>")}</div>'
+        if kind in (5, 6):
+            one = lambda: some(f'<div class="comment"><p>{para(1, 3)}</p></div>', f"<li><b>{word()}</b><p>{para(1, 2)}</p></li>", f'<p class="comment">{para(1, 3)}</p>', f"<article><p>{para(1, 2)}</p></article>", f"<div><span>{word()}</span> {para(1, 3)}</div>")
+            return f'<{(t := some("div", "section", "ul", "ol"))} {some("id", "class")}="{some("comments", "comment-list", "reader-comments", "discussion", "responses", "replies")}">{some(f"<h3>{words(1, 2)}</h3>", "")}{"".join(one() for _ in range(rng.randint(1, 6)))}</{t}>'
         if kind == 7:
-            return f'<form action="/{word()}"><label>{words(1, 3)}</label><input type="text">{some("", f"<p>{para(1, 2)}</p>")}<button>{word()}</button></form>'
+            return f'<div {some("class", "id", "role")}="{some("cookie-notice", "notice", "alert", "newsletter", "subscribe", "popup", "cookie banner", "warning")}">{some(f"<p>{para(1, 2)}</p>", para(1, 2))}{some("", f"<button>{word()}</button>")}</div>'
         if kind == 8:
+            return f'<form action="/{word()}"><label>{words(1, 3)}</label><input type="text">{some("", f"<p>{para(1, 2)}</p>")}<button>{word()}</button></form>'
+        if kind == 9:
             return f'<div class="{some("share", "social", "follow")}">{link()}{link()}{link()}</div>'
-        return some(f"<div>{link()} {link()} {link()}</div>", f"<p>{link()}</p>", f"<div><h4>{words(1, 3)}</h4>{menu()}</div>")
+        if kind == 10:
+            return some(f"<p hidden>{para(1, 2)}</p>", f'<div style="display:none">{para(1, 2)}</div>', f"<button>{words(1, 2)}</button>", f"<select><option>{word()}<option>{word()}</select>")
+        if kind == 11:
+            return some(f"<div>{link()} {link()} {link()}</div>", f"<p>{link()}</p>", f"<div><h4>{words(1, 3)}</h4>{menu()}</div>")
+        return some(words(1, 4) + " ", f"{words(1, 2)} | ", f"{link()} ", f"<span>{words(1, 3)}</span> ")
 
     def body_block() -> str:
-        kind = rng.randrange(12)
+        kind = rng.randrange(14)
         if kind < 7:
             inner = para()
             if rng.random() < 0.3:
@@ -282,20 +387,40 @@ def made_page(rng: random.Random) -> tuple[str, str]:
             return f"<blockquote{y}>{some(para(1, 2), f'<p{y}>{para(1, 2)}</p>')}</blockquote>"
         if kind == 10:
             return f"<table{y}><tr{y}><td{y}>{words(1, 4)}</td><td{y}>{words(1, 4)}</td></tr></table>"
+        if kind == 11:
+            return f"<figure{y}><img src=x><figcaption{y}>{words(2, 9)}</figcaption></figure>"
+        if kind == 12:
+            return f"{para(1, 4)}<br><br>{para(1, 3)}{some('', f' <a href=x{y}>{words(1, 2)}</a> ')}"
         return some(f"<div{y}>{para(1, 3)}</div>", f"<p{y}>{words(1, 3)}.</p>", f"<pre{y}>{para(1, 2)}</pre>")
 
-    parts = [f"<h1{y}>{words(2, 9)}</h1>"] if rng.random() < 0.8 else []
+    if rng.random() < 0.06:  # nothing but text
+        text = "\n\n".join(para() for _ in range(rng.randint(1, 5)))
+        return some((text, "1"), (f"<html><body{y}>{text}</body></html>", "2"), (f"<body{y}>{text} <b{y}>{words(1, 3)}</b> {para()}", "2"))
+    parts = []
+    if rng.random() < 0.8:
+        parts.append(some(f"<h1{y}>{words(2, 9)}</h1>", f"<h1{y}>{words(2, 9)}</h1>", f"<header{y}><h1{y}>{words(2, 9)}</h1></header>"))
     for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12])):
         parts.append(body_block())
-        if rng.random() < 0.12:
-            parts.append(junk())
-    tag, named = some(("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="post"'), ("section", ' class="article-body"'), ("div", ' class="entry-content"'), ("div", ""))
-    article = f"<{tag}{named}{y}>" + "".join(parts) + f"</{tag}>"
+        if rng.random() < 0.25:
+            parts.append(junk(12))
+    inside = "".join(parts)
+    before, after = [junk() for _ in range(rng.randint(1, 4))], [junk() for _ in range(rng.randint(1, 4))]
+    if rng.random() < 0.1 and "<br><br>" not in inside:  # no element of its own
+        return f"<html><body{wrap}>" + "".join(before) + inside + "".join(after) + "</body></html>", "2"
+    tag, named = some(("article", ""), ("article", ""), ("main", ""), ("div", ' class="content"'), ("div", ' id="post"'), ("section", ' class="article-body"'), ("div", ' class="entry-content"'), ("div", ""), ("article", ' class="post"'))
+    article = f"<{tag}{named}{y}>{inside}</{tag}>"
     for _ in range(rng.choice([0, 0, 1, 2])):
         if rng.random() < 0.5:
-            article = f"<{(t := some('div', 'main', 'section'))}{y}>{article if rng.random() < 0.6 else junk() + article}</{t}>"
-    before, after = [junk() for _ in range(rng.randint(1, 4))], [junk() for _ in range(rng.randint(1, 4))]
-    return "<html><body>" + "".join(before) + article + "".join(after) + "</body></html>", y.strip()
+            article = f"<{(t := some('div', 'main', 'section', 'div class=page', 'div id=wrapper'))}{wrap}>{article if rng.random() < 0.6 else junk() + article}</{t.split()[0]}>"
+    if rng.random() < 0.08:
+        article = f"<table{wrap}><tr{wrap}><td>{menu()}</td><td{wrap}>{article}</td></tr></table>"
+    return f"<html><body{wrap}>" + "".join(before) + article + "".join(after) + "</body></html>", "2"
+
+
+def labels_of(nodes: list[Node], root: str) -> np.ndarray:
+    """What the marks say of each node: whether it is kept."""
+    nodes[0].mark = root
+    return np.array([float(bool(nodes[n.parent].mark == "1" if n.tag == TEXT else n.mark)) for n in nodes])
 
 
 @functools.lru_cache(maxsize=2)
@@ -303,21 +428,16 @@ def fit(pages: int = 400, seed: int = 11) -> Trees:
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
-        page, mark = made_page(rng)
-        # the marks are read off by element order, and taken out of what the features see
-        nodes, texts = parse(page.replace(" " + mark, ""))
-        starts = [m for m in TOKEN.finditer(page) if m[2] and not m[1] and m[2].lower() not in VOID and m[2].lower() not in RAW and m[2].lower() not in ("html", "head")]
-        keep = [1] + [int(mark in m[0]) for m in starts]
-        keep[1] = 1  # body
+        page, root = made_page(rng)
+        nodes, texts = parse(page, "data-y")
         xs.append(features(nodes, texts)[1:])
-        ys.append(np.array(keep[1:], float))
-    return boost(np.concatenate(xs), np.concatenate(ys))
+        ys.append(labels_of(nodes, root)[1:])
+    return boost(np.concatenate(xs), np.concatenate(ys), rounds=40)
 
 
 def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     """The consistent choice of greatest likelihood: whether each node is kept; below a dropped one all are."""
     n = len(nodes)
-    m = margin.tolist()
     keep, lose = [0.0] * n, [0.0] * n
     log1p = np.logaddexp(0, margin).tolist()
     log0 = np.logaddexp(0, -margin).tolist()
@@ -325,6 +445,8 @@ def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
         keep[i] -= log0[i]
         lose[i] -= log1p[i]
         up = nodes[i].parent
+        if nodes[i].hiding:
+            keep[i] = -np.inf
         if up >= 0:
             keep[up] += max(keep[i], lose[i])
             lose[up] += lose[i]
@@ -338,7 +460,7 @@ def joined(nodes: list[Node], texts: list[tuple[int, int, str]], chosen: list[bo
     blocks: list[list[str]] = []
     last = -1
     for i, block, piece in texts:
-        if chosen[i] and i:
+        if chosen[i]:
             if block != last:
                 blocks.append([])
                 last = block
@@ -347,14 +469,20 @@ def joined(nodes: list[Node], texts: list[tuple[int, int, str]], chosen: list[bo
 
 
 def extract_all(pages: list[str], trees: Trees) -> list[str]:
-    """The main text of each page; the nodes of all are scored together."""
-    parsed = [parse(p) for p in pages]
-    xs = [features(*p) for p in parsed]
-    margin = trees.margin(np.concatenate(xs)) if xs else np.empty(0, np.float32)
-    out, at = [], 0
-    for (nodes, texts), x in zip(parsed, xs):
-        out.append(joined(nodes, texts, decode(nodes, margin[at : at + len(x)])))
-        at += len(x)
+    """The main text of each page; the nodes of pages of up to TOGETHER characters are scored together."""
+    out: list[str] = []
+    first, size = 0, 0
+    for k, page in enumerate(pages):
+        size += len(page)
+        if size < TOGETHER and k + 1 < len(pages):
+            continue
+        parsed = [parse(p) for p in pages[first : k + 1]]
+        xs = [features(*p) for p in parsed]
+        margin, at = trees.margin(np.concatenate(xs)), 0
+        for (nodes, texts), x in zip(parsed, xs):
+            out.append(joined(nodes, texts, decode(nodes, margin[at : at + len(x)])))
+            at += len(x)
+        first, size = k + 1, 0
     return out
 
 

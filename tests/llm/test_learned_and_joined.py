@@ -174,20 +174,6 @@ def test_html(spark):
     assert [(r.page_id, r.n_chars == len(r.text)) for r in rows] == [(1, True), (2, True), (1, True)] and rows[1].text == ""
 
 
-def test_html_on_made_pages():
-    rng, trees = random.Random(99), html_extract.fit()
-    right = total = 0
-    for _ in range(40):
-        page, mark = html_extract.made_page(rng)
-        nodes, texts = html_extract.parse(page.replace(" " + mark, ""))
-        chosen = html_extract.decode(nodes, trees.margin(html_extract.features(nodes, texts)))
-        starts = [m for m in html_extract.TOKEN.finditer(page) if m[2] and not m[1] and m[2].lower() not in html_extract.VOID | html_extract.RAW | {"html", "head"}]
-        keep = [True, True] + [mark in m[0] for m in starts][1:]
-        right, total = right + sum(a == b for a, b in zip(keep, chosen)), total + len(keep)
-        assert all(chosen[n.parent] for i, n in enumerate(nodes) if chosen[i] and i)
-    assert right / total > 0.97
-
-
 def test_pipeline(spark):
     docs = common.table(spark, SF, "documents")
     extra = spark.createDataFrame([(90001, None, "en", "s", 0), (90002, "", "en", "s", 0), (90003, "write to jane@mail.example.com now", "en", "s", 34), (90004, "write to jane@mail.example.com now", "en", "s", 34)], docs.schema)
