@@ -73,12 +73,11 @@ def codec(path: str) -> TreeCodec:
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "") -> DataFrame:
     """Per row: the id, the packed ids (binary, little-endian unsigned 32-bit) and their number."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             packed = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())], [id_col, "ids", "n_tokens"])
 
@@ -88,12 +87,11 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
 def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", vocabulary: str = "") -> DataFrame:
     """Per row: the id and the bytes that its packed ids stand for; null ids give no bytes."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    common.small_batches(encoded.sparkSession)
     kind = encoded.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(p or b"") for p in batch.column(1).to_pylist()], pa.binary())], [id_col, "decoded"])
 
     return encoded.select(F.col(id_col), F.col(ids_col)).mapInArrow(run, f"`{id_col}` {kind}, decoded binary")
@@ -102,12 +100,11 @@ def decode(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", voc
 def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = "") -> DataFrame:
     """Per row: the id, n_tokens, and the sha256 of the packed ids and of the bytes decoded from them."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             packed = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             digests = ([hashlib.sha256(p).hexdigest() for p in packed], [hashlib.sha256(own.decode(p)).hexdigest() for p in packed])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(p) // 4 for p in packed], pa.int64()), *map(pa.array, digests)], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])

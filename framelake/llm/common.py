@@ -2,33 +2,42 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch given to a Python worker. Texts can be long; small batches bound a worker's memory.
+#: Rows that a Python worker turns into objects at a time. Spark itself bounds an Arrow batch by its bytes (64 MB unless set otherwise).
 BATCH_ROWS = 512
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, without copies."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a session without that setting (a local test) gets one of its own."""
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local session may go without: it gets one of its own."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="framelake-checkpoint-"))
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="framelake-checkpoint-")
+        sc.setCheckpointDir(own)
     return sc.getCheckpointDir()
 
 
@@ -37,13 +46,16 @@ def stored(df: DataFrame) -> DataFrame:
 
     This cuts the lineage as a checkpoint does and outlives lost executors; later reads take only the columns they need.
     Checkpointed plans also carry their constraints along, which grow without end in a loop; a table's plan has none.
-    The plan that made the table is let go of at once, so that Spark's cleaner can remove its shuffle files.
+    Spark removes the shuffle files of the write when it ends: the table is there, and nothing else reads them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out
@@ -74,8 +86,3 @@ def held_out(doc_id: Column) -> Column:
 
 def held_out_id(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 5 == 0
-
-
-def one_per_id(df: DataFrame, key: str) -> DataFrame:
-    """One row of each id, for the learning side, where repeated rows must not multiply."""
-    return df.dropDuplicates([key])

@@ -103,7 +103,6 @@ def spans(text: str, marks: np.ndarray) -> list[list[int]]:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """Per row: the id, n_words, n_hit, the sorted ids of the items found (as strings), and the hit spans [start, end) in code points."""
     spark = docs.sparkSession
-    common.small_batches(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).cast("string"), F.col(item_text_col)).where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
     groups = shards(patterns([(r[0], r[1]) for r in items.toLocalIterator()], window), shard_chars)
@@ -111,7 +110,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def step(key: str, shared: Broadcast, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = automaton(key, shared)
-            for batch in batches:
+            for batch in common.slices(batches):
                 texts = [t or "" for t in batch.column(1).to_pylist()]
                 before = [(None, [])] * len(texts) if first else list(zip(batch.column(3).to_pylist(), batch.column(4).to_pylist()))
                 n, marks, ids = [], [], []
@@ -128,7 +127,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         return run
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             hits, where = [], []
             for text, n, packed in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 marks = None if packed is None else np.unpackbits(np.frombuffer(packed, np.uint8))[:n].astype(bool)

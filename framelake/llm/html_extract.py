@@ -488,12 +488,11 @@ def extract_all(pages: list[str], trees: Trees) -> list[str]:
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per row: the id, the url, the main text and its code points."""
-    common.small_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, url_col)}
     trees = fit()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             found = extract_all([h or "" for h in batch.column(2).to_pylist()], trees)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array(list(map(len, found)), pa.int64())], [id_col, url_col, "text", "n_chars"])
 

@@ -127,10 +127,9 @@ def words_of(h: np.ndarray, percent: int) -> np.ndarray:
 
 def features(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Per row: id, n_shingles, two fingerprints of the set, its sketch of 1024 bits, and its words for the join."""
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             n, prints, sketches, words = [], [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, size)
@@ -148,7 +147,7 @@ def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """Per row: id and the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             parts = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
             offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))], ["id", "shingles"])

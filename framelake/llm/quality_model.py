@@ -7,7 +7,8 @@ over the pairs. The threshold is a quantile of the scores of the rows learned fr
 
 Learning reads no more than about `max_rows` labelled rows, half of each label where there are as many, and compares
 each with `PARTNERS` of the other label; all texts are scored, whole. Null texts are empty. Without labels of both
-kinds every score is 0.5. Repeated rows give repeated results; labels of repeated ids count once.
+kinds every score is 0.5. Repeated rows give repeated results; of an id with several labels or texts the least is learned
+from; an empty table gives an empty result; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -81,10 +82,9 @@ def bradley_terry(good: np.ndarray, bad: np.ndarray, ridge: float = 1.0, steps:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> Model | None:
-    common.small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             x = [features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], ["label", "x"])
 
@@ -109,11 +109,10 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and its score, from 0 to 1."""
-    common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             s = np.full(len(texts), 0.5) if model is None else model.scores(np.array([features(t) for t in texts]).reshape(len(texts), len(FEATURES)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s, pa.float64())], [id_col, "score"])

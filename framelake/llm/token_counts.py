@@ -106,12 +106,11 @@ def counter(path: str) -> PrefixCounter:
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = 512, vocabulary: str = "", truncate: bool = False) -> DataFrame:
     """Per row: the id, n_bytes, n_tokens and whether n_tokens is over the limit; with truncate, the text cut to the limit too."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
-    common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(path)
-        for batch in batches:
+        for batch in common.slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             n = count.totals(texts)
             cols = [batch.column(0), pa.array(n, pa.int64())]

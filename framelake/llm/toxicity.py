@@ -5,9 +5,11 @@ bounded sample of labelled rows, and those that toxic rows have far more often b
 odds. Words and two-word phrases that contain an entry but occur in clean rows become exceptions, which take the entry
 out where they match. A text's score is a logistic function of its summed weights and of their share of the words.
 
-Learning reads no more than `max_rows` labelled rows (chosen by a hash of the id) however large the labels are; all
-texts are scored, whole. Null texts are empty and score as texts without any entry. Without labels the score is the
-prior, 0. Repeated rows give repeated results; labels of repeated ids count once; only the named columns are read.
+Learning reads no more than `max_rows` labelled rows (chosen by a hash of the id) however large the labels are; of
+the entries the `max_terms` that tell most, and as many exceptions, are kept. All texts are scored, whole. Null texts
+are empty and score as texts without any entry. Without labels the score is the prior, 0. Repeated rows give repeated
+results; of an id with several labels or texts the least is learned from; only the named columns are read, so others may
+have any name. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,21 +35,26 @@ MAX_TERMS = 4_000
 MIN_ROWS, MIN_SHARE, LIFT, SURPRISE = 5, 0.01, 20, 4.0
 #: Look-alikes of Latin letters and digits used for letters: fixed values.
 HOMOGLYPHS = str.maketrans(
-    {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ո": "n", "ν": "v", "ο": "o", "α": "a", "ε": "e", "ι": "i", "κ": "k", "τ": "t", "ρ": "p", "υ": "u", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
+    {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ո": "n", "ν": "v", "ο": "o", "α": "a", "ε": "e", "ι": "i", "κ": "k", "τ": "t", "ρ": "p", "υ": "u"}
 )
+DIGITS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
+#: Runs of such digits next to a letter; others are numbers.
+IN_WORD = re.compile(r"(?<=[^\W\d_])[013457]+|[013457]+(?=[^\W\d_])")
 BETWEEN = re.compile(r"(?<=[^\W\d_])[@$](?=[^\W\d_])")
 WORD = re.compile(r"[^\W_]+")
 STARTS = range(4, 10)
 
 
 def fold(text: str) -> str:
-    """Lower case, full-width letters and look-alikes to Latin letters, digits inside words to the letters they stand for."""
+    """Lower case, full-width letters and look-alikes to Latin letters, digits next to letters to the letters they stand for."""
     text = text.lower()
     if "@" in text or "$" in text:
         text = BETWEEN.sub(lambda m: "a" if m[0] == "@" else "s", text)
     if not text.isascii() and any(0xFF01 <= ord(c) <= 0xFF5E for c in set(text)):
         text = "".join(chr(ord(c) - 0xFEE0) if 0xFF01 <= ord(c) <= 0xFF5E else c for c in text).lower()
-    return text.translate(HOMOGLYPHS)
+    if not text.isascii():
+        text = text.translate(HOMOGLYPHS)
+    return IN_WORD.sub(lambda m: m[0].translate(DIGITS), text)
 
 
 def terms(text: str) -> set[str]:
@@ -114,9 +121,9 @@ class Matcher:
 
 
 def usable_labels(labels: DataFrame, label_col: str, id_col: str) -> DataFrame:
-    """The id and label of the rows that may be learned from."""
+    """The id and label of the rows that may be learned from; of an id with several labels the least."""
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(F.col(id_col))).select(F.col(id_col), F.col(label_col).cast("int").alias("label"))
-    return common.one_per_id(usable, id_col)
+    return usable.groupBy(id_col).agg(F.min("label").alias("label"))
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_rows: int) -> DataFrame:
@@ -128,7 +135,8 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text
         share = F.when(F.col("label") == label, F.lit(min(1.0, max_rows / 2 / n))).otherwise(share)
     chosen = usable.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < share * 1_000_000)
     # about max_rows ids and labels: small enough to broadcast whatever the tables hold
-    return common.one_per_id(docs.select(id_col, text_col).join(F.broadcast(chosen), id_col), id_col).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), id_col)
+    return texts.groupBy(id_col).agg(F.min("label").alias("label"), F.min("text").alias("text")).select("label", "text")
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
@@ -137,7 +145,7 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
     for size, seed in ((3, 1), (2, 2), (2, 3)):
 
         def run(batches: Iterator[pa.RecordBatch], size: int = size, seed: int = seed) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in common.slices(batches):
                 keys = []
                 for text in batch.column(1).to_pylist():
                     w = text.encode("utf-8", "surrogatepass").lower().split()
@@ -150,7 +158,6 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS) -> Lexicon:
-    common.small_batches(docs.sparkSession)
     rows = common.stored(one_of_copies(sample(docs, labels, label_col, id_col, text_col, max_rows)))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -159,7 +166,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in common.slices(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tally[int(label == 1)].update(terms(text))
         names = list(tally[0].keys() | tally[1].keys())
@@ -179,7 +186,7 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tally = Matcher(lexicon), {0: Counter(), 1: Counter()}
-        for batch in batches:
+        for batch in common.slices(batches):
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 folded = fold(text)
                 if best := own.matches(folded):
@@ -200,11 +207,13 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col:
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(lexicon)
-        for batch in batches:
+        for batch in common.slices(batches):
             x = [own.features(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in x]), pa.array([b for _, b in x])], ["label", "a", "b"])
 
-    points = np.array([tuple(r) for r in rows.select("label", "text").mapInArrow(features, "label int, a double, b double").orderBy("a", "b", "label").collect()], dtype=float)
+    # at most about max_rows points, in an order of their own: the same fit whatever order they come in
+    points = np.array(sorted(tuple(r) for r in rows.select("label", "text").mapInArrow(features, "label int, a double, b double").collect()), dtype=float)
+    common.dropped(rows)
     share = usable_labels(labels, label_col, id_col).agg(F.avg((F.col("label") == 1).cast("double"))).first()[0]
     return Lexicon(weights, lexicon.exceptions, logistic(points[:, 1:], points[:, 0], share))
 
@@ -227,12 +236,11 @@ def logistic(x: np.ndarray, y: np.ndarray, share: float, ridge: float = 1e-2, st
 
 def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id and its score, from 0 to 1."""
-    common.small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Matcher(lexicon)
-        for batch in batches:
+        for batch in common.slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.score(t or "") for t in batch.column(1).to_pylist()], pa.float64())], [id_col, "score"])
 
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
