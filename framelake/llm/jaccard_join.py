@@ -12,12 +12,17 @@ Copies: equal sets are one class; only its least id is sketched. No group is exp
 * a word shared by two sets gives that pair; by more sets, each member with two members chosen by hash. Of a set's
   partners the nearest by sketch are verified first, and the links found are contracted to components; then the
   other partners, as far as they are across components;
-* then, for words whose members are in different components still, pairs across components are compared inside the
-  join, hot words dealt into blocks by a salt; only pairs that the sketches can't rule out leave the join, and are
-  verified. Nothing is capped, so no link between components is lost.
+* then, for words whose members are in different components still, the members outside a word's largest component are
+  compared with all others across components inside the join, hot words dealt into blocks by a salt; only pairs that the
+  sketches can't rule out leave the join, and are verified. Nothing is capped, so no link between components is lost.
 
-Rows with null ids have no component and link with nothing, as have null texts and texts without words. Texts of fewer
-words than a shingle has are one shingle. Repeated rows give repeated results. Only the id and text columns are read.
+Hot words: counts and marks of a word are partial aggregates; the join that tells members their word's marks has one row
+a word on one side and may be split by Spark's skew join; later joins are salted by the word's count.
+
+Ids are of any type that orders. Rows with null ids have no component and link with nothing, as have null texts and
+texts without words. Texts of fewer words than a shingle has are one shingle. Repeated rows give repeated results. If
+rows share an id but not the text, each has the component of its own text, and the id stands for all its texts in links.
+An empty table gives an empty result. Only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -137,22 +142,24 @@ def features(docs: DataFrame, id_col: str, text_col: str, size: int, percent: in
                 prints.append((int(np.bitwise_xor.reduce(mixed(h ^ MIX)).view(np.int64)), int(mixed(h + TURN).sum(dtype=np.uint64).view(np.int64))) if len(h) else (0, 0))
                 sketches.append(parity(h, (mixed(h ^ TURN) >> np.uint64(54)).astype(np.int64), LANES).view(np.int64) if len(h) else np.zeros(LANES, np.int64))
                 words.append(words_of(h, percent).view(np.int64) if len(h) else np.empty(0, np.int64))
-            flat = lambda parts: pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), flat(sketches), flat(words)], ["id", "n_shingles", "fp1", "fp2", "sketch", "words"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, "id long, n_shingles long, fp1 long, fp2 long, sketch array<long>, words array<long>")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_shingles long, fp1 long, fp2 long, sketch array<long>, words array<long>")
+
 
+def flat(parts: list[np.ndarray]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
-def sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """Per row: id and the set of shingles."""
+
+def sets(docs: DataFrame, size: int) -> DataFrame:
+    """Per row (id, text): id and the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            parts = [shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()]
-            offsets = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))], ["id", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), flat([shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()])], ["id", "shingles"])
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, "id long, shingles array<long>")
+    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>")
 
 
 def hamming(a: str, b: str) -> Column:
@@ -168,19 +175,41 @@ def within(a: str, b: str, percent: int) -> Column:
 def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """Of pairs (a, b) of ids those that link, by their sets. Only the texts of ids in pairs are shuffled into sets."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id"])
-    known = common.stored(sets(needed, "id", "text", size))
+    needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
+    known = common.stored(sets(needed, size))
     left, right = known.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), known.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     inter = F.size(F.array_intersect("sa", "sb"))
-    links = common.stored(both.where(100 * inter >= percent * (F.size("sa") + F.size("sb") - inter)).select("a", "b"))
+    links = common.stored(both.where((inter > 0) & (100 * inter >= percent * (F.size("sa") + F.size("sb") - inter))).select("a", "b"))
     common.dropped(known)
     return links
 
 
+def open_pairs(many: DataFrame, slim: DataFrame, percent: int, block: int) -> DataFrame:
+    """Pairs (a, b) of members of a word that are in different components and that sketches can't rule out.
+
+    many: rows (id, word, n, c) of the members of words that more than two sets share, n being the word's members and c the
+    member's component. Members outside a word's largest component are spread over blocks of all members, so what is
+    compared is those members by all, and what is shuffled a copy of them for each block.
+    """
+    per = many.groupBy("word", "c").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"))
+    info = per.groupBy("word").agg(F.max_by("c", F.struct("k", "c")).alias("big"), F.max("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    salts = info.select("word", "big", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+    dealt = many.withColumn("block", F.pmod(F.hash("id"), blocks)).join(salts, ["word", "block"])
+    rows = common.stored(dealt.join(slim, "id").select("id", "word", "n", "c", "big", "block", "n_shingles", "sketch"))
+    minor = rows.where("c <> big").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
+    all_rows = rows.alias("y")
+    once = (F.col("y.c") == F.col("y.big")) | (F.col("x.id") < F.col("y.id"))
+    across = minor.join(all_rows, (F.col("x.word") == F.col("y.word")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.c") != F.col("y.c")) & once & within("x", "y", percent))
+    found = common.stored(across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    common.dropped(rows)
+    return found
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: the id, n_shingles, and component_id, the least id that links reach (the id itself without links)."""
-    docs = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col))
+    docs = docs.select(F.col(id_col), F.col(text_col))
     all_rows = common.stored(features(docs, id_col, text_col, size, percent))
     # one shuffle of the sketches makes both the classes of equal sets and their representatives; copies are combined before it
     own = F.struct("sketch", "words")
@@ -191,52 +220,49 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     slim = common.stored(reps.select("id", "n_shingles", "sketch"))
 
     # the words are dealt into parts by their hash, joined one after another, so that shuffle files of one part at a time are kept
-    mark = F.col("id").bitwiseXOR(F.col("word"))  # two members of each word, by an order that differs from word to word
+    mark = F.xxhash64("id", "word")  # two members of each word, by an order that differs from word to word
     shared_parts, many_parts = [], []
     for part in range(PARTS):
         members = reps.select("id", F.explode("words").alias("word")).where(F.pmod("word", F.lit(PARTS)) == part)
-        counted = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min(mark).alias("low"), F.max(mark).alias("high")).where("n > 1")
-        shared_parts.append(common.stored(counted.select("word", "n", *(F.col(c).bitwiseXOR(F.col("word")).alias(c) for c in ("low", "high")))))
+        counted = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", mark).alias("low"), F.max_by("id", mark).alias("high")).where("n > 1")
+        shared_parts.append(common.stored(counted))
         many_parts.append(common.stored(members.join(shared_parts[-1].where("n > 2"), "word")))
     common.dropped(reps)
     shared, many = (functools.reduce(DataFrame.union, parts) for parts in (shared_parts, many_parts))
     # of each set's partners there are at most two for each of its own words
     stars = many.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
-    pairs = shared.where("n = 2").select(F.col("low").alias("id"), F.col("high").alias("other")).union(stars).distinct()
+    pairs = shared.where("n = 2 and low <> high").select(F.col("low").alias("id"), F.col("high").alias("other")).union(stars).distinct()
     one, other = slim.alias("x"), slim.withColumnRenamed("id", "other").alias("y")
     near = common.stored(pairs.join(one, "id").join(other, "other").where(within("x", "y", percent)).select("id", "other", hamming("x", "y").alias("far")))
     nearest = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, NEAREST).alias("p")).select("id", F.explode("p.other").alias("other"))
     both_ways = lambda df: df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-    tested = common.stored(both_ways(nearest))
-    links = verified(tested, docs, id_col, text_col, size, percent)
-    found = components(links)
+    checked = [common.stored(both_ways(nearest))]
+    verdicts = [verified(checked[0], docs, id_col, text_col, size, percent)]
+    found = components(verdicts[0])
 
     def label(df: DataFrame, key: str, name: str) -> DataFrame:
         named = found.select(F.col("node").alias(key), F.col("component").alias(name))
         return df.join(named, key, "left").withColumn(name, F.coalesce(name, key))
 
     def settle(candidates: DataFrame) -> None:
-        """Verify pairs across components, and join the components that they link."""
-        nonlocal tested, links, found
-        rest = common.stored(candidates.join(tested, ["a", "b"], "left_anti"))
+        """Verify pairs across components that weren't before, and join the components that they link."""
+        nonlocal found
+        rest = common.stored(candidates.join(functools.reduce(DataFrame.union, checked), ["a", "b"], "left_anti"))
         more = verified(rest, docs, id_col, text_col, size, percent)
+        checked.append(rest)
+        verdicts.append(more)
         if not more.isEmpty():
-            links, tested = links.union(more), tested.union(rest)
-            found = components(links)
+            old, found = found, components(functools.reduce(DataFrame.union, verdicts))
+            common.dropped(old)
 
     # the other partners, as far as they are across components; then all members of words that hold several components
     settle(both_ways(label(label(near, "id", "ca"), "other", "cb").where("ca <> cb")))
-    labelled = label(many.select("id", "word", "n"), "id", "c")
-    mixed_words = labelled.groupBy("word").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("word")
-    open_rows = common.stored(labelled.join(mixed_words, "word", "left_semi").join(slim, "id"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    left = open_rows.withColumn("block", F.pmod(F.hash("id"), blocks)).alias("x")
-    right = open_rows.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("y")
-    across = left.join(right, (F.col("x.word") == F.col("y.word")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.c") != F.col("y.c")) & within("x", "y", percent))
-    settle(across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-
-    common.dropped(slim, *shared_parts, *many_parts, near, open_rows)
+    across = open_pairs(label(many.select("id", "word", "n"), "id", "c"), slim, percent, BLOCK)
+    settle(across)
+
     placed = classes.join(found, classes["rep"] == found["node"], "left").select("fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     out = ids.join(placed, ["fp1", "fp2", "n_shingles"], "left")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+    final = common.stored(out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
+    common.dropped(slim, *shared_parts, *many_parts, near, across, *checked, *verdicts, found, classes, ids)
+    return final
