@@ -166,8 +166,8 @@ def test_contamination(spark):
     texts = ["x ONE, two-three four five six seven eight nine ten eleven twelve thirteen fourteen y", "a short ITEM... here; b", "nothing at all", None, "", "two three four five six seven eight nine ten eleven twelve thirteen", "shorty item here " * 3, "z " * 100 + "one"]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, marks string")
-    for chars in (10**6, 20):  # one shard, and one for nearly each pattern
-        got = {r.doc_id: r for r in decontam.contaminated(decontam.contamination(docs, bench, shard_chars=chars)).collect()}
+    for size in (10**6, 10):  # one shard, and several in jobs of their own
+        got = {r.doc_id: r for r in decontam.contaminated(decontam.contamination(docs, bench, shard_words=size)).collect()}
         assert [(got[i].n_words, got[i].n_hit, got[i].item_ids, got[i].contaminated) for i in range(8)] == [(16, 14, ["1", "2"], True), (5, 3, ["10"], True), (3, 0, [], False), (0, 0, [], False), (0, 0, [], False), (12, 0, [], False), (9, 0, [], False), (101, 1, ["2"], False)]
         assert [texts[1][a:b] for a, b in got[1].spans] == ["short ITEM... here"]
     assert decontam.contamination(docs, bench.limit(0)).where("n_hit > 0").count() == 0
