@@ -13,8 +13,10 @@ from collections.abc import Iterable, Iterator
 NO_RANK = 1 << 60
 #: Entries of a memo; it is emptied when full, so a worker's memory doesn't grow with its input.
 MEMO_ENTRIES = 400_000
-#: Pieces up to this many bytes are merged directly; longer ones are halved.
-LEAF_BYTES = 48
+#: Leaves of the tree: so many bytes are merged directly; longer pieces are halved.
+LEAF_BYTES = 16
+#: Tokens that are concatenated in a leaf when decoding.
+LEAF_TOKENS = 64
 
 
 class Merges:
@@ -129,10 +131,26 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + i): b for i, b in enumerate(rest)}
 
 
+def refuse(spec: dict, path: str) -> None:
+    """Raise for a vocabulary whose counts these merges wouldn't give."""
+    model, before = spec["model"], spec.get("pre_tokenizer")
+    steps = before["pretokenizers"] if before and before["type"] == "Sequence" else [before or {"type": "none"}]
+    kinds = [(s["type"], bool(s.get("use_regex", True)), bool(s.get("add_prefix_space", False))) for s in steps]
+    plain = kinds == [("ByteLevel", True, False)] or [k[0] for k in kinds] == ["Split", "ByteLevel"] and not kinds[1][1] and not kinds[1][2]
+    odd = [name for name, bad in {
+        "a normalizer": spec.get("normalizer"), "a pre-tokenizer other than the byte-level one": not plain, "a model other than BPE": model.get("type", "BPE") != "BPE",
+        "dropout": model.get("dropout"), "an affix of words": model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"), "ignored merges": model.get("ignore_merges"),
+        "added tokens that strip, stand alone or are normalised": any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")),
+    }.items() if bad]
+    if odd:
+        raise ValueError(f"{path} has {', '.join(odd)}")
+
+
 def load_json(path: str) -> tuple[Merges, list[str]]:
-    """A tokenizers .json file of a byte-level BPE: its merges and its added tokens' strings."""
+    """A tokenizers .json file of a byte-level BPE: its merges and its added tokens' strings. What would count otherwise is refused."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    refuse(spec, path)
     letters = byte_letters()
     as_bytes = lambda s: bytes(letters[c] for c in s)
     added = [x["content"] for x in spec["added_tokens"]]

@@ -2,7 +2,7 @@
 
 Encodings form a monoid under `Merges.join`: a long piece is halved into leaves, leaves are merged by themselves, and
 neighbours are joined by encoding a growing window at their boundary again until what lies outside provably stays.
-Decoding concatenates the tokens' bytes, again as a tree. Pieces of the pattern never merge with each other, so their
+Decoding concatenates the tokens' bytes in leaves and these up the tree. Pieces of the pattern never merge with each other, so their
 join is plain concatenation.
 
 Null texts are empty: no ids, no bytes. Repeated rows give repeated results, an empty table an empty result; only the
@@ -62,7 +62,12 @@ class TreeCodec:
         return b"".join(out)
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        """The bytes of packed ids: tokens are concatenated in leaves, and leaves with their neighbours up the tree."""
+        tokens, leaf = list(map(self.token.__getitem__, np.frombuffer(packed, "<u4").tolist())), bpe_core.LEAF_TOKENS
+        level = [b"".join(tokens[i : i + leaf]) for i in range(0, len(tokens), leaf)]
+        while len(level) > 1:
+            level = [b"".join(level[i : i + 2]) for i in range(0, len(level), 2)]
+        return level[0] if level else b""
 
 
 @functools.lru_cache(maxsize=2)

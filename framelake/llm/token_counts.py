@@ -1,8 +1,8 @@
 """Token counts by prefix dynamic programming.
 
-`PrefixCounter` holds the exact token count at each prefix of a text: at the ends of its pieces as running sums, and
-inside a piece by the dynamic program over its bytes. Truncation and budget questions read those counts; nothing is
-encoded again.
+`PrefixCounter` holds the exact token count at each prefix of a text: at the ends of its pieces as running sums, and at
+every byte inside a piece as the table that the dynamic program made. Truncation and budget questions read those
+counts; nothing is encoded or counted again.
 
 Null texts count as empty (0 bytes, 0 tokens). Repeated rows give repeated results, an empty table an empty result,
 and other columns of the input are left alone: only the id and the text are read.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import functools
 import itertools
+from array import array
 from collections.abc import Collection, Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ class PrefixCounter:
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.around = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.memo: dict[str, int] = {}
+        self.prefixes: dict[str, bytes | array] = {}
 
     def pieces(self, text: str) -> list[str]:
         """The pieces that are merged separately; an added token's string is a piece of its own."""
@@ -43,11 +45,12 @@ class PrefixCounter:
         return out
 
     def learn(self, pieces: Collection[str]) -> None:
-        """Put the counts of new pieces into the memo, which is emptied first when it is full."""
-        memo = self.memo
+        """Put the counts at every prefix of new pieces into the memo, which is emptied first when it is full."""
+        memo, prefixes = self.memo, self.prefixes
         new = {p for p in pieces if p not in memo}
         if new and len(memo) + len(new) > bpe_core.MEMO_ENTRIES:
             memo.clear()
+            prefixes.clear()
             new = set(pieces)
         if self.added:
             for a in self.added:
@@ -57,6 +60,7 @@ class PrefixCounter:
         pairs = sorted((p.encode("utf-8", "surrogatepass"), p) for p in new)
         for (_, piece), counts in zip(pairs, self.merges.prefix_table(data for data, _ in pairs)):
             memo[piece] = counts[-1]
+            prefixes[piece] = bytes(counts) if counts[-1] < 256 else array("I", counts)
 
     def piece_counts(self, pieces: list[str]) -> list[int]:
         counts = list(map(self.memo.get, pieces))
@@ -79,6 +83,21 @@ class PrefixCounter:
         self.learn(set(itertools.chain.from_iterable(found)))
         return [sum(self.piece_counts(pieces)) for pieces in found]
 
+    def prefix_tokens(self, text: str) -> np.ndarray:
+        """The token count of each prefix of the text by code points, from none to all: the pieces before it, and its part of its own piece."""
+        out, before = [0], 0
+        for piece in self.pieces(text):
+            self.piece_counts([piece])
+            if piece in self.added:
+                out += [before + 1] * len(piece)  # a cut inside saves nothing
+            else:
+                at_byte, byte = self.prefixes[piece], 0
+                for ch in piece:
+                    byte += len(ch.encode("utf-8", "surrogatepass"))
+                    out.append(before + at_byte[byte])
+            before = out[-1]
+        return np.array(out)
+
     def truncate(self, text: str, budget: int) -> str:
         """The longest run of whole characters from the start whose own tokens, within each piece, fit the budget."""
         ends, counts = self.boundaries(text)
@@ -89,7 +108,7 @@ class PrefixCounter:
         piece = text[start : int(ends[k])]
         if piece in self.added:
             return text[:start]
-        at_byte = self.merges.prefix_counts(piece.encode("utf-8", "surrogatepass"))
+        at_byte = self.prefixes[piece]
         fit, byte = 0, 0
         for i, ch in enumerate(piece):
             byte += len(ch.encode("utf-8", "surrogatepass"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import re
 from collections import Counter
 
@@ -60,6 +61,27 @@ def test_every_prefix_of_a_piece(text):
         assert counter.merges.prefix_counts(data) == [len(counter.merges.merge(data[:i])) for i in range(len(data) + 1)]
 
 
+@settings(max_examples=80, deadline=None)
+@given(st.text(alphabet="abthe ingé中\n'1<|>", max_size=60))
+def test_every_prefix_of_a_text(text):
+    counter = token_counts.counter(public_tokenizers.path(token_counts.VOCABULARY))
+    text += "<|endoftext|> the"
+    counts = counter.prefix_tokens(text)
+    assert len(counts) == len(text) + 1 and counts[-1] == counter.total(text)
+    for budget in (0, 1, 3, int(counts[-1])):
+        assert counts[len(counter.truncate(text, budget))] <= budget
+        assert len(counter.truncate(text, budget)) == max(i for i, c in enumerate(counts) if c <= budget)
+
+
+def test_vocabularies_that_count_otherwise(tmp_path):
+    with open(public_tokenizers.path(token_counts.VOCABULARY), encoding="utf-8") as f:
+        spec = json.load(f)
+    for part, odd in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"})):
+        (tmp_path / "v.json").write_text(json.dumps(spec | {part: odd}))
+        with pytest.raises(ValueError):
+            bpe_core.load_json(str(tmp_path / "v.json"))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.one_of(st.sampled_from("abthe ing's1. \n"), st.characters(exclude_categories=["Cs"])), max_size=200), st.integers(1, 4))
 def test_tree_encoding(codec, library, text, times):
