@@ -1,31 +1,27 @@
 """Personal data: spans proposed by generators of high recall, chosen by boosted trees, all in SQL expressions.
 
-For each kind a wide pattern proposes candidates. Candidates of the base patterns always stay. Others (an address
-spelled with "at" and "dot", numbers grouped by other separators, numbers without a plus) are scored by boosted trees
-over their format (digits, groups, checksum, lengths) and their context (cue words before them), and stay when the
-calibrated probability reaches the kind's threshold and no base span overlaps them. The trees are compiled into CASE
-expressions, so everything runs inside the JVM as one projection without a shuffle.
-
-There are no labels for personal data: `fit` boosts depth-two trees on a fixed list of made-up candidates (`EXAMPLES`,
-written here with their answers), on the driver; its size doesn't depend on any table.
-
-Offsets are code points, end exclusive. Null texts have no spans; repeated rows give repeated results; an empty table
-gives an empty result; other columns aren't read.
+What the base patterns find always stays. Besides, generators propose candidates that overlap (addresses in brackets,
+spelled or spaced, numbers grouped in other ways, numbers without a plus, long addresses of hosts). Boosted trees score
+each by its format and context; one stays when its calibrated probability reaches its kind's threshold, no base span
+overlaps it, and no candidate that overlaps it is likelier. Trees and thresholds are those of `pii_model`; they are
+compiled into CASE expressions, so everything runs inside the JVM as one projection without a shuffle.
+
+Offsets are code points, end exclusive. Places are running sums over the matches and the gaps between them, and arrays
+grow in chunks, so a text takes time in proportion to its length nearly whatever it holds. Null texts have no spans;
+repeated rows give repeated results; an empty table gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import functools
-import math
-import operator
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import pii_model
 from .common import let
+from .pii_model import AFTER, BEFORE, CLASSES, DIGITS, FLAGS, GENERATORS, KINDS
 
-KINDS = ["email", "ip", "card", "phone"]
 # Possessive forms and look-behinds find what the plain patterns find, but never step back or start within a run, so
 # long runs take linear time.
 BASE = {
@@ -35,48 +31,53 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: What the method proposes besides.
-WIDE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[({] ?(?:at|AT|@) ?[\])}] ?[A-Za-z0-9-]{1,63}+(?: ?[\[({] ?(?:dot|DOT|\.) ?[\])}] ?[A-Za-z0-9-]{1,63}+|\.[A-Za-z0-9-]{1,63}+){1,6}+",
-    "ip": r"(?<![0-9.])[0-9]{1,3}+(?: ?[\[(] ?(?:\.|dot) ?[\])] ?[0-9]{1,3}+){3}(?![0-9.])",
-    "card": r"(?<![0-9A-Za-z._/-])[0-9]{4}(?:[./_][0-9]{4}){3}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z+().-])(?:\([0-9]{3}\)[ ]?|[0-9]{3}[. -])[0-9]{3}[. -][0-9]{4}(?![0-9A-Za-z.-])",
-}
-CUES = {"email": r"(?i)(e-?mail|contact|write|reach|mail)\W*$", "ip": r"(?i)(ip|address|host|server|from)\W*$", "card": r"(?i)(card|visa|payment|account|cc)\W*$", "phone": r"(?i)(phone|call|tel|mobile|fax|cell)\W*$"}
-CONTEXT = 24
-
-#: Made-up candidates to learn from: kind, text before, candidate, whether it is personal data.
-EXAMPLES = [
-    ("email", "write to ", "jane.doe [at] mail.example.com", 1), ("email", "contact: ", "bob(at)example(dot)org", 1),
-    ("email", "mail me, ", "x.y [at] host [dot] net", 1), ("email", "and then ", "info {at} example.org", 1),
-    ("email", "we met ", "look (at) page.two", 0), ("email", "he shot ", "x (at) y.z", 0), ("email", "prices ", "apples [at] 3.50", 0),
-    ("ip", "host ", "10[.]1[.]2[.]3", 1), ("ip", "from ", "192(.)168(.)0(.)1", 1), ("ip", "seen ", "8[dot]8[dot]4[dot]4", 1),
-    ("ip", "version ", "999[.]1[.]2[.]3", 0), ("ip", "chapter ", "300(.)400(.)1(.)2", 0), ("ip", "see ", "7[.]700[.]800[.]9", 0),
-    ("card", "card ", "4111.1111.1111.1111", 1), ("card", "visa: ", "4012/8888/8888/1881", 1), ("card", "paid by ", "5555_5555_5555_4444", 1),
-    ("card", "part no. ", "1234.5678.9012.3456", 0), ("card", "serial ", "0000/1111/2222/3333", 0), ("card", "row ", "9876_5432_1098_7654", 0),
-    ("phone", "call ", "555-867-5309", 1), ("phone", "phone: ", "(212) 555-0187", 1), ("phone", "tel ", "415.555.0134", 1), ("phone", "reach us, ", "(303)555-0172", 1),
-    ("phone", "part ", "123-456-7890", 0), ("phone", "order ", "000-000-0000", 0), ("phone", "isbn ", "111 222 3333", 0), ("phone", "rows ", "100 200 3000", 0),
-]
-FEATURES = ["cue", "checksum", "groups_small", "dotted", "bracketed", "letters", "top_letters"]
-ROUNDS, RATE = 24, 0.4
-
-
-def plain_features(kind: str, before: str, found: str) -> list[float]:
-    """As `features`, for the examples."""
-    digits = re.sub(r"[^0-9]", "", found)
-    numbers = [int(x) for x in re.findall(r"[0-9]+", found)]
-    return [
-        float(bool(re.search(CUES[kind], before[-CONTEXT:]))), float(luhn_plain(digits)), float(all(x <= 255 for x in numbers)), float("." in found),
-        float(found[:1] == "("), float(len(re.sub(r"[^A-Za-z]", "", found))), float(len(re.search(r"[A-Za-z]*$", found)[0])),
-    ]
-
-
-def luhn_plain(digits: str) -> bool:
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + i % 2)
-        total += d - 9 * (d > 9)
-    return bool(digits) and total % 10 == 0
+#: A text without a match of this has no base span of the kind, and is not walked.
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+#: Entries of an array that grows by appending.
+CHUNK = 256
+SPAN = "struct<start:int,end:int,found:string,before:string,after:string>"
+SCORED = "struct<start:int,end:int,p:double,kind:int>"
+
+
+def running(values: Column, first: Column, step: Callable[[Column, Column], Column], item: str) -> Column:
+    """What a fold emits, and its last state: step(state, value) gives a struct of the next state and an entry or null.
+
+    Entries go into chunks, so that appending copies a chunk and not all that came before.
+    """
+    chunks = F.expr(f"cast(array() as array<array<{item}>>)")
+    start = F.struct(first.alias("state"), F.expr(f"cast(array() as array<{item}>)").alias("chunk"), chunks.alias("chunks"))
+
+    def merge(at: Column, value: Column) -> Column:
+        def put(r: Column) -> Column:
+            full, none = F.size(at["chunk"]) >= CHUNK, F.isnull(r["entry"])
+            chunk = F.when(none, at["chunk"]).when(full, F.array(r["entry"])).otherwise(F.array_append(at["chunk"], r["entry"]))
+            return F.struct(r["state"].alias("state"), chunk.alias("chunk"), F.when(~none & full, F.array_append(at["chunks"], at["chunk"])).otherwise(at["chunks"]).alias("chunks"))
+
+        return let(step(at["state"], value), put)
+
+    return F.aggregate(values, start, merge, lambda at: F.struct(at["state"].alias("state"), F.flatten(F.array_append(at["chunks"], at["chunk"])).alias("out")))
+
+
+def running_sums(lengths: Column) -> Column:
+    """The sum of the lengths up to each."""
+    step = lambda total, n: let(total + n, lambda t: F.struct(t.alias("state"), t.alias("entry")))
+    return running(lengths, F.lit(0), step, "int")["out"]
+
+
+def none(item: str) -> Column:
+    return F.expr(f"cast(array() as array<{item}>)")
+
+
+def located(text: Column, pattern: str) -> Column:
+    """The leftmost non-overlapping matches of a pattern: start, end, what was found, and the context up to the next matches."""
+
+    def place(both: Column) -> Column:
+        gaps, found = both["gaps"], both["found"]
+        ends = running_sums(F.transform(found, lambda f, i: F.char_length(F.get(gaps, i)) + F.char_length(f)))
+        return F.transform(F.arrays_zip(found.alias("f"), ends.alias("e")), lambda m, i: F.struct((m["e"] - F.char_length(m["f"])).alias("start"), m["e"].alias("end"), m["f"].alias("found"), F.right(F.get(gaps, i), F.lit(BEFORE)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(AFTER)).alias("after")))
+
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return let(both, lambda b: F.when(F.size(b["found"]) == 0, none(SPAN)).otherwise(place(b)))
 
 
 def luhn(digits: Column) -> Column:
@@ -88,127 +89,102 @@ def luhn(digits: Column) -> Column:
     return F.when(n > 0, total % 10 == 0).otherwise(False)
 
 
-def features(kind: str, before: Column, found: Column) -> dict[str, Column]:
-    digits = F.regexp_replace(found, "[^0-9]", "")
-    numbers = F.regexp_extract_all(found, F.lit("[0-9]+"), F.lit(0))
-    return {
-        "cue": before.rlike(CUES[kind]).cast("double"),
-        "checksum": luhn(digits).cast("double"),
-        "groups_small": F.forall(numbers, at_most_255).cast("double"),
-        "dotted": found.contains(".").cast("double"),
-        "bracketed": found.startswith("(").cast("double"),
-        "letters": F.char_length(F.regexp_replace(found, "[^A-Za-z]", "")).cast("double"),
-        "top_letters": F.char_length(F.regexp_extract(found, "[A-Za-z]*$", 0)).cast("double"),
-    }
-
-
 def at_most_255(digits: Column) -> Column:
     value = F.regexp_replace(digits, "^0+", "")
     return (F.char_length(value) < 3) | ((F.char_length(value) == 3) & (value <= "255"))
 
 
-@functools.cache
-def fit(kind: str) -> tuple[float, tuple[tuple[int, float, int, float, tuple[float, ...]], ...]]:
-    """Boosted trees of depth two for the log odds: a bias, and (feature, cut, feature, cut, four leaves) of each tree."""
-    rows = [(plain_features(k, before, found), y) for k, before, found, y in EXAMPLES if k == kind]
-    x, y = [r for r, _ in rows], [v for _, v in rows]
-    cuts = [(j, (a + b) / 2) for j in range(len(FEATURES)) for vals in [sorted({r[j] for r in x})] for a, b in zip(vals, vals[1:])]
-    bias = math.log(sum(y) / (len(y) - sum(y)))
-    margin, trees = [bias] * len(x), []
-    for _ in range(ROUNDS):
-        p = [1 / (1 + math.exp(-m)) for m in margin]
-        best = None
-        for a in cuts:
-            for b in cuts:
-                sums, weights = [0.0] * 4, [1.0] * 4
-                leaf = [2 * (r[a[0]] > a[1]) + (r[b[0]] > b[1]) for r in x]
-                for k, v, q in zip(leaf, y, p):
-                    sums[k] += v - q
-                    weights[k] += q * (1 - q)
-                gain = sum(s * s / w for s, w in zip(sums, weights))
-                if best is None or gain > best[0] + 1e-12:
-                    best = gain, a, b, tuple(RATE * s / w for s, w in zip(sums, weights)), leaf
-        _, a, b, leaves, leaf = best
-        trees.append((a[0], a[1], b[0], b[1], leaves))
-        margin = [m + leaves[k] for m, k in zip(margin, leaf)]
-    return bias, tuple(trees)
-
-
-#: Least calibrated probability of a redaction, by kind.
-THRESHOLDS = {"email": 0.5, "ip": 0.5, "card": 0.5, "phone": 0.6}
-
-
-def probability(kind: str, values: dict[str, Column]) -> Column:
-    """The trees as one expression."""
-    bias, trees = fit(kind)
-    margin = F.lit(bias)
-    for i, a, j, b, (ll, lr, rl, rr) in trees:
-        first, second = values[FEATURES[i]] > a, values[FEATURES[j]] > b
-        margin = margin + F.when(first, F.when(second, rr).otherwise(rl)).otherwise(F.when(second, lr).otherwise(ll))
-    return 1 / (1 + F.exp(-margin))
+def digits_of(found: Column) -> Column:
+    return F.regexp_replace(found, "[^0-9]", "")
 
 
-def located(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches of a pattern, as structs of start, end and what was found."""
-    def walk(x: Column) -> Column:
-        step = lambda state, p: F.struct((state["at"] + F.char_length(p["gap"]) + F.char_length(p["found"])).alias("at"), F.array_append(state["out"], F.struct((state["at"] + F.char_length(p["gap"])).alias("start"), (state["at"] + F.char_length(p["gap"]) + F.char_length(p["found"])).alias("end"), p["found"].alias("found"))).alias("out"))
-        start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)").alias("out"))
-        return F.aggregate(x, start, step, lambda state: state["out"])
+def holds(kind: str, found: Column) -> Column:
+    """Whether what a base pattern found is one: parts, digits and checksum."""
+    if kind == "email":
+        return F.lit(True)
+    if kind == "ip":
+        return F.forall(F.split(found, r"\."), at_most_255)
+    n = F.char_length(digits_of(found))
+    return n.between(8, 15) if kind == "phone" else F.when(n.between(16, 19), luhn(digits_of(found))).otherwise(False)
 
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return let(found, lambda m: F.when(F.size(m) == 0, NO_SPANS()).otherwise(walk(F.zip_with(F.slice(gaps, 1, F.size(m)), m, lambda g, f: F.struct(g.alias("gap"), f.alias("found"))))))
 
+def features(m: Column) -> Column:
+    """The features of a candidate as an array of doubles, in the order of pii_model.FEATURES."""
+    found = m["found"]
 
-def NO_SPANS() -> Column:
-    return F.expr("cast(array() as array<struct<start:int,end:int,found:string>>)")
+    def measures(x: Column) -> Column:
+        groups, digits = x["groups"], x["digits"]
+        sizes = lambda g: F.char_length(F.coalesce(g, F.lit("")))
+        return F.array(
+            F.char_length(found), F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.char_length)), F.lit(0)), sizes(F.get(groups, F.lit(0))), sizes(F.try_element_at(groups, F.lit(-1))),
+            F.size(F.array_distinct(F.split(digits, "(?!^)"))) - F.when(digits == "", 1).otherwise(0), luhn(digits).cast("int"), F.forall(groups, at_most_255).cast("int"),
+        )
 
+    flags = F.array(*(m[where].rlike(pattern).cast("int") for _, where, pattern in FLAGS))
+    classes = F.array(*(F.char_length(F.regexp_replace(found, f"[^{c}]", "")) for c in CLASSES.values()))
+    more = let(F.struct(F.regexp_extract_all(found, F.lit("[0-9]+"), F.lit(0)).alias("groups"), digits_of(found).alias("digits")), measures)
+    return F.transform(F.concat(flags, classes, more), lambda v: v.cast("double"))
 
-def holds(kind: str, found: Column) -> Column:
-    """Whether what a base pattern found is one: parts, digits and checksum."""
-    digits = F.regexp_replace(found, "[^0-9]", "")
-    n = F.char_length(digits)
-    if kind == "ip":
-        return F.forall(F.split(found, r"\."), at_most_255)
-    if kind == "card":
-        return F.when(n.between(16, 19), luhn(digits)).otherwise(False)
-    if kind == "phone":
-        return n.between(8, 15)
-    return F.lit(True)
 
+def probability(kind: str, values: Column) -> Column:
+    """The calibrated trees as one expression of CASEs."""
+    model = pii_model.fit(kind)
+    trees = model.trees
 
-#: A text without a match of this has no base span of the kind, and is not walked.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
+    def branch(t: int, node: int) -> Column:
+        if node >= len(trees.feature[t]):
+            return F.lit(float(trees.leaf[t][node - len(trees.feature[t])]))
+        if trees.cut[t][node] == float("inf"):  # not split: all go to the left
+            return branch(t, 2 * node + 1)
+        return F.when(F.get(values, F.lit(int(trees.feature[t][node]))) > float(trees.cut[t][node]), branch(t, 2 * node + 2)).otherwise(branch(t, 2 * node + 1))
 
+    margin = F.lit(float(trees.bias))
+    for t in range(len(trees.feature)):
+        margin = margin + branch(t, 0)
+    return 1 / (1 + F.exp(-(model.slope * margin + model.offset)))
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: the id, `base` and `spans`: arrays of (kind, start, end) by kind, then start; base holds the base spans alone."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    first = docs.select(F.col(id_col), text.alias("text"))
 
-    def base_of(kind: str) -> Column:
-        spans = F.filter(located(F.col("text"), BASE[kind]), lambda m: holds(kind, m["found"]))
-        return F.when(F.col("text").rlike(NEEDS[kind]), spans).otherwise(NO_SPANS()).alias(f"base_{kind}")
+def proposed(text: Column, kind: str, pattern: str) -> Column:
+    """The generator's candidates that reach their threshold, with their probability."""
+    low, high = DIGITS.get(kind, (0, 1 << 30))
+    fit = lambda m: F.char_length(digits_of(m["found"])).between(low, high)
+    scored = lambda m: let(features(m), lambda v: F.struct(m["start"].alias("start"), m["end"].alias("end"), probability(kind, v).alias("p"), F.lit(KINDS.index(kind)).alias("kind")))
+    good = lambda m: m["p"] >= pii_model.fit(kind).threshold
+    return F.when(text.rlike(pattern), F.filter(F.transform(F.filter(located(text, pattern), fit), scored), good)).otherwise(none(SCORED))
 
-    base = first.select(id_col, "text", *map(base_of, KINDS))
-    taken = F.flatten(F.array(*(F.col(f"base_{k}") for k in KINDS)))
 
-    def chosen(kind: str) -> Column:
-        free = lambda m: ~F.exists(taken, lambda t: (t["start"] < m["end"]) & (m["start"] < t["end"]))
+def chosen(spans: Column) -> Column:
+    """Of candidates and base spans (p = 2), in the order of their starts, the candidates that stay: one that a base span overlaps goes, and of candidates that overlap the likelier stays."""
+    nothing = F.expr(f"cast(null as {SCORED})")
+    first = F.struct(nothing.alias("held"), F.lit(0).alias("covered"))
 
-        def good(m: Column) -> Column:
-            before = F.substring(F.col("text"), F.greatest(F.lit(1), m["start"] + 1 - CONTEXT), F.least(F.lit(CONTEXT), m["start"]))
-            return let(F.struct(*(c.alias(k) for k, c in features(kind, before, m["found"]).items())), lambda v: probability(kind, {k: v[k] for k in FEATURES}) >= THRESHOLDS[kind])
+    def step(at: Column, x: Column) -> Column:
+        held, clear = at["held"], at["held"]["end"] <= x["start"]
+        state = lambda h, covered: F.struct(h.alias("held"), covered.alias("covered"))
+        out = F.when(F.isnotnull(held) & clear, held)
+        base = F.struct(state(nothing, F.greatest(at["covered"], x["end"])).alias("state"), out.alias("entry"))
+        hidden = F.struct(at.alias("state"), nothing.alias("entry"))
+        taken = F.struct(state(F.when(F.isnull(held) | clear | (x["p"] > held["p"]), x).otherwise(held), at["covered"]).alias("state"), out.alias("entry"))
+        return F.when(x["p"] > 1, base).when(x["start"] < at["covered"], hidden).otherwise(taken)
 
-        return F.when(F.col("text").rlike(WIDE[kind]), F.filter(located(F.col("text"), WIDE[kind]), lambda m: free(m) & good(m))).otherwise(NO_SPANS())
+    return let(running(spans, first, step, SCORED), lambda r: F.when(F.isnull(r["state"]["held"]), r["out"]).otherwise(F.array_append(r["out"], r["state"]["held"])))
 
-    more = base.select(id_col, *(f"base_{k}" for k in KINDS), *(chosen(k).alias(f"more_{k}") for k in KINDS))
-    tagged = lambda kind, spans: F.transform(spans, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    by_start = lambda spans: F.array_sort(spans, lambda a, b: a["start"] - b["start"])
-    return more.select(
-        id_col,
-        F.flatten(F.array(*(tagged(k, F.col(f"base_{k}")) for k in KINDS))).alias("base"),
-        F.flatten(F.array(*(by_start(tagged(k, F.concat(f"base_{k}", f"more_{k}"))) for k in KINDS))).alias("spans"),
-    )
+
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: the id, `base` and `spans`: arrays of (kind, start, end) by kind, then start; base holds the base spans alone."""
+    first = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.col("text")
+
+    def base_of(kind: str) -> Column:
+        spans = F.transform(F.filter(located(text, BASE[kind]), lambda m: holds(kind, m["found"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(2.0).alias("p"), F.lit(KINDS.index(kind)).alias("kind")))
+        return F.when(text.rlike(NEEDS[kind]), spans).otherwise(none(SCORED))
+
+    found = first.select(id_col, F.concat(*map(base_of, KINDS)).alias("base"), F.concat(*(proposed(text, kind, pattern) for kind, pattern in GENERATORS)).alias("more"))
+    extra = F.when(F.size("more") == 0, none(SCORED)).otherwise(chosen(F.array_sort(F.concat("base", "more"))))
+    kept = found.select(id_col, "base", extra.alias("extra"))
+    by_kind = lambda spans: F.array_sort(F.transform(spans, lambda m: F.struct(m["kind"].alias("rank"), m["start"].alias("start"), m["end"].alias("end"))))
+    named = lambda spans: F.transform(spans, lambda m: F.struct(F.get(F.array(*map(F.lit, KINDS)), m["rank"]).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+    return kept.select(id_col, named(by_kind(F.col("base"))).alias("base"), named(by_kind(F.concat("base", "extra"))).alias("spans"))
 
 
 def joined(spans: Column) -> Column:
@@ -221,21 +197,36 @@ def counts(spans: Column) -> list[Column]:
     return [number(k) for k in KINDS]
 
 
+#: Code points of the pieces that a text is cut into for redaction.
+PIECE = 1024
+
+
+def part(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, from its pieces of PIECE code points: only the pieces that it touches are walked."""
+    i, j = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    within = F.substring(piece(i), (start % PIECE) + 1, end - start)
+    across = F.concat(F.substring(piece(i), (start % PIECE) + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.substring(piece(j), F.lit(1), end % PIECE))
+    return F.when(i == j, within).otherwise(across)
+
+
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows with each span replaced by <kind>; spans that overlap go as one, named by the first. Other columns stay.
 
     Works on rows by themselves: the spans are computed beside the text, so no join is needed and repeated ids are fine.
     """
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("text"))
-    found = personal_data(rows.select("row", "text"), "row", "text")
-    text = F.coalesce(F.col(f"row.{text_col}"), F.lit(""))
-    ordered = F.array_sort(F.col("spans"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-
-    def step(state: Column, s: Column) -> Column:
-        skip = s["start"] < state["at"]
-        gap = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(skip, state["out"]).otherwise(F.concat(state["out"], gap, F.lit("<"), s["kind"], F.lit(">"))).alias("out"))
-
-    new = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text))))
-    fixed = F.when(F.size("spans") == 0, F.col(f"row.{text_col}")).otherwise(new)
-    return found.select(*(fixed.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    found = personal_data(rows, "row", "text")
+    text = F.col("row").getField(text_col)
+    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+
+    def new(x: Column) -> Column:
+        def step(at: Column, s: Column) -> Column:
+            entry = F.when(s["start"] >= at, F.concat(part(x["pieces"], at, s["start"]), F.lit("<"), s["kind"], F.lit(">")))
+            return F.struct(F.greatest(at, -s["back"]).alias("state"), entry.alias("entry"))
+
+        return let(running(x["spans"], F.lit(0), step, "string"), lambda r: F.concat(F.array_join(r["out"], ""), part(x["pieces"], r["state"], x["length"])))
+
+    whole = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), ordered.alias("spans"), F.char_length(text).alias("length"))
+    fixed = F.when(F.size("spans") == 0, text).otherwise(let(whole, new))
+    return found.select(*(fixed.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
