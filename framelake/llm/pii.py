@@ -13,13 +13,10 @@ repeated rows give repeated results; an empty table gives an empty result; other
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import pii_model
-from .common import let
 from .pii_model import AFTER, BEFORE, CLASSES, DIGITS, FLAGS, GENERATORS, KINDS
 
 # Possessive forms and look-behinds find what the plain patterns find, but never step back or start within a run, so
@@ -39,152 +36,139 @@ SPAN = "struct<start:int,end:int,found:string,before:string,after:string>"
 SCORED = "struct<start:int,end:int,p:double,kind:int>"
 
 
-def running(values: Column, first: Column, step: Callable[[Column, Column], Column], item: str) -> Column:
-    """What a fold emits, and its last state: step(state, value) gives a struct of the next state and an entry or null.
-
-    Entries go into chunks, so that appending copies a chunk and not all that came before.
-    """
-    chunks = F.expr(f"cast(array() as array<array<{item}>>)")
-    start = F.struct(first.alias("state"), F.expr(f"cast(array() as array<{item}>)").alias("chunk"), chunks.alias("chunks"))
-
-    def merge(at: Column, value: Column) -> Column:
-        def put(r: Column) -> Column:
-            full, none = F.size(at["chunk"]) >= CHUNK, F.isnull(r["entry"])
-            chunk = F.when(none, at["chunk"]).when(full, F.array(r["entry"])).otherwise(F.array_append(at["chunk"], r["entry"]))
-            return F.struct(r["state"].alias("state"), chunk.alias("chunk"), F.when(~none & full, F.array_append(at["chunks"], at["chunk"])).otherwise(at["chunks"]).alias("chunks"))
-
-        return let(step(at["state"], value), put)
+def let(value: str, name: str, body: str) -> str:
+    """The body with the value evaluated once under that name."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-    return F.aggregate(values, start, merge, lambda at: F.struct(at["state"].alias("state"), F.flatten(F.array_append(at["chunks"], at["chunk"])).alias("out")))
 
+def none(item: str) -> str:
+    return f"cast(array() as array<{item}>)"
 
-def running_sums(lengths: Column) -> Column:
-    """The sum of the lengths up to each."""
-    step = lambda total, n: let(total + n, lambda t: F.struct(t.alias("state"), t.alias("entry")))
-    return running(lengths, F.lit(0), step, "int")["out"]
 
+def running(values: str, first: str, step: str, item: str) -> str:
+    """What a fold emits (out), and its last state: step, of the state `a.state` and the value `x`, gives a struct of the next state and an entry or null.
 
-def none(item: str) -> Column:
-    return F.expr(f"cast(array() as array<{item}>)")
+    Entries go into chunks, so that appending copies a chunk and not all that came before.
+    """
+    full = f"size(a.chunk) >= {CHUNK}"
+    chunk = f"CASE WHEN r.entry IS NULL THEN a.chunk WHEN {full} THEN array(r.entry) ELSE array_append(a.chunk, r.entry) END"
+    chunks = f"CASE WHEN r.entry IS NOT NULL AND {full} THEN array_append(a.chunks, a.chunk) ELSE a.chunks END"
+    merged = let(step, "r", f"named_struct('state', r.state, 'chunk', {chunk}, 'chunks', {chunks})")
+    start = f"named_struct('state', {first}, 'chunk', {none(item)}, 'chunks', {none(f'array<{item}>')})"
+    return f"aggregate({values}, {start}, (a, x) -> {merged}, a -> named_struct('state', a.state, 'out', flatten(array_append(a.chunks, a.chunk))))"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """The leftmost non-overlapping matches of a pattern: start, end, what was found, and the context up to the next matches."""
+def located(pattern: str) -> str:
+    """The leftmost non-overlapping matches of a pattern in `text`: start, end, what was found, and the context up to the next matches."""
+    lengths = "transform(b.found, (f, i) -> char_length(get(b.gaps, i)) + char_length(f))"
+    ends = running(lengths, "0", let("a.state + x", "t", "named_struct('state', t, 'entry', t)"), "int") + ".out"
+    places = f"zip_with(b.found, {ends}, (f, e) -> named_struct('start', e - char_length(f), 'end', e, 'found', f))"
+    context = f"named_struct('start', m.start, 'end', m.end, 'found', m.found, 'before', right(get(b.gaps, i), {BEFORE}), 'after', left(get(b.gaps, i + 1), {AFTER}))"
+    both = f"named_struct('gaps', split(text, r'{pattern}', -1), 'found', regexp_extract_all(text, r'{pattern}', 0))"
+    return let(both, "b", f"CASE WHEN size(b.found) = 0 THEN {none(SPAN)} ELSE transform({places}, (m, i) -> {context}) END")
 
-    def place(both: Column) -> Column:
-        gaps, found = both["gaps"], both["found"]
-        ends = running_sums(F.transform(found, lambda f, i: F.char_length(F.get(gaps, i)) + F.char_length(f)))
-        return F.transform(F.arrays_zip(found.alias("f"), ends.alias("e")), lambda m, i: F.struct((m["e"] - F.char_length(m["f"])).alias("start"), m["e"].alias("end"), m["f"].alias("found"), F.right(F.get(gaps, i), F.lit(BEFORE)).alias("before"), F.left(F.get(gaps, i + 1), F.lit(AFTER)).alias("after")))
 
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
-    return let(both, lambda b: F.when(F.size(b["found"]) == 0, none(SPAN)).otherwise(place(b)))
+def digits_of(found: str) -> str:
+    return f"regexp_replace({found}, '[^0-9]', '')"
 
 
-def luhn(digits: Column) -> Column:
+def luhn(digits: str) -> str:
     """Whether the digits pass: every second one from the right is doubled."""
-    n = F.char_length(digits)
-    value = lambda i: F.substring(digits, i, 1).cast("int")
-    doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-    total = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda t, i: t + F.when((n - i) % 2 == 1, doubled(value(i))).otherwise(value(i)))
-    return F.when(n > 0, total % 10 == 0).otherwise(False)
-
+    value = "cast(substring(d, i, 1) as int)"
+    doubled = let(value, "v", "CASE WHEN v > 4 THEN 2 * v - 9 ELSE 2 * v END")
+    total = f"aggregate(sequence(1, char_length(d)), 0, (t, i) -> t + CASE WHEN (char_length(d) - i) % 2 = 1 THEN {doubled} ELSE {value} END)"
+    return let(digits, "d", f"CASE WHEN char_length(d) > 0 THEN {total} % 10 = 0 ELSE false END")
 
-def at_most_255(digits: Column) -> Column:
-    value = F.regexp_replace(digits, "^0+", "")
-    return (F.char_length(value) < 3) | ((F.char_length(value) == 3) & (value <= "255"))
 
+def at_most_255(numbers: str) -> str:
+    """Whether all of an array of digits are numbers up to 255."""
+    return f"forall({numbers}, n -> {let("regexp_replace(n, '^0+', '')", 'z', "char_length(z) < 3 OR char_length(z) = 3 AND z <= '255'")})"
 
-def digits_of(found: Column) -> Column:
-    return F.regexp_replace(found, "[^0-9]", "")
 
-
-def holds(kind: str, found: Column) -> Column:
+def holds(kind: str) -> str:
     """Whether what a base pattern found is one: parts, digits and checksum."""
     if kind == "email":
-        return F.lit(True)
+        return "true"
     if kind == "ip":
-        return F.forall(F.split(found, r"\."), at_most_255)
-    n = F.char_length(digits_of(found))
-    return n.between(8, 15) if kind == "phone" else F.when(n.between(16, 19), luhn(digits_of(found))).otherwise(False)
+        return at_most_255(r"split(m.found, r'\.')")
+    n = f"char_length({digits_of('m.found')})"
+    return f"{n} BETWEEN 8 AND 15" if kind == "phone" else f"CASE WHEN {n} BETWEEN 16 AND 19 THEN {luhn(digits_of('m.found'))} ELSE false END"
 
 
-def features(m: Column) -> Column:
-    """The features of a candidate as an array of doubles, in the order of pii_model.FEATURES."""
-    found = m["found"]
+def base_of(kind: str) -> str:
+    """The base spans, as likelier than any candidate."""
+    found = f"filter({located(BASE[kind])}, m -> {holds(kind)})"
+    spans = f"transform({found}, m -> named_struct('start', m.start, 'end', m.end, 'p', 2.0D, 'kind', {KINDS.index(kind)}))"
+    return f"CASE WHEN text rlike r'{NEEDS[kind]}' THEN {spans} ELSE {none(SCORED)} END"
 
-    def measures(x: Column) -> Column:
-        groups, digits = x["groups"], x["digits"]
-        sizes = lambda g: F.char_length(F.coalesce(g, F.lit("")))
-        return F.array(
-            F.char_length(found), F.size(groups), F.coalesce(F.array_max(F.transform(groups, F.char_length)), F.lit(0)), sizes(F.get(groups, F.lit(0))), sizes(F.try_element_at(groups, F.lit(-1))),
-            F.size(F.array_distinct(F.split(digits, "(?!^)"))) - F.when(digits == "", 1).otherwise(0), luhn(digits).cast("int"), F.forall(groups, at_most_255).cast("int"),
-        )
 
-    flags = F.array(*(m[where].rlike(pattern).cast("int") for _, where, pattern in FLAGS))
-    classes = F.array(*(F.char_length(F.regexp_replace(found, f"[^{c}]", "")) for c in CLASSES.values()))
-    more = let(F.struct(F.regexp_extract_all(found, F.lit("[0-9]+"), F.lit(0)).alias("groups"), digits_of(found).alias("digits")), measures)
-    return F.transform(F.concat(flags, classes, more), lambda v: v.cast("double"))
+def features() -> str:
+    """The features of a candidate m as an array of doubles, in the order of pii_model.FEATURES."""
+    flags = [f"m.{where} rlike r'{pattern}'" for _, where, pattern in FLAGS]
+    classes = [f"char_length(regexp_replace(m.found, '[^{c}]', ''))" for c in CLASSES.values()]
+    size = lambda g: f"char_length(coalesce({g}, ''))"
+    measures = [
+        "char_length(m.found)", "size(g.groups)", "coalesce(array_max(transform(g.groups, z -> char_length(z))), 0)", size("get(g.groups, 0)"), size("try_element_at(g.groups, -1)"),
+        "CASE WHEN g.digits = '' THEN 0 ELSE size(array_distinct(split(g.digits, '(?!^)'))) END", luhn("g.digits"), at_most_255("g.groups"),
+    ]
+    both = f"named_struct('groups', regexp_extract_all(m.found, '[0-9]+', 0), 'digits', {digits_of('m.found')})"
+    return let(both, "g", f"array({', '.join(f'cast({e} as double)' for e in (*flags, *classes, *measures))})")
 
 
-def probability(kind: str, values: Column) -> Column:
-    """The calibrated trees as one expression of CASEs."""
+def proposed(kind: str) -> str:
+    """The candidates of the kind's generators with their features."""
+    low, high = DIGITS.get(kind, (0, 1 << 30))
+    found = ", ".join(f"CASE WHEN text rlike r'{p}' THEN {located(p)} ELSE {none(SPAN)} END" for k, p in GENERATORS if k == kind)
+    fit = f"char_length({digits_of('m.found')}) BETWEEN {low} AND {high}"
+    return f"transform(filter(concat({found}), m -> {fit}), m -> named_struct('start', m.start, 'end', m.end, 'x', {features()}))"
+
+
+def probability(kind: str, values: str) -> str:
+    """The calibrated trees as SQL of CASEs over an array of features."""
     model = pii_model.fit(kind)
     trees = model.trees
 
-    def branch(t: int, node: int) -> Column:
+    def branch(t: int, node: int) -> str:
         if node >= len(trees.feature[t]):
-            return F.lit(float(trees.leaf[t][node - len(trees.feature[t])]))
+            return f"{float(trees.leaf[t][node - len(trees.feature[t])])!r}D"
         if trees.cut[t][node] == float("inf"):  # not split: all go to the left
             return branch(t, 2 * node + 1)
-        return F.when(F.get(values, F.lit(int(trees.feature[t][node]))) > float(trees.cut[t][node]), branch(t, 2 * node + 2)).otherwise(branch(t, 2 * node + 1))
+        return f"CASE WHEN {values}[{trees.feature[t][node]}] > {float(trees.cut[t][node])!r}D THEN {branch(t, 2 * node + 2)} ELSE {branch(t, 2 * node + 1)} END"
 
-    margin = F.lit(float(trees.bias))
-    for t in range(len(trees.feature)):
-        margin = margin + branch(t, 0)
-    return 1 / (1 + F.exp(-(model.slope * margin + model.offset)))
+    margin = " + ".join([f"{float(trees.bias)!r}D", *(branch(t, 0) for t in range(len(trees.feature)))])
+    return f"1 / (1 + exp(-({model.slope!r}D * ({margin}) + {model.offset!r}D)))"
 
 
-def proposed(text: Column, kind: str, pattern: str) -> Column:
-    """The generator's candidates that reach their threshold, with their probability."""
-    low, high = DIGITS.get(kind, (0, 1 << 30))
-    fit = lambda m: F.char_length(digits_of(m["found"])).between(low, high)
-    scored = lambda m: let(features(m), lambda v: F.struct(m["start"].alias("start"), m["end"].alias("end"), probability(kind, v).alias("p"), F.lit(KINDS.index(kind)).alias("kind")))
-    good = lambda m: m["p"] >= pii_model.fit(kind).threshold
-    return F.when(text.rlike(pattern), F.filter(F.transform(F.filter(located(text, pattern), fit), scored), good)).otherwise(none(SCORED))
+def scored(kind: str, candidates: str) -> str:
+    """The candidates that reach their kind's threshold, with their probability."""
+    entry = f"named_struct('start', m.start, 'end', m.end, 'p', {probability(kind, 'm.x')}, 'kind', {KINDS.index(kind)})"
+    return f"filter(transform({candidates}, m -> {entry}), m -> m.p >= {pii_model.fit(kind).threshold!r}D)"
 
 
-def chosen(spans: Column) -> Column:
+def chosen(spans: str) -> str:
     """Of candidates and base spans (p = 2), in the order of their starts, the candidates that stay: one that a base span overlaps goes, and of candidates that overlap the likelier stays."""
-    nothing = F.expr(f"cast(null as {SCORED})")
-    first = F.struct(nothing.alias("held"), F.lit(0).alias("covered"))
-
-    def step(at: Column, x: Column) -> Column:
-        held, clear = at["held"], at["held"]["end"] <= x["start"]
-        state = lambda h, covered: F.struct(h.alias("held"), covered.alias("covered"))
-        out = F.when(F.isnotnull(held) & clear, held)
-        base = F.struct(state(nothing, F.greatest(at["covered"], x["end"])).alias("state"), out.alias("entry"))
-        hidden = F.struct(at.alias("state"), nothing.alias("entry"))
-        taken = F.struct(state(F.when(F.isnull(held) | clear | (x["p"] > held["p"]), x).otherwise(held), at["covered"]).alias("state"), out.alias("entry"))
-        return F.when(x["p"] > 1, base).when(x["start"] < at["covered"], hidden).otherwise(taken)
-
-    return let(running(spans, first, step, SCORED), lambda r: F.when(F.isnull(r["state"]["held"]), r["out"]).otherwise(F.array_append(r["out"], r["state"]["held"])))
+    nothing = f"cast(null as {SCORED})"
+    state = lambda held, covered: f"named_struct('held', {held}, 'covered', {covered})"
+    clear = "a.state.held.end <= x.start"
+    out = f"CASE WHEN a.state.held IS NOT NULL AND {clear} THEN a.state.held END"
+    base = f"named_struct('state', {state(nothing, 'greatest(a.state.covered, x.end)')}, 'entry', {out})"
+    hidden = f"named_struct('state', a.state, 'entry', {nothing})"
+    held = f"CASE WHEN a.state.held IS NULL OR {clear} OR x.p > a.state.held.p THEN x ELSE a.state.held END"
+    taken = f"named_struct('state', {state(held, 'a.state.covered')}, 'entry', {out})"
+    step = f"CASE WHEN x.p > 1 THEN {base} WHEN x.start < a.state.covered THEN {hidden} ELSE {taken} END"
+    return let(running(spans, state(nothing, "0"), step, SCORED), "s", "CASE WHEN s.state.held IS NULL THEN s.out ELSE array_append(s.out, s.state.held) END")
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, `base` and `spans`: arrays of (kind, start, end) by kind, then start; base holds the base spans alone."""
-    first = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    text = F.col("text")
-
-    def base_of(kind: str) -> Column:
-        spans = F.transform(F.filter(located(text, BASE[kind]), lambda m: holds(kind, m["found"])), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(2.0).alias("p"), F.lit(KINDS.index(kind)).alias("kind")))
-        return F.when(text.rlike(NEEDS[kind]), spans).otherwise(none(SCORED))
-
-    found = first.select(id_col, F.concat(*map(base_of, KINDS)).alias("base"), F.concat(*(proposed(text, kind, pattern) for kind, pattern in GENERATORS)).alias("more"))
-    extra = F.when(F.size("more") == 0, none(SCORED)).otherwise(chosen(F.array_sort(F.concat("base", "more"))))
-    kept = found.select(id_col, "base", extra.alias("extra"))
-    by_kind = lambda spans: F.array_sort(F.transform(spans, lambda m: F.struct(m["kind"].alias("rank"), m["start"].alias("start"), m["end"].alias("end"))))
-    named = lambda spans: F.transform(spans, lambda m: F.struct(F.get(F.array(*map(F.lit, KINDS)), m["rank"]).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    return kept.select(id_col, named(by_kind(F.col("base"))).alias("base"), named(by_kind(F.concat("base", "extra"))).alias("spans"))
+    first = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    proposals = first.selectExpr("id", f"concat({', '.join(map(base_of, KINDS))}) AS base", *(f"{proposed(k)} AS more_{k}" for k in KINDS))
+    found = proposals.selectExpr("id", "base", f"concat({', '.join(scored(k, f'more_{k}') for k in KINDS)}) AS more")
+    kept = found.selectExpr("id", "base", f"CASE WHEN size(more) = 0 THEN {none(SCORED)} ELSE {chosen('array_sort(concat(base, more))')} END AS extra")
+    names = f"array({', '.join(repr(k) for k in KINDS)})"
+    sorted_spans = lambda spans: f"array_sort(transform({spans}, m -> named_struct('rank', m.kind, 'start', m.start, 'end', m.end)))"
+    named = lambda spans: f"transform({sorted_spans(spans)}, m -> named_struct('kind', get({names}, m.rank), 'start', m.start, 'end', m.end))"
+    return kept.selectExpr("id", f"{named('base')} AS base", f"{named('concat(base, extra)')} AS spans").withColumnRenamed("id", id_col)
 
 
 def joined(spans: Column) -> Column:
@@ -201,13 +185,13 @@ def counts(spans: Column) -> list[Column]:
 PIECE = 1024
 
 
-def part(pieces: Column, start: Column, end: Column) -> Column:
-    """The text from start to end, from its pieces of PIECE code points: only the pieces that it touches are walked."""
-    i, j = F.floor(start / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
-    piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
-    within = F.substring(piece(i), (start % PIECE) + 1, end - start)
-    across = F.concat(F.substring(piece(i), (start % PIECE) + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(F.lit(0), j - i - 1)), ""), F.substring(piece(j), F.lit(1), end % PIECE))
-    return F.when(i == j, within).otherwise(across)
+def part(start: str, end: str) -> str:
+    """The text from start to end, from the pieces `p.pieces`: only the pieces that it touches are walked."""
+    at, piece = lambda place: f"cast(floor(({place}) / {PIECE}) as int)", lambda k: f"coalesce(get(p.pieces, {k}), '')"
+    within = f"substring({piece(at(start))}, ({start}) % {PIECE} + 1, ({end}) - ({start}))"
+    middle = f"array_join(slice(p.pieces, {at(start)} + 2, greatest(0, {at(end)} - {at(start)} - 1)), '')"
+    across = f"concat(substring({piece(at(start))}, ({start}) % {PIECE} + 1, {PIECE}), {middle}, substring({piece(at(end))}, 1, ({end}) % {PIECE}))"
+    return f"CASE WHEN {at(start)} = {at(end)} THEN {within} ELSE {across} END"
 
 
 def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -216,17 +200,11 @@ def redacted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Works on rows by themselves: the spans are computed beside the text, so no join is needed and repeated ids are fine.
     """
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
-    found = personal_data(rows, "row", "text")
-    text = F.col("row").getField(text_col)
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-
-    def new(x: Column) -> Column:
-        def step(at: Column, s: Column) -> Column:
-            entry = F.when(s["start"] >= at, F.concat(part(x["pieces"], at, s["start"]), F.lit("<"), s["kind"], F.lit(">")))
-            return F.struct(F.greatest(at, -s["back"]).alias("state"), entry.alias("entry"))
-
-        return let(running(x["spans"], F.lit(0), step, "string"), lambda r: F.concat(F.array_join(r["out"], ""), part(x["pieces"], r["state"], x["length"])))
-
-    whole = F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), ordered.alias("spans"), F.char_length(text).alias("length"))
-    fixed = F.when(F.size("spans") == 0, text).otherwise(let(whole, new))
+    found = personal_data(rows, "row", "text").withColumn("text", F.col("row").getField(text_col))
+    ordered = "array_sort(transform(spans, s -> named_struct('start', s.start, 'back', -s.end, 'kind', s.kind)))"
+    entry = f"CASE WHEN x.start >= a.state THEN concat({part('a.state', 'x.start')}, '<', x.kind, '>') END"
+    walk = running("p.spans", "0", f"named_struct('state', greatest(a.state, -x.back), 'entry', {entry})", "string")
+    new = let(walk, "w", f"concat(array_join(w.out, ''), {part('w.state', 'p.length')})")
+    whole = f"named_struct('pieces', regexp_extract_all(text, '(?s).{{1,{PIECE}}}', 0), 'spans', {ordered}, 'length', char_length(text))"
+    fixed = F.expr(f"CASE WHEN size(spans) = 0 THEN text ELSE {let(whole, 'p', new)} END")
     return found.select(*(fixed.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns))
