@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions import pixel
 
 FRAME = ["frame"]
+#: What names a video; `frame` numbers its frames.
+VIDEO = ["video"]
 #: Scores from which motion is slight, much and full.
 MOTION_STEPS = (2.0, 10.0, 30.0)
 
@@ -78,10 +80,10 @@ def grid_summary(grid: DataFrame, value: str, keys: list[str] = FRAME) -> DataFr
     return grid.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
 
 
-def with_previous(px: DataFrame, cols: list[str], step: int = 1) -> DataFrame:
-    """Pixels beside those of the frame before (p_...), by an equi-join on the place; the first frame has none and goes."""
-    before = px.select((F.col("frame") + step).alias("frame"), "x", "y", *(F.col(c).alias(f"p_{c}") for c in cols))
-    return px.join(before, ["frame", "x", "y"])
+def with_previous(px: DataFrame, cols: list[str], step: int = 1, video: list[str] = VIDEO) -> DataFrame:
+    """Pixels beside those of the frame before in the same video (p_...), by an equi-join on the place; a video's first frame has none and goes."""
+    before = px.select(*video, (F.col("frame") + step).alias("frame"), "x", "y", *(F.col(c).alias(f"p_{c}") for c in cols))
+    return px.join(before, [*video, "frame", "x", "y"])
 
 
 def motion_class(score: Column) -> Column:
@@ -89,16 +91,17 @@ def motion_class(score: Column) -> Column:
     return F.when(score >= full, "full").when(score >= much, "much").when(score >= slight, "slight").otherwise("static")
 
 
-def motion(px: DataFrame, cell: int = 8, metric: str = "luma", method: str = "pixel") -> DataFrame:
+def motion(px: DataFrame, cell: int = 8, metric: str = "luma", method: str = "pixel", video: list[str] = VIDEO) -> DataFrame:
     """Score and class of each tile against the frame before: mean absolute difference, or difference of mean and deviation."""
+    keys = [*video, "frame"]
     if method == "pixel":
-        value = px.withColumn("v", pixel.metric(metric)).select("frame", "x", "y", "v")
-        scores = with_previous(value, ["v"]).groupBy("frame", *tile(cell)).agg(F.avg(F.abs(F.col("v") - F.col("p_v"))).alias("score"))
+        value = px.withColumn("v", pixel.metric(metric)).select(*keys, "x", "y", "v")
+        scores = with_previous(value, ["v"], video=video).groupBy(*keys, *tile(cell)).agg(F.avg(F.abs(F.col("v") - F.col("p_v"))).alias("score"))
     else:
-        stats = block_stats(px, cell, metric)
-        before = stats.select((F.col("frame") + 1).alias("frame"), "bx", "by", F.col("mean").alias("p_mean"), F.col("var").alias("p_var"))
+        stats = block_stats(px, cell, metric, keys)
+        before = stats.select(*video, (F.col("frame") + 1).alias("frame"), "bx", "by", F.col("mean").alias("p_mean"), F.col("var").alias("p_var"))
         change = F.abs(F.col("mean") - F.col("p_mean")) + F.abs(F.sqrt("var") - F.sqrt("p_var"))
-        scores = stats.join(before, ["frame", "bx", "by"]).select("frame", "bx", "by", change.alias("score"))
+        scores = stats.join(before, [*keys, "bx", "by"]).select(*keys, "bx", "by", change.alias("score"))
     return scores.withColumn("class", motion_class(F.col("score")))
 
 
@@ -126,34 +129,36 @@ def orientation(px: DataFrame, width: int, height: int, cell: int = 8, metric: s
     return best.select(*keys, "bx", "by", (F.col("top.wa") / F.col("top.w")).alias("angle"), (F.col("top.w") / F.col("total")).alias("purity"))
 
 
-def histogram_correlation(px: DataFrame, keys: list[str] = FRAME) -> DataFrame:
-    """Pearson correlation of each frame's luma histogram with that of the frame before; a constant one gives 1."""
+def histogram_correlation(px: DataFrame, video: list[str] = VIDEO) -> DataFrame:
+    """Pearson correlation of each frame's luma histogram with that of the frame before in its video; a constant one gives 1."""
+    keys = [*video, "frame"]
     h = histogram(px, "luma", keys)
-    before = h.select((F.col("frame") + 1).alias("frame"), "value", F.col("n").alias("p"))
-    s = h.join(before, ["frame", "value"]).groupBy("frame").agg(*(F.sum(e).cast("double").alias(k) for k, e in {"a": F.col("n"), "b": F.col("p"), "aa": F.col("n") * F.col("n"), "bb": F.col("p") * F.col("p"), "ab": F.col("n") * F.col("p")}.items()))
+    before = h.select(*video, (F.col("frame") + 1).alias("frame"), "value", F.col("n").alias("p"))
+    s = h.join(before, [*keys, "value"]).groupBy(*keys).agg(*(F.sum(e).cast("double").alias(k) for k, e in {"a": F.col("n"), "b": F.col("p"), "aa": F.col("n") * F.col("n"), "bb": F.col("p") * F.col("p"), "ab": F.col("n") * F.col("p")}.items()))
     va, vb = F.col("aa") - F.col("a") * F.col("a") / 256, F.col("bb") - F.col("b") * F.col("b") / 256
-    return s.select("frame", F.when((va <= 0) | (vb <= 0), 1.0).otherwise((F.col("ab") - F.col("a") * F.col("b") / 256) / F.sqrt(va * vb)).alias("corr"))
+    return s.select(*keys, F.when((va <= 0) | (vb <= 0), 1.0).otherwise((F.col("ab") - F.col("a") * F.col("b") / 256) / F.sqrt(va * vb)).alias("corr"))
 
 
 #: Differences above these are cuts.
 CUTS = {"mad": 45.0, "histogram": 0.3, "ssim": 40.0}
 
 
-def scene_differences(px: DataFrame, algorithm: str = "mad") -> DataFrame:
-    """How far each frame is from the one before: mean absolute difference of samples, 1 - histogram correlation, or block SSIM."""
+def scene_differences(px: DataFrame, algorithm: str = "mad", video: list[str] = VIDEO) -> DataFrame:
+    """How far each frame is from the one before in its video: mean absolute difference of samples, 1 - histogram correlation, or block SSIM."""
+    keys = [*video, "frame"]
     if algorithm == "mad":
         three = F.abs(F.col("r") - F.col("p_r")) + F.abs(F.col("g") - F.col("p_g")) + F.abs(F.col("b") - F.col("p_b"))
-        return with_previous(px.select("frame", "x", "y", "r", "g", "b"), ["r", "g", "b"]).groupBy("frame").agg((F.sum(three) / (3.0 * F.count(F.lit(1)))).alias("diff"))
+        return with_previous(px.select(*keys, "x", "y", "r", "g", "b"), ["r", "g", "b"], video=video).groupBy(*keys).agg((F.sum(three) / (3.0 * F.count(F.lit(1)))).alias("diff"))
     if algorithm == "histogram":
-        return histogram_correlation(px).select("frame", (1 - F.col("corr")).alias("diff"))
+        return histogram_correlation(px, video).select(*keys, (1 - F.col("corr")).alias("diff"))
     from .quality import block_ssim
 
-    pairs = with_previous(px.withColumn("v", pixel.metric("luma")).select("frame", "x", "y", "v"), ["v"])
-    return block_ssim(pairs, "v", "p_v", 8, ["frame"], whole=True).groupBy("frame").agg(((1 - F.avg("ssim")) * 100).alias("diff"))
+    pairs = with_previous(px.withColumn("v", pixel.metric("luma")).select(*keys, "x", "y", "v"), ["v"], video=video)
+    return block_ssim(pairs, "v", "p_v", 8, keys, whole=True).groupBy(*keys).agg(((1 - F.avg("ssim")) * 100).alias("diff"))
 
 
-def scene_cuts(px: DataFrame, algorithm: str = "mad", threshold: float | None = None) -> DataFrame:
-    return scene_differences(px, algorithm).where(F.col("diff") > (CUTS[algorithm] if threshold is None else threshold))
+def scene_cuts(px: DataFrame, algorithm: str = "mad", threshold: float | None = None, video: list[str] = VIDEO) -> DataFrame:
+    return scene_differences(px, algorithm, video).where(F.col("diff") > (CUTS[algorithm] if threshold is None else threshold))
 
 
 def field(px: DataFrame, odd: int) -> DataFrame:

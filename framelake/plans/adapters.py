@@ -13,17 +13,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pixel_frames(spark: SparkSession, sf_dir: str) -> int:
-    """The number of whole pixel frames."""
-    return table(spark, sf_dir, "embeddings").count() // SIDE
+    """The number of pixel frames, the last one padded."""
+    return -(-table(spark, sf_dir, "embeddings").count() // SIDE)
 
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """64 x 64 frames: each vector is a row of samples, 64 vectors a frame; an incomplete last frame is left out."""
+    """64 x 64 frames: each vector is a row of samples, 64 vectors a frame, black rows at the end of the last; three frames a video."""
     vectors = table(spark, sf_dir, "embeddings")
-    whole = pixel_frames(spark, sf_dir)
-    rows = vectors.where(F.col("vec_id") < whole * SIDE).select("vec_id", F.posexplode("embedding").alias("x", "v"))
+    count = vectors.count()
+    padding = spark.range(count, -(-count // SIDE) * SIDE).select(F.col("id").alias("vec_id"), F.array_repeat(F.lit(-1.0).cast("float"), SIDE).alias("embedding"))
+    rows = vectors.select("vec_id", "embedding").union(padding).select("vec_id", F.posexplode("embedding").alias("x", "v"))
     r = F.greatest(F.lit(0), F.least(F.lit(255), F.floor(F.col("v").cast("double") * 128 + 128))).cast("int")
-    px = rows.select(F.floor(F.col("vec_id") / SIDE).cast("int").alias("frame"), "x", (F.col("vec_id") % SIDE).cast("int").alias("y"), r.alias("r"))
+    frame = F.floor(F.col("vec_id") / SIDE).cast("int")
+    px = rows.select(F.floor(frame / 3).cast("int").alias("video"), frame.alias("frame"), "x", (F.col("vec_id") % SIDE).cast("int").alias("y"), r.alias("r"))
     return px.withColumn("g", (F.col("r") * 7 + F.col("x") * 3) % 256).withColumn("b", (F.col("r") * 3 + F.col("y") * 5) % 256)
 
 

@@ -17,12 +17,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 # Common table expressions of the oracles: the adapters in SQL.
-PX = """e AS (SELECT vec_id, unnest(generate_series(0, len(embedding)-1)) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings),
-p0 AS (SELECT vec_id // 64 AS frame, x, vec_id % 64 AS y, greatest(0, least(255, floor(v*128+128)))::BIGINT AS r FROM e WHERE vec_id < (SELECT count(*) // 64 * 64 FROM embeddings)),
-px AS (SELECT frame, x, y, r, (r*7 + x*3) % 256 AS g, (r*3 + y*5) % 256 AS b FROM p0),
+PX = """e AS (SELECT vec_id, unnest(generate_series(0, len(embedding)-1)) AS x, unnest(embedding)::DOUBLE AS v FROM embeddings UNION ALL
+ SELECT n + i, x, -1 FROM (SELECT count(*) AS n FROM embeddings) c, (SELECT unnest(generate_series(0, 63)) AS i) a, (SELECT unnest(generate_series(0, 63)) AS x) b WHERE n + i < (n + 63) // 64 * 64),
+p0 AS (SELECT vec_id // 64 AS frame, x, vec_id % 64 AS y, greatest(0, least(255, floor(v*128+128)))::BIGINT AS r FROM e),
+px AS (SELECT frame // 3 AS video, frame, x, y, r, (r*7 + x*3) % 256 AS g, (r*3 + y*5) % 256 AS b FROM p0),
 lu AS (SELECT *, 0.2126::DOUBLE*r + 0.7152::DOUBLE*g + 0.0722::DOUBLE*b AS v FROM px),
 ms AS (SELECT *, (6*v + (b-v)/1.8556::DOUBLE + (r-v)/1.5748::DOUBLE)/8 AS m FROM lu),
-pp AS (SELECT c.frame, c.x, c.y, c.r, c.g, c.b, c.v, q.r AS pr, q.g AS pg, q.b AS pb, q.v AS pv FROM lu c JOIN lu q ON q.frame = c.frame - 1 AND q.x = c.x AND q.y = c.y)"""
+pp AS (SELECT c.video, c.frame, c.x, c.y, c.r, c.g, c.b, c.v, q.r AS pr, q.g AS pg, q.b AS pb, q.v AS pv FROM lu c JOIN lu q ON q.video = c.video AND q.frame = c.frame - 1 AND q.x = c.x AND q.y = c.y)"""
 FRAMES = """frames AS (SELECT o_orderkey // 4096 AS video, o_orderkey AS decode_idx, o_custkey % 8 AS poc, CASE WHEN o_orderkey % 16 = 0 THEN 'IDR' WHEN o_orderpriority LIKE '1%' THEN 'P' ELSE 'B' END AS frame_type,
  o_orderstatus <> 'P' AS output, CASE WHEN o_orderstatus <> 'F' THEN floor(o_totalprice)::BIGINT END AS slice_bits, CASE WHEN o_orderstatus = 'O' THEN floor(o_totalprice)::BIGINT END AS data_bits FROM orders),
 seg AS (SELECT *, sum(CASE WHEN frame_type = 'IDR' THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY decode_idx)::BIGINT AS cvs_seg FROM frames),
@@ -34,20 +35,19 @@ TX = "tx AS (SELECT l_orderkey // 4096 AS video, l_orderkey AS decode_idx, l_lin
 REFS = "refs AS (SELECT l_orderkey // 4096 AS video, l_orderkey AS decode_idx, l_partkey % 8 AS ref_poc, CASE WHEN l_linestatus = 'O' THEN 'L0' ELSE 'L1' END AS list FROM lineitem WHERE l_returnflag <> 'A')"
 UNITS = "units AS (SELECT video, decode_idx, block, mvx, CASE WHEN mvy % 2 = 0 THEN mvy END AS mvy, list FROM blocks WHERE block % 3 = 0)"
 SYNTAX = "syn AS (SELECT strftime(ts, '%Y-%m-%d') AS frame, event_type AS name, user_id % 16 AS ctx, event_id % 2 AS bin, coalesce(floor(value)::BIGINT, 0) AS bits, user_id, event_id FROM events)"
-#: Rasterised blocks in cells of 8. The SQL stops at frame 2047; the queries don't, so they have more rows on larger tables.
-RAST = """bl AS (SELECT decode_idx AS frame, * FROM blocks WHERE decode_idx < 2048), idx AS (SELECT unnest(generate_series(0, 7)) AS i),
-ov AS (SELECT frame, c.i AS c, r.i AS r, qp, bits, mode, mvx, mvy, w, h, (least(x+w, 64, c.i*8+8) - greatest(x, c.i*8)) * (least(y+h, 64, r.i*8+8) - greatest(y, r.i*8)) AS a FROM bl, idx c, idx r
- WHERE c.i*8 < least(x+w, 64) AND c.i*8+8 > x AND r.i*8 < least(y+h, 64) AND r.i*8+8 > y),
+#: Rasterised blocks in cells of 8.
+RAST = """bl AS (SELECT decode_idx AS frame, * FROM blocks), cs AS (SELECT *, unnest(generate_series(x//8, (least(x+w, 64)-1)//8)) AS c FROM bl), rs AS (SELECT *, unnest(generate_series(y//8, (least(y+h, 64)-1)//8)) AS r FROM cs),
+ov AS (SELECT frame, c, r, qp, bits, mode, mvx, mvy, w, h, (least(x+w, 64, c*8+8) - greatest(x, c*8)) * (least(y+h, 64, r*8+8) - greatest(y, r*8)) AS a FROM rs),
 rm AS (SELECT frame, c, r, CASE mode WHEN 'inter' THEN 0 WHEN 'intra' THEN 1 WHEN 'skip' THEN 2 WHEN 'merge' THEN 3 ELSE 4 END AS rank, sum(a) AS a FROM ov GROUP BY ALL),
-rast AS (SELECT o.frame, o.c, o.r, sum(qp*a)::DOUBLE/sum(a) AS qp, sum(greatest(bits,0)::DOUBLE/(w*h)*a)/sum(a) AS bpp, sum((abs(mvx)+abs(mvy))/4.0::DOUBLE*a)/sum(a) AS mv, sum(a)::DOUBLE/64 AS coverage,
- (SELECT rank FROM rm WHERE rm.frame=o.frame AND rm.c=o.c AND rm.r=o.r ORDER BY rm.a DESC, rank DESC LIMIT 1)::BIGINT AS mode FROM ov o GROUP BY o.frame, o.c, o.r)"""
+top AS (SELECT frame, c, r, rank AS mode FROM (SELECT *, row_number() OVER (PARTITION BY frame, c, r ORDER BY a DESC, rank DESC) AS k FROM rm) WHERE k = 1),
+rast AS (SELECT s.*, top.mode::BIGINT AS mode FROM (SELECT frame, c, r, sum(qp*a)::DOUBLE/sum(a) AS qp, sum(greatest(bits,0)::DOUBLE/(w*h)*a)/sum(a) AS bpp, sum((abs(mvx)+abs(mvy))/4.0::DOUBLE*a)/sum(a) AS mv, sum(a)::DOUBLE/64 AS coverage FROM ov GROUP BY ALL) s JOIN top USING (frame, c, r))"""
 #: Aligned cells of 16: a is the luma variance of the pixel frame, b the bits a pixel of the telemetry frame of that number.
 CELLS = """bs AS (SELECT frame, x//8 AS c, y//8 AS r, avg(v) AS mean, greatest(0, avg(v*v)-avg(v)*avg(v)) AS var FROM lu GROUP BY ALL),
 ga AS (SELECT frame, c//2 AS gc, r//2 AS gr, avg(var) + greatest(0, avg(mean*mean)-avg(mean)*avg(mean)) AS a FROM bs GROUP BY ALL),
 gb AS (SELECT frame, c//2 AS gc, r//2 AS gr, sum(qp*coverage)/sum(coverage) AS qp, sum(bpp*coverage)/sum(coverage) AS bpp, sum(mv*coverage)/sum(coverage) AS mv, sum(CASE WHEN mode=1 THEN coverage ELSE 0 END)/sum(coverage) AS intra, sum(coverage)*64 >= 0.3*256 AS valid FROM rastf GROUP BY ALL),
 cells AS (SELECT ga.frame, gc, gr, a, bpp AS b, qp, bpp, mv, intra, valid FROM ga JOIN gb USING (frame, gc, gr))"""
-#: Folded on to seven frames; the queries fold on to as many as there are pixel frames, which is more on larger tables.
-RASTF = "rastf AS (SELECT frame % 7 AS frame, c, r, avg(qp) AS qp, avg(bpp) AS bpp, avg(mv) AS mv, avg(coverage) AS coverage, max(mode) AS mode FROM rast GROUP BY ALL)"
+#: Telemetry frames folded on to the pixel frames.
+RASTF = "rastf AS (SELECT frame % (SELECT greatest(1, (count(*) + 63) // 64) FROM embeddings) AS frame, c, r, avg(qp) AS qp, avg(bpp) AS bpp, avg(mv) AS mv, avg(coverage) AS coverage, max(mode) AS mode FROM rast GROUP BY ALL)"
 
 
 def query(oracle: str | None, *ctes: str) -> Callable[[Query], Query]:
@@ -92,7 +92,7 @@ def display_map(spark: SparkSession, d: str) -> DataFrame:
     return tm.display_order(ad.frames(spark, d)).select("video", "decode_idx", "cvs_seg", "display_idx")
 
 
-@query("SELECT f.decode_idx, count(*) AS n, sum(b.bits)::BIGINT AS bits FROM (SELECT decode_idx, poc AS lo, poc + decode_idx % 5 AS hi FROM frames) f JOIN (SELECT o_orderkey % 16 AS i, floor(o_totalprice)::BIGINT AS bits FROM orders WHERE o_orderkey < 400) b ON b.i >= lo AND b.i < hi GROUP BY ALL", FRAMES)
+@query("SELECT f.decode_idx, sum(b.n)::BIGINT AS n, sum(b.bits)::BIGINT AS bits FROM (SELECT decode_idx, poc AS lo, poc + decode_idx % 5 AS hi FROM frames) f JOIN (SELECT o_orderkey % 16 AS i, count(*) AS n, sum(floor(o_totalprice)::BIGINT) AS bits FROM orders GROUP BY ALL) b ON b.i >= lo AND b.i < hi GROUP BY ALL", FRAMES)
 def frame_block_join(spark: SparkSession, d: str) -> DataFrame:
     f = ad.frames(spark, d).select(F.lit(0).alias("video"), "decode_idx", F.col("poc").alias("block_off"), (F.col("decode_idx") % 5).alias("block_n"))
     records = ad.table(spark, d, "orders").select(F.lit(0).alias("video"), (F.col("o_orderkey") % 16).alias("i"), F.floor("o_totalprice").alias("bits"))
@@ -216,7 +216,7 @@ def waveform(spark: SparkSession, d: str) -> DataFrame:
     return fr.waveform(ad.pixels(spark, d), S, columns=20).select(*longs("frame", "col", "value", "n"), *r6("intensity"))
 
 
-@query("SELECT frame, x, y, round(-0.1146::DOUBLE*r - 0.3854::DOUBLE*g + 0.5::DOUBLE*b, 6) AS cb, round(0.5::DOUBLE*r - 0.4542::DOUBLE*g - 0.0458::DOUBLE*b, 6) AS cr FROM px WHERE (y*64+x) % 4 = 0", PX)
+@query("SELECT frame, x, y, round(-0.1146::DOUBLE*r - 0.3854::DOUBLE*g + 0.5::DOUBLE*b, 6) AS cb, round(0.5::DOUBLE*r - 0.4542::DOUBLE*g - 0.0458::DOUBLE*b, 6) AS cr FROM px", PX)
 def vectorscope(spark: SparkSession, d: str) -> DataFrame:
     return fr.vectorscope(ad.pixels(spark, d), S, S).select(*longs("frame", "x", "y"), *r6("cb", "cr"))
 
@@ -249,7 +249,7 @@ def motion_pixel(spark: SparkSession, d: str) -> DataFrame:
     return fr.motion(ad.pixels(spark, d)).select(*longs("frame", "bx", "by"), *r6("score"), "class")
 
 
-@query(f"SELECT frame, bx, \"by\", score, {MOTION_CLASS} AS class FROM (SELECT c.frame, c.bx, c.\"by\", round(abs(c.m-p.m)+abs(sqrt(c.q)-sqrt(p.q)), 6) AS score FROM s c JOIN s p ON p.frame = c.frame-1 AND p.bx = c.bx AND p.\"by\" = c.\"by\")", PX, "s AS (SELECT frame, x//8 AS bx, y//8 AS \"by\", avg(v) AS m, greatest(0, avg(v*v)-avg(v)*avg(v)) AS q FROM lu GROUP BY ALL)")
+@query(f"SELECT frame, bx, \"by\", score, {MOTION_CLASS} AS class FROM (SELECT c.frame, c.bx, c.\"by\", round(abs(c.m-p.m)+abs(sqrt(c.q)-sqrt(p.q)), 6) AS score FROM s c JOIN s p ON p.frame = c.frame-1 AND p.frame // 3 = c.frame // 3 AND p.bx = c.bx AND p.\"by\" = c.\"by\")", PX, "s AS (SELECT frame, x//8 AS bx, y//8 AS \"by\", avg(v) AS m, greatest(0, avg(v*v)-avg(v)*avg(v)) AS q FROM lu GROUP BY ALL)")
 def motion_stats(spark: SparkSession, d: str) -> DataFrame:
     return fr.motion(ad.pixels(spark, d), method="stats").select(*longs("frame", "bx", "by"), *r6("score"), "class")
 
@@ -269,7 +269,7 @@ def frame_difference(spark: SparkSession, d: str) -> DataFrame:
     return quality.frame_difference(pairs(spark, d), ["r", "g", "b"], ["frame"]).select(*longs("frame"), *r6("diff"))
 
 
-HIST = "hh AS (SELECT f.frame, i.v AS value, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT frame FROM px) f, (SELECT unnest(generate_series(0,255)) AS v) i LEFT JOIN (SELECT frame, round(v)::BIGINT AS value, count(*) AS n FROM lu GROUP BY ALL) h ON h.frame = f.frame AND h.value = i.v), hc AS (SELECT c.frame, corr(c.n, p.n) AS corr FROM hh c JOIN hh p ON p.frame = c.frame - 1 AND p.value = c.value GROUP BY ALL)"
+HIST = "hh AS (SELECT f.frame, i.v AS value, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT frame FROM px) f, (SELECT unnest(generate_series(0,255)) AS v) i LEFT JOIN (SELECT frame, round(v)::BIGINT AS value, count(*) AS n FROM lu GROUP BY ALL) h ON h.frame = f.frame AND h.value = i.v), hc AS (SELECT c.frame, corr(c.n, p.n) AS corr FROM hh c JOIN hh p ON p.frame = c.frame - 1 AND p.frame // 3 = c.frame // 3 AND p.value = c.value GROUP BY ALL)"
 
 
 @query("SELECT frame, round(corr, 6) AS corr FROM hc", PX, HIST)
@@ -353,9 +353,7 @@ def region_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT frame, bx, "by", round(wa/w, 4) AS angle, round(w/total, 4) AS purity FROM (SELECT *, sum(w) OVER (PARTITION BY frame, bx, "by") AS total, row_number() OVER (PARTITION BY frame, bx, "by" ORDER BY w DESC, bin DESC) AS k FROM
 (SELECT frame, x//8 AS bx, y//8 AS "by", least(15, floor(an/180*16))::INT AS bin, sum(m) AS w, sum(m*an) AS wa FROM (SELECT *, sqrt(gx*gx+gy*gy) AS m, ((degrees(atan2(gy,gx))+90) % 180 + 180) % 180 AS an FROM
-(SELECT a.frame, a.x, a.y, (ur.v+2*r1.v+dr.v)-(ul.v+2*l1.v+dl.v) AS gx, (dl.v+2*d1.v+dr.v)-(ul.v+2*u1.v+ur.v) AS gy FROM lu a JOIN lu l1 ON l1.frame=a.frame AND l1.y=a.y AND l1.x=a.x-1 JOIN lu r1 ON r1.frame=a.frame AND r1.y=a.y AND r1.x=a.x+1
- JOIN lu u1 ON u1.frame=a.frame AND u1.x=a.x AND u1.y=a.y-1 JOIN lu d1 ON d1.frame=a.frame AND d1.x=a.x AND d1.y=a.y+1 JOIN lu ul ON ul.frame=a.frame AND ul.x=a.x-1 AND ul.y=a.y-1 JOIN lu ur ON ur.frame=a.frame AND ur.x=a.x+1 AND ur.y=a.y-1
- JOIN lu dl ON dl.frame=a.frame AND dl.x=a.x-1 AND dl.y=a.y+1 JOIN lu dr ON dr.frame=a.frame AND dr.x=a.x+1 AND dr.y=a.y+1)) WHERE m >= 1 GROUP BY ALL)) WHERE k = 1""", PX)
+(SELECT frame, x, y, lag(d) OVER b + 2*d + lead(d) OVER b AS gx, lead(s) OVER b - lag(s) OVER b AS gy FROM (SELECT frame, x, y, lead(v) OVER a - lag(v) OVER a AS d, lag(v) OVER a + 2*v + lead(v) OVER a AS s FROM lu WINDOW a AS (PARTITION BY frame, y ORDER BY x)) WINDOW b AS (PARTITION BY frame, x ORDER BY y))) WHERE m >= 1 GROUP BY ALL)) WHERE k = 1""", PX)
 def orientation(spark: SparkSession, d: str) -> DataFrame:
     found = fr.orientation(ad.pixels(spark, d), S, S)
     return found.select(*longs("frame", "bx", "by"), F.round("angle", 4).alias("angle"), F.round("purity", 4).alias("purity"))
@@ -568,12 +566,12 @@ def nal_units(spark: SparkSession, d: str) -> DataFrame:
     return nal.located(ad.table(spark, d, "documents").select("doc_id", data.alias("data")), ["doc_id"]).select("doc_id", *longs("unit", "offset"), "start_code_len", "size")
 
 
-@query("""SELECT page_id, o AS "offset", least(16, least(4096, strlen(html)) - o)::INT * 3 - 1 AS width FROM (SELECT page_id, html, unnest(generate_series(0, least(4096, strlen(html)) - 1, 16)) AS o FROM pages)""")
+@query("""SELECT page_id, "offset", hex(page_bytes[("offset" + 1):("offset" + 16)]) AS hex FROM (SELECT page_id, encode(html) AS page_bytes, unnest(generate_series(0, strlen(html) - 1, 16)) AS "offset" FROM pages)""")
 def hex_dump(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import nal
 
     pages = ad.table(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("data"))
-    return nal.hex_lines(pages, ["page_id"]).select("page_id", "offset", F.char_length("hex").alias("width"))
+    return nal.hex_lines(pages, ["page_id"]).select("page_id", "offset", F.replace("hex", F.lit(" ")).alias("hex"))
 
 
 def registry_queries() -> None:
