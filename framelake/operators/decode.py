@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import formats, kernels
 
 KEYS = ["video", "frame_idx", "width", "height", "fourcc"]
 
@@ -45,15 +45,25 @@ def to_format(frames: DataFrame, fourcc: str) -> DataFrame:
     return done.withColumn("fourcc", F.lit(fourcc))
 
 
+def planes_or_none(data: bytes | None, fourcc: str | None, width: int | None, height: int | None) -> dict[str, np.ndarray]:
+    """The channels of a frame; none if it can't be decoded."""
+    if data is None or fourcc not in formats.BY_FOURCC or width is None or height is None:
+        return {}
+    try:
+        return kernels.channels_of(data, fourcc, width, height)
+    except ValueError:
+        return {}
+
+
 def channels(frames: DataFrame) -> DataFrame:
-    """One row a channel: its name and its plane of bytes."""
+    """One row a channel: its name and its plane of bytes; a frame that can't be decoded gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
                 w, h, code = (row.column(k)[0].as_py() for k in (2, 3, 4))
-                for name, plane in kernels.channels_of(row.column(5)[0].as_py(), code, w, h).items():
+                for name, plane in planes_or_none(row.column(5)[0].as_py(), code, w, h).items():
                     yield pa.RecordBatch.from_arrays([*(row.column(k) for k in range(5)), pa.array([name]), pa.array([plane.tobytes()], pa.binary())], [*KEYS, "channel", "plane"])
 
     kinds = ", ".join(f"{c} {frames.schema[c].dataType.simpleString()}" for c in KEYS)
@@ -91,16 +101,16 @@ def pixel_info(frames: DataFrame, points: DataFrame, before: int = 4, after: int
         for batch in batches:
             for i in range(batch.num_rows):
                 video, frame, w, h, code, data, wanted = (batch.column(k)[i].as_py() for k in range(7))
-                planes = kernels.channels_of(data, code, w, h)
-                first = next(iter(planes.values()))
+                planes = planes_or_none(data, code, w, h)
+                first = next(iter(planes.values()), None)
                 cols: list[list] = [[], [], [], []]
                 for p in wanted:
                     x, y = p["x"], p["y"]
-                    inside = 0 <= x < w and 0 <= y < h
+                    inside = first is not None and 0 <= x < w and 0 <= y < h
                     cols[0].append(x)
                     cols[1].append(y)
                     cols[2].append([(name, int(plane[y, x])) for name, plane in planes.items()] if inside else [])
-                    cols[3].append([[f"{first[r, c]:02X}" if 0 <= c < w and 0 <= r < h else "" for c in range(x - before, x + after)] for r in range(y - before, y + after)])
+                    cols[3].append([[f"{first[r, c]:02X}" if first is not None and 0 <= c < w and 0 <= r < h else "" for c in range(x - before, x + after)] for r in range(y - before, y + after)])
                 n = len(wanted)
                 yield pa.RecordBatch.from_arrays([pa.array([video] * n), pa.array([frame] * n, pa.int64()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.map_(pa.string(), pa.int32())), pa.array(cols[3], pa.list_(pa.list_(pa.string())))], ["video", "frame_idx", "x", "y", "components", "neighbourhood"])
 
