@@ -47,7 +47,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("near copies", drop_near_copies), ("decontamination", drop_contaminated), ("personal data", redact), ("byte-level BPE", encode)]
 
-#: The first stage is learned, so SQL can't give the rows; tests hold each stage against brute force.
+#: The first stage is learned, so SQL can't give the rows. Tests hold the near copies against brute force, and run every stage.
 ORACLE_SQL = None
 
 
