@@ -7,6 +7,7 @@ the bytes of the two alone gives the two again. Prefix counts and joins of halve
 from __future__ import annotations
 
 import base64
+import itertools
 import json
 from collections.abc import Iterable, Iterator
 
@@ -28,6 +29,19 @@ class Merges:
         self.longest = max(map(len, ids))
         self.packed = {token: i.to_bytes(4, "little") for token, i in ids.items()}
         self.valid_memo: dict[tuple[bytes, bytes], bool] = {}
+        self.beside_memo: dict[int, bool] = {}
+        self.token = {i: token for token, i in ids.items()}
+        self.rank, self.left, self.right = self.splits()
+
+    def splits(self) -> tuple[dict[int, int], dict[int, int], dict[int, int]]:
+        """Of each token of a listed pair the pair's rank and its two ids, if no token is listed twice; else nothing."""
+        pairs, ids = self.pairs or {}, self.ids
+        if not pairs or len({a + b for a, b in pairs}) < len(pairs) or not all(a in ids and b in ids and a + b in ids for a, b in pairs):
+            return {}, {}, {}
+        rank, left, right = {ids[a + b]: i for (a, b), i in pairs.items()}, {}, {}
+        for a, b in pairs:
+            left[ids[a + b]], right[ids[a + b]] = ids[a], ids[b]
+        return rank, left, right
 
     def merge(self, piece: bytes) -> list[bytes]:
         """The tokens of a piece, by repeated merging of the leftmost pair of lowest rank."""
@@ -59,6 +73,29 @@ class Merges:
             found = self.valid_memo[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return found
 
+    def beside(self, a: int, b: int) -> bool:
+        """valid() of two ids, a being its own encoding or -1 for none.
+
+        Where each token has one pair, the merges of both are taken back from the latest on: whenever the two tokens at the
+        boundary have a merge of their own that comes before the one taken back last, it would have joined them.
+        Of equal ranks the left merge comes first.
+        """
+        token = self.token
+        if a < 0 or not self.rank:
+            return self.valid(token[a] if a >= 0 else b"", token[b])
+        if not self.valid(b"", token[b]):
+            return False
+        rank, pairs, limit = self.rank, self.pairs, NO_RANK
+        while pairs.get((token[a], token[b]), NO_RANK) >= limit:
+            ra, rb = rank.get(a, -1), rank.get(b, -1)
+            if ra > rb:
+                limit, a = ra, self.right[a]
+            elif rb >= 0:
+                limit, b = rb + 1, self.left[b]
+            else:
+                return True
+        return False
+
     def prefix_counts(self, piece: bytes) -> list[int]:
         """Token counts of each prefix of the piece, from 0 bytes to all of it."""
         return next(self.prefix_table([piece]))[:]
@@ -70,24 +107,30 @@ class Merges:
         precedes it; its count is one more than that of the prefix before it. What a piece has in common with the
         start of the one before it isn't worked out again, so sorted pieces cost least.
         """
-        longest, ids, memo, check = self.longest, self.ids, self.valid_memo, self.valid
-        counts, last, before = [0], [b""], b""
+        longest, get, memo = self.longest, self.ids.get, self.beside_memo
+        counts, last, begin, before = [0], [-1], [0], b""
         for piece in pieces:
             n, same = len(piece), 0
             for x, y in zip(piece, before):
                 if x != y:
                     break
                 same += 1
-            del counts[same + 1 :], last[same + 1 :]
+            del counts[same + 1 :], last[same + 1 :], begin[same + 1 :]
             for end in range(same + 1, n + 1):
-                for start in range(end - longest if end > longest else 0, end):
-                    token = piece[start:end]
-                    if token in ids:
-                        pair = (last[start], token)
-                        good = memo.get(pair)
-                        if check(*pair) if good is None else good:
+                # the token before with one byte more is tried first
+                for start in itertools.chain((begin[-1],), range(end - longest if end > longest else 0, end)):
+                    token = get(piece[start:end])
+                    if token is not None:
+                        key = last[start] << 32 | token
+                        good = memo.get(key)
+                        if good is None:
+                            if len(memo) >= MEMO_ENTRIES:
+                                memo.clear()
+                            good = memo[key] = self.beside(last[start], token)
+                        if good:
                             counts.append(counts[start] + 1)
                             last.append(token)
+                            begin.append(start)
                             break
             before = piece
             yield counts

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import json
+import random
 import re
 from collections import Counter
 
@@ -256,3 +257,17 @@ def test_contamination(spark):
 def test_merges_of_all_tokens():
     merges = bpe_core.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     assert sum(not merges.valid(b"", t) for t in list(merges.ids)[:3000]) == 0
+
+
+def test_neighbours_by_splits():
+    """Taking merges back tells the same as merging: of random tokens, and of tokens that follow each other in runs of few letters."""
+    merges, _ = bpe_core.load_json(public_tokenizers.path(token_counts.VOCABULARY))
+    rng = random.Random(5)
+    tokens = list(merges.token)
+    own = [t for t in rng.sample(tokens, 4000) if merges.valid(b"", merges.token[t])]
+    short = [merges.ids[t] for t in merges.ids if len(t) < 4 and set(t) <= set(b" aethn\n")]
+    pairs = list(zip(own, rng.choices(tokens, k=len(own)))) + [(a, b) for a in short for b in short if merges.valid(b"", merges.token[a])]
+    assert merges.rank and all(merges.beside(a, b) == merges.valid(merges.token[a], merges.token[b]) for a, b in pairs)
+    few = {bytes(rng.choice(letters) for _ in range(rng.randint(1, 30))) for letters in (b"a", b" \n", b"the in", bytes(range(256))) for _ in range(200)}
+    for piece in sorted(few):
+        assert merges.prefix_counts(piece) == [len(merges.merge(piece[:i])) for i in range(len(piece) + 1)]
