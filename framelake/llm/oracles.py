@@ -69,4 +69,24 @@ hits AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(gener
 items AS (SELECT doc_id, count(DISTINCT item) AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS ids FROM h GROUP BY doc_id)
 SELECT d.doc_id, len(w) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AND 20 * coalesce(hits.n, 0) >= len(w) AS contaminated FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
-ORACLES = {"op7_quality_rules": OP7, "op8_url_filter": OP8, "op9_jaccard_join": OP9, "op10_decontamination": OP10}
+#: crc32 of a decimal number, bit by bit: DuckDB has no such function.
+BITS = "list_concat([4294967295::BIGINT], flatten(list_transform(string_split(c::VARCHAR, ''), lambda d: list_transform(range(8), lambda i: (ascii(d)::BIGINT >> i) & 1))))"
+CRC = f"xor(list_reduce({BITS}, lambda r, b: CASE WHEN xor(r, b) & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END), 4294967295)"
+OP11 = f"""WITH t AS (SELECT conv_id AS c, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT c, own, {CRC} % 9 AS h FROM t),
+r AS (SELECT h.c, list_concat(coalesce(b.own, [])[1:h.h], h.own[h.h+1:]) AS p FROM h LEFT JOIN t b ON b.c = h.c - h.c % 5),
+m AS (SELECT c, len(p) AS n, d, p[1:d] AS k, p[1:d-1] AS up FROM r, LATERAL (SELECT unnest(range(len(p) + 1)) AS d) x),
+n AS (SELECT k, any_value(CASE WHEN d > 0 THEN up END) AS up, d, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends, CASE WHEN d > 0 THEN strlen(any_value(k[-1].text)) ELSE 0 END AS size FROM m GROUP BY k, d),
+kids AS (SELECT up AS k, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+w AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+s AS (SELECT k[1:j] AS k, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * size) AS saved_tokens FROM w, LATERAL (SELECT unnest(range(d + 1)) AS j) x GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(w.ends) AS ends_sha256 FROM w JOIN s USING (k) LEFT JOIN w p ON w.d > 0 AND p.d = w.d - 1 AND p.k = w.up"""
+
+OP13 = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a),
+reach(x, y) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.x, l.b FROM reach r JOIN l ON l.a = r.y),
+c AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM embeddings LEFT JOIN k ON k.a = vec_id LEFT JOIN c ON c.x = vec_id"""
+
+ORACLES = {"op7_quality_rules": OP7, "op8_url_filter": OP8, "op9_jaccard_join": OP9, "op10_decontamination": OP10, "op11_prefix_trie": OP11, "op13_cover_tree": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, common, decontam, html_extract, jaccard_join, pii, quality_model, quality_rules, token_counts, toxicity, url_filter
+from . import byte_bpe, common, cover_tree, decontam, html_extract, jaccard_join, periodic_runs, pii, prefix_trie, quality_model, quality_rules, token_counts, toxicity, url_filter
 from .common import table
 from .oracles import ORACLES
 
@@ -60,8 +60,20 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), ids.alias("items_sha256"), "contaminated")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt_paths(table(spark, sf_dir, "conversations")))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), change=periodic_runs.made_periodic)
+
+
+def op13_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_model, op4_html_extraction, op5_pii, op6_toxicity, op7_quality_rules, op8_url_filter, op9_jaccard_join, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_counts, op2_byte_bpe, op3_quality_model, op4_html_extraction, op5_pii, op6_toxicity, op7_quality_rules, op8_url_filter, op9_jaccard_join, op10_decontamination, op11_prefix_trie, op12_periodic_runs, op13_cover_tree)}
 
 
 def oracle_sql() -> dict[str, str]:
