@@ -69,16 +69,25 @@ def zscan_to_raster(k: Column) -> Column:
     return F.shiftright(q, 1) * 8 + F.shiftright(z, 1) * 4 + q.bitwiseAND(1) * 2 + z.bitwiseAND(1)
 
 
-#: Names of HEVC NAL unit types: fixed values.
-HEVC_NAMES = {0: "TRAIL_N", 1: "TRAIL_R", 2: "TSA_N", 3: "TSA_R", 4: "STSA_N", 5: "STSA_R", 6: "RADL_N", 7: "RADL_R", 8: "RASL_N", 9: "RASL_R", 16: "BLA_W_LP", 17: "BLA_W_RADL", 18: "BLA_N_LP", 19: "IDR_W_RADL", 20: "IDR_N_LP", 21: "CRA", 32: "VPS", 33: "SPS", 34: "PPS", 35: "AUD", 36: "EOS", 37: "EOB", 38: "FD", 39: "PREFIX_SEI", 40: "SUFFIX_SEI"}
-#: Names of AVC NAL unit types: fixed values.
-AVC_NAMES = {1: "SLICE", 2: "DPA", 3: "DPB", 4: "DPC", 5: "IDR", 6: "SEI", 7: "SPS", 8: "PPS", 9: "AUD", 10: "EOSEQ", 11: "EOSTREAM", 12: "FILLER", 13: "SPS_EXT", 14: "PREFIX", 15: "SUBSET_SPS", 19: "AUX_SLICE", 20: "SLICE_EXT"}
+#: Names of HEVC NAL unit types, first type and last: fixed values.
+HEVC_NAMES = {
+    (0, 0): "TRAIL_N", (1, 1): "TRAIL_R", (2, 2): "TSA_N", (3, 3): "TSA_R", (4, 4): "STSA_N", (5, 5): "STSA_R", (6, 6): "RADL_N", (7, 7): "RADL_R", (8, 8): "RASL_N", (9, 9): "RASL_R",
+    (10, 10): "RSV_VCL_N", (11, 11): "RSV_VCL_R", (12, 12): "RSV_VCL_N", (13, 13): "RSV_VCL_R", (14, 14): "RSV_VCL_N", (15, 15): "RSV_VCL_R",
+    (16, 16): "BLA_W_LP", (17, 17): "BLA_W_RADL", (18, 18): "BLA_N_LP", (19, 19): "IDR_W_RADL", (20, 20): "IDR_N_LP", (21, 21): "CRA_NUT", (22, 23): "RSV_IRAP_VCL", (24, 31): "RSV_VCL",
+    (32, 32): "VPS_NUT", (33, 33): "SPS_NUT", (34, 34): "PPS_NUT", (35, 35): "AUD_NUT", (36, 36): "EOS_NUT", (37, 37): "EOB_NUT", (38, 38): "FD_NUT", (39, 39): "PREFIX_SEI_NUT", (40, 40): "SUFFIX_SEI_NUT", (41, 47): "RSV_NVCL",
+}
+#: Names of AVC NAL unit types, first type and last: fixed values.
+AVC_NAMES = {
+    (1, 1): "Slice (non-IDR)", (2, 2): "Slice partition A", (3, 3): "Slice partition B", (4, 4): "Slice partition C", (5, 5): "Slice (IDR)", (6, 6): "SEI", (7, 7): "SPS", (8, 8): "PPS", (9, 9): "AUD",
+    (10, 10): "End of sequence", (11, 11): "End of stream", (12, 12): "Filler", (13, 13): "SPS extension", (14, 14): "Prefix NAL", (15, 15): "Subset SPS", (16, 16): "DPS", (17, 18): "Reserved",
+    (19, 19): "Aux slice", (20, 20): "Slice extension", (21, 21): "Slice ext (depth)", (22, 23): "Reserved",
+}
 
 
 def nal_name(code: Column, codec: str) -> Column:
-    names = HEVC_NAMES if codec == "hevc" else AVC_NAMES
-    table = F.create_map(*(F.lit(v) for kv in names.items() for v in kv))
-    return F.coalesce(F.try_element_at(table, code), F.concat(F.lit("type "), code.cast("string")))
+    names, rest = (HEVC_NAMES, "UNSPEC") if codec == "hevc" else (AVC_NAMES, "Unspecified")
+    table = F.create_map(*(F.lit(v) for (low, high), name in names.items() for k in range(low, high + 1) for v in (k, name)))
+    return F.coalesce(F.try_element_at(table, code), F.lit(rest))
 
 
 def nal_fields(first: Column, second: Column, codec: str) -> dict[str, Column]:

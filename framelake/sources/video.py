@@ -1,8 +1,8 @@
 """Raw video, Y4M and still-image sequences as frames, and the writers back.
 
-Raw and Y4M files are data sources "rawvideo" and "y4m": a partition is a range of frames, found by offset, and the options
-first and last (both included) narrow the ranges before anything is read. Files are opened by pyarrow's file systems, so a path can be in
-any store it knows. Still images are read by Spark's binaryFile.
+Raw and Y4M files are data sources "rawvideo" and "y4m". A partition of raw video is a range of frames, found by offset, and
+the options first and last (both included) narrow the ranges before anything is read. Files are opened by pyarrow's file
+systems, so a path can be in any store it knows. Still images are read by Spark's binaryFile and image sources.
 """
 
 from __future__ import annotations
@@ -13,49 +13,73 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions import formats
+from .stores import listed, opened, split
 
 SCHEMA = "video string, frame_idx long, width int, height int, fourcc string, data binary"
 MAX_SIDE = 8192
 BYTES_PER_PARTITION = 64 << 20
 
 
-def opened(path: str):
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    return system.open_input_file(inner)
-
-
 @dataclass
 class Frames(InputPartition):
-    offsets: list[int]
+    path: str
     first: int
+    offset: int
+    n: int
+
+
+@dataclass
+class Layout:
+    """How frames lie in a file: from the byte `start` on, each of `size` bytes behind a marker of `gap`."""
+
+    path: str
+    width: int
+    height: int
+    fourcc: str
+    start: int
+    gap: int
+    size: int
+    total: int
+
+    @property
+    def count(self) -> int:
+        return max(0, (self.total - self.start) // (self.size + self.gap))
+
+
+def frame_row(at: Layout, i: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([at.path]), pa.array([i], pa.int64()), pa.array([at.width], pa.int32()), pa.array([at.height], pa.int32()), pa.array([at.fourcc]), pa.array([data], pa.binary())], ["video", "frame_idx", "width", "height", "fourcc", "data"])
 
 
 class FrameReader(DataSourceReader):
-    """Reads frames of fixed size at given offsets."""
+    """Reads frames of fixed size; a partition is a range of frames of one file."""
 
-    def __init__(self, path: str, width: int, height: int, fourcc: str, offsets: range | list[int], options: dict):
-        self.path, self.width, self.height, self.fourcc, self.offsets = path, width, height, fourcc, offsets
-        self.low, self.high = max(0, int(options.get("first", 0))), min(len(offsets), int(options.get("last", len(offsets))) + 1)
+    def __init__(self, layouts: list[Layout], options: dict):
+        self.layouts = layouts
+        self.low, self.high = max(0, int(options.get("first", 0))), int(options.get("last", 1 << 62)) + 1
 
     def partitions(self) -> list[InputPartition]:
-        step = max(1, BYTES_PER_PARTITION // max(1, formats.frame_bytes(self.fourcc, self.width, self.height)))
-        return [Frames(list(self.offsets[i : min(i + step, self.high)]), i) for i in range(self.low, self.high, step)]
+        found = []
+        for at in self.layouts:
+            step, high = max(1, BYTES_PER_PARTITION // max(1, at.size)), min(at.count, self.high)
+            found += [Frames(at.path, i, at.start + i * (at.size + at.gap) + at.gap, min(step, high - i)) for i in range(self.low, high, step)]
+        return found or [Frames("", 0, 0, 0)]
 
     def read(self, partition: Frames) -> Iterator[pa.RecordBatch]:
-        size = formats.frame_bytes(self.fourcc, self.width, self.height)
-        with opened(self.path) as f:
-            for i, offset in enumerate(partition.offsets):
-                f.seek(offset)
-                data = f.read(size)
-                if len(data) < size:
-                    raise ValueError(f"frame {partition.first + i} of {self.path} is cut off")
-                yield pa.RecordBatch.from_arrays([pa.array([self.path]), pa.array([partition.first + i], pa.int64()), pa.array([self.width], pa.int32()), pa.array([self.height], pa.int32()), pa.array([self.fourcc]), pa.array([data], pa.binary())], ["video", "frame_idx", "width", "height", "fourcc", "data"])
+        if not partition.n:
+            return
+        at = next(x for x in self.layouts if x.path == partition.path)
+        with opened(at.path) as f:
+            for i in range(partition.n):
+                f.seek(partition.offset + i * (at.size + at.gap))
+                data = f.read(at.size)
+                if len(data) < at.size:
+                    raise ValueError(f"frame {partition.first + i} of {at.path} is cut off")
+                yield frame_row(at, partition.first + i, data)
 
 
 def checked(fourcc: str, width: int, height: int) -> None:
@@ -70,7 +94,7 @@ def checked(fourcc: str, width: int, height: int) -> None:
 
 
 class RawVideo(DataSource):
-    """Options: path, width, height, fourcc, first, last. A trailing part of a frame is left out."""
+    """Options: path (a file, a folder or a pattern), width, height, fourcc, first, last (of each file). A trailing part of a frame is left out."""
 
     @classmethod
     def name(cls) -> str:
@@ -80,15 +104,13 @@ class RawVideo(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        path, fourcc = self.options["path"], self.options.get("fourcc", "YU12")
-        width, height = int(self.options["width"]), int(self.options["height"])
+        fourcc, width, height = self.options.get("fourcc", "YU12"), int(self.options["width"]), int(self.options["height"])
         checked(fourcc, width, height)
-        with opened(path) as f:
-            total = f.size()
         size = formats.frame_bytes(fourcc, width, height)
-        if total < size:
-            raise ValueError(f"{path} holds no whole frame")
-        return FrameReader(path, width, height, fourcc, range(0, total // size * size, size), self.options)
+        found = [Layout(path, width, height, fourcc, 0, 0, size, total) for path, total in listed(self.options["path"])]
+        if not any(x.count for x in found):
+            raise ValueError(f"{self.options['path']} holds no whole frame")
+        return FrameReader(found, self.options)
 
 
 def y4m_format(colour: str) -> str:
@@ -113,7 +135,7 @@ def y4m_header(line: str) -> dict:
 
 
 class Y4m(DataSource):
-    """Options: path, first, last. Frames are found by their markers."""
+    """Options: path (a file, a folder or a pattern), first, last (of each file). A task reads a file; `y4m` splits large ones."""
 
     @classmethod
     def name(cls) -> str:
@@ -123,29 +145,147 @@ class Y4m(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        path = self.options["path"]
-        offsets = []
-        with opened(path) as f:
-            start = f.read(4096)
-            line, _, _ = start.partition(b"\n")
-            head = y4m_header(line.decode("latin-1"))
-            fourcc = y4m_format(head["colour"])
-            checked(fourcc, head["width"], head["height"])
-            size, at, end = formats.frame_bytes(fourcc, head["width"], head["height"]), len(line) + 1, f.size()
-            while at < end:
-                f.seek(at)
-                marker = f.read(min(256, end - at))
-                stop = marker.find(b"\n")
-                if not marker.startswith(b"FRAME") or stop < 0:
+        return Y4mReader(y4m_layouts(self.options["path"]), self.options, whole=True)
+
+
+def y4m_layouts(path: str) -> list[Layout]:
+    return [y4m_layout(file, total) for file, total in listed(path, (".y4m",))]
+
+
+def y4m_layout(path: str, total: int) -> Layout:
+    """Where frames would lie if all markers had the length of the first."""
+    with opened(path) as f:
+        start = f.read(4096)
+    line, _, behind = start.partition(b"\n")
+    head = y4m_header(line.decode("latin-1"))
+    fourcc = y4m_format(head["colour"])
+    checked(fourcc, head["width"], head["height"])
+    gap = behind.partition(b"\n")[0]
+    return Layout(path, head["width"], head["height"], fourcc, len(line) + 1, len(gap) + 1, formats.frame_bytes(fourcc, head["width"], head["height"]), total)
+
+
+@dataclass
+class Stretch(InputPartition):
+    path: str
+    part: int
+    low: int
+    high: int
+
+
+#: Markers in a row, each a whole frame behind the last, that make a place the start of a frame.
+CHAIN = 3
+
+
+def marker_at(f, at: Layout, place: int) -> int:
+    """The length of the marker at a place; 0 if there is none."""
+    f.seek(place)
+    found = f.read(min(256, at.total - place))
+    stop = found.find(b"\n")
+    return stop + 1 if found.startswith(b"FRAME") and stop >= 0 else 0
+
+
+def chained(f, at: Layout, place: int) -> bool:
+    for _ in range(CHAIN):
+        marker = marker_at(f, at, place)
+        if not marker:
+            return False
+        place += marker + at.size
+        if place >= at.total:
+            return True
+    return True
+
+
+def first_frame(f, at: Layout, low: int) -> int:
+    """The first place from `low` on where a frame's marker begins, as a walk from the file's start would find it.
+
+    Within the length of a frame and a marker there is one such place, and it passes `chained` unless the stream breaks off
+    right behind it. So if one place alone passes, that is it. Samples that look like chains of markers make it two, and then, or if
+    none passes, the markers are walked from the start.
+    """
+    if low <= at.start:
+        return at.start
+    f.seek(low)
+    window = f.read(min(at.size + 512, at.total - low))
+    found = [low + m.start() for m in re.finditer(b"FRAME", window)]
+    fits = [place for place in found if place < low + at.size + 256 and chained(f, at, place)]
+    if len(fits) == 1:
+        return fits[0]
+    place = at.start
+    while place < low and (marker := marker_at(f, at, place)):
+        place += marker + at.size
+    return place if place >= low else at.total
+
+
+class Y4mReader(DataSourceReader):
+    """Reads frames whose markers begin in a range of bytes. `whole`: a range is a file, so that a row's place is its number."""
+
+    def __init__(self, layouts: list[Layout], options: dict, whole: bool):
+        self.layouts, self.whole = layouts, whole
+        self.low, self.high = max(0, int(options.get("first", 0))), int(options.get("last", 1 << 62)) + 1
+        self.step = int(options.get("bytes_per_partition", BYTES_PER_PARTITION))
+
+    def partitions(self) -> list[InputPartition]:
+        found = []
+        for at in self.layouts:
+            step = at.total if self.whole else max(self.step, at.size + at.gap)
+            found += [Stretch(at.path, k, low, min(low + step, at.total)) for k, low in enumerate(range(at.start, at.total, max(1, step)))]
+        return found or [Stretch("", 0, 0, 0)]
+
+    def read(self, partition: Stretch) -> Iterator[pa.RecordBatch]:
+        if partition.low >= partition.high:
+            return
+        at = next(x for x in self.layouts if x.path == partition.path)
+        with opened(at.path) as f:
+            place, number, ended = first_frame(f, at, partition.low), 0, False
+            while place < partition.high and not (self.whole and number >= self.high):
+                if not (marker := marker_at(f, at, place)):
+                    ended = True
                     break
-                offsets.append(at + stop + 1)
-                at = offsets[-1] + size
-        return FrameReader(path, head["width"], head["height"], fourcc, offsets, self.options)
+                if not self.whole or number >= self.low:
+                    f.seek(place + marker)
+                    data = f.read(at.size)
+                    if len(data) < at.size:
+                        raise ValueError(f"frame {number} of {at.path} is cut off")
+                    row = frame_row(at, number, data)
+                    yield row if self.whole else pa.RecordBatch.from_arrays([*row.columns, pa.array([partition.part], pa.int32()), pa.array([False])], [*row.schema.names, "part", "ended"])
+                place, number = place + marker + at.size, number + 1
+            if ended and not self.whole:
+                row = frame_row(at, number, None)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([partition.part], pa.int32()), pa.array([True])], [*row.schema.names, "part", "ended"])
+
+
+class Y4mRanges(Y4m):
+    """The frames of byte ranges, numbered within each; `y4m` numbers them in the file. Options as Y4m, and bytes_per_partition."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "y4mranges"
+
+    def schema(self) -> str:
+        return f"{SCHEMA}, part int, ended boolean"
+
+    def reader(self, schema) -> DataSourceReader:
+        return Y4mReader(y4m_layouts(self.options["path"]), self.options, whole=False)
+
+
+def y4m(spark: SparkSession, path: str, bytes_per_partition: int = BYTES_PER_PARTITION) -> DataFrame:
+    """The frames of Y4M files, each file split among tasks by byte ranges.
+
+    Ranges find their frames by themselves; one row a range adds up to the numbers of frames before it. A file ends where a
+    marker should be and isn't, and ranges behind that place are left out, as when it is read from the start.
+    """
+    register(spark)
+    found = spark.read.format("y4mranges").options(path=path, bytes_per_partition=bytes_per_partition).load()
+    per = found.groupBy("video", "part").agg(F.count_if(~F.col("ended")).alias("n"), F.max("ended").alias("ended"))
+    before = Window.partitionBy("video").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    known = per.select("video", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.coalesce(F.max("ended").over(before), F.lit(False)).alias("over"))
+    joined = found.where("not ended").join(known.where("not over"), ["video", "part"])
+    return joined.select("video", (F.col("frame_idx") + F.col("before")).alias("frame_idx"), "width", "height", "fourcc", "data")
 
 
 def register(spark: SparkSession) -> None:
     """Make the sources known to a session."""
-    for source in (RawVideo, Y4m):
+    for source in (RawVideo, Y4m, Y4mRanges):
         spark.dataSource.register(source)
 
 
@@ -225,37 +365,60 @@ def images(spark: SparkSession, path: str, glob: str = "*.{ppm,bmp}") -> DataFra
                     error = str(e)
                 yield pa.RecordBatch.from_arrays([row.column(0), row.column(2), row.column(3), pa.array([w], pa.int32()), pa.array([h], pa.int32()), pa.array([rgb], pa.binary()), pa.array([error], pa.string())], ["path", "video", "numbers", "width", "height", "data", "error"])
 
-    from pyspark.sql import Window
-
-    decoded = named.where("name <> ''").mapInArrow(run, "path string, video string, numbers array<long>, width int, height int, data binary, error string")
-    # ranks need the small columns alone
-    order = decoded.select("path", (F.row_number().over(Window.partitionBy("video").orderBy("numbers", "path")) - 1).cast("long").alias("frame_idx"))
+    numbered = named.where("name <> ''")
+    decoded = numbered.mapInArrow(run, "path string, video string, numbers array<long>, width int, height int, data binary, error string")
+    # ranks need the names alone
+    order = numbered.select("path", (F.row_number().over(Window.partitionBy("name").orderBy("numbers", "path")) - 1).cast("long").alias("frame_idx"))
     return decoded.join(order, "path").select("video", "frame_idx", "width", "height", F.lit("RGB3").alias("fourcc"), "data", "error")
 
 
 def write_frames(frames: DataFrame, folder: str, kind: str = "ppm") -> DataFrame:
-    """Writes each RGB frame as an image named by its number, by the tasks themselves; returns path and bytes written."""
-    make = {"ppm": to_ppm, "bmp": to_bmp}[kind]
+    """Writes each RGB frame as an image named by its number, by tasks that commit; returns path and bytes written."""
+    from . import sinks
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, inner = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
-        system.create_dir(inner, recursive=True)
-        for batch in batches:
-            for video, i, w, h, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                path = f"{inner}/{re.sub('[^A-Za-z0-9._-]', '_', video)}_{i:06d}.{kind}"
-                body = make(w, h, data)
-                with system.open_output_stream(path) as out:
-                    out.write(body)
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([len(body)], pa.int64())], ["path", "bytes"])
-
-    return frames.select("video", "frame_idx", "width", "height", "data").mapInArrow(run, "path string, bytes long")
+    sinks.save_images(frames, folder, kind)
+    head = {"ppm": F.char_length(F.concat(F.lit("P6\n\n255\n"), F.col("width").cast("string"), F.lit(" "), F.col("height").cast("string"))), "bmp": F.lit(54)}[kind]
+    row = F.col("width") * 3 if kind == "ppm" else (F.col("width") * 3 + 3) - F.pmod(F.col("width") * 3 + 3, F.lit(4))
+    return frames.select(F.concat(F.lit(f"{folder}/"), sinks.image_name(kind)).alias("path"), (head + row * F.col("height")).cast("long").alias("bytes"))
 
 
 def write_clip(frames: DataFrame, path: str, start: int, end: int) -> int:
-    """Frames start to end, both included, of one video as one raw file; frames are streamed in order, one at a time."""
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
-    n = 0
-    with system.open_output_stream(inner) as out:
-        for row in frames.where(F.col("frame_idx").between(start, end)).select("frame_idx", "data").orderBy("frame_idx").toLocalIterator():
-            n += out.write(row["data"])
-    return n
+    """Frames start to end, both included, of one video as one raw file, by tasks that commit; returns the bytes written."""
+    from . import sinks
+
+    sinks.save_clip(frames, path, start, end)
+    return frames.where(F.col("frame_idx").between(start, end)).agg(F.coalesce(F.sum(F.octet_length("data").cast("long")), F.lit(0))).first()[0]
+
+
+#: Still formats that the JVM decodes.
+STILLS = "*.{png,jpg,jpeg,gif,bmp,PNG,JPG,JPEG,GIF,BMP}"
+
+
+def stills(spark: SparkSession, path: str, glob: str = STILLS) -> DataFrame:
+    """A folder's PNG, JPEG, GIF and BMP images as RGB frames, decoded in the JVM by Spark's image source.
+
+    Numbered ones are in the order of their numbers within each name, others are videos of one frame. Grey images become RGB, an
+    alpha channel is dropped. An image that can't be decoded is a row with an error.
+    """
+    found = spark.read.format("image").option("pathGlobFilter", glob).load(path)
+    image = F.col("image")
+    stem = F.regexp_replace(F.regexp_extract("image.origin", r"[^/]*$", 0), r"\.[^.]*$", "")
+    numbered = F.regexp_extract(stem, SEQUENCE, 1)
+    name = F.when(numbered != "", numbered).otherwise(stem)
+    numbers = F.when(numbered != "", F.transform(F.regexp_extract_all(stem, F.lit("([0-9]+)"), F.lit(1)), lambda v: v.cast("long")))
+    good = (F.col("image.nChannels") > 0) & (F.octet_length("image.data") == F.col("image.width") * F.col("image.height") * F.col("image.nChannels"))
+    named = found.select(F.col("image.origin").alias("path"), name.alias("video"), numbers.alias("numbers"), image["width"].alias("width"), image["height"].alias("height"), F.when(good, image["nChannels"]).alias("channels"), F.when(good, image["data"]).alias("bgr"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):  # a frame at a time: they are large
+                row = batch.slice(i, 1)
+                w, h, c, data = (row.column(k)[0].as_py() for k in (3, 4, 5, 6))
+                rgb = None if data is None else np.frombuffer(data, np.uint8).reshape(h, w, c)[:, :, [0, 0, 0] if c == 1 else [2, 1, 0]].tobytes()
+                error = "an image that can't be decoded" if rgb is None else None
+                size = [pa.array([v if rgb is not None else None], pa.int32()) for v in (w, h)]
+                yield pa.RecordBatch.from_arrays([row.column(0), row.column(1), *size, pa.array([rgb], pa.binary()), pa.array([error], pa.string())], ["path", "video", "width", "height", "data", "error"])
+
+    decoded = named.mapInArrow(run, "path string, video string, width int, height int, data binary, error string")
+    order = named.select("path", (F.row_number().over(Window.partitionBy("video").orderBy("numbers", "path")) - 1).cast("long").alias("frame_idx"))
+    return decoded.join(order, "path").select("video", "frame_idx", "width", "height", F.lit("RGB3").alias("fourcc"), "data", "error")
