@@ -1,7 +1,7 @@
-"""Operators on pixels of frames: histograms, scopes, block statistics, motion, edges and scene cuts.
+"""Operators on pixels of frames: histograms, scopes, block statistics and motion between their tiles.
 
 Pixels are rows (keys..., x, y, r, g, b); `keys` name a frame. All statistics are partial aggregates on the pixels' own
-partitions followed by one shuffle of cells, which are few: pixels themselves are shuffled only by stencils.
+partitions followed by one shuffle of cells, which are few. What compares pixels with each other is in `pairs`.
 """
 
 from __future__ import annotations
@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import pixel
 
-FRAME = ["frame"]
 #: What names a video; `frame` numbers its frames.
 VIDEO = ["video"]
+FRAME = [*VIDEO, "frame"]
 #: Scores from which motion is slight, much and full.
 MOTION_STEPS = (2.0, 10.0, 30.0)
 
@@ -80,28 +80,20 @@ def grid_summary(grid: DataFrame, value: str, keys: list[str] = FRAME) -> DataFr
     return grid.groupBy(*keys).agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"))
 
 
-def with_previous(px: DataFrame, cols: list[str], step: int = 1, video: list[str] = VIDEO) -> DataFrame:
-    """Pixels beside those of the frame before in the same video (p_...), by an equi-join on the place; a video's first frame has none and goes."""
-    before = px.select(*video, (F.col("frame") + step).alias("frame"), "x", "y", *(F.col(c).alias(f"p_{c}") for c in cols))
-    return px.join(before, [*video, "frame", "x", "y"])
-
-
 def motion_class(score: Column) -> Column:
     slight, much, full = MOTION_STEPS
     return F.when(score >= full, "full").when(score >= much, "much").when(score >= slight, "slight").otherwise("static")
 
 
-def motion(px: DataFrame, cell: int = 8, metric: str = "luma", method: str = "pixel", video: list[str] = VIDEO) -> DataFrame:
-    """Score and class of each tile against the frame before: mean absolute difference, or difference of mean and deviation."""
+def motion_by_stats(px: DataFrame, cell: int = 8, metric: str = "luma", video: list[str] = VIDEO) -> DataFrame:
+    """Score and class of each tile against the frame before in its video: the difference of means and of deviations. Only
+    tiles are shuffled; `pairs.motion` compares samples.
+    """
     keys = [*video, "frame"]
-    if method == "pixel":
-        value = px.withColumn("v", pixel.metric(metric)).select(*keys, "x", "y", "v")
-        scores = with_previous(value, ["v"], video=video).groupBy(*keys, *tile(cell)).agg(F.avg(F.abs(F.col("v") - F.col("p_v"))).alias("score"))
-    else:
-        stats = block_stats(px, cell, metric, keys)
-        before = stats.select(*video, (F.col("frame") + 1).alias("frame"), "bx", "by", F.col("mean").alias("p_mean"), F.col("var").alias("p_var"))
-        change = F.abs(F.col("mean") - F.col("p_mean")) + F.abs(F.sqrt("var") - F.sqrt("p_var"))
-        scores = stats.join(before, [*keys, "bx", "by"]).select(*keys, "bx", "by", change.alias("score"))
+    stats = block_stats(px, cell, metric, keys)
+    before = stats.select(*video, (F.col("frame") + 1).alias("frame"), "bx", "by", F.col("mean").alias("p_mean"), F.col("var").alias("p_var"))
+    change = F.abs(F.col("mean") - F.col("p_mean")) + F.abs(F.sqrt("var") - F.sqrt("p_var"))
+    scores = stats.join(before, [*keys, "bx", "by"]).select(*keys, "bx", "by", change.alias("score"))
     return scores.withColumn("class", motion_class(F.col("score")))
 
 
@@ -110,57 +102,6 @@ def motion_summary(scores: DataFrame, keys: list[str] = FRAME) -> DataFrame:
     return scores.groupBy(*keys).agg(*(F.count_if(F.col("class") == c).alias(c) for c in ("static", "slight", "much", "full")), F.avg("score").alias("mean_score"), F.max("score").alias("max_score"))
 
 
-def orientation(px: DataFrame, width: int, height: int, cell: int = 8, metric: str = "luma", keys: list[str] = FRAME, bins: int = 16) -> DataFrame:
-    """Dominant edge direction of each tile, in degrees below 180, and its purity: Sobel gradients in a histogram weighted by magnitude.
-
-    A row of the 3x3 stencil is read by a window along x, then three of them by a window along y. Borders and weak
-    gradients are left out; of bins that weigh the same the last wins. Tiles without an edge give no row.
-    """
-    along = Window.partitionBy(*keys, "y").orderBy("x")
-    down = Window.partitionBy(*keys, "x").orderBy("y")
-    v = px.select(*keys, "x", "y", pixel.metric(metric).alias("v"))
-    side = v.withColumn("d", F.lead("v").over(along) - F.lag("v").over(along)).withColumn("s", F.lag("v").over(along) + 2 * F.col("v") + F.lead("v").over(along))
-    grad = side.withColumn("gx", F.lag("d").over(down) + 2 * F.col("d") + F.lead("d").over(down)).withColumn("gy", F.lead("s").over(down) - F.lag("s").over(down))
-    inner = grad.where(F.col("x").between(1, width - 2) & F.col("y").between(1, height - 2)).withColumn("m", F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy"))).where("m >= 1")
-    turned = F.degrees(F.atan2("gy", "gx")) + 90.0
-    angled = inner.withColumn("angle", F.pmod(turned, F.lit(180.0))).withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.col("angle") / 180.0 * bins)).cast("int"))
-    per = angled.groupBy(*keys, *tile(cell), "bin").agg(F.sum("m").alias("w"), F.sum(F.col("m") * F.col("angle")).alias("wa"))
-    best = per.groupBy(*keys, "bx", "by").agg(F.max(F.struct("w", "bin", "wa")).alias("top"), F.sum("w").alias("total"))
-    return best.select(*keys, "bx", "by", (F.col("top.wa") / F.col("top.w")).alias("angle"), (F.col("top.w") / F.col("total")).alias("purity"))
-
-
-def histogram_correlation(px: DataFrame, video: list[str] = VIDEO) -> DataFrame:
-    """Pearson correlation of each frame's luma histogram with that of the frame before in its video; a constant one gives 1."""
-    keys = [*video, "frame"]
-    h = histogram(px, "luma", keys)
-    before = h.select(*video, (F.col("frame") + 1).alias("frame"), "value", F.col("n").alias("p"))
-    s = h.join(before, [*keys, "value"]).groupBy(*keys).agg(*(F.sum(e).cast("double").alias(k) for k, e in {"a": F.col("n"), "b": F.col("p"), "aa": F.col("n") * F.col("n"), "bb": F.col("p") * F.col("p"), "ab": F.col("n") * F.col("p")}.items()))
-    va, vb = F.col("aa") - F.col("a") * F.col("a") / 256, F.col("bb") - F.col("b") * F.col("b") / 256
-    return s.select(*keys, F.when((va <= 0) | (vb <= 0), 1.0).otherwise((F.col("ab") - F.col("a") * F.col("b") / 256) / F.sqrt(va * vb)).alias("corr"))
-
-
-#: Differences above these are cuts.
-CUTS = {"mad": 45.0, "histogram": 0.3, "ssim": 40.0}
-
-
-def scene_differences(px: DataFrame, algorithm: str = "mad", video: list[str] = VIDEO) -> DataFrame:
-    """How far each frame is from the one before in its video: mean absolute difference of samples, 1 - histogram correlation, or block SSIM."""
-    keys = [*video, "frame"]
-    if algorithm == "mad":
-        three = F.abs(F.col("r") - F.col("p_r")) + F.abs(F.col("g") - F.col("p_g")) + F.abs(F.col("b") - F.col("p_b"))
-        return with_previous(px.select(*keys, "x", "y", "r", "g", "b"), ["r", "g", "b"], video=video).groupBy(*keys).agg((F.sum(three) / (3.0 * F.count(F.lit(1)))).alias("diff"))
-    if algorithm == "histogram":
-        return histogram_correlation(px, video).select(*keys, (1 - F.col("corr")).alias("diff"))
-    from .quality import block_ssim
-
-    pairs = with_previous(px.withColumn("v", pixel.metric("luma")).select(*keys, "x", "y", "v"), ["v"], video=video)
-    return block_ssim(pairs, "v", "p_v", 8, keys, whole=True).groupBy(*keys).agg(((1 - F.avg("ssim")) * 100).alias("diff"))
-
-
-def scene_cuts(px: DataFrame, algorithm: str = "mad", threshold: float | None = None, video: list[str] = VIDEO) -> DataFrame:
-    return scene_differences(px, algorithm, video).where(F.col("diff") > (CUTS[algorithm] if threshold is None else threshold))
-
-
 def field(px: DataFrame, odd: int) -> DataFrame:
     """One field of an interlaced frame, its rows doubled to full height."""
     return px.where(F.col("y") % 2 == odd).withColumn("y", F.explode(F.array(F.col("y") - odd, F.col("y") - odd + 1)))

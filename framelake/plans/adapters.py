@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SIDE = 64
@@ -29,6 +29,22 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return px.withColumn("g", (F.col("r") * 7 + F.col("x") * 3) % 256).withColumn("b", (F.col("r") * 3 + F.col("y") * 5) % 256)
 
 
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same frames as pixels(), as bytes: video, frame_idx, width, height, rgb. A vector is a row of hex text, 64 rows a frame
+    are brought together, and rows that the last frame lacks are black; nothing is counted and no pixel is a row.
+    """
+    two = lambda v: F.lpad(F.hex(v), 2, "0")
+    bounded = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(v.cast("double") * 128 + 128))).cast("int")
+    sample = lambda r, x, y: F.concat(two(r), two((r * 7 + x * 3) % 256), two((r * 3 + y * 5) % 256))
+    line = lambda values, y: F.array_join(F.transform(values, lambda v, x: sample(bounded(v), x, y)), "")
+    y = (F.col("vec_id") % SIDE).cast("int")
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / SIDE).alias("frame_idx"), y.alias("y"), line(F.col("embedding"), y).alias("line"))
+    per = rows.groupBy("frame_idx").agg(F.map_from_entries(F.collect_list(F.struct("y", "line"))).alias("lines"))
+    black = F.array_repeat(F.lit(-1.0), SIDE)
+    whole = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SIDE - 1)), lambda k: F.coalesce(F.try_element_at("lines", k), line(black, k))), "")
+    return per.select(F.floor(F.col("frame_idx") / 3).alias("video"), "frame_idx", F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"), F.unhex(whole).alias("rgb"))
+
+
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     return o.select(
@@ -52,6 +68,18 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def byte_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of Annex-B streams as rows (file, seq, data): a stream a video, a unit a line item, with bytes of two and more."""
+    li = table(spark, sf_dir, "lineitem")
+    video = F.floor(F.col("l_orderkey") / 4096)
+    order = Window.partitionBy(video).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    two = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    head = F.concat(two(2 + F.col("l_partkey") % 250), two(2 + F.col("l_suppkey") % 200), two(2 + F.col("l_quantity").cast("long") * 5 % 250), F.lit("4142434445"))
+    code = F.when(F.col("l_suppkey") % 2 == 0, "000001").otherwise("00000001")
+    size = ((F.col("l_linenumber") * 3 + F.col("l_partkey")) % 8).cast("int")
+    return li.select(F.concat(video.cast("string"), F.lit(".bin")).alias("file"), F.row_number().over(order).cast("long").alias("seq"), F.unhex(F.concat(code, F.substring(head, F.lit(1), size * 2))).alias("data"))
+
+
 def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.floor(F.col("l_orderkey") / 4096).alias("video"), F.col("l_orderkey").alias("decode_idx"), F.col("l_linenumber").cast("long").alias("block"), (F.col("l_linestatus") == "O").alias("has_abs_sum"), (F.col("l_returnflag") != "N").alias("has_nonzero"), (F.col("l_partkey") % 50 - 5).alias("abs_sum"), (F.col("l_suppkey") % 17).alias("nonzero"))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, pixel
-from ..operators import correlate, frames as fr, grids, quality, telemetry as tm
+from ..operators import correlate, frames as fr, grids, pairs as pr, telemetry as tm
 from . import adapters as ad
 
 S = 64
@@ -74,9 +75,14 @@ def luma(spark: SparkSession, d: str) -> DataFrame:
     return ad.pixels(spark, d).withColumn("v", pixel.metric("luma"))
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pixels beside those of the frame before."""
-    return fr.with_previous(luma(spark, d), ["r", "g", "b", "v"])
+def against_previous(spark: SparkSession, d: str, *names: str) -> DataFrame:
+    """Metrics of each frame against the one before in its video."""
+    return pr.previous(ad.pictures(spark, d), pr.metrics(*names)).withColumnRenamed("frame_idx", "frame")
+
+
+def tiles_against_previous(spark: SparkSession, d: str, name: str, size: int, channel: str = "luma") -> DataFrame:
+    found = pr.previous(ad.pictures(spark, d), pr.tile_map(name, size=size, channel=channel))
+    return found.withColumnRenamed("frame_idx", "frame").select(*longs("frame", "bx", "by"), *r6(name))
 
 
 # --- telemetry ---------------------------------------------------------------------------------------------------
@@ -244,29 +250,34 @@ def grid_summary(spark: SparkSession, d: str) -> DataFrame:
 MOTION_CLASS = "CASE WHEN score >= 30 THEN 'full' WHEN score >= 10 THEN 'much' WHEN score >= 2 THEN 'slight' ELSE 'static' END"
 
 
+def moved(spark: SparkSession, d: str) -> DataFrame:
+    scores = pr.previous(ad.pictures(spark, d), pr.motion(8)).withColumnRenamed("frame_idx", "frame")
+    return scores.withColumn("class", fr.motion_class(F.col("score")))
+
+
 @query(f"SELECT frame, bx, \"by\", score, {MOTION_CLASS} AS class FROM (SELECT frame, x//8 AS bx, y//8 AS \"by\", round(avg(abs(v-pv)), 6) AS score FROM pp GROUP BY ALL)", PX)
 def motion_pixel(spark: SparkSession, d: str) -> DataFrame:
-    return fr.motion(ad.pixels(spark, d)).select(*longs("frame", "bx", "by"), *r6("score"), "class")
+    return moved(spark, d).select(*longs("frame", "bx", "by"), *r6("score"), "class")
 
 
 @query(f"SELECT frame, bx, \"by\", score, {MOTION_CLASS} AS class FROM (SELECT c.frame, c.bx, c.\"by\", round(abs(c.m-p.m)+abs(sqrt(c.q)-sqrt(p.q)), 6) AS score FROM s c JOIN s p ON p.frame = c.frame-1 AND p.frame // 3 = c.frame // 3 AND p.bx = c.bx AND p.\"by\" = c.\"by\")", PX, "s AS (SELECT frame, x//8 AS bx, y//8 AS \"by\", avg(v) AS m, greatest(0, avg(v*v)-avg(v)*avg(v)) AS q FROM lu GROUP BY ALL)")
 def motion_stats(spark: SparkSession, d: str) -> DataFrame:
-    return fr.motion(ad.pixels(spark, d), method="stats").select(*longs("frame", "bx", "by"), *r6("score"), "class")
+    return fr.motion_by_stats(ad.pixels(spark, d)).select(*longs("frame", "bx", "by"), *r6("score"), "class")
 
 
 @query(f"SELECT frame, count_if(class='static')::BIGINT AS static, count_if(class='slight')::BIGINT AS slight, count_if(class='much')::BIGINT AS much, count_if(class='full')::BIGINT AS full, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score FROM (SELECT *, {MOTION_CLASS} AS class FROM (SELECT frame, avg(abs(v-pv)) AS score FROM pp GROUP BY frame, x//8, y//8)) GROUP BY ALL".replace("AS full", 'AS "full"'), PX)
 def motion_summary(spark: SparkSession, d: str) -> DataFrame:
-    return fr.motion_summary(fr.motion(ad.pixels(spark, d))).select(*longs("frame"), "static", "slight", "much", "full", *r6("mean_score", "max_score"))
+    return fr.motion_summary(moved(spark, d)).select(*longs("frame"), "static", "slight", "much", "full", *r6("mean_score", "max_score"))
 
 
 @query("SELECT frame, round(mse, 6) AS mse, round(10*log10(65025/mse), 6) AS psnr FROM (SELECT frame, avg((r-pr)*(r-pr)+(g-pg)*(g-pg)+(b-pb)*(b-pb))/3 AS mse FROM pp GROUP BY ALL)", PX)
 def psnr(spark: SparkSession, d: str) -> DataFrame:
-    return quality.psnr(pairs(spark, d), ["r", "g", "b"], ["frame"]).select(*longs("frame"), *r6("mse", "psnr"))
+    return against_previous(spark, d, "mse", "psnr").select(*longs("frame"), *r6("mse", "psnr"))
 
 
 @query("SELECT frame, round(avg(abs(r-pr)+abs(g-pg)+abs(b-pb))/3, 6) AS diff FROM pp GROUP BY ALL", PX)
 def frame_difference(spark: SparkSession, d: str) -> DataFrame:
-    return quality.frame_difference(pairs(spark, d), ["r", "g", "b"], ["frame"]).select(*longs("frame"), *r6("diff"))
+    return against_previous(spark, d, "diff").select(*longs("frame"), *r6("diff"))
 
 
 HIST = "hh AS (SELECT f.frame, i.v AS value, coalesce(n, 0)::DOUBLE AS n FROM (SELECT DISTINCT frame FROM px) f, (SELECT unnest(generate_series(0,255)) AS v) i LEFT JOIN (SELECT frame, round(v)::BIGINT AS value, count(*) AS n FROM lu GROUP BY ALL) h ON h.frame = f.frame AND h.value = i.v), hc AS (SELECT c.frame, corr(c.n, p.n) AS corr FROM hh c JOIN hh p ON p.frame = c.frame - 1 AND p.frame // 3 = c.frame // 3 AND p.value = c.value GROUP BY ALL)"
@@ -274,17 +285,17 @@ HIST = "hh AS (SELECT f.frame, i.v AS value, coalesce(n, 0)::DOUBLE AS n FROM (S
 
 @query("SELECT frame, round(corr, 6) AS corr FROM hc", PX, HIST)
 def histogram_correlation(spark: SparkSession, d: str) -> DataFrame:
-    return fr.histogram_correlation(ad.pixels(spark, d)).select(*longs("frame"), *r6("corr"))
+    return against_previous(spark, d, "histogram_correlation").select(*longs("frame"), F.round("histogram_correlation", 6).alias("corr"))
 
 
 @query("SELECT frame, round(diff, 6) AS diff FROM (SELECT frame, avg(abs(r-pr)+abs(g-pg)+abs(b-pb))/3 AS diff FROM pp GROUP BY ALL) WHERE diff > 45", PX)
 def scene_mad(spark: SparkSession, d: str) -> DataFrame:
-    return fr.scene_cuts(ad.pixels(spark, d)).select(*longs("frame"), *r6("diff"))
+    return pr.scene_cuts(ad.pictures(spark, d), "mad").select(F.col("frame_idx").alias("frame"), *r6("diff"))
 
 
-@query("SELECT frame, round(1-corr, 6) AS diff FROM hc WHERE 1-corr > 0.3", PX, HIST)
+@query("SELECT frame, round(1-corr, 6) AS diff FROM hc WHERE 1-corr > 0.05", PX, HIST)
 def scene_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return fr.scene_cuts(ad.pixels(spark, d), "histogram").select(*longs("frame"), *r6("diff"))
+    return pr.scene_cuts(ad.pictures(spark, d), "histogram", 0.05).select(F.col("frame_idx").alias("frame"), *r6("diff"))
 
 
 SSIM = "((2*ma*mb+6.5025::DOUBLE)*(2*(ab-ma*mb)+58.5225::DOUBLE))/((ma*ma+mb*mb+6.5025::DOUBLE)*(greatest(0,aa-ma*ma)+greatest(0,bb-mb*mb)+58.5225::DOUBLE))"
@@ -293,69 +304,97 @@ MOMENTS = "avg(v) AS ma, avg(pv) AS mb, avg(v*v) AS aa, avg(pv*pv) AS bb, avg(v*
 
 @query(f"SELECT frame, round(diff, 6) AS diff FROM (SELECT frame, (1-avg({SSIM}))*100 AS diff FROM (SELECT frame, {MOMENTS} FROM pp GROUP BY frame, x//8, y//8) GROUP BY ALL) WHERE diff > 40", PX)
 def scene_ssim(spark: SparkSession, d: str) -> DataFrame:
-    return fr.scene_cuts(ad.pixels(spark, d), "ssim").select(*longs("frame"), *r6("diff"))
+    return pr.scene_cuts(ad.pictures(spark, d), "ssim").select(F.col("frame_idx").alias("frame"), *r6("diff"))
 
 
 @query(f"SELECT frame, bx, \"by\", round({SSIM}, 6) AS ssim FROM (SELECT frame, x//8 AS bx, y//8 AS \"by\", {MOMENTS} FROM pp GROUP BY ALL)", PX)
 def block_ssim(spark: SparkSession, d: str) -> DataFrame:
-    return quality.block_ssim(pairs(spark, d), "v", "p_v", 8, ["frame"]).select(*longs("frame", "bx", "by"), *r6("ssim"))
+    return tiles_against_previous(spark, d, "ssim", 8)
 
 
 @query(f"SELECT frame, round(avg({SSIM}), 6) AS ssim FROM (SELECT frame, x, y, sum(ma) OVER w / 121 AS ma, sum(mb) OVER w / 121 AS mb, sum(aa) OVER w / 121 AS aa, sum(bb) OVER w / 121 AS bb, sum(ab) OVER w / 121 AS ab FROM (SELECT frame, x, y, sum(v) OVER w AS ma, sum(pv) OVER w AS mb, sum(v*v) OVER w AS aa, sum(pv*pv) OVER w AS bb, sum(v*pv) OVER w AS ab FROM pp WINDOW w AS (PARTITION BY frame, y ORDER BY x ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WINDOW w AS (PARTITION BY frame, x ORDER BY y ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) WHERE x BETWEEN 5 AND 58 AND y BETWEEN 5 AND 58 GROUP BY ALL", PX)
 def ssim(spark: SparkSession, d: str) -> DataFrame:
-    return quality.sliding_ssim(pairs(spark, d), "v", "p_v", S, S, ["frame"]).select(*longs("frame"), *r6("ssim"))
+    return against_previous(spark, d, "ssim").select(*longs("frame"), *r6("ssim"))
 
 
 @query("""SELECT frame, round(sum(w*least(100, 10*log10(65025/mse)))/sum(w), 6) AS ms_psnr FROM (
 SELECT frame, 0.4::DOUBLE AS w, avg((v-pv)*(v-pv)) AS mse FROM pp GROUP BY frame UNION ALL SELECT frame, 0.3::DOUBLE, avg(d*d) FROM (SELECT frame, avg(v-pv) AS d FROM pp GROUP BY frame, x//2, y//2) GROUP BY frame
 UNION ALL SELECT frame, 0.2::DOUBLE, avg(d*d) FROM (SELECT frame, avg(v-pv) AS d FROM pp GROUP BY frame, x//4, y//4) GROUP BY frame UNION ALL SELECT frame, 0.1::DOUBLE, avg(d*d) FROM (SELECT frame, avg(v-pv) AS d FROM pp GROUP BY frame, x//8, y//8) GROUP BY frame) GROUP BY ALL""", PX)
 def ms_psnr(spark: SparkSession, d: str) -> DataFrame:
-    return quality.ms_psnr(pairs(spark, d), "v", "p_v", S, S, ["frame"]).select(*longs("frame"), *r6("ms_psnr"))
+    return against_previous(spark, d, "ms_psnr").select(*longs("frame"), *r6("ms_psnr"))
 
 
-@query(None)
+#: Scales of tiles of a side (the whole frame: 64): means of 2^k x 2^k samples from each tile's corner, cut rows and columns left out.
+def pyramid(side: int) -> str:
+    extent = lambda c: f"least({side}, 64 - {c}//{side}*{side})"
+    local = f'lt AS (SELECT frame, x//{side} AS bx, y//{side} AS "by", x % {side} AS lx, y % {side} AS ly, {extent("x")} AS tw, {extent("y")} AS th, v, pv FROM pp)'
+    levels = " UNION ALL ".join(f'SELECT {k} AS k, frame, bx, "by", avg(v) AS v, avg(pv) AS pv FROM lt WHERE lx//{1 << k} < tw//{1 << k} AND ly//{1 << k} < th//{1 << k} GROUP BY frame, bx, "by", lx//{1 << k}, ly//{1 << k}' for k in range(5))
+    scored = f'sc AS (SELECT k, frame, bx, "by", {SSIM} AS ssim, (2*(ab-ma*mb)+58.5225::DOUBLE)/(greatest(0,aa-ma*ma)+greatest(0,bb-mb*mb)+58.5225::DOUBLE) AS cs, mse FROM (SELECT k, frame, bx, "by", {MOMENTS}, avg((v-pv)*(v-pv)) AS mse FROM py GROUP BY ALL))'
+    ssims = "ss AS (SELECT frame, bx, \"by\", product(pow(greatest(0, CASE WHEN k = 4 THEN ssim ELSE cs END), [0.0448::DOUBLE, 0.2856, 0.3001, 0.2363, 0.1333][k + 1] / 1.0001::DOUBLE)) AS ms_ssim, sum(CASE WHEN k < 4 THEN (4 - k) * least(100, 10*log10(65025/mse)) ELSE 0 END) / 10 AS ms_psnr FROM sc GROUP BY ALL)"
+    edge = lambda c: f'(SELECT frame, bx, "by", avg(abs(dx) + abs(dy)) AS e FROM (SELECT frame, bx, "by", lx, ly, tw, th, lead({c}) OVER (PARTITION BY frame, bx, "by", ly ORDER BY lx) - {c} AS dx, lead({c}) OVER (PARTITION BY frame, bx, "by", lx ORDER BY ly) - {c} AS dy FROM lt) WHERE lx < tw - 1 AND ly < th - 1 GROUP BY ALL)'
+    edges = f'ed AS (SELECT c.frame, c.bx, c."by", greatest(0, (c.e - p.e) / greatest(p.e, 1)) AS excess FROM {edge("v")} c JOIN {edge("pv")} p USING (frame, bx, "by"))'
+    vmafs = 'vm AS (SELECT *, greatest(0, least(100, 100 * (0.72::DOUBLE * least(1, ms_ssim) + 0.28::DOUBLE * greatest(0, least(1, (ms_psnr - 20) / 30))) - 20 * excess)) AS vmaf FROM ss JOIN ed USING (frame, bx, "by"))'
+    return ", ".join([local, f"py AS ({levels})", scored, ssims, edges, vmafs])
+
+
+@query("SELECT frame, round(ms_ssim, 6) AS ms_ssim FROM ss", PX, pyramid(S))
 def ms_ssim(spark: SparkSession, d: str) -> DataFrame:
-    return quality.ms_ssim(pairs(spark, d), "v", "p_v", S, S, ["frame"]).select(*longs("frame"), *r6("ms_ssim"))
+    return against_previous(spark, d, "ms_ssim").select(*longs("frame"), *r6("ms_ssim"))
 
 
-@query(None)
+@query("SELECT frame, round(vmaf, 6) AS vmaf FROM vm", PX, pyramid(S))
 def vmaf_proxy(spark: SparkSession, d: str) -> DataFrame:
-    return quality.vmaf_proxy(pairs(spark, d), "v", "p_v", S, S, ["frame"]).select(*longs("frame"), *r6("vmaf"))
+    return against_previous(spark, d, "vmaf").select(*longs("frame"), *r6("vmaf"))
+
+
+def tile_queries() -> None:
+    for name in ("ms_psnr", "ms_ssim", "vmaf"):
+
+        def run(spark: SparkSession, d: str, name: str = name) -> DataFrame:
+            return tiles_against_previous(spark, d, name, 24)
+
+        run.__name__ = f"tile_{name}"
+        query(f'SELECT frame, bx, "by", round({name}, 6) AS {name} FROM vm', PX, pyramid(24))(run)
+
+
+tile_queries()
 
 
 @query("SELECT frame, round(avg(abs(dx)+abs(dy)), 6) AS energy FROM (SELECT a.frame, b.v-a.v AS dx, c.v-a.v AS dy FROM lu a JOIN lu b ON b.frame=a.frame AND b.y=a.y AND b.x=a.x+1 JOIN lu c ON c.frame=a.frame AND c.x=a.x AND c.y=a.y+1) GROUP BY ALL", PX)
 def edge_energy(spark: SparkSession, d: str) -> DataFrame:
-    return quality.edge_energy(luma(spark, d), "v", S, S, ["frame"]).select(*longs("frame"), *r6("energy"))
+    return pr.edge_energy(ad.pictures(spark, d)).select(F.col("frame_idx").alias("frame"), *r6("energy"))
 
 
 @query("SELECT frame, x//24 AS bx, y//24 AS \"by\", round(avg(v-pv), 6) AS value FROM pp GROUP BY ALL", PX)
 def signed_tiles(spark: SparkSession, d: str) -> DataFrame:
-    return quality.signed_tiles(pairs(spark, d), "v", "p_v", 24, ["frame"]).select(*longs("frame", "bx", "by"), *r6("value"))
+    return tiles_against_previous(spark, d, "signed", 24).withColumnRenamed("signed", "value")
 
 
 @query("SELECT frame, round(avg(pv-v), 6) AS mean, round(greatest(0, avg((pv-v)*(pv-v))-avg(pv-v)*avg(pv-v)), 6) AS var FROM pp GROUP BY ALL", PX)
 def diff_stats(spark: SparkSession, d: str) -> DataFrame:
-    return quality.diff_stats(pairs(spark, d), "p_v", "v", ["frame"]).select(*longs("frame"), *r6("mean", "var"))
+    found = against_previous(spark, d, "delta_mean", "delta_var")
+    return found.select(*longs("frame"), F.round("delta_mean", 6).alias("mean"), F.round("delta_var", 6).alias("var"))
 
 
 @query("SELECT frame, x//16 AS bx, y//16 AS \"by\", round(least(99, CASE WHEN avg((r-pr)*(r-pr)) = 0 THEN 99 ELSE 10*log10(65025/avg((r-pr)*(r-pr))) END), 6) AS psnr FROM pp GROUP BY ALL", PX)
 def tile_psnr(spark: SparkSession, d: str) -> DataFrame:
-    return quality.tile_psnr(pairs(spark, d), "r", "p_r", 16, ["frame"]).select(*longs("frame", "bx", "by"), *r6("psnr"))
+    return tiles_against_previous(spark, d, "psnr", 16, "r")
 
 
 @query(f"SELECT frame, k, round(10*log10(65025/mse), 6) AS psnr, round({SSIM}, 6) AS ssim FROM (SELECT p.frame, k, avg((v-pv)*(v-pv)) AS mse, {MOMENTS} FROM pp p JOIN rc ON rc.frame = p.frame AND p.x >= rc.x AND p.x < rc.x+w AND p.y >= rc.y AND p.y < rc.y+h GROUP BY ALL)", PX, "rc AS (SELECT f.frame, k, k*9 AS x, k*7 AS y, 8+k*3 AS w, 16-k AS h FROM (SELECT DISTINCT frame FROM px) f, (SELECT unnest([0,1,2,3]) AS k) z)")
 def region_quality(spark: SparkSession, d: str) -> DataFrame:
-    p = pairs(spark, d)
-    k = F.col("k")
-    rects = p.select("frame").distinct().withColumn("k", F.explode(F.array(*map(F.lit, range(4))))).select("frame", "k", (k * 9).alias("x"), (k * 7).alias("y"), (8 + k * 3).alias("w"), (16 - k).alias("h"))
-    return quality.region_quality(p, rects, "v", "p_v", ["frame"], ["k"]).select(*longs("frame"), "k", *r6("psnr", "ssim"))
+    one = lambda k: F.struct(F.lit(k).alias("k"), F.lit(k * 9).alias("x"), F.lit(k * 7).alias("y"), F.lit(8 + k * 3).alias("w"), F.lit(16 - k).alias("h"))
+    shots = ad.pictures(spark, d)
+    before = shots.withColumn("frame_idx", F.col("frame_idx") + 1)
+    found = pr.matched(before, shots, pr.regions(), F.array(*map(one, range(4))))
+    return found.select(F.col("frame_idx").alias("frame"), "k", *r6("psnr", "ssim"))
 
 
 @query("""SELECT frame, bx, "by", round(wa/w, 4) AS angle, round(w/total, 4) AS purity FROM (SELECT *, sum(w) OVER (PARTITION BY frame, bx, "by") AS total, row_number() OVER (PARTITION BY frame, bx, "by" ORDER BY w DESC, bin DESC) AS k FROM
 (SELECT frame, x//8 AS bx, y//8 AS "by", least(15, floor(an/180*16))::INT AS bin, sum(m) AS w, sum(m*an) AS wa FROM (SELECT *, sqrt(gx*gx+gy*gy) AS m, ((degrees(atan2(gy,gx))+90) % 180 + 180) % 180 AS an FROM
 (SELECT frame, x, y, lag(d) OVER b + 2*d + lead(d) OVER b AS gx, lead(s) OVER b - lag(s) OVER b AS gy FROM (SELECT frame, x, y, lead(v) OVER a - lag(v) OVER a AS d, lag(v) OVER a + 2*v + lead(v) OVER a AS s FROM lu WINDOW a AS (PARTITION BY frame, y ORDER BY x)) WINDOW b AS (PARTITION BY frame, x ORDER BY y))) WHERE m >= 1 GROUP BY ALL)) WHERE k = 1""", PX)
 def orientation(spark: SparkSession, d: str) -> DataFrame:
-    found = fr.orientation(ad.pixels(spark, d), S, S)
+    found = pr.orientation(ad.pictures(spark, d)).withColumnRenamed("frame_idx", "frame")
     return found.select(*longs("frame", "bx", "by"), F.round("angle", 4).alias("angle"), F.round("purity", 4).alias("purity"))
 
 
@@ -390,7 +429,7 @@ def nearest_upsample(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT p.frame, c.cx, c.cy, p.x - c.cx AS dx, p.y - c.cy AS dy, p.r FROM px p, (SELECT unnest([0, 31, 63]) AS cx) a, LATERAL (SELECT a.cx, a.cx AS cy) c WHERE p.x BETWEEN c.cx-4 AND c.cx+3 AND p.y BETWEEN c.cy-4 AND c.cy+3", PX)
 def pixel_neighbourhood(spark: SparkSession, d: str) -> DataFrame:
     p = ad.pixels(spark, d)
-    points = p.select("frame").distinct().withColumn("cx", F.explode(F.array(*map(F.lit, (0, 31, 63))))).withColumn("cy", F.col("cx"))
+    points = p.select("video", "frame").distinct().withColumn("cx", F.explode(F.array(*map(F.lit, (0, 31, 63))))).withColumn("cy", F.col("cx"))
     return fr.neighbourhood(p, points, "r").select(*longs("frame"), "cx", "cy", *longs("dx", "dy", "r"))
 
 
@@ -566,6 +605,47 @@ def nal_units(spark: SparkSession, d: str) -> DataFrame:
     return nal.located(ad.table(spark, d, "documents").select("doc_id", data.alias("data")), ["doc_id"]).select("doc_id", *longs("unit", "offset"), "start_code_len", "size")
 
 
+#: Units of made byte streams: a stream a video, a unit a block; header bytes of two and more, up to seven bytes in all.
+STREAMS = """su AS (SELECT l_orderkey // 4096 AS video, row_number() OVER (PARTITION BY l_orderkey // 4096 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS unit, 3 + l_suppkey % 2 AS scl,
+ (2 + l_partkey % 250)::INT AS h0, (2 + l_suppkey % 200)::INT AS h1, (2 + l_quantity::BIGINT * 5 % 250)::INT AS h2, (l_linenumber * 3 + l_partkey) % 8 AS size FROM lineitem),
+sf AS (SELECT *, CASE WHEN size > 1 THEN 2 * (h0 > 127)::INT + CASE WHEN h0 >> 1 & 63 >= 48 THEN 2 WHEN h0 >> 1 & 63 BETWEEN 41 AND 47 THEN 1 ELSE 0 END + 2 * (h1 & 7 = 0)::INT ELSE 2 END AS hf,
+ CASE WHEN size > 0 THEN 2 * (h0 > 127)::INT + CASE WHEN h0 & 31 = 0 OR h0 & 31 >= 24 THEN 2 WHEN h0 & 31 IN (17, 18, 22, 23) THEN 1 ELSE 0 END ELSE 2 END AS af FROM su),
+sc AS (SELECT video, sum(CASE WHEN unit < 64 THEN hf ELSE 0 END)::BIGINT AS hevc_faults, sum(CASE WHEN unit < 64 THEN af ELSE 0 END)::BIGINT AS avc_faults FROM sf GROUP BY video),
+sk AS (SELECT *, CASE WHEN avc_faults < hevc_faults THEN 'avc' ELSE 'hevc' END AS codec FROM sc),
+sv AS (SELECT sf.*, codec, CASE WHEN codec = 'hevc' THEN CASE WHEN size > 1 THEN h0 >> 1 & 63 ELSE 0 END ELSE CASE WHEN size > 0 THEN h0 & 31 ELSE 0 END END AS nal_type,
+ CASE WHEN codec = 'hevc' THEN size > 1 AND h0 >> 1 & 63 < 32 ELSE size > 0 AND h0 & 31 BETWEEN 1 AND 5 END AS is_vcl, CASE WHEN codec = 'hevc' THEN size > 2 AND h2 > 127 ELSE size > 1 AND h1 > 127 END AS flag FROM sf JOIN sk USING (video)),
+sn AS (SELECT *, is_vcl AND flag AS au_start, CASE WHEN is_vcl THEN false WHEN codec = 'hevc' THEN nal_type IN (32, 33, 34, 35, 39, 41, 42, 43, 44) ELSE nal_type IN (6, 7, 8, 9, 13, 14, 15, 16) END AS opener,
+ count(CASE WHEN is_vcl THEN 1 END) OVER (PARTITION BY video ORDER BY unit) AS vcls FROM sv),
+sa AS (SELECT *, sum(CASE WHEN au_start OR (is_vcl AND vcls = 1) THEN 1 ELSE 0 END) OVER (PARTITION BY video ORDER BY unit) AS starts, sum(size + scl) OVER (PARTITION BY video ORDER BY unit) - size - scl AS "offset" FROM sn)"""
+
+
+def byte_streams(spark: SparkSession, d: str) -> DataFrame:
+    """Start codes of the made streams, written as files of some parts and read back by byte ranges."""
+    from ..sources import annexb, sinks, stores
+
+    folder = f"{stores.shared(spark)}/streams-{uuid.uuid4().hex}"
+    sinks.save(ad.byte_streams(spark, d), folder)
+    return annexb.read(spark, folder, 1 << 18)
+
+
+def video_of(path: str) -> Column:
+    return F.regexp_extract(path, r"([0-9]+)\.bin$", 1).cast("long").alias("video")
+
+
+@query('SELECT video, unit, "offset"::BIGINT AS "offset", scl AS start_code_len, size, nal_type, is_vcl, au_start, greatest(0, starts - CASE WHEN opener THEN 0 ELSE 1 END)::BIGINT AS au_id FROM sa', STREAMS)
+def byte_stream_units(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import annexb
+
+    return annexb.units(byte_streams(spark, d)).select(video_of("path"), *longs("unit", "offset", "start_code_len", "size", "nal_type"), "is_vcl", "au_start", *longs("au_id"))
+
+
+@query("SELECT sk.video, sk.codec, sk.hevc_faults, sk.avc_faults, n_units, n_vcl FROM sk JOIN (SELECT video, count(*) AS n_units, count_if(is_vcl)::BIGINT AS n_vcl FROM sv GROUP BY video) USING (video)", STREAMS)
+def byte_stream_codec(spark: SparkSession, d: str) -> DataFrame:
+    from ..sources import annexb
+
+    return annexb.streams(byte_streams(spark, d)).select(video_of("path"), "codec", *longs("hevc_faults", "avc_faults", "n_units", "n_vcl"))
+
+
 @query("""SELECT page_id, "offset", hex(page_bytes[("offset" + 1):("offset" + 16)]) AS hex FROM (SELECT page_id, encode(html) AS page_bytes, unnest(generate_series(0, strlen(html) - 1, 16)) AS "offset" FROM pages)""")
 def hex_dump(spark: SparkSession, d: str) -> DataFrame:
     from ..functions import nal

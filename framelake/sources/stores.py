@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import fnmatch
+import tempfile
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 
 
 def split(path: str) -> tuple[fs.FileSystem, str]:
@@ -37,3 +39,16 @@ def listed(path: str, endings: tuple[str, ...] = ()) -> list[tuple[str, int]]:
         fits = lambda name: fnmatch.fnmatchcase(name, pattern)
     found = system.get_file_info(fs.FileSelector(folder or ".", recursive=False))
     return sorted((prefix + f.path, f.size) for f in found if f.type == fs.FileType.File and f.base_name[0] not in "._" and fits(f.base_name))
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Only a local session may go without: it gets one of its own."""
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        own = sc.getConf().get("spark.checkpoint.dir")
+        if not own:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            own = tempfile.mkdtemp(prefix="framelake-shared-")
+        sc.setCheckpointDir(own)
+    return sc.getCheckpointDir()

@@ -13,21 +13,17 @@ def px(spark):
     return spark.createDataFrame([(v, f, x, y, n, n, n) for (v, f), n in LEVELS.items() for x in range(8) for y in range(8)], SCHEMA)
 
 
-def test_pairs(px):
-    rows = frames.with_previous(px, ["r"]).collect()
-    assert len(rows) == 2 * 64 and {(r.video, r.frame, r.p_r) for r in rows} == {("a", 1, 10), ("b", 1, 200)}
-
-
-@pytest.mark.parametrize("method", ["pixel", "stats"])
-def test_motion(px, method):
-    got = {(r.video, r.frame): (round(r.score, 6), r["class"]) for r in frames.motion(px, method=method).collect()}
+def test_motion(px):
+    got = {(r.video, r.frame): (round(r.score, 6), r["class"]) for r in frames.motion_by_stats(px).collect()}
     assert got == {("a", 1): (0.0, "static"), ("b", 1): (180.0, "full")}
 
 
-@pytest.mark.parametrize("algorithm,least", [("mad", 179.9), ("histogram", 0.9), ("ssim", 40.0)])
-def test_cuts(px, algorithm, least):
-    rows = frames.scene_cuts(px, algorithm).collect()
-    assert [(r.video, r.frame) for r in rows] == [("b", 1)] and rows[0].diff > least
+def test_frames_of_two_videos_stay_apart(px):
+    """By default a frame is named by its video and number."""
+    assert frames.histogram(px).count() == 4 * 256 and frames.block_stats(px).count() == 4 and frames.waveform(px, 8).count() == 4 * 8
+    assert frames.vectorscope(px, 8, 8).columns[:2] == ["video", "frame"] and frames.block_and_frame_stats(px, 4).count() == 4 * 5
+    assert {(r.video, r.frame): r.mean for r in frames.grid_summary(frames.block_stats(px), "mean").collect()}.keys() == LEVELS.keys()
+    assert frames.motion_summary(frames.motion_by_stats(px)).count() == 2
 
 
 def test_bad_frames(spark):

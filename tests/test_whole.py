@@ -59,7 +59,7 @@ def test_all_points(spark, small):
 
 def test_points_of_large_frames(spark):
     px = spark.createDataFrame([(0, x, y, x, y, 7) for x in range(6) for y in range(5)], "frame int, x int, y int, r int, g int, b int")
-    drawn = lambda most: sorted(r.y * 6 + r.x for r in frames.vectorscope(px, 6, 5, most=most).collect())
+    drawn = lambda most: sorted(r.y * 6 + r.x for r in frames.vectorscope(px, 6, 5, ["frame"], most).collect())
     assert [drawn(n) for n in (30, 29, 10, 4)] == [list(range(30)), list(range(30)), list(range(0, 30, 3)), list(range(0, 30, 7))]
 
 
