@@ -80,6 +80,31 @@ def byte_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return li.select(F.concat(video.cast("string"), F.lit(".bin")).alias("file"), F.row_number().over(order).cast("long").alias("seq"), F.unhex(F.concat(code, F.substring(head, F.lit(1), size * 2))).alias("data"))
 
 
+def meta_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meta data as JSON (doc, meta): a document an order, a frame a line item, one slice each. Some numbers are text, some lists are
+    numbers, and one document of eleven is cut off.
+    """
+    li = table(spark, sf_dir, "lineitem")
+    entry = lambda k: F.format_string('{"poc": %d, "long_term": %s, "label": "r%d"}', F.col("l_suppkey") % 32 + k, F.when(F.col("l_quantity") > 25, "true").otherwise("false"), k)
+    entries = F.array_join(F.transform(F.slice(F.array(F.lit(0), F.lit(1)), F.lit(1), (F.col("l_linenumber") % 3).cast("int")), entry), ",")
+    index = F.when(F.col("l_partkey") % 7 == 0, F.concat(F.lit('"'), F.col("l_partkey"), F.lit('"'))).otherwise(F.col("l_partkey").cast("string"))
+    header = F.format_string('[{"nal_unit_name": "%s", "slice_type_label": "%s", "nal_index": %s, "ref_list%d": [%s]}]', "l_returnflag", "l_linestatus", index, (F.col("l_partkey") % 2).cast("int"), entries)
+    frame = F.format_string('{"slice_headers": %s}', F.when(F.col("l_suppkey") % 13 == 0, "5").otherwise(header))
+    order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", "l_linestatus", frame.alias("frame"))
+    docs = li.groupBy(F.col("l_orderkey").alias("doc")).agg(F.sort_array(F.collect_list(order)).alias("f"), F.count(F.lit(1)).alias("n"))
+    sets = F.format_string('[{"kind": "SPS", "id": %d, "fields": {"z_count": %d, "Status": "s%d", "none": null, "sub": [1]}}, 3, {"kind": %d}]', F.col("doc") % 16, F.col("n"), F.col("n"), F.col("doc"))
+    whole = F.format_string('{"parameter_sets": %s, "frames_meta": [%s]}', sets, F.array_join(F.transform("f", lambda x: x["frame"]), ","))
+    return docs.select("doc", F.when(F.col("doc") % 11 == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).otherwise(whole).alias("meta"))
+
+
+def side_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Side rows of frames as JSON (decode_idx, aux): a frame an order."""
+    o = table(spark, sf_dir, "orders")
+    kind = F.when(F.col("o_orderstatus") == "F", "not_applied").when(F.col("o_orderstatus") == "O", "band").otherwise("")
+    row = F.format_string('{"sao": [{"x": %d, "type_y": "%s", "merge_up": %s}, 7]}', (F.col("o_custkey") % 8 * 64).cast("long"), kind, F.when(F.col("o_custkey") % 2 == 0, "true").otherwise("1"))
+    return o.select(F.col("o_orderkey").alias("decode_idx"), F.when(F.col("o_custkey") % 17 == 0, "{").otherwise(row).alias("aux"))
+
+
 def transforms(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.floor(F.col("l_orderkey") / 4096).alias("video"), F.col("l_orderkey").alias("decode_idx"), F.col("l_linenumber").cast("long").alias("block"), (F.col("l_linestatus") == "O").alias("has_abs_sum"), (F.col("l_returnflag") != "N").alias("has_nonzero"), (F.col("l_partkey") % 50 - 5).alias("abs_sum"), (F.col("l_suppkey") % 17).alias("nonzero"))

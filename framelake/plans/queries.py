@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, pixel
-from ..operators import correlate, frames as fr, grids, pairs as pr, telemetry as tm
+from ..operators import correlate, frames as fr, grids, metadata, pairs as pr, telemetry as tm
 from . import adapters as ad
 
 S = 64
@@ -605,6 +605,34 @@ def nal_units(spark: SparkSession, d: str) -> DataFrame:
     return nal.located(ad.table(spark, d, "documents").select("doc_id", data.alias("data")), ["doc_id"]).select("doc_id", *longs("unit", "offset"), "start_code_len", "size")
 
 
+# --- meta data ---------------------------------------------------------------------------------------------------
+
+META = """mf AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 AS decode_idx, * FROM lineitem WHERE l_orderkey % 11 <> 0),
+mh AS (SELECT * FROM mf WHERE l_suppkey % 13 <> 0), mb AS (SELECT DISTINCT l_orderkey AS doc FROM lineitem WHERE l_orderkey % 11 = 0)"""
+
+
+@query("SELECT doc, decode_idx, 0 AS slice, l_returnflag AS nal_unit_name, l_linestatus AS slice_type_label, CASE WHEN l_partkey % 7 <> 0 THEN l_partkey END AS nal_index, NULL AS error FROM mh UNION ALL SELECT doc, NULL, NULL, '', '', NULL, 'invalid JSON' FROM mb", META)
+def meta_slice_headers(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.slice_headers(ad.meta_documents(spark, d), ["doc"]).select("doc", "decode_idx", "slice", "nal_unit_name", "slice_type_label", "nal_index", "error")
+
+
+@query("SELECT doc, decode_idx, (l_partkey % 2)::INT AS list, k AS place, l_suppkey % 32 + k AS poc, l_quantity > 25 AS long_term, 'r' || k AS label FROM mh, LATERAL (SELECT unnest(range(l_linenumber % 3)) AS k) x", META)
+def meta_reference_lists(spark: SparkSession, d: str) -> DataFrame:
+    headers = metadata.slice_headers(ad.meta_documents(spark, d), ["doc"])
+    return metadata.reference_lists(headers, ["doc"]).select("doc", "decode_idx", "list", "place", "poc", "long_term", "label")
+
+
+@query("SELECT doc, 0 AS place, 'SPS' AS kind, doc % 16 AS id, name, value FROM (SELECT doc, count(*) AS n FROM mf GROUP BY doc), LATERAL (SELECT unnest(['z_count', 'Status']) AS name, unnest([n::VARCHAR, 's' || n]) AS value) x", META)
+def meta_parameter_fields(spark: SparkSession, d: str) -> DataFrame:
+    sets = metadata.parameter_sets(ad.meta_documents(spark, d), ["doc"])
+    return metadata.fields(sets, ["doc", "place", "kind", "id"], "t")
+
+
+@query("SELECT o_orderkey AS decode_idx, CASE WHEN o_custkey % 17 <> 0 THEN 0 END AS place, CASE WHEN o_custkey % 17 <> 0 THEN o_custkey % 8 * 64 ELSE 0 END AS x, o_custkey % 17 <> 0 AND o_orderstatus = 'O' AS applied, o_custkey % 17 <> 0 AND o_custkey % 2 = 0 AS merge_up, CASE WHEN o_custkey % 17 = 0 THEN 'invalid JSON' END AS error FROM orders")
+def side_offsets(spark: SparkSession, d: str) -> DataFrame:
+    return metadata.offsets(ad.side_documents(spark, d), ["decode_idx"]).select("decode_idx", "place", *longs("x"), "applied", "merge_up", "error")
+
+
 #: Units of made byte streams: a stream a video, a unit a block; header bytes of two and more, up to seven bytes in all.
 STREAMS = """su AS (SELECT l_orderkey // 4096 AS video, row_number() OVER (PARTITION BY l_orderkey // 4096 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS unit, 3 + l_suppkey % 2 AS scl,
  (2 + l_partkey % 250)::INT AS h0, (2 + l_suppkey % 200)::INT AS h1, (2 + l_quantity::BIGINT * 5 % 250)::INT AS h2, (l_linenumber * 3 + l_partkey) % 8 AS size FROM lineitem),
