@@ -1,10 +1,12 @@
 """Main text of web pages: boosted trees over DOM-node features, decoded along the tree.
 
 A page's elements are nodes with features: tag group, tokens of class, id and role, depth, place and share among
-siblings, text of the subtree, its density of links and tags, commas and stops. Text directly in a wrapper is a node
-by itself. Boosted trees give each node the log odds that it belongs to the article. Decoding is hierarchical: a
+siblings, text of the subtree, its density of links and tags, commas and stops. Inline elements (links, emphasis, spans)
+are no nodes: their text belongs to the element around them, so no link is cut out of a sentence. Text directly in a
+wrapper is a node by itself, with the inline elements in it. Boosted trees give each node the log odds that it belongs to the article. Decoding is hierarchical: a
 dropped node drops all below it, and among the consistent choices the one of greatest total likelihood is taken, by
-dynamic programming from the leaves up. So a menu inside an article goes and no paragraph of a dropped sidebar stays.
+dynamic programming from the leaves up. So a menu inside an article goes and no paragraph of a dropped sidebar stays. If
+that leaves no text though the page has an article or main element with text, or one named so, the likeliest choice with text of it is taken.
 
 There are no labels for pages: the trees are boosted, on the driver, on pages made by a fixed rule (`made_page`) in
 which the answer is known; their number is a parameter and doesn't depend on any table.
@@ -45,6 +47,8 @@ RAW = frozenset("script style textarea title iframe xmp noembed noframes".split(
 #: Their content is markup that is never part of the text.
 HIDING = frozenset("svg math object canvas template noscript".split())
 FOREIGN = frozenset(["svg", "math"])
+#: Their text is that of the element around them, unless they are hidden.
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rb rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 HEADED = frozenset("html head base link meta title style script noscript template".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: HTML elements that end an svg or math element left open.
@@ -75,6 +79,8 @@ class Node:
     cues: int = 0
     own: int = 0
     stops: int = 0
+    linked: int = 0
+    tags: int = 1
     hiding: bool = False
     mark: str = ""
     children: list[int] = field(default_factory=list)
@@ -90,7 +96,8 @@ class Page:
     def __init__(self, page: str, mark: str = ""):
         self.page, self.marked = page, re.compile(mark + r"=\"(\d)\"") if mark else None
         self.nodes, self.texts = [Node("html", -1, 0)], []
-        self.stack, self.open = [0], Counter()
+        #: tags of the open elements, and the node that text in each belongs to
+        self.stack, self.at, self.open = ["html"], [0], Counter()
         self.nearest: list[list[int]] = [[] for _ in CLOSES]
         self.block, self.head, self.unquoted = 0, False, -1
         self.ends: dict[str, int] = {}
@@ -105,13 +112,15 @@ class Page:
             if blank:
                 return
             self.head = False
-        at = self.stack[-1]
+        at = self.at[-1]
         if not blank and self.nodes[at].tag in WRAPPERS:
             block, node = self.loose.get(at, (-1, 0))
             if block != self.block:
                 node = self.add(Node(TEXT, at, len(self.stack)))
                 self.loose[at] = self.block, node
             at = node
+        if not blank and self.open["a"] > 0:
+            self.nodes[at].linked += len(piece)
         self.texts.append((at, self.block, html.unescape(piece) if "&" in piece else piece))
 
     def add(self, node: Node) -> int:
@@ -122,7 +131,8 @@ class Page:
     def pop_to(self, size: int) -> None:
         """Close elements until so many are open."""
         while len(self.stack) > size:
-            tag = self.nodes[self.stack.pop()].tag
+            tag = self.stack.pop()
+            self.at.pop()
             self.open[tag] -= 1
             for k in WATCHED.get(tag, ()):
                 self.nearest[k].pop()
@@ -131,7 +141,7 @@ class Page:
         """Close the innermost open element of that tag and what is open in it; nothing if there is none."""
         if self.open[tag] > 0:
             size = len(self.stack) - 1
-            while self.nodes[self.stack[size]].tag != tag:
+            while self.stack[size] != tag:
                 size -= 1
             self.pop_to(size)
 
@@ -243,9 +253,14 @@ class Page:
         if tag in BLOCK:
             self.block += 1
         k = RULE_OF.get(tag, 0 if tag in BLOCK else -1)
-        while k >= 0 and self.nearest[k] and self.nodes[self.stack[self.nearest[k][-1]]].tag in CLOSED[k]:
+        while k >= 0 and self.nearest[k] and self.stack[self.nearest[k][-1]] in CLOSED[k]:
             self.pop_to(self.nearest[k][-1])
-        node = Node(tag, self.stack[-1], len(self.stack), hiding=hiding)
+        if tag in INLINE and not (named and HIDDEN.search(named)):
+            self.nodes[self.at[-1]].tags += 1
+            if not closed:
+                self.enter(tag, self.at[-1])
+            return at
+        node = Node(tag, self.at[-1], len(self.stack), hiding=hiding)
         if named:
             for found in NAMED.finditer(named):
                 for word in WORD.findall((found[1] or found[2] or found[3] or "").lower()):
@@ -257,12 +272,16 @@ class Page:
                 node.mark = m[1]
         number = self.add(node)
         if not closed:
-            for rule in WATCHED.get(tag, ()):
-                self.nearest[rule].append(len(self.stack))
-            self.stack.append(number)
-            self.open[tag] += 1
+            self.enter(tag, number)
         return at
 
+    def enter(self, tag: str, number: int) -> None:
+        for rule in WATCHED.get(tag, ()):
+            self.nearest[rule].append(len(self.stack))
+        self.stack.append(tag)
+        self.at.append(number)
+        self.open[tag] += 1
+
 
 def parse(page: str, mark: str = "") -> tuple[list[Node], list[tuple[int, int, str]]]:
     """The elements in page order, the root first, and texts as (node, block number, text); blank texts stay."""
@@ -283,8 +302,8 @@ def features(nodes: list[Node], texts: list[tuple[int, int, str]]) -> np.ndarray
         node = nodes[i]
         total[i] += node.own
         stops[i] += node.stops
-        tags[i] += 1
-        links[i] = total[i] if node.tag == "a" else links[i]
+        tags[i] += node.tags
+        links[i] += node.linked
         paras[i] += node.tag == "p"
         articles[i] += node.tag in ("article", "main")
         heads[i] += node.tag == "h1"
@@ -373,12 +392,18 @@ def made_page(rng: random.Random) -> tuple[str, str]:
         return some(words(1, 4) + " ", f"{words(1, 2)} | ", f"{link()} ", f"<span>{words(1, 3)}</span> ")
 
     def body_block() -> str:
-        kind = rng.randrange(14)
+        kind = rng.randrange(17)
+        if kind == 14:  # links that belong to the text
+            return some(f"<h{(k := some(2, 3, 4))}{y}>{link()}</h{k}>", f"<p{y}>{link()}</p>", f"<p{y}>{words(1, 6)} {link()}, {words(1, 4)}.</p>", f"<ul{y}>" + "".join(f"<li{y}>{link()}</li>" for _ in range(rng.randint(1, 6))) + "</ul>", f"<ol{y}>" + "".join(f"<li{y}>{words(1, 3)} {link()} {words(0, 3)}.</li>" for _ in range(rng.randint(1, 5))) + "</ol>")
+        if kind == 15:
+            return some(f"<p{y}><b>{words(1, 2)}</b> <i>{words(1, 2)}</i></p>", f"<p{y}>{link()} {link()} {words(0, 2)}</p>", f"<p{y}><span>{words(1, 3)}</span></p>", f"<p{y}>{word()}.</p>", f"<h3{y}>{word()}</h3>", f"<blockquote{y}><p{y}>{link()}</p></blockquote>", f"<table{y}><tr{y}><td{y}>{link()}</td><td{y}>{word()}</td></tr></table>")
+        if kind == 16:
+            return f"<dl{y}><dt{y}>{words(1, 2)}</dt><dd{y}>{some(para(1, 1), link())}</dd></dl>"
         if kind < 7:
             inner = para()
             if rng.random() < 0.3:
-                inner += f"{some(f' <a href=x{y}>{words(1, 3)}</a>', f' <b{y}>{words(1, 5)}</b>', f' <em{y}>{word()}</em>')} {para(0, 2)}"
-            return some(f"<p{y}>{inner}</p>", f"<p{y}>{inner}</p>", f"<p{y}>{inner}", f"<p{y}><b{y}>{inner}<br>")
+                inner += f"{some(f' <a href=x>{words(1, 12)}</a>', f' <b>{words(1, 5)}</b>', f' <em>{word()}</em>')} {para(0, 2)}"
+            return some(f"<p{y}>{inner}</p>", f"<p{y}>{inner}</p>", f"<p{y}>{inner}", f"<p{y}><b>{inner}<br>")
         if kind == 7:
             return f"<h2{y}>{words(1, 6)}</h2>"
         if kind == 8:
@@ -390,19 +415,19 @@ def made_page(rng: random.Random) -> tuple[str, str]:
         if kind == 11:
             return f"<figure{y}><img src=x><figcaption{y}>{words(2, 9)}</figcaption></figure>"
         if kind == 12:
-            return f"{para(1, 4)}<br><br>{para(1, 3)}{some('', f' <a href=x{y}>{words(1, 2)}</a> ')}"
+            return f"{para(1, 4)}<br><br>{para(1, 3)}{some('', f' <a href=x>{words(1, 2)}</a> ')}"
         return some(f"<div{y}>{para(1, 3)}</div>", f"<p{y}>{words(1, 3)}.</p>", f"<pre{y}>{para(1, 2)}</pre>")
 
     if rng.random() < 0.06:  # nothing but text
         text = "\n\n".join(para() for _ in range(rng.randint(1, 5)))
-        return some((text, "1"), (f"<html><body{y}>{text}</body></html>", "2"), (f"<body{y}>{text} <b{y}>{words(1, 3)}</b> {para()}", "2"))
+        return some((text, "1"), (f"<html><body{y}>{text}</body></html>", "2"), (f"<body{y}>{text} <b>{words(1, 3)}</b> {para()}", "2"))
     parts = []
     if rng.random() < 0.8:
         parts.append(some(f"<h1{y}>{words(2, 9)}</h1>", f"<h1{y}>{words(2, 9)}</h1>", f"<header{y}><h1{y}>{words(2, 9)}</h1></header>"))
-    for _ in range(rng.choice([1, 1, 2, 3, 5, 8, 12])):
-        parts.append(body_block())
+    for _ in range(rng.choice([1, 1, 1, 2, 3, 5, 8, 12])):
+        parts.append(some(f"<p{y}>{words(1, 4)}.</p>", f"<p{y}>{words(1, 2)}.</p>") if rng.random() < 0.15 else body_block())
         if rng.random() < 0.25:
-            parts.append(junk(12))
+            parts.append(junk(11))  # what has no name and no tag of its own belongs to an article
     inside = "".join(parts)
     before, after = [junk() for _ in range(rng.randint(1, 4))], [junk() for _ in range(rng.randint(1, 4))]
     if rng.random() < 0.1 and "<br><br>" not in inside:  # no element of its own
@@ -424,7 +449,7 @@ def labels_of(nodes: list[Node], root: str) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def fit(pages: int = 400, seed: int = 11) -> Trees:
+def fit(pages: int = 700, seed: int = 11) -> Trees:
     rng = random.Random(seed)
     xs, ys = [], []
     for _ in range(pages):
@@ -432,11 +457,22 @@ def fit(pages: int = 400, seed: int = 11) -> Trees:
         nodes, texts = parse(page, "data-y")
         xs.append(features(nodes, texts)[1:])
         ys.append(labels_of(nodes, root)[1:])
-    return boost(np.concatenate(xs), np.concatenate(ys), rounds=40)
+    return boost(np.concatenate(xs), np.concatenate(ys), depth=4, rounds=70)
 
 
 def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     """The consistent choice of greatest likelihood: whether each node is kept; below a dropped one all are."""
+    chosen = consistent(nodes, margin)
+    if not any(c and n.own for c, n in zip(chosen, nodes)):
+        path = likeliest(nodes, margin)
+        if path:
+            forced = margin.copy()
+            forced[path] = 1e9
+            chosen = consistent(nodes, forced)
+    return chosen
+
+
+def consistent(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     n = len(nodes)
     keep, lose = [0.0] * n, [0.0] * n
     log1p = np.logaddexp(0, margin).tolist()
@@ -456,6 +492,26 @@ def decode(nodes: list[Node], margin: np.ndarray) -> list[bool]:
     return chosen
 
 
+def likeliest(nodes: list[Node], margin: np.ndarray) -> list[int]:
+    """The nodes from the root down to the one with text, in an article or main element or one named so, that are most likely
+    kept together; none without such text. Ties go to the first.
+    """
+    said = 1 << CUE["article"]
+    inside, odds = [False] * len(nodes), [0.0] * len(nodes)
+    best, found = -np.inf, -1
+    for i, node in enumerate(nodes):
+        up = node.parent
+        inside[i] = node.tag in ("article", "main") or bool(node.cues & said) or (up >= 0 and inside[up])
+        odds[i] = -np.inf if node.hiding else float(margin[i]) + odds[up] if up >= 0 else 0.0
+        if inside[i] and node.own and odds[i] > best:
+            best, found = odds[i], i
+    path = []
+    while found >= 0:
+        path.append(found)
+        found = nodes[found].parent
+    return path
+
+
 def joined(nodes: list[Node], texts: list[tuple[int, int, str]], chosen: list[bool]) -> str:
     blocks: list[list[str]] = []
     last = -1

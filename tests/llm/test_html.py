@@ -178,6 +178,52 @@ def test_pages_of_the_tables(trees):
         assert text == split(page[page.index("<article>") : page.index("</article>")])
 
 
+ARTICLE = "<html><body><nav><ul><li><a href=/>Home</a><li><a href=/w>World</a></ul></nav><article><h1>Rain is coming</h1><p>It will rain in the north tomorrow, and in the south on Friday.</p>{}<p>The wind turns to the west, said the office.</p></article><aside class=sidebar><h3>More</h3><ul><li><a href=/1>Cat found</a></ul></aside><footer>Imprint</footer></body></html>"
+LINKS = ["here", "the minister", "the minister said on Monday", "the minister said to reporters in the capital on Monday morning"]
+SENTENCES = ["As {}, it will rain.", "{} said so.", "See {}.", "It is, as {} told us last week, not the first time that the river has risen so far, and it won't be the last.", "{}", "Read {} and {}"]
+INSERTED = [
+    *((f"<p>{t.replace('{}', f'<a href=/z>{a}</a>')}</p>", [t.replace("{}", a)]) for t in SENTENCES for a in LINKS),
+    *((f"<ul><li>{t.replace('{}', f'<a href=/z>{a}</a>')}<li>Second.</ul>", [t.replace("{}", a), "Second."]) for t in SENTENCES for a in LINKS),
+    *((f"<h{k}><a href=#x>Section heading</a></h{k}>", ["Section heading"]) for k in (2, 3)),
+    ("<ul><li><a href=/1>First report</a></li><li><a href=/2>Second report</a></li><li><a href=/3>Third</a></li></ul>", ["First report", "Second report", "Third"]),
+    ("<p><b>alpha</b> <i>beta</i></p>", ["alpha beta"]), ("<p><span>one</span><em> two</em> <code>three</code></p>", ["one two three"]), ("<p>Short.</p>", ["Short."]),
+    ("<p>Shown <span style='display:none'>hidden words</span>again.</p>", ["Shown again."]), ("<div class=advertisement>Buy <b>now</b>, it is cheap.</div>", []), ("<nav><a href=/1>One</a> <a href=/2>Two</a></nav>", []),
+]
+
+
+@pytest.mark.parametrize("k", range(len(INSERTED)))
+def test_inline_elements_stay_with_their_block(trees, k):
+    piece, want = INSERTED[k]
+    text = ["Rain is coming", "It will rain in the north tomorrow, and in the south on Friday.", *want, "The wind turns to the west, said the office."]
+    assert html_extract.extract_all([ARTICLE.format(piece)], trees)[0].split("\n\n") == text
+
+
+@pytest.mark.parametrize("inside,want", [("<p>Short.</p>", "Short."), ("<h1>Rain</h1><p>It rained.</p>", "Rain\n\nIt rained."), ("<p><a href=/x>A link</a></p>", "A link"), ("Bare.", "Bare.")])
+@pytest.mark.parametrize("around", ["<article>{}</article>", "<html><body><main><article>{}</article></main></body></html>", "<body><nav><a href=/a>Home</a> <a href=/b>News</a></nav><article>{}</article><footer>Imprint</footer></body>"])
+def test_short_articles(trees, inside, want, around):
+    assert html_extract.extract_all([around.format(inside)], trees) == [want]
+
+
+def test_pages_without_an_article(trees):
+    pages = ["<body><nav><a href=/a>Home</a> <a href=/b>News</a></nav><footer>Imprint</footer></body>", "<form><button>Send</button></form>", "<article><p hidden>no</p></article>"]
+    assert html_extract.extract_all(pages[:2], trees) == ["", ""]
+
+
+def test_decoding_is_the_best_consistent_choice():
+    """Against all choices of small trees."""
+    import itertools
+
+    rng = random.Random(4)
+    for _ in range(150):
+        n = rng.randint(1, 8)
+        nodes = [html_extract.Node("div", rng.randrange(i) if i else -1, 0, hiding=i > 0 and rng.random() < 0.1, own=1) for i in range(n)]
+        margin = np.array([rng.gauss(0, 2) for _ in range(n)])
+        margin[0] = 5
+        score = lambda c: sum(-np.logaddexp(0, -m if k else m) for m, k in zip(margin, c))  # noqa: E731, B023
+        legal = [c for c in itertools.product([False, True], repeat=n) if c[0] and all(not c[i] or c[nodes[i].parent] and not nodes[i].hiding for i in range(1, n))]
+        assert html_extract.decode(nodes, margin) == list(max(legal, key=score))
+
+
 def test_made_pages(trees):
     """Pages by the rule that the trees haven't seen: precision and recall of nodes, and no kept node below a dropped one."""
     rng = random.Random(99)
