@@ -5,8 +5,8 @@ A-Z is lower-cased and everything but digits, letters a-z and bytes from 0x80 on
 each, so a pattern is a string of `window` letters, and a text, with one letter for a word, is scanned once; hits are
 mapped back to code points of the original.
 
-The patterns are made in Spark: a table of each pattern's words and the sorted ids of its items. Its size is counted;
-up to `shard_words` words it is one automaton, broadcast and built once in each worker. Beyond, patterns are dealt by
+The patterns are made in Spark: a table of each pattern's words and the sorted ids of its items, of a pattern in more than
+about `ITEMS` items as several rows. Words and ids are counted; up to `shard_words` of them it is one automaton, broadcast and built once in each worker. Beyond, patterns are dealt by
 their hash into shards of that size, collected and broadcast one at a time, and each shard scans the documents in a job of
 its own, whose hits alone are stored; then the hits of a row are put together. So neither the driver nor a worker holds
 more than one shard, however large the benchmark is.
@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Words of the patterns in one automaton, which takes about 60 bytes a word in a worker.
+#: Words and item ids of the patterns in one automaton, which takes about 60 bytes a word in a worker.
 SHARD_WORDS = 1_000_000
+#: Item ids of a pattern that stay in one row.
+ITEMS = 1_000
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: Of bytes: A-Z to a-z, other separators to spaces.
 FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -50,7 +52,9 @@ def words(text: str) -> list[bytes]:
 
 
 def patterns(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """The distinct patterns: words (joined by spaces, as bytes), their number n, and the sorted ids of their items."""
+    """The distinct patterns: words (joined by spaces, as bytes), their number n, and the sorted ids of their items. Items are dealt
+    into parts of about ITEMS, and a pattern has a row for each part that it occurs in.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
@@ -60,7 +64,9 @@ def patterns(benchmark: DataFrame, item_col: str, text_col: str, window: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(runs, pa.binary()), pa.array([min(window, len(w))] * len(runs), pa.int32()), pa.array([item] * len(runs), pa.string())], ["words", "n", "item"])
 
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
-    return items.mapInArrow(run, "words binary, n int, item string").groupBy("words").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("item")).alias("items"))
+    parts = max(1, -(-items.count() // ITEMS))
+    rows = items.mapInArrow(run, "words binary, n int, item string").withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts)))
+    return rows.groupBy("words", "part").agg(F.max("n").alias("n"), F.sort_array(F.collect_set("item")).alias("items"))
 
 
 class Scanner:
@@ -73,7 +79,8 @@ class Scanner:
             for w in text.split():
                 if w not in self.letters:
                     self.letters[w] = chr(LETTERS[len(self.letters)])
-            self.automaton.add_word("".join(map(self.letters.__getitem__, text.split())), (n, items))
+            key = "".join(map(self.letters.__getitem__, text.split()))
+            self.automaton.add_word(key, (n, self.automaton.get(key, (n, []))[1] + items))
         if len(self.automaton):
             self.automaton.make_automaton()
 
@@ -166,12 +173,12 @@ def put_together(rows: DataFrame) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 13, shard_words: int = SHARD_WORDS) -> DataFrame:
     """Per row: the id, n_words, n_hit, the sorted ids of the items found (as strings), and the hit spans [start, end) in code points."""
     known = common.stored(patterns(benchmark, item_col, item_text_col, window))
-    shards = max(1, math.ceil((known.agg(F.sum("n").alias("n")).first()["n"] or 0) / shard_words))
+    shards = max(1, math.ceil((known.agg(F.sum(F.col("n") + F.size("items")).alias("n")).first()["n"] or 0) / shard_words))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def broadcast(shard: int) -> tuple[str, Broadcast]:
-        """The patterns of a shard, about shard_words words, and a name for them."""
-        group = sorted((bytes(r[0]), r[1], r[2]) for r in known.where(F.pmod(F.xxhash64("words"), F.lit(shards)) == shard).select("words", "n", "items").collect())
+        """The patterns of a shard, about shard_words words and ids, and a name for them."""
+        group = sorted((bytes(r[0]), r[1], r[2]) for r in known.where(F.pmod(F.xxhash64("words", "part"), F.lit(shards)) == shard).select("words", "n", "items").collect())
         return hashlib.sha1(pickle.dumps(group)).hexdigest(), docs.sparkSession.sparkContext.broadcast(group)
 
     if shards == 1:

@@ -39,12 +39,41 @@ def node(rest: str) -> str:
 
 
 REST = "CASE WHEN instr({0}, '://') > 0 THEN substr({0}, instr({0}, '://') + 3) ELSE '' END"
-TARGET = r"""unnest([regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*?\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*?\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)])"""
+#: Attribute values, with the references that addresses hold decoded.
+def attr(tag: str, name: str) -> str:
+    each = rf"""list_filter(regexp_extract_all({tag}, '(?is)[^\s"''>/=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''>]+)'), lambda a: regexp_matches(a, '(?i)^{name}\s*='))[1]"""
+    value = " || ".join(rf"""regexp_extract(coalesce({each}, ''), '(?s)^[^=]*=\s*(?:"([^"]*)"|''([^'']*)''|(.*))$', {k})""" for k in (1, 2, 3))
+    for plain, written in (("&", "amp|#38|#x0*26"), ("/", "sol|#47|#x0*2f"), (":", "colon|#58|#x0*3a"), (".", "period|#46|#x0*2e")):
+        value = f"regexp_replace({value}, '(?i)&(?:{written});', '{plain}', 'g')"
+    return value
+
+
+def seen_from(base: str, target: str) -> str:
+    t = f"regexp_replace(trim({target}), '#.*$', '')"
+    before, folder = f"regexp_extract({base}, '^(.*?://[^/?#]*)', 1)", f"regexp_replace(regexp_extract({base}, '^.*?://[^/?#]*([^?#]*)', 1), '[^/]*$', '')"
+    return f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN {t} WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN NULL WHEN starts_with({t}, '//') THEN 'http:' || {t} WHEN {before} = '' OR {t} = '' THEN NULL
+ WHEN starts_with({t}, '/') THEN {before} || {t} WHEN starts_with({t}, '?') THEN regexp_replace({base}, '[?#].*$', '') || {t} ELSE {before} || CASE WHEN {folder} = '' THEN '/' ELSE {folder} END || {t} END"""
+
+
+def straight(url: str) -> str:
+    steps = f"string_split(regexp_extract({url}, '^.*?://[^/?#]*/?([^?#]*)', 1), '/')"
+    walk = f"list_reduce({steps}, lambda d, s: CASE WHEN s = '..' THEN regexp_replace(d, '/[^/]*$', '') WHEN s = '.' THEN d ELSE d || '/' || s END, '')"
+    return f"CASE WHEN regexp_matches({url}, '/\\.{{1,2}}(/|[?#]|$)') THEN regexp_extract({url}, '^(.*?://[^/?#]*)', 1) || {walk} || regexp_extract({url}, '([?][^#]*)', 1) ELSE {url} END"
+
+
+#: What is no markup, in the order in which it can begin; RE2 has no back references.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|$)|" + "|".join(rf"<{t}\b.*?(?:</{t}\s*>|$)" for t in "script style textarea title xmp iframe noembed noframes".split())
+TAGS = r"""(?is)<(?:link|meta|base)\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>"""
 OP8 = rf"""WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce({REST.format('url')}, '') AS rest FROM pages),
-q AS (SELECT page_id, html, {A_TO_Z.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {node('rest')} AS node FROM p),
+q AS (SELECT page_id, url, html, {A_TO_Z.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {node('rest')} AS node FROM p),
 j AS (SELECT *, {rule_case('rule')} AS rule, {rule_case('verdict')} AS own FROM q),
-t AS (SELECT host, node AS a, {TARGET} AS target FROM j),
-u AS (SELECT a, CASE WHEN instr(target, '://') > 0 THEN substr(target, instr(target, '://') + 3) WHEN starts_with(target, '//') THEN substr(target, 3) WHEN starts_with(target, '/') THEN host || target END AS rest FROM t WHERE target <> ''),
+g AS (SELECT url, node AS a, regexp_extract_all(regexp_replace(html, '{NO_MARKUP}', ' ', 'g'), '{TAGS}') AS tags FROM j),
+k AS (SELECT url, a, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base\\b')), lambda t: {attr('t', 'href')}), lambda v: v <> '')[1] AS based,
+ unnest(list_concat(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<link\\b') AND list_contains(regexp_split_to_array(lower({attr('t', 'rel')}), '\\s+'), 'canonical')), lambda t: {attr('t', 'href')}),
+ list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<meta\\b') AND lower(trim({attr('t', 'http-equiv')})) = 'refresh'), lambda t: regexp_extract({attr('t', 'content')}, '(?is)\\burl\\s*=\\s*["'']?([^"'']+)', 1)))) AS target FROM g),
+kb AS (SELECT a, target, {seen_from('url', 'based')} AS rb, url FROM k WHERE target <> ''), kc AS (SELECT a, target, coalesce({straight('rb')}, url) AS base FROM kb),
+kd AS (SELECT a, {seen_from('base', 'target')} AS far FROM kc), ke AS (SELECT a, {straight('far')} AS far FROM kd),
+u AS (SELECT a, substr(far, instr(far, '://') + 3) AS rest FROM ke WHERE far IS NOT NULL),
 e AS (SELECT DISTINCT a, {node('rest')} AS b FROM u WHERE rest IS NOT NULL), e2 AS (SELECT a, b FROM e WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM e WHERE a IS NOT NULL AND b IS NOT NULL),
 n AS (SELECT node, own FROM j WHERE node IS NOT NULL UNION ALL SELECT {node('rest')}, {rule_case('verdict', A_TO_Z.format("regexp_extract(rest, '^[^/?#]*')"), "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)")} FROM u WHERE rest IS NOT NULL),
 reach(x, y) AS (SELECT DISTINCT node, node FROM n UNION SELECT r.x, e2.b FROM reach r JOIN e2 ON e2.a = r.y),

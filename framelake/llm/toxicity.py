@@ -14,6 +14,7 @@ have any name. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import Counter
@@ -99,11 +100,12 @@ class Matcher:
             if (not start or not folded[start - 1].isalnum()) and not (whole and end + 1 < n and folded[end + 1].isalnum()) and weight > best.get(start, 0):
                 best[start] = weight
         if best and len(self.spared):
+            starts = sorted(best)
             for end, length in self.spared.iter(folded):
                 start = end - length + 1
                 if (not start or not folded[start - 1].isalnum()) and not (end + 1 < n and folded[end + 1].isalnum()):
-                    for at in [at for at in best if start <= at <= end]:
-                        del best[at]
+                    for at in starts[bisect.bisect_left(starts, start) : bisect.bisect_right(starts, end)]:
+                        best.pop(at, None)
         return best
 
     def features(self, text: str) -> tuple[float, float]:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import dropped, let, stored
 from .components import components
 
 
@@ -66,23 +66,70 @@ def fitting(host_: Column, path_: Column, rules: list[Rule]) -> tuple[Column, Co
     return name, verdict
 
 
-def absolute(url: Column, target: Column) -> Column:
-    """A link's target as an address, if it is one or starts with a slash."""
-    return F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(F.lit("http:"), target)).when(target.startswith("/"), F.concat(F.lit("http://"), host(url), target))
+def seen_from(base: str, target: str) -> Column:
+    """A target (a column, trimmed and without fragment) as an address, seen from a base address; null for none, and for schemes
+    without ://.
+    """
+    b, t = F.col(base), F.col(target)
+    before = F.regexp_extract(b, r"^(.*?://[^/?#]*)", 1)
+    folder = F.regexp_replace(F.regexp_extract(b, r"^.*?://[^/?#]*([^?#]*)", 1), "[^/]*$", "")
+    whole = F.when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), t).when(t.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(t.startswith("//"), F.concat(F.lit("http:"), t)).when((before == "") | (t == ""), None)
+    whole = whole.when(t.startswith("/"), F.concat(before, t)).when(t.startswith("?"), F.concat(F.regexp_replace(b, "[?#].*$", ""), t))
+    return whole.otherwise(F.concat(before, F.when(folder == "", "/").otherwise(folder), t))
+
+
+def straight(url: Column) -> Column:
+    """An address without the steps . and .. in its path."""
+    steps = F.split(F.regexp_extract(url, r"^.*?://[^/?#]*/?([^?#]*)", 1), "/", -1)
+    walked = F.aggregate(steps, F.lit(""), lambda done, step: F.when(step == "..", F.regexp_replace(done, "/[^/]*$", "")).when(step == ".", done).otherwise(F.concat(done, F.lit("/"), step)))
+    return F.when(url.rlike(r"/\.{1,2}(/|[?#]|$)"), F.concat(F.regexp_extract(url, r"^(.*?://[^/?#]*)", 1), walked, F.regexp_extract(url, r"([?][^#]*)", 1))).otherwise(url)
+
+
+#: Comments, and elements whose content is not markup; what isn't closed goes on to the end.
+NO_MARKUP = r"(?is)<!--.*?(?:-->|$)|<(script|style|textarea|title|xmp|iframe|noembed|noframes)\b.*?(?:</\1\s*>|$)"
+#: Whole tags that name addresses; quoted values are taken whole.
+TAGS = r"(?is)<(?:link|meta|base)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"
+REFERENCES = [("&", r"(?i)&(?:amp|#38|#x0*26);"), ("/", r"(?i)&(?:sol|#47|#x0*2f);"), (":", r"(?i)&(?:colon|#58|#x0*3a);"), (".", r"(?i)&(?:period|#46|#x0*2e);")]
+
+
+#: Attributes with their values, read one after another, so that none is found within the value of another.
+ATTRIBUTES = r"(?is)[^\s\"'>/=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, character references that addresses hold decoded; empty without one."""
+    one = F.get(F.filter(F.regexp_extract_all(tag, F.lit(ATTRIBUTES), F.lit(0)), lambda a: a.rlike(rf"(?i)^{name}\s*=")), F.lit(0))
+    value = let(F.coalesce(one, F.lit("")), lambda a: F.concat(*(F.regexp_extract(a, r"(?s)^[^=]*=\s*(?:\"([^\"]*)\"|'([^']*)'|(.*))$", k) for k in (1, 2, 3))))
+    for plain, written in REFERENCES:
+        value = F.regexp_replace(value, written, plain)
+    return value
 
 
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """The edges (a, b) of canonical links and page redirects, as nodes, with the urls that they come from."""
-    tag = lambda name, key, value: F.regexp_extract(html_col, rf"(?is)<{name}\b[^>]*?\b{key}\s*=\s*[\"']?{value}\b[^>]*>", 0)
-    canonical = F.regexp_extract(tag("link", "rel", "canonical"), r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    refresh = F.regexp_extract(tag("meta", "http-equiv", "refresh"), r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    named = pages.where(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("url"), F.explode(F.array(canonical, refresh)).alias("target"))
-    return usable(named.where("target <> ''").select("url", absolute(F.col("url"), F.col("target"))))
+    """The edges (a, b) of canonical links and page redirects, as nodes, with the urls that they come from.
+
+    All of a page's are taken: links whose rel holds the word canonical, and refreshes with an address. Targets may be relative, to the
+    page's first base address if it has one. What stands in comments, scripts and the like names nothing.
+    """
+    named = pages.where(F.col(html_col).rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("url"), F.regexp_extract_all(F.regexp_replace(html_col, NO_MARKUP, " "), F.lit(TAGS), F.lit(0)).alias("tags"))
+    of = lambda name: F.filter("tags", lambda t: t.rlike(rf"(?i)^<{name}\b"))
+    words = lambda t: F.split(F.lower(attribute(t, "rel")), r"\s+")
+    canonical = F.transform(F.filter(of("link"), lambda t: F.array_contains(words(t), "canonical")), lambda t: attribute(t, "href"))
+    refresh = F.transform(F.filter(of("meta"), lambda t: F.lower(F.trim(attribute(t, "http-equiv"))) == "refresh"), lambda t: F.regexp_extract(attribute(t, "content"), r"(?is)\burl\s*=\s*[\"']?([^\"']+)", 1))
+    based = F.get(F.filter(F.transform(of("base"), lambda t: attribute(t, "href")), lambda v: v != ""), F.lit(0))
+    # a step a column, so that no expression is written out over and over
+    plain = lambda t: F.regexp_replace(F.trim(t), "#.*$", "")
+    found = named.select("url", plain(based).alias("based"), F.concat(canonical, refresh).alias("targets"))
+    bases = found.select("url", seen_from("url", "based").alias("base"), "targets").select("url", F.coalesce(straight(F.col("base")), F.col("url")).alias("base"), F.explode("targets").alias("target"))
+    ends = bases.where("target <> ''").select("url", "base", plain(F.col("target")).alias("target")).select("url", seen_from("base", "target").alias("far"))
+    return usable(ends.select("url", straight(F.col("far"))))
 
 
 def usable(edges: DataFrame) -> DataFrame:
     """Edges of two urls as nodes, without those that have no address or stay where they are."""
-    ends = edges.toDF("a_url", "b_url").withColumn("a", node(F.col("a_url"))).withColumn("b", node(F.col("b_url")))
+    # made by a generator, so that the filter isn't pushed below, where it would repeat the expressions
+    both = F.explode(F.array(F.struct(node(F.col("a_url")).alias("a"), node(F.col("b_url")).alias("b"))))
+    ends = edges.toDF("a_url", "b_url").select("a_url", "b_url", both.alias("ends")).select("a_url", "b_url", "ends.a", "ends.b")
     return ends.where("a is not null and b is not null and a <> b").distinct()
 
 
@@ -105,12 +152,20 @@ def url_filter(pages: DataFrame, rules: list[Rule] | None = None, redirects: Dat
         decided = decided.union(ends.select("node", fitting(host(F.col("url")), path(F.col("url")), rules)[1].alias("own")))
     flags = lambda df: df.groupBy("node").agg(F.max((F.col("own") == "block").cast("int")).alias("block"), F.max((F.col("own") == "allow").cast("int")).alias("allow"))
     by_node = flags(decided)
-    if not edges.isEmpty():
+    linked = not edges.isEmpty()
+    if linked:
         of = components(edges)
         by_node = by_node.join(of.withColumnRenamed("node", "end"), F.col("node") == F.col("end"), "left").withColumn("component", F.coalesce("component", "node"))
         total = by_node.groupBy("component").agg(F.max("block").alias("block"), F.max("allow").alias("allow"))
         by_node = by_node.select("node", "component").join(total, "component")
     blocked = by_node.where("block = 1 and coalesce(allow, 0) = 0").select(F.col("node").alias("alias"))
-    out = judged.join(blocked, F.col("node") == F.col("alias"), "left")
+    # rows without an address, or with a rule of their own, need no look-up
+    open_ = judged.where("node is not null and own is null").join(blocked, F.col("node") == F.col("alias"), "left")
+    rest = judged.where("node is null or own is not null").withColumn("alias", F.lit(None).cast("string"))
     final = F.coalesce("own", F.when(F.col("alias").isNotNull(), "block").otherwise("allow"))
-    return out.select(id_col, "host", "path", "rule", final.alias("verdict"))
+    out = open_.select(*judged.columns, "alias").union(rest.select(*judged.columns, "alias")).select(id_col, "host", "path", "rule", final.alias("verdict"))
+    if linked:
+        out = stored(out)
+        dropped(of)
+        dropped(edges)
+    return out

@@ -18,7 +18,7 @@ SF, BIGGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 def test_sql(spark):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark"):
+    for t in ("documents", "pages", "benchmark", "conversations", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLES.items():
         got = queries.queries()[name](spark, SF)
@@ -34,8 +34,11 @@ def test_held_out(spark, name, label, least):
     scored = queries.queries()[name](spark, BIGGER)
     assert scored.count() == spark.read.parquet(f"{BIGGER}/documents.parquet").count()
     assert scored.where("score < 0 or score > 1 or score is null").count() == 0
-    right = scored.where("held_out").join(labels, "doc_id").agg(F.avg((F.col("predicted") == F.col(label)).cast("double"))).first()[0]
-    assert right >= least
+    seen = scored.where("held_out").join(labels.where(F.col(label).isNotNull()), "doc_id").select("predicted", F.col(label).alias("label")).collect()
+    hit = sum(r.predicted == r.label == 1 for r in seen)
+    assert sum(r.predicted == r.label for r in seen) >= least * len(seen)
+    # a constant answer has a recall or a precision of nought
+    assert hit >= 0.6 * sum(r.label for r in seen) > 0 and hit >= 0.8 * sum(r.predicted for r in seen)
 
 
 def test_folding_and_exceptions():
@@ -162,6 +165,115 @@ def test_urls(spark):
     assert url_filter.url_filter(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+LINKED = {
+    "https://one.dev/a/b/start": '<link rel="alternate canonical" href="../es/y">', "https://two.dev/x": '<base href="http://b.org/es/"><link rel=canonical href=z>',
+    "https://three.dev/": '<!-- <link rel=canonical href="http://x.org/es/1"> -->', "https://four.dev/": "<script>var s = '<link rel=canonical href=\"http://x.org/es/2\">'</script>",
+    "https://five.dev/": '<link rel=canonical href="http://six.dev/q?a=1&amp;b=2"><link rel="canonical" href="http://x.org/es/3">', "http://six.dev/q?a=1&b=2": "",
+    "https://seven.dev/p/q": '<meta content="0; URL=\'./../../r/s\'" http-equiv=Refresh>', "https://seven.dev/r/s": '<link href="//d.com/en/" data-href="/no" REL=" Canonical ">', "https://eight.dev/x?y=1": '<link rel=canonical href="?z=2#f">',
+    "https://nine.dev": '<link rel=canonical href="mailto:a@b.org"><link rel=canonical href="javascript:x"><link rel=canonical href="#top"><link rel=canonical>', "https://ten.dev/k": '<link rel=canonicals href=/en/><link title="rel=canonical" href="http://x.org/es/4">', "https://eleven.dev/k": '<link rel=canonical href="http&#58;&#x2F;&#47;y.org/es/">',
+    "https://b.org/es/z": "", "https://twelve.dev/w": '<textarea><link rel=canonical href="http://x.org/es/5"></textarea><LINK title="a > b" REL=CANONICAL HREF = https://one.dev/a/b/start >',
+}
+
+
+def read_links(url, page):
+    """The targets of a page by the standard library's parser."""
+    from html.parser import HTMLParser
+    from urllib.parse import urldefrag, urljoin
+
+    class Reader(HTMLParser):
+        base, found, inside = url, (), 0
+
+        def handle_starttag(self, tag, attrs):
+            a = {}
+            for k, v in attrs:
+                a.setdefault(k, v or "")
+            self.inside += tag in ("textarea", "title")
+            if tag == "base" and a.get("href") and self.base == url:
+                self.base = urljoin(url, a["href"])
+            elif tag == "link" and not self.inside and "canonical" in a.get("rel", "").lower().split():
+                self.found += (a.get("href", ""),)
+            elif tag == "meta" and a.get("http-equiv", "").lower() == "refresh" and (m := re.search(r"(?i)url\s*=\s*['\"]?([^'\"]+)", a.get("content", ""))):
+                self.found += (m[1],)
+
+        def handle_endtag(self, tag):
+            self.inside -= tag in ("textarea", "title")
+
+    own = Reader()
+    own.feed(page)
+    return {u for t in own.found if t.strip() and not t.startswith("#") and "://" in (u := urldefrag(urljoin(own.base, t.strip()))[0])}
+
+
+def test_links_of_pages(spark):
+    from urllib.parse import urlsplit
+
+    def place(url):
+        at = urlsplit(url)
+        return at.netloc.lower() + at.path.rstrip("/") + ("&" + at.query if at.query else "")
+
+    rows = [(i, u, h, "x") for i, (u, h) in enumerate(LINKED.items())] + [(99, None, '<link rel=canonical href="/z">', "x"), (98, "https://one.dev/a/b/start", None, "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, node string")
+    got = {(r.a, r.b) for r in url_filter.links(pages).collect()}
+    want = {(place(u), place(t)) for u, h in LINKED.items() for t in read_links(u, h) if place(u) != place(t)}
+    assert got == want and len(want) >= 8
+    judged = {r.page_id: r.verdict for r in url_filter.url_filter(pages).collect()}
+    blocked = {"https://two.dev/x", "https://five.dev/", "http://six.dev/q?a=1&b=2", "https://seven.dev/p/q", "https://seven.dev/r/s", "https://eleven.dev/k", "https://b.org/es/z"}
+    assert {u for i, u in enumerate(LINKED) if judged[i] == "block"} == blocked
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    assert {r[0]: r[-1] for r in con.execute(ORACLES["op8_url_filter"]).fetchall()} == judged
+
+
+def test_long_html_and_repeats(spark):
+    page = "<link rel=canonical href='http://q.org/es/'>" + "<p class='x'>text</p>" * 100_000 + '<!-- open "' + "<meta a='" * 1000
+    rows = [(1, "http://l.dev/", page), (1, "http://l.dev/", page), (2, "http://m.dev/", "<link " + "a" * 300_000 + "='x' rel=canonical href=http://l.dev>")]
+    got = url_filter.url_filter(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert [r.verdict for r in got] == ["block"] * 3
+
+
+def test_matches_equal_a_naive_scan():
+    rng = random.Random(12)
+    words = ["idiot", "idiots", "scam", "scampi", "village", "a", "scamp", "id"]
+    lexicon = toxicity.Lexicon({"=idiot": 5.0, "scam": 4.0, "idi": 2.0, "=scamp": 6.0}, ["scampi", "village idiot", "idiot a", "a scam"])
+    m = toxicity.Matcher(lexicon)
+    for _ in range(300):
+        text = " ".join(rng.choice(words) for _ in range(rng.randrange(12)))
+        inside = lambda k: 0 <= k < len(text) and text[k].isalnum()  # noqa: E731, B023
+        want = {}
+        for at in range(len(text)):
+            for term, weight in lexicon.weights.items():
+                t = term.lstrip("=")
+                if text.startswith(t, at) and not inside(at - 1) and not (term[0] == "=" and inside(at + len(t))):
+                    want[at] = max(want.get(at, 0), weight)
+        for phrase in lexicon.exceptions:
+            for at in range(len(text)):
+                if text.startswith(phrase, at) and not inside(at - 1) and not inside(at + len(phrase)):
+                    want = {k: v for k, v in want.items() if not at <= k < at + len(phrase)}
+        assert m.matches(text) == want
+
+
+def test_long_texts_take_time_in_proportion():
+    import time
+
+    m, took = toxicity.Matcher(toxicity.Lexicon({"=idiot": 5.0}, ["village idiot"], (-3.0, 2.0, 0.5))), []
+    for n in (4_000, 40_000):
+        began = time.perf_counter()
+        assert m.matches("village idiot idiot " * n) and m.score("idiot " * n) > 0.5
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * took[0] + 0.2
+
+
+def test_patterns_in_many_items(spark):
+    """A passage in more items than a row holds: the ids are dealt, and all are found."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    items = spark.createDataFrame([(f"i{k:05d}", passage) for k in range(2500)] + [("short", "one two")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "before " + passage + " after"), (2, "one two three"), (3, "nothing"), (4, None)], "doc_id long, text string")
+    parts = decontam.patterns(items, "item_id", "text", 13)
+    assert parts.agg(F.max(F.size("items"))).first()[0] < 1200
+    for shard in (decontam.SHARD_WORDS, 3000):
+        got = {r.doc_id: r for r in decontam.contamination(docs, items, shard_words=shard).collect()}
+        assert got[1].item_ids == [f"i{k:05d}" for k in range(2500)] and got[1].n_hit == 20 and got[2].item_ids == ["short"] and got[3].item_ids == [] and got[4].n_words == 0
+
+
 def test_html(spark):
     trees = html_extract.fit()
     page = "<html><head><title>T</title></head><body><nav><ul><li><a href=x>Home</a></ul></nav><article><h1>Big  News</h1><p>First &amp; second,\n with <b>bold</b> text. It goes on for a while, as texts do.<p>Third<br>line of the article, which is not short.</article><div class=comments><p>Me too.</p></div><footer>&copy; all</footer><script>var a='<p>no</p>'</script></body></html>"
