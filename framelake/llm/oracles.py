@@ -68,9 +68,9 @@ OP8 = rf"""WITH RECURSIVE p AS (SELECT page_id, url, html, coalesce({REST.format
 q AS (SELECT page_id, url, html, {A_TO_Z.format("regexp_extract(rest, '^[^/?#]*')")} AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, {node('rest')} AS node FROM p),
 j AS (SELECT *, {rule_case('rule')} AS rule, {rule_case('verdict')} AS own FROM q),
 g AS (SELECT url, node AS a, regexp_extract_all(regexp_replace(html, '{NO_MARKUP}', ' ', 'g'), '{TAGS}') AS tags FROM j),
-k AS (SELECT url, a, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base\\b')), lambda t: {attr('t', 'href')}), lambda v: v <> '')[1] AS based,
- unnest(list_concat(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<link\\b') AND list_contains(regexp_split_to_array(lower({attr('t', 'rel')}), '\\s+'), 'canonical')), lambda t: {attr('t', 'href')}),
- list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<meta\\b') AND lower(trim({attr('t', 'http-equiv')})) = 'refresh'), lambda t: regexp_extract({attr('t', 'content')}, '(?is)\\burl\\s*=\\s*["'']?([^"'']+)', 1)))) AS target FROM g),
+k AS (SELECT url, a, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base\b')), lambda t: {attr('t', 'href')}), lambda v: v <> '')[1] AS based,
+ unnest(list_concat(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<link\b') AND list_contains(regexp_split_to_array(lower({attr('t', 'rel')}), '\s+'), 'canonical')), lambda t: {attr('t', 'href')}),
+ list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<meta\b') AND lower(trim({attr('t', 'http-equiv')})) = 'refresh'), lambda t: regexp_extract({attr('t', 'content')}, '(?is)\burl\s*=\s*["'']?([^"'']+)', 1)))) AS target FROM g),
 kb AS (SELECT a, target, {seen_from('url', 'based')} AS rb, url FROM k WHERE target <> ''), kc AS (SELECT a, target, coalesce({straight('rb')}, url) AS base FROM kb),
 kd AS (SELECT a, {seen_from('base', 'target')} AS far FROM kc), ke AS (SELECT a, {straight('far')} AS far FROM kd),
 u AS (SELECT a, substr(far, instr(far, '://') + 3) AS rest FROM ke WHERE far IS NOT NULL),
