@@ -1,7 +1,7 @@
 """Correlation of content and cost on aligned grids: Pearson, Spearman, opportunity, rankings, class tables.
 
 Input rows are aligned cells (keys..., gc, gr, a, b, valid). Sums are used throughout, so a frame is one partial
-aggregate; only ranks need a sort within a frame.
+aggregate; only ranks need a sort: within a frame by a window, over all frames by ranges of values.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.stores import stored
+
 
 def sums(a: str = "a", b: str = "b") -> list[Column]:
     x, y = F.col(a).cast("double"), F.col(b).cast("double")
@@ -43,6 +45,35 @@ def scan(cells: DataFrame, key: str = "frame") -> DataFrame:
     return per.withColumn(key, F.col(key).cast("long")).unionByName(total).select(key, "n", coefficient().alias("r"))
 
 
+def pooled_ranks(values: DataFrame, value: str) -> DataFrame:
+    """Each distinct value of a table of any size with its rank from 1, equal values sharing their mean.
+
+    Values are counted first, then dealt into ranges: a range adds up its own counts, and one row a range gives what lies
+    before it. The ranges are written once, as both steps have to see the same ones. So no window goes over all values.
+    """
+    counted = values.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n")).repartitionByRange("v")
+    ranges = stored(counted.withColumn("p", F.spark_partition_id()))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy("p").agg(F.sum("n").alias("n")).select("p", F.coalesce(F.sum("n").over(before.orderBy("p")), F.lit(0)).alias("offset"))
+    within = ranges.select("v", "n", "p", F.coalesce(F.sum("n").over(before.partitionBy("p").orderBy("v")), F.lit(0)).alias("own"))
+    return within.join(offsets, "p").select("v", (F.col("offset") + F.col("own") + (F.col("n") + 1) / 2.0).alias("rank"))
+
+
+def correlation_scan(cells: DataFrame, key: str = "frame") -> DataFrame:
+    """n, r and rho of each frame and, with a null frame, over all cells together, ranked together. Cells are made once and read
+    from a table; frames without valid cells are left out.
+    """
+    good = stored(cells.where("valid").select(F.col(key).cast("long").alias(key), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b")))
+    per = scan(good.withColumn("valid", F.lit(True)), key).join(spearman(good.withColumn("valid", F.lit(True)), [key]).select(key, "rho"), key, "left")
+    ranked = good
+    for side in ("a", "b"):
+        ranks = pooled_ranks(good, side).select(F.col("v").alias(side), F.col("rank").alias(f"r{side}"))
+        ranked = ranked.join(ranks, side)
+    pooled = ranked.agg(*sums("ra", "rb")).select(coefficient().alias("pooled"))
+    # one row beside the frames' rows
+    return per.join(F.broadcast(pooled)).select(key, "n", "r", F.when(F.col(key).isNull(), F.col("pooled")).otherwise(F.col("rho")).alias("rho")).where("n > 0")
+
+
 def opportunity(cells: DataFrame, keys: list[str]) -> DataFrame:
     """z of cost less z of content; sides without spread have z zero, invalid cells null."""
     good = cells.where("valid")
@@ -70,3 +101,13 @@ def class_table(cells: DataFrame, names: list[str], keys: list[str]) -> DataFram
 
 def valid_share(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.count_if("valid").alias("n_valid"), F.avg(F.col("valid").cast("double")).alias("share"))
+
+
+def scale_of(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """The greatest |z| of each frame, for a scale that is even on both sides; 0 without any."""
+    return grid.groupBy(*keys).agg(F.coalesce(F.max(F.abs("z")), F.lit(0.0)).alias("most"))
+
+
+def max_abs(grid: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """The greatest absolute difference over valid cells; 0 without any."""
+    return grid.groupBy(*keys).agg(F.coalesce(F.max(F.when(F.col("valid"), F.abs(value))), F.lit(0.0)).alias("max_abs"))

@@ -81,10 +81,10 @@ def telemetry_to_coarse(cells: DataFrame, cell: int, g: int, width: int, height:
     return out.withColumn("valid", inside(width, height, g) & (F.col("covered") >= 0.999 * g * g)).drop("covered")
 
 
-def align(x: DataFrame, y: DataFrame, keys: list[str]) -> DataFrame:
-    """Cells of both grids (columns a and b), valid where both are and values are finite."""
+def align(x: DataFrame, y: DataFrame, keys: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Cells of both grids (columns a and b), valid where both are and values are finite. keep: further columns of y."""
     bad = lambda c: F.isnull(c) | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
-    both = x.select(*keys, "gc", "gr", "a", F.col("valid").alias("va")).join(y.select(*keys, "gc", "gr", "b", F.col("valid").alias("vb")), [*keys, "gc", "gr"])
+    both = x.select(*keys, "gc", "gr", "a", F.col("valid").alias("va")).join(y.select(*keys, "gc", "gr", "b", F.col("valid").alias("vb"), *(keep or [])), [*keys, "gc", "gr"])
     return both.withColumn("valid", F.col("va") & F.col("vb") & ~bad("a") & ~bad("b")).drop("va", "vb")
 
 

@@ -45,7 +45,7 @@ rast AS (SELECT s.*, top.mode::BIGINT AS mode FROM (SELECT frame, c, r, sum(qp*a
 #: Aligned cells of 16: a is the luma variance of the pixel frame, b the bits a pixel of the telemetry frame of that number.
 CELLS = """bs AS (SELECT frame, x//8 AS c, y//8 AS r, avg(v) AS mean, greatest(0, avg(v*v)-avg(v)*avg(v)) AS var FROM lu GROUP BY ALL),
 ga AS (SELECT frame, c//2 AS gc, r//2 AS gr, avg(var) + greatest(0, avg(mean*mean)-avg(mean)*avg(mean)) AS a FROM bs GROUP BY ALL),
-gb AS (SELECT frame, c//2 AS gc, r//2 AS gr, sum(qp*coverage)/sum(coverage) AS qp, sum(bpp*coverage)/sum(coverage) AS bpp, sum(mv*coverage)/sum(coverage) AS mv, sum(CASE WHEN mode=1 THEN coverage ELSE 0 END)/sum(coverage) AS intra, sum(coverage)*64 >= 0.3*256 AS valid FROM rastf GROUP BY ALL),
+gb AS (SELECT frame, c//2 AS gc, r//2 AS gr, sum(qp*coverage)/sum(coverage) AS qp, sum(bpp*coverage)/sum(coverage) AS bpp, sum(mv*coverage)/sum(coverage) AS mv, sum(CASE WHEN mode=1 THEN coverage ELSE 0 END)/sum(coverage) AS intra, sum(coverage)*64 >= 0.999*256 AS valid FROM rastf GROUP BY ALL),
 cells AS (SELECT ga.frame, gc, gr, a, bpp AS b, qp, bpp, mv, intra, valid FROM ga JOIN gb USING (frame, gc, gr))"""
 #: Telemetry frames folded on to the pixel frames.
 RASTF = "rastf AS (SELECT frame % (SELECT greatest(1, (count(*) + 63) // 64) FROM embeddings) AS frame, c, r, avg(qp) AS qp, avg(bpp) AS bpp, avg(mv) AS mv, avg(coverage) AS coverage, max(mode) AS mode FROM rast GROUP BY ALL)"
@@ -486,18 +486,22 @@ def subtract_grid(spark: SparkSession, d: str) -> DataFrame:
 
 
 def aligned(spark: SparkSession, d: str) -> DataFrame:
-    """Cells of 16 pixels: luma variance against the cost of telemetry folded on to as many frames as there are."""
+    """Cells of 16 pixels: luma variance against the cost of telemetry folded on to as many frames as there are. A block of number 1
+    takes the whole picture, so that most cells are covered.
+    """
     n = max(1, ad.pixel_frames(spark, d))
-    folded = raster(spark, d).groupBy((F.col("frame") % n).alias("frame"), "c", "r").agg(*(F.avg(x).alias(x) for x in ("qp", "bpp", "mv", "coverage")), F.max("mode").alias("mode"))
-    y = grids.telemetry_to_coarse(folded, 8, 16, S, S, ["frame"])
-    covered = grids.to_coarse(folded, 8, 16).groupBy("frame", "gc", "gr").agg((F.sum(F.col("coverage") * F.col("a")) >= 0.3 * 256).alias("valid"))
-    y = y.drop("valid").join(covered, ["frame", "gc", "gr"]).withColumn("b", F.col("bpp"))
+    first = F.col("block") == 1
+    whole = {"x": 0, "y": 0, "w": S, "h": S}
+    blocks = ad.blocks(spark, d).withColumns({c: F.when(first, F.lit(v)).otherwise(F.col(c)) for c, v in whole.items()}).withColumn("frame", F.col("decode_idx"))
+    folded = grids.rasterize(blocks, 8, S, S, ["frame"]).groupBy((F.col("frame") % n).alias("frame"), "c", "r").agg(*(F.avg(x).alias(x) for x in ("qp", "bpp", "mv", "coverage")), F.max("mode").alias("mode"))
+    y = grids.telemetry_to_coarse(folded, 8, 16, S, S, ["frame"]).withColumn("b", F.col("bpp"))
     cells = fr.block_stats(ad.pixels(spark, d)).withColumnsRenamed({"bx": "c", "by": "r"}).withColumn("frame", F.col("frame").cast("long"))
     x = grids.resample_variance(cells, "mean", "var", 8, 16, ["frame"]).select("frame", "gc", "gr", F.col("var").alias("a"), F.lit(True).alias("valid"))
-    return grids.align(x, y, ["frame"]).join(y.select("frame", "gc", "gr", "qp", "bpp", "mv", "intra"), ["frame", "gc", "gr"])
+    return grids.align(x, y, ["frame"], ["qp", "bpp", "mv", "intra"])
 
 
-ALL = (PX, BLOCKS, RAST, RASTF, CELLS)
+TILED = BLOCKS.replace("l_partkey % 8 * 8 AS x, l_suppkey % 8 * 8 AS y, (8 * 2 ** (l_linenumber % 4))::BIGINT AS w, (8 * 2 ** (l_linenumber % 4))::BIGINT AS h", "CASE WHEN l_linenumber = 1 THEN 0 ELSE l_partkey % 8 * 8 END AS x, CASE WHEN l_linenumber = 1 THEN 0 ELSE l_suppkey % 8 * 8 END AS y, CASE WHEN l_linenumber = 1 THEN 64 ELSE (8 * 2 ** (l_linenumber % 4))::BIGINT END AS w, CASE WHEN l_linenumber = 1 THEN 64 ELSE (8 * 2 ** (l_linenumber % 4))::BIGINT END AS h")
+ALL = (PX, TILED, RAST, RASTF, CELLS)
 
 
 @query("SELECT frame, gc, gr, round(a, 6) AS a, round(b, 6) AS b, valid FROM cells", *ALL)
@@ -521,6 +525,28 @@ def correlation_scan(spark: SparkSession, d: str) -> DataFrame:
     return correlate.scan(aligned(spark, d)).select("frame", "n", *r6("r"))
 
 
+RANKED = """ro AS (SELECT frame, round(a, 6) AS a, round(b, 6) AS b FROM cells WHERE valid), rp AS (SELECT NULL AS frame, a, b FROM ro UNION ALL SELECT frame, a, b FROM ro),
+rr AS (SELECT frame, a, b, rank() OVER (PARTITION BY frame ORDER BY a) + (count(*) OVER (PARTITION BY frame, a) - 1)/2.0::DOUBLE AS ra, rank() OVER (PARTITION BY frame ORDER BY b) + (count(*) OVER (PARTITION BY frame, b) - 1)/2.0::DOUBLE AS rb FROM rp)"""
+
+
+@query("SELECT frame, count(*) AS n, round(corr(a, b), 6) AS r, round(corr(ra, rb), 6) AS rho FROM rr GROUP BY frame", *ALL, RANKED)
+def correlation_pooled(spark: SparkSession, d: str) -> DataFrame:
+    cells = aligned(spark, d).withColumn("a", F.round("a", 6)).withColumn("b", F.round("b", 6))
+    return correlate.correlation_scan(cells).select("frame", "n", *r6("r", "rho"))
+
+
+@query("""SELECT video, place, point, round(sqrt(d), 6) AS distance FROM (SELECT q.video, q.place, p.point, ((p.x - q.x)/64.0::DOUBLE)*((p.x - q.x)/64.0::DOUBLE) + ((p.y - q.y)/64.0::DOUBLE)*((p.y - q.y)/64.0::DOUBLE) AS d, row_number() OVER (PARTITION BY q.video, q.place ORDER BY ((p.x - q.x)/64.0::DOUBLE)*((p.x - q.x)/64.0::DOUBLE) + ((p.y - q.y)/64.0::DOUBLE)*((p.y - q.y)/64.0::DOUBLE), p.point) AS k
+FROM (SELECT o_orderkey // 4096 AS video, o_orderkey AS place, o_totalprice::DOUBLE % 64 AS x, o_custkey * 7 % 640 / 10.0::DOUBLE AS y FROM orders) q JOIN (SELECT l_orderkey // 4096 AS video, l_orderkey AS point, min(l_partkey) % 65 - 0.5::DOUBLE AS x, min(l_suppkey) % 65 / 1.0::DOUBLE AS y FROM lineitem WHERE l_orderkey % 5 = 0 GROUP BY ALL) p USING (video)) WHERE k = 1 AND sqrt(d) < 0.02""")
+def nearest_point(spark: SparkSession, d: str) -> DataFrame:
+    from ..operators import points
+
+    o = ad.table(spark, d, "orders")
+    places = o.select(F.floor(F.col("o_orderkey") / 4096).alias("video"), F.col("o_orderkey").alias("place"), (F.col("o_totalprice").cast("double") % 64).alias("x"), (F.col("o_custkey") * 7 % 640 / 10.0).alias("y"))
+    li = ad.table(spark, d, "lineitem").where("l_orderkey % 5 = 0").groupBy(F.floor(F.col("l_orderkey") / 4096).alias("video"), F.col("l_orderkey").alias("point"))
+    found = li.agg((F.min("l_partkey") % 65 - 0.5).alias("x"), (F.min("l_suppkey") % 65 / 1.0).alias("y"))
+    return points.nearest(found, places, ["video"], 64.0, 64.0).select("video", "place", "point", *r6("distance"))
+
+
 OPP = "opp AS (SELECT c.frame, gc, gr, CASE WHEN valid THEN (b-mb)/sb - (a-ma)/sa END AS z FROM cells c LEFT JOIN (SELECT frame, avg(a) AS ma, avg(b) AS mb, stddev_pop(a) AS sa, stddev_pop(b) AS sb FROM cells WHERE valid GROUP BY ALL) s USING (frame))"
 
 
