@@ -9,6 +9,7 @@ is allocated. Negative numbers that mean "absent", and fields whose presence bit
 from __future__ import annotations
 
 import json
+import tomllib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -209,61 +210,137 @@ SIDE_CTU = [
     ("noise_sigma_q8", 16, "u1", 0, 1), ("noise_confidence", 17, "u1", 0, 1), ("clip_risk", 18, "u1", 0, 1), ("structure_class", 19, "u1", 0, 1), ("dof_sharpness", 20, "u1", 0, 1),
     ("vignetting_gain_q8", 21, "u1", 0, 1), ("denoise_confidence", 22, "u1", 0, 1),
 ]
-SIDE_SIZES = {0: (20, 16), 1: (28, 24)}
+#: What a field may be: fixed values.
+KINDS = {"u8": "u1", "i8": "i1", "u16": "u2", "i32": "i4"}
 
 
-def extracted(fields: list[tuple], record: bytes, version: int) -> dict[str, int]:
-    """The fields of a record that its version has."""
-    out = {}
-    for name, at, kind, shift, since in fields:
-        size = int(kind[1])
-        if since <= version and at + size <= len(record):
-            out[name] = int.from_bytes(record[at : at + size], "big", signed=kind[0] == "i") >> shift
+@dataclass(frozen=True)
+class SideLayout:
+    """How side data lie in bytes, big-endian: a header (magic, version, number of units), then a frame's fields, then its units'.
+
+    Fields are (name, offset, type, shift, first version that has it). A section of an older version ends where the first
+    field of a newer one would begin.
+    """
+
+    magic: bytes
+    version: int
+    short: int
+    extended: int
+    marker: int
+    frame_size: int
+    frame_fields: tuple
+    unit_size: int
+    unit_fields: tuple
+
+    @staticmethod
+    def from_toml(text: str) -> SideLayout:
+        """A layout from tables format, header, frame_params and ctu_params; a ValueError for what can't be read by it."""
+        try:
+            found = tomllib.loads(text)
+            form, head = found["format"], found["header"]
+            if form.get("endian", "big") != "big":
+                raise ValueError(f"byte order {form['endian']} isn't read, only big")
+            sections = []
+            for name in ("frame_params", "ctu_params"):
+                fields = tuple((f["name"], int(f["offset"]), KINDS[f["type"]], int(f.get("shift", 0)), int(f.get("min_version", 0))) for f in found[name]["fields"])
+                if len({f[0] for f in fields}) < len(fields):
+                    raise ValueError(f"a field of {name} is named twice")
+                sections += [int(found[name]["size"]), fields]
+            return SideLayout(form["magic"].encode(), int(form["version"]), int(head["short_size"]), int(head["extended_size"]), int(head["extended_marker"]), *sections)
+        except (KeyError, TypeError, tomllib.TOMLDecodeError) as e:
+            raise ValueError(f"not a schema of side data: {e!r}") from e
+
+    def size(self, units: bool, version: int) -> int:
+        fields, whole = (self.unit_fields, self.unit_size) if units else (self.frame_fields, self.frame_size)
+        return min((f[1] for f in fields if f[4] > version), default=whole)
+
+    def records(self, units: bool, version: int) -> tuple[np.dtype, dict[str, int]]:
+        """The layout of a record of a version, as unsigned numbers where they are shifted, and the shifts."""
+        size = self.size(units, version)
+        known = [f for f in (self.unit_fields if units else self.frame_fields) if f[4] <= version and f[1] + int(f[2][1]) <= size]
+        kinds = [">" + (f[2].replace("i1", "u1") if f[3] else f[2]) for f in known]
+        return np.dtype({"names": [f[0] for f in known], "formats": kinds, "offsets": [f[1] for f in known], "itemsize": size}), {f[0]: (f[3], f[2]) for f in known}
+
+    def columns(self) -> tuple[list[str], list[str]]:
+        """Names of the frame's columns, with frame_ before them, and of the units'."""
+        return [n if n.startswith("frame_") else f"frame_{n}" for n, *_ in self.frame_fields], [n for n, *_ in self.unit_fields]
+
+    def table(self) -> str:
+        frame, unit = self.columns()
+        return ", ".join(["path string, seq long, ctu long", *(f"`{n}` long" for n in (*frame, *unit)), "error string"])
+
+
+def values(records: np.ndarray, shifts: dict, names: list[str]) -> list[np.ndarray | None]:
+    """The fields as numbers, shifted; None for those that the version lacks."""
+    out = []
+    for name in names:
+        if name not in shifts:
+            out.append(None)
+            continue
+        shift, kind = shifts[name]
+        v = records[name].astype(np.int64)
+        if shift and kind != "i4":
+            v = v >> shift
+            v = v.astype(np.int8).astype(np.int64) if kind == "i1" else v
+        out.append(v)
     return out
 
 
-def side_frames(data: bytes) -> Iterator[tuple[dict[str, int], list[dict[str, int]]]]:
-    """Each frame's fields and those of its units; anything malformed is a ValueError."""
+#: The two known versions.
+SIDE = SideLayout(b"IP", 1, 4, 6, 255, 28, tuple(SIDE_FRAME), 24, tuple(SIDE_CTU))
+
+
+def side_frames(data: bytes, layout: SideLayout = SIDE) -> Iterator[tuple[list, list, int]]:
+    """Each frame's values, those of its units by field, and their number; anything malformed is a ValueError."""
     at = 0
+    made: dict[int, tuple] = {}
     while at < len(data):
-        if data[at : at + 2] != b"IP" or at + 4 > len(data) or data[at + 2] not in SIDE_SIZES:
+        m = len(layout.magic)
+        if data[at : at + m] != layout.magic or at + layout.short > len(data) or data[at + m] > layout.version:
             raise ValueError(f"no side data at byte {at}")
-        version, n = data[at + 2], data[at + 3]
-        at += 4
-        if n == 255:
-            n, at = int.from_bytes(data[at : at + 2], "big"), at + 2
-        head, unit = SIDE_SIZES[version]
-        if at + head + n * unit > len(data):
+        version, n = data[at + m], data[at + layout.short - 1]
+        if n == layout.marker:
+            n = int.from_bytes(data[at + layout.short : at + layout.extended], "big")
+            at += layout.extended
+        else:
+            at += layout.short
+        if version not in made:
+            made[version] = layout.records(False, version), layout.records(True, version)
+        (head, head_shifts), (unit, unit_shifts) = made[version]
+        if at + head.itemsize + n * unit.itemsize > len(data):
             raise ValueError(f"side data end early at byte {at}")
-        yield extracted(SIDE_FRAME, data[at : at + head], version), [extracted(SIDE_CTU, data[at + head + i * unit : at + head + (i + 1) * unit], version) for i in range(n)]
-        at += head + n * unit
+        frame = values(np.frombuffer(data, head, 1, at), head_shifts, [f[0] for f in layout.frame_fields])
+        units = values(np.frombuffer(data, unit, n, at + head.itemsize), unit_shifts, [f[0] for f in layout.unit_fields])
+        yield [None if v is None else int(v[0]) for v in frame], units, n
+        at += head.itemsize + n * unit.itemsize
 
 
-def sideband(spark: SparkSession, path: str) -> DataFrame:
+def sideband(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Side data files, one row a unit: path, seq, ctu (null for a frame without units), the frame's and the unit's fields.
 
-    A malformed file gives one row with its error and nothing else.
+    schema: the text of a TOML schema, which gives the layout of bytes for each version and the table's columns; without one
+    the two known versions are read. A malformed file gives one row with its error and nothing else.
     """
+    layout = SideLayout.from_toml(schema) if schema else SIDE
     listed = spark.read.format("binaryFile").load(path).select("path", "content")
-    names = [f"frame_{n}" if not n.startswith("frame_") else n for n, *_ in SIDE_FRAME]
-    schema = "path string, seq long, ctu long, " + ", ".join(f"{n} long" for n in names) + ", " + ", ".join(f"{n} long" for n, *_ in SIDE_CTU) + ", error string"
+    frame_names, unit_names = layout.columns()
+    names = ["path", "seq", "ctu", *frame_names, *unit_names, "error"]
+    kinds = [pa.string(), *[pa.int64()] * (len(names) - 2), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path_, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
+                out = []
                 try:
-                    for seq, (frame, units) in enumerate(side_frames(content)):
-                        own = [frame.get(n) for n, *_ in SIDE_FRAME]
-                        rows += [[path_, seq, i, *own, *(u.get(n) for n, *_ in SIDE_CTU), None] for i, u in enumerate(units)] or [[path_, seq, None, *own, *[None] * len(SIDE_CTU), None]]
+                    for seq, (own, units, n) in enumerate(side_frames(content, layout)):
+                        k = max(1, n)
+                        numbers = [range(n) if n else [None], *([v] * k for v in own), *([None] * k if v is None or not n else v for v in units)]
+                        out.append(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([[path_] * k, [seq] * k, *numbers, [None] * k], kinds, strict=True)], names))
                 except ValueError as e:
-                    rows = [[path_, None, None, *[None] * (len(SIDE_FRAME) + len(SIDE_CTU)), str(e)]]
-                for i in range(0, len(rows), 4096):
-                    cols = list(zip(*rows[i : i + 4096]))
-                    kinds = [pa.string(), *[pa.int64()] * (2 + len(SIDE_FRAME) + len(SIDE_CTU)), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["path", "seq", "ctu", *names, *(n for n, *_ in SIDE_CTU), "error"])
+                    out = [pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip([path_, *[None] * (len(names) - 2), str(e)], kinds, strict=True)], names)]
+                yield from out
 
-    return listed.mapInArrow(run, schema)
+    return listed.mapInArrow(run, layout.table())
 
 
 def side_summary(units: DataFrame, by: list[str]) -> DataFrame:

@@ -322,3 +322,40 @@ def test_stills_in_the_jvm(spark, tmp_path):
     assert set(rows) == {("shot_", 0), ("shot_", 1), ("shot_", 2), ("alone", 0), ("bad", 0), ("other_", 0)}
     assert [rows["shot_", i].data[0] for i in range(3)] == [1, 2, 10] and bytes(rows["alone", 0].data) == rgb == bytes(rows["other_", 0].data)
     assert rows["bad", 0].data is None and rows["bad", 0].error
+
+
+SCHEMA = """
+[format]
+magic = "IPX"
+version = 2
+endian = "big"
+[header]
+short_size = 5
+extended_size = 7
+extended_marker = 255
+[frame_params]
+size = 9
+fields = [{name = "frame_id", offset = 0, type = "i32"}, {name = "gain", offset = 4, type = "u16", shift = 4}, {name = "mood", offset = 7, type = "i8", min_version = 2}]
+[ctu_params]
+size = 4
+fields = [{name = "bias", offset = 0, type = "i8"}, {name = "level", offset = 1, type = "u8", shift = 5}, {name = "half", offset = 1, type = "i8", shift = 1, min_version = 1}, {name = "late", offset = 2, type = "u16", min_version = 2}]
+"""
+
+
+def test_side_data_by_a_schema(spark, tmp_path):
+    """A version that the code doesn't know is read by its schema alone."""
+    old = b"IPX\x00\x01" + struct.pack(">iHx", -2, 0x1234) + struct.pack(">b", -5)
+    new = b"IPX\x02\xff\x01\x00" + struct.pack(">iHxbx", 8, 0xFFFF, -7) + b"".join(struct.pack(">bBH", -k % 128 - 64, 255 - k % 100, k) for k in range(256))
+    (tmp_path / "a.bin").write_bytes(old + new)
+    (tmp_path / "b.bin").write_bytes(new + b"IPX\x03\x00")
+    (tmp_path / "c.bin").write_bytes(b"")
+    rows = telemetry.sideband(spark, str(tmp_path), SCHEMA).orderBy("path", "seq", "ctu").collect()
+    a = [r for r in rows if r.path.endswith("a.bin")]
+    assert len(a) == 257 and [r.error for r in rows if not r.path.endswith("a.bin")] == [f"no side data at byte {len(new)}"]
+    assert (a[0].frame_id, a[0].frame_gain, a[0].frame_mood, a[0].bias, a[0].level, a[0].half, a[0].late) == (-2, 0x123, None, -5, None, None, None)
+    assert (a[1].frame_id, a[1].frame_gain, a[1].frame_mood) == (8, 0xFFF, -7) and [r.late for r in a[1:]] == list(range(256))
+    assert (a[3].bias, a[3].level, a[3].half) == (-2 % 128 - 64, (255 - 2) >> 5, (255 - 2) >> 1)
+    assert rows[0].__fields__ == ["path", "seq", "ctu", "frame_id", "frame_gain", "frame_mood", "bias", "level", "half", "late", "error"]
+    for wrong in ("", "x = [", SCHEMA.replace("big", "little"), SCHEMA.replace("u16", "u24"), SCHEMA.replace('"level"', '"bias"')):
+        with pytest.raises(ValueError):
+            telemetry.SideLayout.from_toml(wrong)
