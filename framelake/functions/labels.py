@@ -169,3 +169,18 @@ def metric_colour(kind: str, value: Column) -> Column:
         return F.when(value >= 0, F.array(F.lit(20), size, F.lit(40))).otherwise(F.array(size, F.lit(35), F.lit(25)))
     low, span = {"psnr": (20.0, 30.0), "ssim": (0.85, 0.15), "vmaf": (0.0, 100.0)}[kind]
     return quality_colour(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.least(value, F.lit(1e6)) - low) / span)))
+
+
+def is_transform_skip(mode: Column) -> Column:
+    """Whether a transform's name says that it was skipped."""
+    return F.coalesce(mode.contains("skip"), F.lit(False))
+
+
+def quality_text(value: Column, unit: str = "") -> Column:
+    """A quality figure with two decimals, infinity by its sign."""
+    return F.when(value == float("inf"), "\u221e").otherwise(F.concat(F.format_number(value, "0.00"), F.lit(unit)))
+
+
+def guess_text(width: Column, height: Column, name: Column, frames: Column) -> Column:
+    """A guess of a raw file's size in words."""
+    return F.format_string("%dx%d %s (%d frames)", width, height, name, frames)

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.nal import EXTENSIONS
+
 STREAMS = ["h265", "hevc", "h264", "264", "265"]
 
 
@@ -21,6 +23,20 @@ def kind(path: Column, head: Column) -> Column:
     return F.when(F.substring(head, 1, 8) == F.lit(b"CATB0001"), "telemetry").when(ext == "catb", "telemetry").when(ext.isin(STREAMS), "bitstream").when(ext.isin("", "bin") & coded, "bitstream").otherwise("other")
 
 
+def bitstream_of(containers: DataFrame, listed: DataFrame) -> DataFrame:
+    """For telemetry containers (path) the byte stream that they were made from, of the files that exist (path), null without one: in
+    a folder NAME.catb-run the file NAME beside that folder, else a file of the same stem, by the order of extensions.
+    """
+    parent, name = F.regexp_extract("path", r"^(.*)/[^/]*$", 1), F.regexp_extract("path", r"[^/]*$", 0)
+    run = F.regexp_extract(parent, r"^(?:.*/)?([^/]+)[.]catb-run$", 1)
+    beside = F.when(run != "", F.concat(F.regexp_extract(parent, r"^((?:.*/)?)[^/]+$", 1), run))
+    stem = F.concat(F.regexp_extract("path", r"^((?:.*/)?)[^/]*$", 1), F.regexp_replace(name, r"(?<=.)[.][^.]*$", ""), F.lit("."))
+    options = F.filter(F.array(beside, *(F.concat(stem, F.lit(e)) for e in EXTENSIONS)), lambda c: c.isNotNull())
+    tried = containers.select("path", F.posexplode(options).alias("k", "candidate"))
+    there = listed.select(F.col("path").alias("candidate")).distinct().withColumn("there", F.lit(True))
+    return tried.join(there, "candidate", "left").groupBy("path").agg(F.min(F.when(F.col("there"), F.struct("k", "candidate")))["candidate"].alias("bitstream"))
+
+
 def scene_list(spark: SparkSession, path: str) -> DataFrame:
     """One frame number a line; empty lines are left out."""
     return spark.read.text(path).where("trim(value) <> ''").select(F.trim("value").cast("long").alias("frame"))

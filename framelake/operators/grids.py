@@ -22,15 +22,23 @@ def spread(rects: DataFrame, cell: int, width: int, height: int) -> DataFrame:
     return laid.withColumn("a", ox * oy)
 
 
+#: Raster columns made of blocks' summed levels and coefficients, where these are known.
+COEFFICIENTS = {"coeff_energy": "abs_sum", "nz_density": "nonzero"}
+
+
 def rasterize(blocks: DataFrame, cell: int, width: int, height: int, keys: list[str]) -> DataFrame:
-    """Per cell: QP, bits a pixel and vector length weighted by area, the mode of most area (the later of equals) and the covered share."""
+    """Per cell: QP, bits a pixel and vector length weighted by area, the mode of most area (the later of equals) and the covered
+    share. With blocks' abs_sum and nonzero (see `telemetry.with_coefficients`) also coeff_energy and nz_density a pixel.
+    """
     a, area = F.col("a"), F.col("w") * F.col("h")
     laid = spread(blocks, cell, width, height).withColumn("rank", labels.mode_rank(F.col("mode")))
+    each = {"qp": F.col("qp"), "bpp": F.greatest(F.col("bits"), F.lit(0)) / area, "mv": labels.mv_pixels(F.col("mvx"), F.col("mvy"))}
+    each |= {name: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)) / area for name, c in COEFFICIENTS.items() if c in blocks.columns}
     # per mode first: sums are small then, whatever a cell holds
-    per = laid.groupBy(*keys, "c", "r", "rank").agg(F.sum(a).alias("a"), F.sum(F.col("qp") * a).alias("qa"), F.sum(F.greatest(F.col("bits"), F.lit(0)) / area * a).alias("ba"), F.sum(labels.mv_pixels(F.col("mvx"), F.col("mvy")) * a).alias("ma"))
+    per = laid.groupBy(*keys, "c", "r", "rank").agg(F.sum(a).alias("a"), *(F.sum(v * a).alias(f"{name}_a") for name, v in each.items()))
     total = F.sum("a")
-    cells = per.groupBy(*keys, "c", "r").agg((F.sum("qa") / total).alias("qp"), (F.sum("ba") / total).alias("bpp"), (F.sum("ma") / total).alias("mv"), F.max(F.struct("a", "rank")).alias("top"), (total / float(cell * cell)).alias("coverage"))
-    return cells.select(*keys, F.col("c").cast("long").alias("c"), F.col("r").cast("long").alias("r"), "qp", "bpp", "mv", F.col("top.rank").cast("long").alias("mode"), "coverage")
+    cells = per.groupBy(*keys, "c", "r").agg(*((F.sum(f"{name}_a") / total).alias(name) for name in each), F.max(F.struct("a", "rank")).alias("top"), (total / float(cell * cell)).alias("coverage"))
+    return cells.select(*keys, F.col("c").cast("long").alias("c"), F.col("r").cast("long").alias("r"), *each, F.col("top.rank").cast("long").alias("mode"), "coverage")
 
 
 def to_coarse(cells: DataFrame, cell: int, g: int) -> DataFrame:

@@ -66,10 +66,54 @@ def mv_points(refs: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
     return point(units, "unit").unionByName(point(own, "block"))
 
 
+def with_coefficients(blocks: DataFrame, tx: DataFrame, keys: list[str]) -> DataFrame:
+    """Blocks with the summed levels and coefficients of their transforms, 0 without any."""
+    totals = tx_totals(tx, keys).select(*keys, "abs_sum", "nonzero")
+    return blocks.join(totals, keys, "left").fillna(0, ["abs_sum", "nonzero"])
+
+
 def fill_stats(blocks: DataFrame, by: list[str]) -> DataFrame:
-    """Bounds that colour scales need: least and most QP, most bits a pixel and longest vector."""
-    bpp = F.greatest(F.col("bits"), F.lit(0)) / (F.col("w") * F.col("h"))
-    return blocks.groupBy(*by).agg(F.min("qp").alias("min_qp"), F.max("qp").alias("max_qp"), F.max(bpp).alias("max_bpp"), F.max(labels.mv_pixels(F.col("mvx"), F.col("mvy"))).alias("max_mv"))
+    """Bounds that colour scales need: least and most QP, most bits a pixel and longest vector; with blocks' abs_sum and nonzero
+    also the most of these a pixel.
+    """
+    area = F.greatest(F.col("w") * F.col("h"), F.lit(1))
+    a_pixel = lambda c: F.max(F.greatest(F.col(c), F.lit(0)) / area)
+    more = [a_pixel(c).alias(name) for name, c in (("max_coeff", "abs_sum"), ("max_nz", "nonzero")) if c in blocks.columns]
+    return blocks.groupBy(*by).agg(F.min("qp").alias("min_qp"), F.max("qp").alias("max_qp"), a_pixel("bits").alias("max_bpp"), F.max(labels.mv_pixels(F.col("mvx"), F.col("mvy"))).alias("max_mv"), *more)
+
+
+def frame_summary(frames: DataFrame, blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """For display numbers (video, display_idx): poc, frame_type, decode_idx, slice_bits and the number of blocks; none for a number that no frame has."""
+    shown = display_order(frames).select("video", "display_idx", "decode_idx", "poc", "frame_type", "slice_bits").join(asked, ["video", "display_idx"])
+    counts = blocks.join(shown.select("video", "decode_idx").distinct(), ["video", "decode_idx"], "left_semi").groupBy("video", "decode_idx").agg(F.count(F.lit(1)).alias("n_blocks"))
+    return shown.join(counts, ["video", "decode_idx"], "left").fillna(0, ["n_blocks"])
+
+
+def shifted_display(shown: DataFrame, offset: int) -> DataFrame:
+    """Frames of a viewer (video, frame_idx) with the display number of telemetry that belongs to them, null below the first."""
+    at = F.col("frame_idx") + offset
+    return shown.withColumn("display_idx", F.when(at >= 0, at))
+
+
+def reference_numbers(current: DataFrame, reference: DataFrame) -> DataFrame:
+    """Each frame (video, frame_idx) with the number of its reference: the same, at most the last one the reference has. Videos
+    without a reference go.
+    """
+    last = reference.groupBy("video").agg(F.max("frame_idx").alias("last"))
+    return current.join(last, "video").withColumn("reference_idx", F.least("frame_idx", "last")).drop("last")
+
+
+def unit_places(units: DataFrame, size: int, width: int, height: int) -> DataFrame:
+    """Coding tree units (ctu, counted along rows) with their column and row; those beyond the picture go."""
+    columns, rows = -(-width // size), -(-height // size)
+    kept = units.where((F.col("ctu") >= 0) & (F.col("ctu") < columns * rows))
+    return kept.withColumns({"col": F.col("ctu") % columns, "row": F.floor(F.col("ctu") / columns)})
+
+
+def same_size(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Videos of a (video, width, height) whose size is known and equals that in b."""
+    other = b.select("video", F.col("width").alias("w"), F.col("height").alias("h"))
+    return a.join(other, "video").where("width > 0 and height > 0 and width = w and height = h").drop("w", "h")
 
 
 def frame_totals(frames: DataFrame, blocks: DataFrame, tx: DataFrame, syntax: DataFrame, bins: DataFrame) -> DataFrame:

@@ -631,6 +631,43 @@ def nal_units(spark: SparkSession, d: str) -> DataFrame:
     return nal.located(ad.table(spark, d, "documents").select("doc_id", data.alias("data")), ["doc_id"]).select("doc_id", *longs("unit", "offset"), "start_code_len", "size")
 
 
+BLOCK_TX = "bt AS (SELECT video, decode_idx, block, sum(CASE WHEN has_abs_sum THEN greatest(abs_sum, 0) ELSE 0 END) AS abs_sum, sum(CASE WHEN has_nonzero THEN greatest(nonzero, 0) ELSE 0 END) AS nonzero FROM tx GROUP BY ALL)"
+
+
+def blocks_with_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    return tm.with_coefficients(ad.blocks(spark, d), ad.transforms(spark, d), ["video", "decode_idx", "block"])
+
+
+@query("""SELECT frame, c, r, round(sum(coalesce(abs_sum, 0)::DOUBLE/(w*h)*a)/sum(a), 6) AS coeff_energy, round(sum(coalesce(nonzero, 0)::DOUBLE/(w*h)*a)/sum(a), 6) AS nz_density FROM (SELECT frame, video, block, c, r, w, h, (least(x+w, 64, c*8+8) - greatest(x, c*8)) * (least(y+h, 64, r*8+8) - greatest(y, r*8)) AS a, frame AS decode_idx FROM rs) LEFT JOIN bt USING (video, decode_idx, block) GROUP BY ALL""", BLOCKS, RAST, TX, BLOCK_TX)
+def rasterize_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    blocks = blocks_with_coefficients(spark, d).withColumn("frame", F.col("decode_idx"))
+    return grids.rasterize(blocks, 8, S, S, ["frame"]).select("frame", "c", "r", *r6("coeff_energy", "nz_density"))
+
+
+@query("SELECT video, decode_idx, round(max(coalesce(abs_sum, 0)::DOUBLE/(w*h)), 6) AS max_coeff, round(max(coalesce(nonzero, 0)::DOUBLE/(w*h)), 6) AS max_nz FROM blocks LEFT JOIN bt USING (video, decode_idx, block) GROUP BY ALL", BLOCKS, TX, BLOCK_TX)
+def fill_stats_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    return tm.fill_stats(blocks_with_coefficients(spark, d), ["video", "decode_idx"]).select("video", "decode_idx", *r6("max_coeff", "max_nz"))
+
+
+@query("SELECT d.video, d.display_idx, d.decode_idx, d.poc, d.frame_type, d.slice_bits, coalesce(n, 0) AS n_blocks FROM disp d LEFT JOIN (SELECT video, decode_idx, count(*) AS n FROM blocks GROUP BY ALL) b USING (video, decode_idx) WHERE d.display_idx % 7 = 0", FRAMES, BLOCKS)
+def frame_summary(spark: SparkSession, d: str) -> DataFrame:
+    frames = ad.frames(spark, d)
+    asked = frames.groupBy("video").agg(F.count(F.lit(1)).alias("n")).select("video", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n"), F.lit(7).cast("long"))).alias("display_idx"))
+    return tm.frame_summary(frames, ad.blocks(spark, d), asked).select("video", *longs("display_idx"), "decode_idx", "poc", "frame_type", "slice_bits", "n_blocks")
+
+
+@query("SELECT frame // 3 AS video, frame, least(frame, last) AS reference_idx FROM (SELECT DISTINCT frame FROM px) JOIN (SELECT frame // 3 AS video, max(frame) AS last FROM px WHERE frame % 3 < 2 GROUP BY ALL) q ON q.video = frame // 3", PX)
+def reference_clamp(spark: SparkSession, d: str) -> DataFrame:
+    shots = ad.pictures(spark, d).select("video", "frame_idx")
+    return tm.reference_numbers(shots, shots.where("frame_idx % 3 < 2")).select("video", F.col("frame_idx").alias("frame"), "reference_idx")
+
+
+@query("SELECT event_id, event_id % 40 % 7 AS col, event_id % 40 // 7 AS row FROM events WHERE event_id % 40 < 28")
+def ctu_place(spark: SparkSession, d: str) -> DataFrame:
+    units = ad.table(spark, d, "events").select("event_id", (F.col("event_id") % 40).alias("ctu"))
+    return tm.unit_places(units, 64, 400, 256).select("event_id", *longs("col", "row"))
+
+
 # --- meta data ---------------------------------------------------------------------------------------------------
 
 META = """mf AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 AS decode_idx, * FROM lineitem WHERE l_orderkey % 11 <> 0),

@@ -46,3 +46,30 @@ def test_more_labels(spark):
         labels.metric_colour("signed", F.lit(-64.0)).alias("f"), labels.metric_colour("psnr", F.lit(float("inf"))).alias("g"),
     ).first()
     assert tuple(r) == (90.0 + labels.HALF, 90.0, "P", [4, 0, 0, -5], 8, [255, 35, 25], [30, 210, 70])
+
+
+def test_byte_stream_of_a_container(spark):
+    from framelake.operators import files
+
+    containers = spark.createDataFrame([("/d/clip.265.catb-run/out.catb",), ("/d/a.catb",), ("/d/b.x.catb",), ("/d/none.catb",), ("/d/gone.catb-run/a.catb",), ("top.catb",)], "path string")
+    listed = spark.createDataFrame([("/d/clip.265",), ("/d/clip.265.catb-run/out.hevc",), ("/d/a.bin",), ("/d/a.h264",), ("/d/b.x.avc",), ("/d/gone.catb-run/a.265",), ("top.h265",)], "path string")
+    got = {r.path: r.bitstream for r in files.bitstream_of(containers, listed).collect()}
+    assert got == {"/d/clip.265.catb-run/out.catb": "/d/clip.265", "/d/a.catb": "/d/a.h264", "/d/b.x.catb": "/d/b.x.avc", "/d/none.catb": None, "/d/gone.catb-run/a.catb": "/d/gone.catb-run/a.265", "top.catb": "top.h265"}
+
+
+def test_small_look_ups(spark):
+    from pyspark.sql import functions as F
+
+    from framelake.functions import labels
+    from framelake.operators import telemetry
+
+    shown = spark.createDataFrame([("a", 0), ("a", 3)], "video string, frame_idx long")
+    assert [r.display_idx for r in telemetry.shifted_display(shown, -1).orderBy("frame_idx").collect()] == [None, 2]
+    sizes = "video string, width int, height int"
+    kept = telemetry.same_size(spark.createDataFrame([("a", 4, 4), ("b", 4, 4), ("c", 0, 0)], sizes), spark.createDataFrame([("a", 4, 4), ("b", 4, 2), ("c", 0, 0)], sizes))
+    assert [tuple(r) for r in kept.collect()] == [("a", 4, 4)]
+    words = spark.range(1).select(labels.is_transform_skip(F.lit("ts_skip")).alias("a"), labels.is_transform_skip(F.lit(None).cast("string")).alias("b"), labels.quality_text(F.lit(float("inf"))).alias("c"), labels.quality_text(F.lit(31.456), " dB").alias("d")).first()
+    assert tuple(words) == (True, False, "∞", "31.46 dB")
+    tx = spark.createDataFrame([(0, 1, True, True, 9, 2), (0, 1, True, False, -4, 7)], "v int, b int, has_abs_sum boolean, has_nonzero boolean, abs_sum long, nonzero long")
+    blocks = spark.createDataFrame([(0, 1), (0, 2)], "v int, b int")
+    assert sorted(tuple(r) for r in telemetry.with_coefficients(blocks, tx, ["v", "b"]).collect()) == [(0, 1, 9, 2), (0, 2, 0, 0)]
