@@ -178,7 +178,7 @@ def is_transform_skip(mode: Column) -> Column:
 
 def quality_text(value: Column, unit: str = "") -> Column:
     """A quality figure with two decimals, infinity by its sign."""
-    return F.when(value == float("inf"), "\u221e").otherwise(F.concat(F.format_number(value, "0.00"), F.lit(unit)))
+    return F.when(value == float("inf"), "\u221e").otherwise(F.concat(F.format_string("%.2f", value), F.lit(unit)))
 
 
 def guess_text(width: Column, height: Column, name: Column, frames: Column) -> Column:
