@@ -25,16 +25,23 @@ WORD_DOT = r"[ \t](?:dot|DOT|punkt|point|punto)[ \t]"
 PLAIN_DOT = r"[ \t]?\.(?=[A-Za-z0-9])"
 LOCAL, LABEL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++", "[A-Za-z0-9-]++"
 IP_DOT = r"(?:[ ]?[\[(][ ]?(?:\.|dot)[ ]?[\])][ ]?|[ ]\.[ ]|[ ]dot[ ]|\.)"
-GROUP = r"(?:\([0-9]{1,5}+\)|[0-9]{1,5}+)"
+GROUP = r"(?:\([0-9]{1,6}+\)|[0-9]{1,12}+)"
+#: What stands between the groups of a number, dashes of all widths and hard spaces included.
+GAP = r" \u00a0./\u2010-\u2015-"
+#: A word that may hold lines or dashes, up to the next `_at_`; and one letter of a word that is spelled with spaces.
+LINED = "[A-Za-z0-9.%+]++(?:[_-](?!(?:at|AT|At)[_-])[A-Za-z0-9.%+]++)*+"
+SPELLED = "[A-Za-z0-9](?: [A-Za-z0-9-](?![A-Za-z0-9]))*+"
 #: Generators of candidates besides the base patterns. Much that looks alike is proposed, and what they find overlaps.
 GENERATORS = [
     ("email", rf"{LOCAL}{BRACKETED_AT}{LABEL}(?:(?:{BRACKETED_DOT}|{WORD_DOT}|{PLAIN_DOT}){LABEL})++"),
     ("email", rf"{LOCAL}[ \t](?:at|AT)[ \t]{LABEL}(?:(?:{BRACKETED_DOT}|{WORD_DOT}){LABEL})++"),
     ("email", rf"{LOCAL}[ \t](?:at|AT)[ \t]{LABEL}(?:{PLAIN_DOT}{LABEL})++"),
+    ("email", rf"(?<![A-Za-z0-9.%+_-]){LINED}[_-](?:at|AT|At)[_-][A-Za-z0-9]++(?:(?:[_-](?:dot|DOT|Dot)[_-]|\.)[A-Za-z0-9]++)++(?![A-Za-z0-9_-])"),
+    ("email", rf"(?<![A-Za-z0-9._%+@-])(?<!(?<![A-Za-z0-9])[A-Za-z0-9._+-] )[A-Za-z0-9](?: [A-Za-z0-9._+-](?![A-Za-z0-9]))*+ @ {SPELLED}(?: \. {SPELLED})++"),
     ("ip", rf"(?<![0-9A-Za-z.:])[0-9]{{1,3}}+(?:{IP_DOT}[0-9]{{1,3}}+){{3}}(?![0-9A-Za-z]|\.[0-9])"),
     ("ip", r"(?<![0-9A-Za-z.:])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}+|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}+){1,6}+)(?![0-9A-Za-z:])"),
-    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ ._/-]{0,3}+[0-9]){12,18}+(?![0-9A-Za-z])"),
-    ("phone", rf"(?<![0-9A-Za-z+(./-]){GROUP}(?:[ ./-]{{1,2}}+{GROUP}){{1,6}}+(?![0-9A-Za-z])"),
+    ("card", r"(?<![0-9A-Za-z])[0-9](?:[ \u00a0._/\u2010-\u2015-]{0,3}+[0-9]){12,18}+(?![0-9A-Za-z])"),
+    ("phone", rf"(?<![0-9A-Za-z+(./-]){GROUP}(?:(?:[{GAP}]{{1,3}}+|(?<=\))){GROUP}){{1,6}}+(?![0-9A-Za-z])"),
     ("phone", r"(?<![0-9A-Za-z+(./-])[0-9]{7,15}+(?![0-9A-Za-z])"),
 ]
 #: Digits that a number of the kind can have.
@@ -44,7 +51,7 @@ BEFORE, AFTER = 32, 16
 LINK = r"(?:[ :]+(?:is|us|me|at|on|to|no|number|nr|ist|est|es|unter|au|al|or|address|adresse))*[^A-Za-z0-9]*$"
 CUES = {
     "email": "e-?mail|mail|contact|write|writing|reach|courriel|correo|contacto|kontakt|schreib[a-z]*|send|escrib[a-z]*|questions", "ip": "ip|ipv4|ipv6|host|server|from|client|gateway|dns|ping|address|adresse|login",
-    "card": "card|visa|mastercard|amex|payment|cc|credit|karte|carte|tarjeta|kreditkarte|paid", "phone": "phone|call|tel|telephone|mobile|fax|cell|ring|whatsapp|telefon|handy|anruf[a-z]*|appel[a-z]*|llam[a-z]*|mobil|ruf[a-z]*|dial",
+    "card": "card|visa|mastercard|amex|payment|cc|credit|karte|carte|tarjeta|kreditkarte|paid", "phone": "phone|number|nr|num|numero|nummer|call|tel|telephone|mobile|fax|cell|ring|whatsapp|telefon|handy|anruf[a-z]*|appel[a-z]*|llam[a-z]*|mobil|ruf[a-z]*|dial",
 }
 OTHERS = "version|ver|v|isbn|issn|order|part|page|pages|pp|chapter|section|sec|serial|invoice|model|ref|row|rows|line|lines|item|release|build|doi|sku|lot|fig|figure|table|score|price|prices|dated?|years?|since|between|rev|batch|ticket|code"
 #: Features told by a pattern: name, where it is looked for, pattern. Java and Python read them alike.
@@ -57,7 +64,7 @@ FLAGS = [(f"cue {k}", "before", f"(?i)(?:^|[^A-Za-z])(?:{CUES[k]}){LINK}") for k
     ("known end", "found", r"(?i)[^a-z](?:com|org|net|de|fr|es|edu|gov|io|info|eu|uk|biz|dev|ch|it|nl)$"), ("dotted address", "found", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"),
 ]
 #: Features that count code points of a class in what was found.
-CLASSES = {"digits": "0-9", "letters": "A-Za-z", "dots": ".", "dashes": "-", "slashes": "/", "spaces": " ", "lines": "_", "colons": ":"}
+CLASSES = {"digits": "0-9", "letters": "A-Za-z", "dots": ".", "dashes": "\\u2010-\\u2015-", "slashes": "/", "spaces": " \\u00a0", "lines": "_", "colons": ":"}
 MEASURES = ["length", "groups", "longest group", "first group", "last group", "distinct digits", "checksum", "groups small"]
 FEATURES = [f[0] for f in FLAGS] + list(CLASSES) + MEASURES
 ROUNDS, DEPTH, PRECISION = 30, 3, 0.97
@@ -109,9 +116,9 @@ def made_texts(kind: str, count: int, seed: int) -> list[tuple[str, list[tuple[i
     end = lambda: some(["com", "org", "net", "de", "fr", "es", "io", "edu", "co.uk"])
     cue = {
         "email": ["email ", "e-mail: ", "contact ", "write to ", "Kontakt: ", "mail me at ", "courriel : ", "correo: ", "reach us at "], "ip": ["host ", "IP: ", "from ", "server at ", "client ", "ping ", "IP address is ", "gateway "],
-        "card": ["card ", "Visa: ", "card number is ", "Karte ", "carte : ", "tarjeta ", "credit card no ", "paid by "], "phone": ["call ", "phone: ", "tel. ", "Telefon ", "fax ", "mobile number ", "call me at ", "whatsapp ", "tel: "],
+        "card": ["card ", "Visa: ", "card number is ", "Karte ", "carte : ", "tarjeta ", "credit card no ", "paid by "], "phone": ["call ", "phone: ", "tel. ", "Telefon ", "my number: ", "number is ", "Nr. ", "n\u00famero: ", "fax ", "mobile number ", "call me at ", "whatsapp ", "tel: "],
     }[kind]
-    other = ["version ", "ISBN ", "order ", "part ", "pages ", "section ", "serial ", "invoice ", "row ", "ref. ", "# ", "score ", "price $", "since ", "between ", "table ", "batch ", "ticket "]
+    other = ["version ", "ISBN ", "order ", "part ", "pages ", "section ", "serial ", "invoice ", "row ", "ref. ", "# ", "score ", "price $", "since ", "between ", "table ", "batch ", "ticket ", "order number ", "invoice number: ", "part nr ", "serial number is ", "model number "]
 
     def card(n: int) -> str:
         body = some(["4", "51", "37", "6011"])
@@ -126,6 +133,10 @@ def made_texts(kind: str, count: int, seed: int) -> list[tuple[str, list[tuple[i
         return sep.join(out)
 
     def right() -> str:
+        if kind == "email" and rng.random() < 0.25:
+            line, who, host = some("__-"), some([name(), f"{name()}{some('._')}{name()}"]), [name(), *end().split(".")]
+            dots = f"{line}{some(['dot', 'DOT'])}{line}"
+            return some([f"{who}{line}{some(['at', 'AT'])}{line}{dots.join(host)}", " ".join("".join([name(), "@", ".".join(host)]))])
         if kind == "email":
             at = some([" [at] ", "[at]", " (at) ", "(at)", " {at} ", " at ", " AT ", " @ ", "[@]", " <at> "])
             dot = some([" [dot] ", "[dot]", " (dot) ", " dot ", " DOT ", ".", ".", " punkt ", " punto ", "(.)"]) if at.strip(" ").lower() != "at" else some([" dot ", " DOT ", " punkt ", " point ", " [dot] "])
@@ -137,20 +148,20 @@ def made_texts(kind: str, count: int, seed: int) -> list[tuple[str, list[tuple[i
         if kind == "card":
             n = some([16, 16, 15, 13])
             sizes = {16: [4, 4, 4, 4], 15: [4, 6, 5], 13: [4, 3, 3, 3]}[n]
-            return grouped(card(n), sizes, some([".", "_", "/", " - ", "  ", " ", "-"] if n == 16 else [" ", "-", "."]))
-        area, sep = f"{rng.randint(200, 989)}", some(["-", ".", " ", "/"])
-        return some([f"({area}) {digits(3)}-{digits(4)}", f"{area}{sep}{digits(3)}{sep}{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)}/{digits(6)[:5]}", f"00{some(['44', '49', '33', '34'])} {digits(2)} {digits(4)} {digits(4)}", f"0{digits(1)} {' '.join(digits(2) for _ in range(4))}", f"0{digits(9)}", f"9{digits(2)} {digits(3)} {digits(3)}"])
+            return grouped(card(n), sizes, some([".", "_", "/", " - ", "  ", " ", "-", "\u2013", "\u00a0"] if n == 16 else [" ", "-", "."]))
+        area, sep = f"{rng.randint(200, 989)}", some(["-", ".", " ", "/", "-", ".", " ", "\u2013", "\u00a0", " - "])
+        return some([f"({area}) {digits(3)}-{digits(4)}", f"({area}){digits(3)}{sep}{digits(4)}", f"{area}{sep}{digits(3)}{sep}{digits(4)}", f"0{digits(2)} {digits(rng.randint(6, 8))}", f"(0{digits(2)}) {digits(rng.randint(6, 8))}", f"0{digits(3)} / {digits(rng.randint(6, 8))}", f"0{digits(3)}-{digits(7)}",  f"{area}{sep}{digits(3)}{sep}{digits(4)}", f"0{digits(2)} {digits(4)} {digits(4)}", f"0{digits(3)}/{digits(6)[:5]}", f"00{some(['44', '49', '33', '34'])} {digits(2)} {digits(4)} {digits(4)}", f"0{digits(1)} {' '.join(digits(2) for _ in range(4))}", f"0{digits(9)}", f"9{digits(2)} {digits(3)} {digits(3)}"])
 
     def wrong() -> str:
         if kind == "email":
-            return some([f"{words(1)} at {name()}.{name()}", f"look at {words(1)} {name()}.{digits(1)}", f"{name()} (at) {digits(1)}.{digits(2)}", f"{words(1)} at {words(1)} point {name()}", f"apples @ {digits(1)}.{digits(2)}", f"{name()} at noon. {words(1)}", f"{name()} [at] {digits(2)}.{digits(2)}", f"sold at the point of sale", f"tickets at {name()}.{some(['html', 'php', 'txt'])}"])
+            return some([f"{words(1)} at {name()}.{name()}", f"look at {words(1)} {name()}.{digits(1)}", f"{name()} (at) {digits(1)}.{digits(2)}", f"{words(1)} at {words(1)} point {name()}", f"apples @ {digits(1)}.{digits(2)}", f"{name()} at noon. {words(1)}", f"{name()} [at] {digits(2)}.{digits(2)}", f"sold at the point of sale", f"tickets at {name()}.{some(['html', 'php', 'txt'])}", f"look_at_{name()}", f"{name()}_at_{name()}.{some(['html', 'py', 'txt'])}", f"{name()}-at-{name()}", " ".join(f"a @ {digits(1)} . {digits(1)}".split()), f"{digits(1)} @ {digits(1)} . {digits(2)}"])
         if kind == "ip":
             return some([f"{digits(3)}[.]{rng.randint(256, 999)}[.]{digits(1)}[.]{digits(2)}", f"{rng.randint(1, 12)}:{digits(2)}:{digits(2)}", f"{digits(1)} . {digits(1)} . {digits(1)} . {digits(1)}", f"add::bad", f"{name()[:1]}::{name()[:3]}", f"{rng.randint(256, 999)} dot {digits(2)} dot {digits(1)} dot {digits(1)}", f"{rng.randint(256, 999)}.{rng.randint(256, 999)}.{digits(3)}.{digits(3)}", f"::{digits(1)}", f"{digits(2)}::{digits(1)}"])
         if kind == "card":
             bad = card(16)[:-1] + some("0123456789")
             bad = bad if not luhn(bad) else bad[:-1] + str((int(bad[-1]) + 1) % 10)
             return some([bad, grouped(bad, [4, 4, 4, 4], some([".", "_", "/", " ", "-"])), f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"2024-{digits(2)}-{digits(2)} {digits(2)} {digits(2)} {digits(2)}", " ".join(digits(rng.randint(1, 3)) for _ in range(8)), digits(14), digits(17), " ".join(digits(2) for _ in range(8))])
-        return some([f"20{digits(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.20{digits(2)}", f"19{digits(2)}-20{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(2)}.{digits(2)}", f"{rng.randint(1, 9)}.{digits(3)}.{digits(3)}", digits(rng.randint(7, 12)), f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(1)} - {digits(1)}", f"{rng.randint(1, 5)}/{rng.randint(6, 9)}", ".".join(str(rng.randint(0, 255)) for _ in range(4)), digits(16), grouped(digits(16), [4, 4, 4, 4], " "), f"{digits(3)} {digits(3)} {digits(3)}"])
+        return some([f"20{digits(2)} {digits(rng.randint(5, 8))}", f"{digits(2)} {digits(7)}", f"{digits(5)} - {digits(5)}", f"{digits(4)}\u2013{digits(4)}", f"1{digits(3)}-20{digits(2)}", f"20{digits(2)}-0{rng.randint(1, 9)}-{rng.randint(10, 28)}", f"{rng.randint(1, 28)}.{rng.randint(1, 12)}.20{digits(2)}", f"19{digits(2)}-20{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(1)}", f"978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}", f"{digits(2)}.{digits(2)}", f"{rng.randint(1, 9)}.{digits(3)}.{digits(3)}", digits(rng.randint(7, 12)), f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(1)} - {digits(1)}", f"{rng.randint(1, 5)}/{rng.randint(6, 9)}", ".".join(str(rng.randint(0, 255)) for _ in range(4)), digits(16), grouped(digits(16), [4, 4, 4, 4], " "), f"{digits(3)} {digits(3)} {digits(3)}"])
 
     out = []
     for _ in range(count):

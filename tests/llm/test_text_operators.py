@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -215,6 +216,37 @@ def test_spans_beyond_the_base(spark):
     assert sum(map(len, added.values())) > 150
 
 
+#: Formats written by hand: what is to be found, in «», and texts that only look alike.
+PLANTED = [
+    ("phone", "please ring «030 1234567» today"), ("phone", "my number: «415-555-2671»."), ("phone", "Telefon «(030)1234567», Berlin"), ("phone", "call «0044 20 7946 0958» now"),
+    ("phone", "tel: «415\u2013555\u20132671»"), ("phone", "mobile «0171 / 1234567»"), ("phone", "appelez le «01 23 45 67 89»"), ("phone", "fax «(212) 555-0199»"),
+    ("email", "write to «jane_AT_example_DOT_org» soon"), ("email", "mail «j a n e @ e x a m p l e . o r g»"), ("email", "«jane at example dot org» is mine"), ("email", "contact «john.doe [at] mail [dot] example [dot] com», please"),
+    ("email", "e-mail: «max-at-firma-dot-de»"), ("ip", "host «10[.]0[.]0[.]7» is down"), ("ip", "from «fe80::1ff:fe23» today"), ("card", "Visa: «4111.1111.1111.1111» thanks"), ("card", "card «4111\u00a01111\u00a01111\u00a01111»"),
+]
+ALIKE = ["order number 415-555-2671", "it was 2024-05-17 then", "in 1999-2003 and later", "look_at_me now", "ISBN 978-3-1612-3456-0", "version 1.2.3", "see index_at_page.html", "meet at noon. Then go", "at 12:30:45 sharp", "pages 123 - 456", "apples @ 3.50"]
+
+
+def test_formats_written_by_hand(spark):
+    texts = [t.replace("«", "").replace("»", "") for _, t in PLANTED] + ALIKE
+    want = [{(k, t.index("«"), t.index("»") - 1)} for k, t in PLANTED] + [set() for _ in ALIKE]
+    rows = pii.personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    found = {r.doc_id: {(s.kind, s.start, s.end) for s in r.spans} for r in rows}
+    assert all(not r.base for r in rows)
+    assert [(texts[i], found[i]) for i in found if found[i] != want[i]] == []
+
+
+@pytest.mark.parametrize("unit", ["1 ", "a ", "a_", "a-at-", "(1)", "1-", "a @ ", "12 . "])
+def test_generators_take_linear_time(unit):
+    def seconds(n):
+        start = time.perf_counter()
+        for kind in pii.KINDS:
+            pii_model.candidates(kind, unit * n)
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 12 * seconds(10_000) + 0.2
+
+
 @pytest.mark.parametrize("kind", pii.KINDS)
 def test_trees_on_candidates_not_seen(kind):
     """Precision and recall of the calibrated threshold on texts of another seed, and that half of the candidates at p are right."""
