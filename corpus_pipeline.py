@@ -3,8 +3,8 @@
 A stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last return the columns of
 `documents`. Toxicity and contamination drop rows; of each group of near copies (five-word shingles, similarity 0.8 or
 more) the row of the least id stays; personal data are replaced in the text, and n_chars follows; the last stage encodes
-the text. Null or empty texts pass all filters. Of rows with the same id one stays after the near-copy stage; rows
-without an id stay as they are.
+the text. Null or empty texts pass all filters. Rows that share an id are told apart by their text: equal ones are one row
+after the near-copy stage, near copies one group, and others stay. Rows without an id stay as they are.
 """
 
 from __future__ import annotations
@@ -25,10 +25,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    kept = first_of_groups_by_text(docs) if repeated else first_of_groups(docs)
+    return kept.union(docs.where("doc_id is null"))
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """Of each group of near copies the row of the least id; no two rows share an id."""
     groups = jaccard_join.jaccard_components(docs, size=SHINGLE, percent=PERCENT)
-    first = groups.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.select(docs.columns).union(docs.where("doc_id is null"))
+    return docs.join(groups.where("doc_id = component_id"), "doc_id", "left_semi").select(docs.columns)
+
+
+def first_of_groups_by_text(docs: DataFrame) -> DataFrame:
+    """The same where rows share ids: id and text tell rows apart, so that another text of the same id is a row of its own."""
+    rows = common.whole_rows(docs.where("doc_id is not null")).select("row", "text", F.col("row.doc_id").alias("id"))
+    rows = rows.withColumn("key", F.concat_ws(":", F.col("id").cast("string"), F.coalesce(F.sha2("text", 256), F.lit("null"))))
+    groups = jaccard_join.jaccard_components(rows, "key", size=SHINGLE, percent=PERCENT)
+    named = groups.select("key", "component_id").distinct().join(rows.select("key", "id").distinct(), "key")
+    first = named.groupBy("component_id").agg(F.min(F.struct("id", "key")).alias("least")).select("least.key")
+    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        out = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = common.stored(docs)
+            out = common.stored(out)
+            if i:
+                common.dropped(docs)
+        docs = out
     return docs
