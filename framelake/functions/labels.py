@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -176,9 +178,99 @@ def is_transform_skip(mode: Column) -> Column:
     return F.coalesce(mode.contains("skip"), F.lit(False))
 
 
-def quality_text(value: Column, unit: str = "") -> Column:
-    """A quality figure with two decimals, infinity by its sign."""
-    return F.when(value == float("inf"), "\u221e").otherwise(F.concat(F.format_string("%.2f", value), F.lit(unit)))
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def rounded_text(value: Column, places: int, plus: bool = False) -> Column:
+    """A number with so many decimals, rounded by its exact binary value and a half to the even digit, as C's printf does.
+
+    Java's formatter rounds the shortest decimal up instead (0.125 to 0.13, 0.15 to 0.2). The value is split in two
+    parts of few bits, whose products with a power of ten are exact, so what lies beyond the last digit is compared exactly.
+    Numbers beyond 2^52 units of the last digit are left to Java's formatter.
+    """
+    scale = 10**places
+
+    def digits(size: Column) -> Column:
+        # 2^27 + 1 parts a double's 53 bits in halves
+        wide = size * 134217729.0
+        high = wide - (wide - size)
+        floor = F.floor(size * scale)
+        beyond = (high * scale - floor - 0.5) + (size - high) * scale
+        # below -0.5 the product was rounded up to a whole number, which is then the nearest
+        up = lambda x: x["floor"] + ((x["beyond"] > 0) | ((x["beyond"] == 0) & (x["floor"] % 2 == 1))).cast("long")
+        return once(F.struct(floor.alias("floor"), beyond.alias("beyond")), up)
+
+    def written(n: Column) -> Column:
+        last = F.pmod(n, F.lit(scale))
+        whole = ((n - last) / scale).cast("long").cast("string")
+        return F.concat(whole, F.lit("."), F.lpad(last.cast("string"), places, "0")) if places else whole
+
+    def text(v: Column) -> Column:
+        size = F.abs(v)
+        sign = F.when(F.substring(v.cast("string"), 1, 1) == "-", "-").otherwise("+" if plus else "")
+        number = F.when(size == float("inf"), "inf").when(size * scale < 2.0**52, once(digits(size), written)).otherwise(F.format_string(f"%.{places}f", size))
+        return F.when(v.isNull(), None).when(F.isnan(v), "NaN").otherwise(F.concat(sign, number))
+
+    return once(value.cast("double"), text)
+
+
+def metric_text(kind: str, value: Column) -> Column:
+    """A tile's value beside the picture: a signed difference, decibels (infinity as its sign), ms_ssim or vmaf."""
+    if kind == "ms_psnr":
+        return F.when(F.abs(value) == float("inf"), "\u221e dB").otherwise(F.concat(rounded_text(value, 1), F.lit(" dB")))
+    places, plus = {"signed": (1, True), "ms_ssim": (4, False), "vmaf": (1, False)}[kind]
+    return rounded_text(value, places, plus)
+
+
+def quality_text(kind: str, value: Column) -> Column:
+    """A block's quality: psnr with one decimal, `e` where it is exact; ssim with three."""
+    if kind == "psnr":
+        return F.when(F.isnan(value) | (F.abs(value) == float("inf")), "e").otherwise(rounded_text(value, 1))
+    return rounded_text(value, 3)
+
+
+#: Decimals that a block's value is told with, by what the block is filled by; other fills tell the QP.
+FILL_PLACES = {"bpp": 2, "mv": 1, "coeff": 1, "nz": 2}
+
+
+def fill_text(fill: str, value: Column, qp: Column) -> Column:
+    """A block's value in words: mode by its name, numbers with their decimals, and the QP for fills that blocks have no value of."""
+    if fill == "mode":
+        return value
+    return rounded_text(value.cast("double"), FILL_PLACES[fill]) if fill in FILL_PLACES else rounded_text(qp.cast("double"), 0)
+
+
+#: What camera side data call their classes, by number: fixed values.
+SIDE_CLASSES = {"iso": ["Low", "Med", "High"], "exposure": ["Stable", "Converging", "Hunting"], "histogram": ["Normal", "LowKey", "HighKey", "Bimodal"]}
+
+
+def side_class(kind: str, value: Column) -> Column:
+    """The name of a class of side data, or its number where it has none."""
+    return F.coalesce(looked_up(value.cast("int"), dict(enumerate(SIDE_CLASSES[kind]))), value.cast("string"))
+
+
+def dynamic_range_text(sixteenths: Column) -> Column:
+    return F.concat(rounded_text(sixteenths / 16.0, 1), F.lit(" stops"))
+
+
+def distortion_text(hundredths: Column) -> Column:
+    return rounded_text(hundredths / 100.0, 2)
+
+
+def listed(name: str, **parts: Column) -> Column:
+    return F.concat(F.lit(f"{name}("), F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), v.cast("string")) for k, v in parts.items())), F.lit(")"))
+
+
+def side_frame_text(id: Column, scene: Column, noise: Column, motion: Column, qp_bias: Column, iso: Column, exposure: Column, units: Column) -> Column:
+    """A frame of side data in a line."""
+    return listed("Frame", id=id, scene=scene, noise=noise, motion=motion, qp_bias=qp_bias, iso=iso, ae=exposure, ctus=units)
+
+
+def side_unit_text(activity: Column, flatness: Column, edges: Column, qp_delta: Column, lambda_q8: Column) -> Column:
+    """A coding tree unit of side data in a line."""
+    return listed("CTU", act=activity, flat=flatness, edge=edges, qp_delta=qp_delta, **{"lambda": rounded_text(lambda_scale(lambda_q8), 3)})
 
 
 def guess_text(width: Column, height: Column, name: Column, frames: Column) -> Column:

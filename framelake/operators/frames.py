@@ -107,6 +107,23 @@ def field(px: DataFrame, odd: int) -> DataFrame:
     return px.where(F.col("y") % 2 == odd).withColumn("y", F.explode(F.array(F.col("y") - odd, F.col("y") - odd + 1)))
 
 
+def split_view(px: DataFrame, parts: list[tuple[Column, Column, Column]], width: int, height: int) -> DataFrame:
+    """Four half-size pictures in one: parts are the (r, g, b) of the upper left, upper right, lower left and lower right one.
+
+    Of each two columns and rows the first is taken; the last column or row of an odd size is black. A projection: each
+    kept pixel is dealt to its four places. Other columns stay.
+    """
+    half_w, half_h = width // 2, height // 2
+    x, y = F.floor(F.col("x") / 2).cast("int"), F.floor(F.col("y") / 2).cast("int")
+    spot = lambda x, y, rgb: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), *(c.cast("int").alias(n) for n, c in zip("rgb", rgb, strict=True)))
+    four = F.array(*(spot(x + (k % 2) * half_w, y + (k // 2) * half_h, rgb) for k, rgb in enumerate(parts)))
+    edge = (F.col("x") >= 2 * half_w) | (F.col("y") >= 2 * half_h)
+    taken = (F.col("x") % 2 == 0) & (F.col("y") % 2 == 0) & ~edge
+    black = F.array(spot(F.col("x"), F.col("y"), (F.lit(0),) * 3))
+    rest = [c for c in px.columns if c not in ("x", "y", "r", "g", "b")]
+    return px.where(taken | edge).select(*rest, F.explode(F.when(edge, black).otherwise(four)).alias("p")).select(*rest, "p.*")
+
+
 def upsampled(plane: DataFrame, src: tuple[int, int], dst: tuple[int, int], keys: list[str] = FRAME) -> DataFrame:
     """Nearest upsampling: each sample goes to the places whose index scales down to its own."""
     (sw, sh), (dw, dh) = src, dst

@@ -89,6 +89,18 @@ def frame_summary(frames: DataFrame, blocks: DataFrame, asked: DataFrame) -> Dat
     return shown.join(counts, ["video", "decode_idx"], "left").fillna(0, ["n_blocks"])
 
 
+def inspected(blocks: DataFrame, refs: DataFrame, asked: DataFrame, keys: list[str]) -> DataFrame:
+    """The blocks that are asked for (keys), with bits a pixel, the vector in pixels and their references: how many, and the lists in
+    use. Blocks that don't exist give no row.
+    """
+    found = blocks.join(asked.select(*keys).distinct(), keys, "left_semi")
+    per = refs.join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n_refs"), F.array_join(F.array_sort(F.collect_set("list")), ",").alias("lists"))
+    area = F.greatest(F.col("w") * F.col("h"), F.lit(1))
+    values = {"bpp": F.greatest(F.col("bits"), F.lit(0)) / area, "dx": F.col("mvx") / 4.0, "dy": F.col("mvy") / 4.0}
+    own = found.drop("list") if "list" in found.columns else found
+    return own.join(per, keys, "left").fillna(0, ["n_refs"]).fillna("", ["lists"]).withColumns(values)
+
+
 def shifted_display(shown: DataFrame, offset: int) -> DataFrame:
     """Frames of a viewer (video, frame_idx) with the display number of telemetry that belongs to them, null below the first."""
     at = F.col("frame_idx") + offset

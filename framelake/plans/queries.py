@@ -668,6 +668,39 @@ def ctu_place(spark: SparkSession, d: str) -> DataFrame:
     return tm.unit_places(units, 64, 400, 256).select("event_id", *longs("col", "row"))
 
 
+# --- views and words ----------------------------------------------------------------------------------------------
+
+@query("SELECT frame, x // 2 + k % 2 * 32 AS x, y // 2 + k // 2 * 32 AS y, CASE WHEN k IN (2, 3) THEN 0 ELSE r END AS r, CASE WHEN k IN (1, 3) THEN 0 ELSE g END AS g, CASE WHEN k IN (1, 2) THEN 0 ELSE b END AS b FROM px, (SELECT unnest([0, 1, 2, 3]) AS k) q WHERE x % 2 = 0 AND y % 2 = 0", PX)
+def split_view(spark: SparkSession, d: str) -> DataFrame:
+    parts = [tuple(map(F.col, "rgb")), *(pixel.colorize(n, F.col(n.lower())) for n in "RGB")]
+    return fr.split_view(ad.pixels(spark, d), parts, S, S).select(*longs("frame", "x", "y", "r", "g", "b"))
+
+
+@query("SELECT video, decode_idx, block, printf('%.2f', greatest(bits, 0)::DOUBLE / (w * h)) AS bpp, CASE WHEN mvx IS NOT NULL THEN printf('%.1f', (abs(mvx) + abs(mvy))::DOUBLE / 4) END AS mv, mode, qp::VARCHAR AS qp FROM blocks", BLOCKS)
+def block_value_texts(spark: SparkSession, d: str) -> DataFrame:
+    values = {"bpp": F.greatest(F.col("bits"), F.lit(0)) / (F.col("w") * F.col("h")), "mv": labels.mv_pixels(F.col("mvx"), F.col("mvy")), "mode": F.col("mode"), "qp": F.lit(None)}
+    return ad.blocks(spark, d).select("video", "decode_idx", "block", *(labels.fill_text(n, v, F.col("qp")).alias(n) for n, v in values.items()))
+
+
+@query("SELECT o_orderkey, 'Frame(id=' || o_orderkey || ', scene=' || o_custkey % 5 || ', noise=' || o_custkey % 3 || ', motion=' || o_custkey % 4 || ', qp_bias=' || (o_custkey % 11 - 5) || ', iso=' || o_custkey % 4 || ', ae=' || o_orderkey % 4 || ', ctus=' || o_custkey % 9 || ')' AS line, CASE o_custkey % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Med' WHEN 2 THEN 'High' ELSE '3' END AS iso, CASE o_orderkey % 4 WHEN 0 THEN 'Stable' WHEN 1 THEN 'Converging' WHEN 2 THEN 'Hunting' ELSE '3' END AS exposure, printf('%.1f', (o_custkey % 256)::DOUBLE / 16) || ' stops' AS dynamic_range, printf('%.2f', (o_custkey % 201 - 100)::DOUBLE / 100) AS distortion FROM orders")
+def side_frame_texts(spark: SparkSession, d: str) -> DataFrame:
+    c, k = F.col("o_custkey"), F.col("o_orderkey")
+    line = labels.side_frame_text(k, c % 5, c % 3, c % 4, c % 11 - 5, c % 4, k % 4, c % 9)
+    return ad.table(spark, d, "orders").select("o_orderkey", line.alias("line"), labels.side_class("iso", c % 4).alias("iso"), labels.side_class("exposure", k % 4).alias("exposure"), labels.dynamic_range_text(c % 256).alias("dynamic_range"), labels.distortion_text(c % 201 - 100).alias("distortion"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 'CTU(act=' || l_partkey % 256 || ', flat=' || l_suppkey % 256 || ', edge=' || l_linenumber || ', qp_delta=' || (l_partkey % 13 - 6) || ', lambda=' || printf('%.3f', (l_partkey % 1024)::DOUBLE / 256) || ')' AS line FROM lineitem")
+def side_unit_texts(spark: SparkSession, d: str) -> DataFrame:
+    p = F.col("l_partkey")
+    return ad.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", labels.side_unit_text(p % 256, F.col("l_suppkey") % 256, F.col("l_linenumber"), p % 13 - 6, p % 1024).alias("line"))
+
+
+@query("SELECT b.video, b.decode_idx, b.block, round(greatest(bits, 0)::DOUBLE / (w * h), 6) AS bpp, mvx / 4.0::DOUBLE AS dx, mvy / 4.0::DOUBLE AS dy, coalesce(n, 0) AS n_refs, coalesce(lists, '') AS lists FROM blocks b LEFT JOIN (SELECT video, decode_idx, block, count(*) AS n, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM units GROUP BY ALL) u USING (video, decode_idx, block)", BLOCKS, UNITS)
+def inspected_blocks(spark: SparkSession, d: str) -> DataFrame:
+    blocks, keys = ad.blocks(spark, d), ["video", "decode_idx", "block"]
+    return tm.inspected(blocks, ad.unit_refs(spark, d), blocks, keys).select(*keys, *r6("bpp"), "dx", "dy", "n_refs", "lists")
+
+
 # --- meta data ---------------------------------------------------------------------------------------------------
 
 META = """mf AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag, l_linestatus) - 1 AS decode_idx, * FROM lineitem WHERE l_orderkey % 11 <> 0),

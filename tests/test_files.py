@@ -1,10 +1,12 @@
 """Small operators on files, marks and colours."""
 
+import random
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from framelake.functions import labels
-from framelake.operators import files
+from framelake.operators import files, frames, telemetry
 
 
 def test_kinds(spark):
@@ -68,8 +70,42 @@ def test_small_look_ups(spark):
     sizes = "video string, width int, height int"
     kept = telemetry.same_size(spark.createDataFrame([("a", 4, 4), ("b", 4, 4), ("c", 0, 0)], sizes), spark.createDataFrame([("a", 4, 4), ("b", 4, 2), ("c", 0, 0)], sizes))
     assert [tuple(r) for r in kept.collect()] == [("a", 4, 4)]
-    words = spark.range(1).select(labels.is_transform_skip(F.lit("ts_skip")).alias("a"), labels.is_transform_skip(F.lit(None).cast("string")).alias("b"), labels.quality_text(F.lit(float("inf"))).alias("c"), labels.quality_text(F.lit(31.456), " dB").alias("d")).first()
-    assert tuple(words) == (True, False, "∞", "31.46 dB")
+    words = spark.range(1).select(labels.is_transform_skip(F.lit("ts_skip")).alias("a"), labels.is_transform_skip(F.lit(None).cast("string")).alias("b"), labels.quality_text("psnr", F.lit(float("inf"))).alias("c"), labels.metric_text("ms_psnr", F.lit(31.456)).alias("d")).first()
+    assert tuple(words) == (True, False, "e", "31.5 dB")
     tx = spark.createDataFrame([(0, 1, True, True, 9, 2), (0, 1, True, False, -4, 7)], "v int, b int, has_abs_sum boolean, has_nonzero boolean, abs_sum long, nonzero long")
     blocks = spark.createDataFrame([(0, 1), (0, 2)], "v int, b int")
     assert sorted(tuple(r) for r in telemetry.with_coefficients(blocks, tx, ["v", "b"]).collect()) == [(0, 1, 9, 2), (0, 2, 0, 0)]
+
+
+def test_numbers_in_words(spark):
+    """As C's printf rounds, halves and shortest decimals included."""
+    values = [0.125, 0.375, 0.15, 0.25, 0.35, 2.5, -0.04, -0.0, 0.0, 123456.785, 0.005, 1.005, 99.995, 9.995, 0.95, 1234567890.05, 2.675, 1e-320]
+    rng = random.Random(3)
+    values += [rng.uniform(-1000, 1000) for _ in range(300)] + [rng.randint(-4000, 4000) / rng.choice([8, 16, 40, 200, 1000]) for _ in range(600)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    texts = [labels.rounded_text(F.col("v"), n, n == 1).alias(f"t{n}") for n in range(5)]
+    for r in df.select("v", *texts).collect():
+        assert (r.t0, r.t1, r.t2, r.t3, r.t4) == (f"{r.v:.0f}", f"{r.v:+.1f}", f"{r.v:.2f}", f"{r.v:.3f}", f"{r.v:.4f}")
+    odd = spark.sql("SELECT double('NaN') AS a, double('-Infinity') AS b, double(null) AS c")
+    assert tuple(odd.select(*(labels.rounded_text(F.col(c), 2) for c in "abc")).first()) == ("NaN", "-inf", None)
+    fine = odd.select(labels.metric_text("ms_psnr", F.col("b")), labels.quality_text("psnr", F.col("a")), labels.quality_text("ssim", F.lit(0.98765)), labels.metric_text("signed", F.lit(3.0)), labels.fill_text("mv", F.lit(2.5), F.lit(30)), labels.fill_text("qp", F.lit(2.5), F.lit(30)))
+    assert tuple(fine.first()) == ("∞ dB", "e", "0.988", "+3.0", "2.5", "30")
+    side = odd.select(labels.side_class("iso", F.lit(2)), labels.side_class("exposure", F.lit(7)), labels.side_class("histogram", F.lit(3)), labels.dynamic_range_text(F.lit(200)), labels.distortion_text(F.lit(-5)), labels.side_frame_text(*map(F.lit, range(8))), labels.side_unit_text(*map(F.lit, (1, 2, 3, -4, 300))))
+    assert tuple(side.first()) == ("High", "7", "Bimodal", "12.5 stops", "-0.05", "Frame(id=0, scene=1, noise=2, motion=3, qp_bias=4, iso=5, ae=6, ctus=7)", "CTU(act=1, flat=2, edge=3, qp_delta=-4, lambda=1.172)")
+
+
+def test_split_view_and_inspected_blocks(spark):
+    w, h = 5, 4
+    px = spark.createDataFrame([(1, x, y, 10 * x + y, x, y) for x in range(w) for y in range(h)], "frame int, x int, y int, r int, g int, b int")
+    grey = lambda c: (F.col(c),) * 3
+    out = {(r.x, r.y): (r.r, r.g, r.b) for r in frames.split_view(px, [tuple(map(F.col, "rgb")), *map(grey, "rgb")], w, h).collect()}
+    assert len(out) == w * h and all(out[4, y] == (0, 0, 0) for y in range(h))
+    for x in range(2):
+        for y in range(2):
+            r, g, b = 20 * x + 2 * y, 2 * x, 2 * y
+            assert [out[x, y], out[x + 2, y], out[x, y + 2], out[x + 2, y + 2]] == [(r, g, b), (r,) * 3, (g,) * 3, (b,) * 3]
+    blocks = spark.createDataFrame([(1, 1, 8, 8, 128, 6, -2), (1, 2, 8, 4, -1, None, None), (2, 1, 8, 8, 9, 0, 0)], "f int, block int, w int, h int, bits int, mvx int, mvy int")
+    refs = spark.createDataFrame([(1, 1, "L1"), (1, 1, "L0"), (1, 1, "L0"), (2, 1, "L0")], "f int, block int, list string")
+    asked = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (7, 7)], "f int, block int")
+    got = {(r.f, r.block): (r.bpp, r.dx, r.dy, r.n_refs, r.lists) for r in telemetry.inspected(blocks, refs, asked, ["f", "block"]).collect()}
+    assert got == {(1, 1): (2.0, 1.5, -0.5, 3, "L0,L1"), (1, 2): (0.0, None, None, 0, "")}
