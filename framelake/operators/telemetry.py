@@ -174,13 +174,29 @@ def reference_counts(edges: DataFrame) -> DataFrame:
 def hit_test(points: DataFrame, blocks: DataFrame, keys: list[str], order: list[str], cell: int = 64) -> DataFrame:
     """For each point (px, py) the smallest block that holds it, the first in order of those as small; points outside give no row.
 
-    Blocks are laid out on a coarse grid, so points meet only the blocks that touch their cell.
+    Blocks are laid out on a coarse grid, so points meet only the blocks that touch their cell. Neither side is broadcast: points are
+    often made of fewer rows than they are, so that their size is estimated too low.
     """
     spread = blocks.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x") / cell), F.floor((F.col("x") + F.col("w") - 1) / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y") / cell), F.floor((F.col("y") + F.col("h") - 1) / cell))))
     at = points.withColumn("cx", F.floor(F.col("px") / cell)).withColumn("cy", F.floor(F.col("py") / cell))
-    inside = (F.col("px") >= F.col("x")) & (F.col("px") < F.col("x") + F.col("w")) & (F.col("py") >= F.col("y")) & (F.col("py") < F.col("y") + F.col("h"))
     value = F.struct((F.col("w") * F.col("h")).alias("area"), *(F.col(c) for c in order))
-    return at.join(spread, [*keys, "cx", "cy"]).where(inside).groupBy(*keys, "px", "py").agg(F.min(value).alias("hit")).select(*keys, "px", "py", "hit.*")
+    return at.hint("merge").join(spread, [*keys, "cx", "cy"]).where(holds(F.col("px"), F.col("py"))).groupBy(*keys, "px", "py").agg(F.min(value).alias("hit")).select(*keys, "px", "py", "hit.*")
+
+
+def holds(px: Column, py: Column) -> Column:
+    """Whether a block (x, y, w, h) holds a point."""
+    return (px >= F.col("x")) & (px < F.col("x") + F.col("w")) & (py >= F.col("y")) & (py < F.col("y") + F.col("h"))
+
+
+def hit_test_each(frames: DataFrame, points: list[tuple[int, int]], blocks: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """hit_test where the same points are asked of every frame (keys). Each block says which points it holds, so frames are never
+    multiplied by points, and blocks that hold none stay where they are.
+    """
+    asked = F.array(*(F.struct(F.lit(x).cast("long").alias("px"), F.lit(y).cast("long").alias("py")) for x, y in points))
+    held = blocks.withColumn("at", F.filter(asked, lambda p: holds(p["px"], p["py"]))).where(F.size("at") > 0)
+    known = held.join(frames.select(*keys).hint("merge"), keys, "left_semi")
+    value = F.struct((F.col("w") * F.col("h")).alias("area"), *(F.col(c) for c in order))
+    return known.select(*keys, value.alias("value"), F.inline("at")).groupBy(*keys, "px", "py").agg(F.min("value").alias("hit")).select(*keys, "px", "py", "hit.*")
 
 
 def colocated(a: DataFrame, b: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
