@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.nal import EXTENSIONS
+from ..sources.stores import stored
 
 STREAMS = ["h265", "hevc", "h264", "264", "265"]
 
@@ -66,12 +67,25 @@ def with_stage(frames: DataFrame, listed: DataFrame, folder: str) -> DataFrame:
 
 
 def neighbours(marks: DataFrame, at: DataFrame) -> DataFrame:
-    """For frames `current` the next and the previous mark: one window over both, whatever their number."""
-    both = marks.select("video", F.col("frame"), F.col("frame").alias("mark")).unionByName(at.select("video", F.col("current").alias("frame"), F.lit(None).cast("long").alias("mark")).withColumn("mark", F.lit(None).cast(marks.schema["frame"].dataType)))
-    order = Window.partitionBy("video").orderBy("frame")
-    before, after = order.rangeBetween(Window.unboundedPreceding, -1), order.rangeBetween(1, Window.unboundedFollowing)
-    found = both.withColumn("previous", F.max("mark").over(before)).withColumn("next", F.min("mark").over(after))
-    return found.where("mark is null").select("video", F.col("frame").alias("current"), "previous", "next")
+    """For frames `current` the next and the previous mark of their video, whatever their number and however few the videos.
+
+    Frames and marks are dealt into ranges by video and frame, written once, as both steps have to see the same ranges. A window
+    finds marks within a range, and one row a range gives those of the ranges around it.
+    """
+    both = marks.select("video", F.col("frame"), F.lit(True).alias("marked")).unionByName(at.select("video", F.col("current").alias("frame"), F.lit(False).alias("marked")))
+    ranges = stored(both.repartitionByRange("video", "frame").withColumn("p", F.spark_partition_id()))
+    mark, part = F.when(F.col("marked"), F.col("frame")), ["p", "video"]
+    # frames only run up in both windows: one that is open at its end would be read anew for each row
+    up = Window.partitionBy(*part).orderBy("frame").rangeBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*part).orderBy(F.desc("frame")).rangeBetween(Window.unboundedPreceding, -1)
+    found = ranges.withColumn("previous", F.max(mark).over(up)).withColumn("next", F.min(mark).over(down)).where("not marked")
+    ends = ranges.groupBy(*part).agg(F.min(mark).alias("least"), F.max(mark).alias("most"))
+    before = Window.partitionBy("video").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("video").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, -1)
+    around = ends.select(F.col("p").alias("q"), F.col("video").alias("v"), F.max("most").over(before).alias("earlier"), F.min("least").over(after).alias("later"))
+    joined = found.join(around.hint("merge"), (F.col("p") == F.col("q")) & F.col("video").eqNullSafe(F.col("v")))
+    known = lambda own, other: F.when(F.col("frame").isNotNull(), F.coalesce(own, other)).alias(own)
+    return joined.select("video", F.col("frame").alias("current"), known("previous", "earlier"), known("next", "later"))
 
 
 def variation(plane: np.ndarray, most: int = 256) -> int:
