@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framelake.operators import files, telemetry
+from framelake.operators import files, grids, telemetry
 from framelake.plans import adapters
 from framelake.plans.queries import QUERIES
 
@@ -51,6 +51,32 @@ def test_hits_of_each_frame(spark):
         assert len(found) == len(want) > 20 and {x[:3]: x[3:] for x in found} == want
 
 
+def test_cells_are_never_shuffled(spark):
+    shuffles = {"rasterize": 1, "resample_mean": 1, "resample_angle": 1, "resample_class": 1, "telemetry_to_coarse": 1, "diff_grid": 2, "subtract_grid": 2}
+    for name, n in shuffles.items():
+        text = plan(QUERIES[name](spark, SF))
+        assert (text.count("Exchange"), text.count("Exchange hashpartitioning(frame#"), text.count("Join")) == (n, n, 0), name
+    text = plan(QUERIES["valid_share"](spark, SF))
+    assert "REPARTITION_BY_NUM" in text and "rank" not in "".join(x for x in text.splitlines() if "ENSURE_REQUIREMENTS" in x)
+
+
+def test_parts_grow_with_blocks(spark):
+    blocks = spark.createDataFrame([(f, 0, 0, 8, 8, f, 64, m, 1, 1) for f in range(9) for m in ("intra", "skip")], "frame long, x long, y long, w long, h long, qp long, bits long, mode string, mvx long, mvy long")
+    text = plan(grids.rasterize(blocks, 8, 16, 16, ["frame"], 25 * grids.BLOCKS_A_TASK + 1))
+    assert "hashpartitioning(frame#" in text and ", 26), REPARTITION_BY_NUM" in text
+    assert sorted((r.frame, r.c, r.r, r.qp, r.mode, r.coverage) for r in grids.rasterize(blocks, 8, 16, 16, ["frame"]).collect()) == [(f, 0, 0, f, 2, 2.0) for f in range(9)]
+
+
+def test_differences_where_a_grid_lacks_cells(spark):
+    cells = lambda rows: spark.createDataFrame(rows, "f long, gc long, gr long, v double, valid boolean")
+    a = cells([(0, 0, 0, 3.0, True), (0, 1, 0, None, True), (0, 2, 0, 4.0, False), (0, 3, 0, 5.0, True)])
+    b = cells([(0, 0, 0, 1.0, True), (0, 1, 0, 1.0, True), (0, 2, 0, 1.0, True), (0, 4, 0, 1.0, True)])
+    got = sorted(tuple(r) for r in grids.subtract(a, b, ["v"], ["f"]).collect())
+    assert got == [(0, 0, 0, 2.0, True), (0, 1, 0, None, True), (0, 2, 0, 3.0, False), (0, 3, 0, 0.0, False)]
+    fine = lambda g: g.withColumnsRenamed({"gc": "c", "gr": "r"}).withColumn("coverage", F.lit(1.0))
+    assert sorted(tuple(r) for r in grids.difference(fine(a), fine(b), "v", ["f"]).collect()) == [(0, 0, 0, -2.0), (0, 1, 0, None), (0, 2, 0, -3.0)]
+
+
 def test_marks_of_one_video_are_dealt(spark):
     r = random.Random(5)
     marks, at = [r.randrange(900) for _ in range(150)], [r.randrange(900) for _ in range(300)]
