@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from framelake.operators import files, grids, telemetry
+from framelake.operators import files, grids, points, telemetry
 from framelake.plans import adapters
 from framelake.plans.queries import QUERIES
 
@@ -77,6 +77,20 @@ def test_differences_where_a_grid_lacks_cells(spark):
     assert sorted(tuple(r) for r in grids.difference(fine(a), fine(b), "v", ["f"]).collect()) == [(0, 0, 0, -2.0), (0, 1, 0, None), (0, 2, 0, -3.0)]
 
 
+def test_nearest_is_one_join(spark):
+    text = plan(QUERIES["nearest_point"](spark, SF))
+    assert text.count("Join") == 1 and "Broadcast" not in text and "lineitem" in text and "orders" in text
+
+
+def test_nearest_of_many_at_one_spot(spark):
+    inf = float("inf")
+    known = spark.range(2000).select(F.lit(0).alias("v"), (5000 - F.col("id")).alias("point"), F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    more = spark.createDataFrame([(0, 1, 1.15, 1.0), (0, 2, inf, 1.0), (0, 3, -inf, 1e300), (0, 4, 9.8, 9.9)], known.schema)
+    asked = spark.createDataFrame([(0, 7, 1.01, 1.0), (0, 8, 1.1, 1.0), (0, 8, 9.9, 9.9), (0, 9, inf, 1.0), (0, 10, 1.3, 1.0), (0, 11, 9.8, 9.9)], "v int, place long, x double, y double")
+    got = {(r.place, r.point): round(r.distance, 9) for r in points.nearest(known.union(more), asked, ["v"], 10.0, 10.0).collect()}
+    assert got == {(7, 3001): 0.001, (8, 1): 0.005, (10, 1): 0.015, (11, 4): 0.0}
+
+
 def test_marks_of_one_video_are_dealt(spark):
     r = random.Random(5)
     marks, at = [r.randrange(900) for _ in range(150)], [r.randrange(900) for _ in range(300)]
