@@ -58,7 +58,8 @@ def scalar_fields(v: Column) -> Column:
 
 def parsed(documents: DataFrame, keys: list[str], json: str) -> DataFrame:
     """The keys, the document as variant `v`, and an error if the text is no JSON."""
-    return documents.select(*keys, F.try_parse_json(json).alias("v"), F.when(F.try_parse_json(json).isNull() & F.col(json).isNotNull(), "invalid JSON").alias("error"))
+    read = documents.select(*keys, F.col(json).isNotNull().alias("given"), F.try_parse_json(json).alias("v"))
+    return read.select(*keys, "v", F.when(F.col("v").isNull() & F.col("given"), "invalid JSON").alias("error"))
 
 
 def spread(rows: DataFrame, keys: list[str], what: Column, place: str, *columns: tuple[str, Column]) -> DataFrame:
@@ -86,7 +87,8 @@ def parameter_sets(documents: DataFrame, keys: list[str], json: str = "meta") ->
 def fields(rows: DataFrame, keys: list[str], contains: str = "") -> DataFrame:
     """A row a field (name, value) whose name contains a text, whatever the case of its Latin letters."""
     lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return rows.select(*keys, F.inline("fields")).where(lower(F.col("name")).contains(lower(F.lit(contains))))
+    # outer, as Spark would make the fields twice to leave out rows without any
+    return rows.select(*keys, F.inline_outer("fields")).where(lower(F.col("name")).contains(lower(F.lit(contains))))
 
 
 def frames_meta(documents: DataFrame, keys: list[str], json: str = "meta") -> DataFrame:

@@ -91,6 +91,12 @@ def test_nearest_of_many_at_one_spot(spark):
     assert got == {(7, 3001): 0.001, (8, 1): 0.005, (10, 1): 0.015, (11, 4): 0.0}
 
 
+def test_documents_are_parsed_once(spark):
+    for name in ("meta_reference_lists", "meta_parameter_fields", "meta_slice_headers"):
+        text = plan(QUERIES[name](spark, SF))
+        assert text.count("parseJson(") == 1 and "format_string" not in text and text.count("map_entries(") <= 1, name
+
+
 def test_marks_of_one_video_are_dealt(spark):
     r = random.Random(5)
     marks, at = [r.randrange(900) for _ in range(150)], [r.randrange(900) for _ in range(300)]
