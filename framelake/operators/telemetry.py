@@ -69,7 +69,7 @@ def mv_points(refs: DataFrame, blocks: DataFrame, keys: list[str]) -> DataFrame:
 def with_coefficients(blocks: DataFrame, tx: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks with the summed levels and coefficients of their transforms, 0 without any."""
     totals = tx_totals(tx, keys).select(*keys, "abs_sum", "nonzero")
-    return blocks.join(totals, keys, "left").fillna(0, ["abs_sum", "nonzero"])
+    return blocks.join(totals.hint("merge"), keys, "left").fillna(0, ["abs_sum", "nonzero"])
 
 
 def fill_stats(blocks: DataFrame, by: list[str]) -> DataFrame:

@@ -33,6 +33,10 @@ def test_points_are_not_broadcast(spark):
         assert "BroadcastExchange" not in plan(df)
 
 
+def test_totals_of_transforms_are_not_broadcast(spark):
+    assert "Broadcast" not in plan(QUERIES["rasterize_coefficients"](spark, SF))
+
+
 def test_hits_of_each_frame(spark):
     r = random.Random(4)
     rows = [(f, 8 * r.randrange(9), 8 * r.randrange(9), r.choice([8, 16, 64]), r.choice([8, 16, 64]), r.randrange(3)) for f in range(99) for _ in range(r.randrange(9))]
