@@ -1,4 +1,4 @@
-"""Annex-B byte streams in files, read by byte ranges: a file of any size is split among tasks.
+"""Annex-B byte streams in files, read by byte ranges: a file of any size is split among tasks, and a task takes several small ones.
 
 A task finds the start codes that begin in its range. A code is three or four bytes that show it wherever a scan starts,
 but for a zero before the first byte, so a range is read from one byte before it; the last code's unit ends at the next code
@@ -11,7 +11,7 @@ each, and units get that by a join with these few rows; no window and no shuffle
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,8 @@ from ..functions import nal
 from .stores import listed, opened
 
 BYTES_PER_PARTITION = 64 << 20
+#: Bytes of small files that one task reads one after another, so that many don't make as many tasks.
+BYTES_A_TASK = 4 << 20
 #: Bytes that are read at a time where the end of a unit is looked for.
 AHEAD = 1 << 20
 ENDINGS = tuple(f".{e}" for e in nal.EXTENSIONS)
@@ -37,6 +39,24 @@ class Range(InputPartition):
     low: int
     high: int
     total: int
+    #: Whole small files that the same task reads after this one.
+    others: list[Range] = field(default_factory=list)
+
+
+def packed(ranges: list[Range], most: int) -> list[Range]:
+    """Ranges with whole files that follow each other put into one, as far as these have no more than `most` bytes together."""
+    out, size = [], most
+    for r in ranges:
+        if r.high - r.low < r.total:
+            out.append(r)
+            size = most
+        elif size + r.total > most:
+            out.append(r)
+            size = r.total
+        else:
+            out[-1].others.append(r)
+            size += r.total
+    return out
 
 
 def next_code(f, at: int, total: int) -> int:
@@ -88,11 +108,14 @@ class CodeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         found = [Range(path, k, low, min(low + self.step, total), total) for path, total in listed(self.path, ENDINGS) for k, low in enumerate(range(0, total, self.step))]
-        return found or [Range("", 0, 0, 0, 0)]
+        return packed(found, BYTES_A_TASK) or [Range("", 0, 0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        if not partition.total:
-            return
+        for one in (partition, *partition.others):
+            if one.total:
+                yield from self.read_range(one)
+
+    def read_range(self, partition: Range) -> Iterator[pa.RecordBatch]:
         with opened(partition.path) as f:
             start, code, size, *head = codes_of(f, partition)
         counts = [np.cumsum(s) for s in nal.picture_starts(size, *head)]

@@ -12,8 +12,10 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +42,23 @@ class Parts(WriterCommitMessage):
     parts: list[Part] = field(default_factory=list)
 
 
+def runs(file: pa.Array) -> list[tuple[int, int]]:
+    """Stretches of equal values in an array, each as its first row and the row behind it."""
+    n = len(file)
+    ends = (np.flatnonzero(pc.not_equal(file.slice(1), file.slice(0, n - 1)).fill_null(True).to_numpy(zero_copy_only=False)) + 1).tolist() if n > 1 else []
+    return list(zip([0, *ends], [*ends, n], strict=True)) if n else []
+
+
+def joined(data: pa.Array) -> pa.Buffer | bytes:
+    """The bytes of all values one after another; nulls are none. Values lie so in an Arrow array, so nothing is copied."""
+    if data.null_count:
+        data = data.fill_null(b"")
+    _, offsets, body = data.buffers()
+    wide = pa.types.is_large_binary(data.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[data.offset : data.offset + len(data) + 1]
+    return b"" if body is None else body.slice(int(at[0]), int(at[-1] - at[0]))
+
+
 class OrderedFiles(DataSource):
     """Rows (file, seq, data) to files of their bytes by seq. Options: path (a folder), join. Rows have to be dealt out in
     ranges of (file, seq) and sorted in them, as `save` does; a file's ranges may not overlap.
@@ -67,21 +86,25 @@ class OrderedWriter(DataSourceArrowWriter):
         out, done = None, Parts()
         try:
             for batch in iterator:
-                for file, seq, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                file, seq, data = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False), batch.column(2)
+                # rows of one file that follow each other lie together in the batch, and are written at once
+                for at, end in runs(file):
+                    name, first, last = file[at].as_py(), int(seq[at]), int(seq[end - 1])
                     part = done.parts[-1] if done.parts else None
-                    if part is None or part.file != file:
+                    if part is None or part.file != name:
                         if out:
                             out.close()
-                        part = Part(file, seq, seq, f"{hidden}/{uuid.uuid4().hex}", 0)
+                        part = Part(name, first, first, f"{hidden}/{uuid.uuid4().hex}", 0)
                         done.parts.append(part)
                         out = system.open_output_stream(part.path)
-                    elif seq < part.last:
-                        raise ValueError(f"rows of {file} are out of order: {seq} after {part.last}")
-                    body = data.as_buffer()
-                    if body is not None:
-                        out.write(body)
-                        part.size += body.size
-                    part.last = seq
+                    steps = np.flatnonzero(np.diff(seq[at:end], prepend=part.last) < 0)
+                    if len(steps):
+                        k = at + int(steps[0])
+                        raise ValueError(f"rows of {name} are out of order: {seq[k]} after {seq[k - 1] if k > at else part.last}")
+                    body = joined(data.slice(at, end - at))
+                    out.write(body)
+                    part.size += len(body)
+                    part.last = last
         finally:
             if out:
                 out.close()

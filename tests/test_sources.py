@@ -206,6 +206,22 @@ def test_any_cut_finds_the_same_codes(tmp_path, step, monkeypatch):
         assert same(read(step)) == same(read(1000))
 
 
+def test_small_files_share_a_task(spark, tmp_path, monkeypatch):
+    from framelake.sources import annexb
+
+    for i in range(30):
+        (tmp_path / f"{i:02d}.bin").write_bytes(b"\0\0\1\x26\1\x80" * (i + 1))
+    (tmp_path / "15a.bin").write_bytes(b"\0\0\1\x26" * 50)
+    codes = annexb.read(spark, str(tmp_path), 190)
+    assert codes.rdd.getNumPartitions() < 8
+    got = {(r.path[-6:-4], r.n) for r in annexb.units(codes).groupBy("path").agg({"unit": "max"}).toDF("path", "n").collect()}
+    assert got == {(f"{i:02d}", i) for i in range(30)} | {("5a", 49)}
+    monkeypatch.setattr(annexb, "BYTES_A_TASK", 400)
+    parts = annexb.CodeReader(str(tmp_path), 150).partitions()
+    assert sorted((r.path[-7:], r.low) for p in parts for r in (p, *p.others)) == sorted((path[-7:], low) for path, size in annexb.listed(str(tmp_path)) for low in range(0, size, 150))
+    assert all(sum(r.total for r in (p, *p.others)) <= 400 and all(r.high == r.total for r in p.others) for p in parts if p.others)
+
+
 def test_codec_by_header_faults(spark):
     from pyspark.sql import functions as F
 
@@ -284,6 +300,23 @@ def test_a_task_that_runs_again_leaves_no_second_part(tmp_path):
     assert [p.name for p in (tmp_path / "o").iterdir()] == ["f"]
 
 
+def test_rows_are_written_in_runs(tmp_path):
+    import pyarrow as pa
+
+    from framelake.sources import sinks
+
+    files, data = ["a", "a", "a", "b", "b", "a", "c"], [b"0", None, b"22", b"", b"44", b"5", None]
+    for kind in (pa.binary(), pa.large_binary()):
+        batch = pa.RecordBatch.from_arrays([pa.array(files), pa.array(range(7), pa.int64()), pa.array(data, kind)], ["file", "seq", "data"])
+        assert sinks.runs(batch.column(0)) == [(0, 3), (3, 5), (5, 6), (6, 7)] and sinks.runs(batch.column(0).slice(0, 0)) == []
+        assert [bytes(sinks.joined(batch.column(2).slice(a, n))) for a, n in ((0, 7), (1, 1), (2, 3), (6, 1), (3, 0))] == [b"022445", b"", b"2244", b"", b""]
+        writer = sinks.OrderedWriter(str(tmp_path / str(kind)), True)
+        done = writer.write(iter([batch.slice(0, 2), batch.slice(2, 3), batch.slice(5, 0)]))
+        assert [(p.file, p.first, p.last, p.size) for p in done.parts] == [("a", 0, 2, 3), ("b", 3, 4, 2)]
+        writer.commit([done, writer.write(iter([batch.slice(5)]))])
+        assert {p.name: p.read_bytes() for p in (tmp_path / str(kind)).iterdir()} == {"a": b"0225", "b": b"44", "c": b""}
+
+
 def test_conversion_to_files(known, tmp_path):
     from framelake.sources import sinks
 
