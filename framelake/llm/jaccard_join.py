@@ -46,7 +46,7 @@ LANES = 16
 #: Members of a word that are compared in one block.
 BLOCK = 1024
 #: Parts that the words are dealt into.
-PARTS = 4
+PARTS = 8
 #: Partners of a set that are verified first.
 NEAREST = 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -130,22 +130,37 @@ def words_of(h: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
 
-def features(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Per row: id, n_shingles, two fingerprints of the set, its sketch of 1024 bits, and its words for the join."""
+def fingerprints(h: np.ndarray) -> tuple[int, int]:
+    return (int(np.bitwise_xor.reduce(mixed(h ^ MIX)).view(np.int64)), int(mixed(h + TURN).sum(dtype=np.uint64).view(np.int64))) if len(h) else (0, 0)
+
+
+def prints(docs: DataFrame, size: int) -> DataFrame:
+    """Per row (id, text): id, a hash of the text, n_shingles and two fingerprints of the set, which tell equal sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches):
+            found = [(len(h), *fingerprints(h)) for h in (shingles(t, size) for t in batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[k] for x in found], pa.int64()) for k in range(3))], ["id", "th", "n_shingles", "fp1", "fp2"])
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, th long, n_shingles long, fp1 long, fp2 long")
+
+
+def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row (id, text): id, n_shingles, its sketch of 1024 bits, and its words for the join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            n, prints, sketches, words = [], [], [], []
+            n, sketches, words = [], [], []
             for text in batch.column(1).to_pylist():
                 h = shingles(text, size)
                 n.append(len(h))
-                prints.append((int(np.bitwise_xor.reduce(mixed(h ^ MIX)).view(np.int64)), int(mixed(h + TURN).sum(dtype=np.uint64).view(np.int64))) if len(h) else (0, 0))
                 sketches.append(parity(h, (mixed(h ^ TURN) >> np.uint64(54)).astype(np.int64), LANES).view(np.int64) if len(h) else np.zeros(LANES, np.int64))
                 words.append(words_of(h, percent).view(np.int64) if len(h) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array([a for a, _ in prints], pa.int64()), pa.array([b for _, b in prints], pa.int64()), flat(sketches), flat(words)], ["id", "n_shingles", "fp1", "fp2", "sketch", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), flat(sketches), flat(words)], ["id", "n_shingles", "sketch", "words"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n_shingles long, fp1 long, fp2 long, sketch array<long>, words array<long>")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, sketch array<long>, words array<long>")
 
 
 def flat(parts: list[np.ndarray]) -> pa.ListArray:
@@ -210,13 +225,14 @@ def open_pairs(many: DataFrame, slim: DataFrame, percent: int, block: int) -> Da
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """Per row: the id, n_shingles, and component_id, the least id that links reach (the id itself without links)."""
     docs = docs.select(F.col(id_col), F.col(text_col))
-    all_rows = common.stored(features(docs, id_col, text_col, size, percent))
-    # one shuffle of the sketches makes both the classes of equal sets and their representatives; copies are combined before it
-    own = F.struct("sketch", "words")
-    reps = common.stored(all_rows.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min("id").alias("id"), F.min_by(own, "id").alias("x")).select("id", "n_shingles", "fp1", "fp2", "x.sketch", "x.words"))
-    ids = common.stored(all_rows.select("id", "n_shingles", "fp1", "fp2"))
-    common.dropped(all_rows)
-    classes = common.stored(reps.select(F.col("id").alias("rep"), "n_shingles", "fp1", "fp2"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # sets are told apart by fingerprints first, so that only the texts of representatives are shuffled, and no sketches or words
+    ids = common.stored(prints(rows, size))
+    least = ids.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("id", "th")).alias("x"))
+    classes = common.stored(least.select(F.col("x.id").alias("rep"), F.col("x.th").alias("th"), "n_shingles", "fp1", "fp2"))
+    # one row for each text of an id: a text is in one class, so it stands for one
+    first = rows.withColumn("th", F.xxhash64("text")).join(classes.select(F.col("rep").alias("id"), "th"), ["id", "th"]).dropDuplicates(["id", "th"])
+    reps = common.stored(features(first, size, percent))
     slim = common.stored(reps.select("id", "n_shingles", "sketch"))
 
     # the words are dealt into parts by their hash, joined one after another, so that shuffle files of one part at a time are kept

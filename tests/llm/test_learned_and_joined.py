@@ -393,3 +393,29 @@ def test_near_copies_of_rows_that_share_ids(spark):
         assert out.columns == ["doc_id", "text"] and len(third) == 1 and got.pop(third[0]) == 1 and got == want
     unlike = [(1, "a b c d e f g"), (2, "h i j k l m n"), (3, None)]
     assert corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(unlike, "doc_id long, text string"), SF).count() == 3
+
+
+def test_only_texts_of_representatives_are_shuffled(spark, monkeypatch):
+    """Sets are told apart by fingerprints; sketches and words go to no shuffle but that of words, and a class has one representative."""
+    import contextlib
+    import io
+
+    from framelake.llm import common, jaccard_join
+
+    plans, stored = [], common.stored
+
+    def noted(df):
+        with contextlib.redirect_stdout(io.StringIO()) as out:
+            df.explain()
+        plans.append((df.columns, out.getvalue()))
+        return stored(df)
+
+    monkeypatch.setattr(common, "stored", noted)
+    words = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(words), " ".join([*words[:-1], "x"]), " ".join(f"v{i}" for i in range(30))
+    rows = [(3, text), (3, text), (3, text.upper()), (3, other), (5, text), (4, near), (9, other), (2, ""), (2, None), (None, text), (7, "a b")]
+    got = sorted((r.id, r.component_id) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "id long, t string"), "id", "t").where("id is not null").collect())
+    assert got == [(2, 2), (2, 2), (3, 3), (3, 3), (3, 3), (3, 3), (4, 3), (5, 3), (7, 7), (9, 3)]
+    assert not any("min_by" in p and "words" in p.split("min_by", 1)[1].split("\n")[0] for _, p in plans)
+    made = [p for columns, p in plans if "words" in columns]
+    assert made and all("words" not in line for p in made for line in p.splitlines() if "Exchange" in line or "Aggregate" in line)
