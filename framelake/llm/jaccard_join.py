@@ -7,7 +7,7 @@ pigeonhole principle linked sets agree in a word. Words are joined. A second ske
 for each shingle, so its Hamming distance is at most the size of the symmetric difference: pairs further apart than d
 are dropped. The others are verified on the sets, so the links are exact (but for collisions of 64-bit hashes).
 
-Copies: equal sets are one class; only its least id is sketched. No group is expanded into all its pairs:
+Copies: equal sets are one class; only the words of its least id are joined. No group is expanded into all its pairs:
 
 * a word shared by two sets gives that pair; by more sets, each member with two members chosen by hash. Of a set's
   partners the nearest by sketch are verified first, and the links found are contracted to components; then the
@@ -134,49 +134,38 @@ def fingerprints(h: np.ndarray) -> tuple[int, int]:
     return (int(np.bitwise_xor.reduce(mixed(h ^ MIX)).view(np.int64)), int(mixed(h + TURN).sum(dtype=np.uint64).view(np.int64))) if len(h) else (0, 0)
 
 
-def prints(docs: DataFrame, size: int) -> DataFrame:
-    """Per row (id, text): id, a hash of the text, n_shingles and two fingerprints of the set, which tell equal sets."""
+def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Per row (id, text): id, a hash of the text, n_shingles, two fingerprints of the set, which tell equal sets, its sketch of
+    1024 bits, and its words for the join, those of part k in a column of their own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches):
-            found = [(len(h), *fingerprints(h)) for h in (shingles(t, size) for t in batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([x[k] for x in found], pa.int64()) for k in range(3))], ["id", "th", "n_shingles", "fp1", "fp2"])
+            found = [shingles(t, size) for t in batch.column(1).to_pylist()]
+            sketches = [parity(h, (mixed(h ^ TURN) >> np.uint64(54)).astype(np.int64), LANES).view(np.int64) if len(h) else np.zeros(LANES, np.int64) for h in found]
+            marks = [pa.array(x, pa.int64()) for x in zip(*((len(h), *fingerprints(h)) for h in found), strict=True)]
+            words = dealt([words_of(h, percent) if len(h) else np.empty(0, np.uint64) for h in found])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *marks, flat(sketches), *words], names)
 
+    names = ["id", "th", "n_shingles", "fp1", "fp2", "sketch", *(f"words{k}" for k in range(PARTS))]
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, th long, n_shingles long, fp1 long, fp2 long")
+    columns = ", ".join(f"words{k} array<long>" for k in range(PARTS))
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, th long, n_shingles long, fp1 long, fp2 long, sketch array<long>, {columns}")
 
 
-def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Per row (id, text): id, n_shingles, its sketch of 1024 bits, and its words for the join."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            n, sketches, words = [], [], []
-            for text in batch.column(1).to_pylist():
-                h = shingles(text, size)
-                n.append(len(h))
-                sketches.append(parity(h, (mixed(h ^ TURN) >> np.uint64(54)).astype(np.int64), LANES).view(np.int64) if len(h) else np.zeros(LANES, np.int64))
-                words.append(words_of(h, percent).view(np.int64) if len(h) else np.empty(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), flat(sketches), flat(words)], ["id", "n_shingles", "sketch", "words"])
-
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_shingles long, sketch array<long>, words array<long>")
+def dealt(words: list[np.ndarray]) -> list[pa.ListArray]:
+    """The words of each row of a batch dealt into PARTS by their remainder: a column of lists a part."""
+    rows, every = len(words), np.concatenate(words)
+    part = (every % np.uint64(PARTS)).astype(np.uint8)
+    counts = np.bincount(part.astype(np.int64) * rows + np.repeat(np.arange(rows), [len(w) for w in words]), minlength=PARTS * rows).reshape(PARTS, rows)
+    pieces = np.split(every[np.argsort(part, kind="stable")].view(np.int64), np.cumsum(counts.sum(axis=1))[:-1])
+    return [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(x, pa.int64())) for n, x in zip(counts, pieces, strict=True)]
 
 
 def flat(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def sets(docs: DataFrame, size: int) -> DataFrame:
-    """Per row (id, text): id and the set of shingles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), flat([shingles(t, size).view(np.int64) for t in batch.column(1).to_pylist()])], ["id", "shingles"])
-
-    return docs.select("id", "text").mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, shingles array<long>")
-
-
 def hamming(a: str, b: str) -> Column:
     return functools.reduce(operator.add, (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(LANES)))
 
@@ -187,17 +176,27 @@ def within(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * hamming(a, b) <= (100 - percent) * (na + nb))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
-    """Of pairs (a, b) of ids those that link, by their sets. Only the texts of ids in pairs are shuffled into sets."""
+def texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The texts of the ids in pairs (a, b), each text of an id once. A sort-merge join at any size: ids grow with the input."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    needed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, "id", "left_semi").dropDuplicates(["id", "text"])
-    known = common.stored(sets(needed, size))
-    left, right = known.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), known.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("sa", "sb"))
-    links = common.stored(both.where((inter > 0) & (100 * inter >= percent * (F.size("sa") + F.size("sb") - inter))).select("a", "b"))
-    common.dropped(known)
-    return links
+    return common.stored(rows.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]))
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) of ids those that link, by their sets. Texts are shuffled, which are compressed, and sets made where both meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = functools.lru_cache(maxsize=64)(lambda text: shingles(text, size))  # rows are sorted by one of the ids
+        for batch in common.slices(batches):
+            linked = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = found(x), found(y)
+                inter = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter))
+            yield batch.select([0, 1]).filter(pa.array(linked, pa.bool_()))
+
+    left, right = (texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}")).hint("merge") for c in "ab")
+    return common.stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema))
 
 
 def open_pairs(many: DataFrame, slim: DataFrame, percent: int, block: int) -> DataFrame:
@@ -226,45 +225,55 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Per row: the id, n_shingles, and component_id, the least id that links reach (the id itself without links)."""
     docs = docs.select(F.col(id_col), F.col(text_col))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # sets are told apart by fingerprints first, so that only the texts of representatives are shuffled, and no sketches or words
-    ids = common.stored(prints(rows, size))
-    least = ids.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("id", "th")).alias("x"))
+    # texts are read where they lie, and the words of representatives alone are shuffled, a part at a time
+    known = common.stored(features(rows, size, percent))
+    ids = common.stored(known.select("id", "n_shingles", "fp1", "fp2"))
+    least = known.where("id is not null and n_shingles > 0").groupBy("fp1", "fp2", "n_shingles").agg(F.min(F.struct("id", "th")).alias("x"))
     classes = common.stored(least.select(F.col("x.id").alias("rep"), F.col("x.th").alias("th"), "n_shingles", "fp1", "fp2"))
-    # one row for each text of an id: a text is in one class, so it stands for one
-    first = rows.withColumn("th", F.xxhash64("text")).join(classes.select(F.col("rep").alias("id"), "th"), ["id", "th"]).dropDuplicates(["id", "th"])
-    reps = common.stored(features(first, size, percent))
-    slim = common.stored(reps.select("id", "n_shingles", "sketch"))
+    chosen = classes.select(F.col("rep").alias("id"), "th")
 
-    # the words are dealt into parts by their hash, joined one after another, so that shuffle files of one part at a time are kept
-    mark = F.xxhash64("id", "word")  # two members of each word, by an order that differs from word to word
-    shared_parts, many_parts = [], []
+    def of_reps(*columns: str) -> DataFrame:
+        # one row for each text of an id: a text is in one class, so it stands for one
+        return known.select("id", "th", *columns).join(chosen, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("id", *columns)
+
+    slim = common.stored(of_reps("n_shingles", "sketch"))
+
+    # the words are joined part by part, so that shuffle files of one part at a time are kept; first they are only counted
+    shared_parts = []
     for part in range(PARTS):
-        members = reps.select("id", F.explode("words").alias("word")).where(F.pmod("word", F.lit(PARTS)) == part)
-        counted = members.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.min_by("id", mark).alias("low"), F.max_by("id", mark).alias("high")).where("n > 1")
-        shared_parts.append(common.stored(counted))
-        many_parts.append(common.stored(members.join(shared_parts[-1].where("n > 2"), "word")))
-    common.dropped(reps)
-    shared, many = (functools.reduce(DataFrame.union, parts) for parts in (shared_parts, many_parts))
+        members = common.stored(of_reps(f"words{part}").select("id", F.explode(f"words{part}").alias("word")))
+        counted = common.stored(members.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+        shared_parts.append(common.stored(members.join(counted, "word")))
+        common.dropped(members, counted)
+    common.dropped(known)
+    shared = functools.reduce(DataFrame.union, shared_parts)
+    many = shared.where("n > 2")
+    mark = F.xxhash64("id", "word")  # two members of each word, by an order that differs from word to word
+    ends = common.stored(shared.groupBy("word").agg(F.max("n").alias("n"), F.min_by("id", mark).alias("low"), F.max_by("id", mark).alias("high")))
     # of each set's partners there are at most two for each of its own words
-    stars = many.select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
-    pairs = shared.where("n = 2 and low <> high").select(F.col("low").alias("id"), F.col("high").alias("other")).union(stars).distinct()
+    stars = many.select("id", "word").join(ends.where("n > 2"), "word").select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
+    pairs = ends.where("n = 2 and low <> high").select(F.col("low").alias("id"), F.col("high").alias("other")).union(stars).distinct()
     one, other = slim.alias("x"), slim.withColumnRenamed("id", "other").alias("y")
     near = common.stored(pairs.join(one, "id").join(other, "other").where(within("x", "y", percent)).select("id", "other", hamming("x", "y").alias("far")))
     nearest = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, NEAREST).alias("p")).select("id", F.explode("p.other").alias("other"))
     both_ways = lambda df: df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     checked = [common.stored(both_ways(nearest))]
-    verdicts = [verified(checked[0], docs, id_col, text_col, size, percent)]
+    texts = texts_of(near.select(F.col("id").alias("a"), F.col("other").alias("b")), rows)
+    verdicts = [verified(checked[0], texts, size, percent)]
     found = components(verdicts[0])
 
     def label(df: DataFrame, key: str, name: str) -> DataFrame:
         named = found.select(F.col("node").alias(key), F.col("component").alias(name))
         return df.join(named, key, "left").withColumn(name, F.coalesce(name, key))
 
-    def settle(candidates: DataFrame) -> None:
+    def settle(candidates: DataFrame, texts: DataFrame | None = None) -> None:
         """Verify pairs across components that weren't before, and join the components that they link."""
         nonlocal found
         rest = common.stored(candidates.join(functools.reduce(DataFrame.union, checked), ["a", "b"], "left_anti"))
-        more = verified(rest, docs, id_col, text_col, size, percent)
+        own = texts_of(rest, rows) if texts is None else texts
+        more = verified(rest, own, size, percent)
+        if texts is None:
+            common.dropped(own)
         checked.append(rest)
         verdicts.append(more)
         if not more.isEmpty():
@@ -272,7 +281,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             common.dropped(old)
 
     # the other partners, as far as they are across components; then all members of words that hold several components
-    settle(both_ways(label(label(near, "id", "ca"), "other", "cb").where("ca <> cb")))
+    settle(both_ways(label(label(near, "id", "ca"), "other", "cb").where("ca <> cb")), texts)
+    common.dropped(texts)
     across = open_pairs(label(many.select("id", "word", "n"), "id", "c"), slim, percent, BLOCK)
     settle(across)
 
@@ -280,5 +290,5 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     out = ids.join(placed, ["fp1", "fp2", "n_shingles"], "left")
     alone = F.col("id").isNull() | (F.col("n_shingles") == 0)
     final = common.stored(out.select(F.col("id").alias(id_col), "n_shingles", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id")))
-    common.dropped(slim, *shared_parts, *many_parts, near, across, *checked, *verdicts, found, classes, ids)
+    common.dropped(slim, *shared_parts, ends, near, across, *checked, *verdicts, found, classes, ids)
     return final

@@ -419,3 +419,34 @@ def test_only_texts_of_representatives_are_shuffled(spark, monkeypatch):
     assert not any("min_by" in p and "words" in p.split("min_by", 1)[1].split("\n")[0] for _, p in plans)
     made = [p for columns, p in plans if "words" in columns]
     assert made and all("words" not in line for p in made for line in p.splitlines() if "Exchange" in line or "Aggregate" in line)
+
+
+def test_near_copies_move_words_by_part_and_texts_only_of_partners(spark, monkeypatch):
+    from framelake.llm import common, jaccard_join
+
+    real, plans = common.stored, []
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    monkeypatch.setattr(common, "stored", stored)
+    texts = ["a b c d e f g h i j k l", "a b c d e f g h i j k m", "n o p q r s t u v w x y", None, "", "A B C D E F G H I J K L"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(rows, size=2, percent=80).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 0}
+    made = [p for p in plans if "MapInArrow" in p and "words0" in p]
+    assert len(made) == 1 and "Exchange" not in made[0]
+    compared = [p for p in plans if "MapInArrow" in p and p not in made]
+    assert compared and all("BroadcastHashJoin" not in p and p.count("SortMergeJoin") == 2 for p in compared)
+
+
+def test_words_are_dealt_by_remainder():
+    import numpy as np
+
+    from framelake.llm import jaccard_join
+
+    words = [np.array(w, np.uint64) for w in ([8, 1, 2**64 - 1, 9], [], [16, 3])]
+    got = [x.to_pylist() for x in jaccard_join.dealt(words)]
+    assert got == [[[int(np.uint64(w).view(np.int64)) for w in row if int(w) % jaccard_join.PARTS == k] for row in words] for k in range(jaccard_join.PARTS)]
+    assert [x.to_pylist() for x in jaccard_join.dealt([np.empty(0, np.uint64)])] == [[[]]] * jaccard_join.PARTS
