@@ -71,6 +71,21 @@ def test_parts_grow_with_blocks(spark):
     assert sorted((r.frame, r.c, r.r, r.qp, r.mode, r.coverage) for r in grids.rasterize(blocks, 8, 16, 16, ["frame"]).collect()) == [(f, 0, 0, f, 2, 2.0) for f in range(9)]
 
 
+def test_folded_frames_are_dealt_by_what_they_fold_on_to(spark):
+    r = random.Random(6)
+    rows = [(f, 8 * r.randrange(4), 8 * r.randrange(4), 8, 8, r.randrange(9), r.randrange(640), r.choice(["intra", "inter", "skip"]), 4, 4) for f in range(60) for _ in range(6)]
+    blocks = spark.createDataFrame(rows, "frame long, x long, y long, w long, h long, qp long, bits long, mode string, mvx long, mvy long")
+    for n, parts in ((4, 5), (25, 5)):
+        got = grids.folded(blocks, n, 8, 32, 32, parts * grids.BLOCKS_A_TASK)
+        text = plan(got)
+        assert "hashpartitioning(fold#" in text and "salt#" in text and f", {parts}), REPARTITION_BY_NUM" in text and text.count("Exchange") == 2
+        # what parts send on: a folded frame lies in a part for each of its salts at most
+        by = grids.rasterize(blocks, 8, 32, 32, ["frame"]).withColumn("frame", F.col("frame") % n).groupBy("frame", "c", "r").agg(*(F.avg(x).alias(x) for x in ("qp", "bpp", "mv", "coverage")), F.max("mode").alias("mode"))
+        flat = lambda df: {(x.frame, x.c, x.r): (*(round(x[k], 9) for k in ("qp", "bpp", "mv", "coverage")), x.mode) for x in df.collect()}  # noqa: E731, B023
+        want = flat(by)
+        assert flat(got) == want and len(want) > 50
+
+
 def test_differences_where_a_grid_lacks_cells(spark):
     cells = lambda rows: spark.createDataFrame(rows, "f long, gc long, gr long, v double, valid boolean")
     a = cells([(0, 0, 0, 3.0, True), (0, 1, 0, None, True), (0, 2, 0, 4.0, False), (0, 3, 0, 5.0, True)])
