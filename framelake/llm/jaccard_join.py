@@ -136,7 +136,7 @@ def fingerprints(h: np.ndarray) -> tuple[int, int]:
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row (id, text): id, a hash of the text, n_shingles, two fingerprints of the set, which tell equal sets, its sketch of
-    1024 bits, and its words for the join, those of part k in a column of their own.
+    1024 bits, and its words for the join, those of part k in a field pk of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,13 +144,13 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
             found = [shingles(t, size) for t in batch.column(1).to_pylist()]
             sketches = [parity(h, (mixed(h ^ TURN) >> np.uint64(54)).astype(np.int64), LANES).view(np.int64) if len(h) else np.zeros(LANES, np.int64) for h in found]
             marks = [pa.array(x, pa.int64()) for x in zip(*((len(h), *fingerprints(h)) for h in found), strict=True)]
-            words = dealt([words_of(h, percent) if len(h) else np.empty(0, np.uint64) for h in found])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *marks, flat(sketches), *words], names)
+            words = pa.StructArray.from_arrays(dealt([words_of(h, percent) if len(h) else np.empty(0, np.uint64) for h in found]), [f"p{k}" for k in range(PARTS)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *marks, flat(sketches), words], names)
 
-    names = ["id", "th", "n_shingles", "fp1", "fp2", "sketch", *(f"words{k}" for k in range(PARTS))]
+    names = ["id", "th", "n_shingles", "fp1", "fp2", "sketch", "words"]
     kind = docs.schema["id"].dataType.simpleString()
-    columns = ", ".join(f"words{k} array<long>" for k in range(PARTS))
-    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, th long, n_shingles long, fp1 long, fp2 long, sketch array<long>, {columns}")
+    fields = ", ".join(f"p{k}: array<long>" for k in range(PARTS))
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, th long, n_shingles long, fp1 long, fp2 long, sketch array<long>, words struct<{fields}>")
 
 
 def dealt(words: list[np.ndarray]) -> list[pa.ListArray]:
@@ -234,14 +234,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     def of_reps(*columns: str) -> DataFrame:
         # one row for each text of an id: a text is in one class, so it stands for one
-        return known.select("id", "th", *columns).join(chosen, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).select("id", *columns)
+        return known.select("id", "th", *columns).join(chosen, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).drop("th")
 
     slim = common.stored(of_reps("n_shingles", "sketch"))
 
     # the words are joined part by part, so that shuffle files of one part at a time are kept; first they are only counted
     shared_parts = []
     for part in range(PARTS):
-        members = common.stored(of_reps(f"words{part}").select("id", F.explode(f"words{part}").alias("word")))
+        members = common.stored(of_reps(f"words.p{part}").select("id", F.explode(f"p{part}").alias("word")))
         counted = common.stored(members.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
         shared_parts.append(common.stored(members.join(counted, "word")))
         common.dropped(members, counted)

@@ -435,7 +435,7 @@ def test_near_copies_move_words_by_part_and_texts_only_of_partners(spark, monkey
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(rows, size=2, percent=80).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4, 5: 0}
-    made = [p for p in plans if "MapInArrow" in p and "words0" in p]
+    made = [p for p in plans if "MapInArrow" in p and "sketch" in p]
     assert len(made) == 1 and "Exchange" not in made[0]
     compared = [p for p in plans if "MapInArrow" in p and p not in made]
     assert compared and all("BroadcastHashJoin" not in p and p.count("SortMergeJoin") == 2 for p in compared)
