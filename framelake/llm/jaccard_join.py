@@ -5,7 +5,8 @@ d = floor((100 - p) * (|A| + |B|) / (100 + p)) shingles. Shingles are XORed into
 a sketch has more than d words of 64 bits, d for the largest sets of the band, and a shingle changes one word: by the
 pigeonhole principle linked sets agree in a word. Words are joined. A second sketch, of 1024 bits, has one bit flipped
 for each shingle, so its Hamming distance is at most the size of the symmetric difference: pairs further apart than d
-are dropped. The others are verified on the sets, so the links are exact (but for collisions of 64-bit hashes).
+are dropped. Sets of more shingles than that would fill these bits, whatever they hold, so they have a third sketch, of a bit
+for each shingle at least; else all pairs of long texts that share a passage would be left, which grow with its square. The others are verified on the sets, so the links are exact (but for collisions of 64-bit hashes).
 
 Copies: equal sets are one class; only the words of its least id are joined. No group is expanded into all its pairs:
 
@@ -13,8 +14,8 @@ Copies: equal sets are one class; only the words of its least id are joined. No
   partners the nearest by sketch are verified first, and the links found are contracted to components; then the
   other partners, as far as they are across components;
 * then, for words whose members are in different components still, the members outside a word's largest component are
-  compared with all others across components inside the join, hot words dealt into blocks by a salt; only pairs that the
-  sketches can't rule out leave the join, and are verified. Nothing is capped, so no link between components is lost.
+  compared with all others across components, hot words dealt into blocks by a salt, a block's rows in one task; only pairs
+  that the sketches can't rule out leave the task, and are verified. Nothing is capped, so no link between components is lost.
 
 Hot words: counts and marks of a word are partial aggregates; the join that tells members their word's marks has one row
 a word on one side and may be split by Spark's skew join; later joins are salted by the word's count.
@@ -43,8 +44,14 @@ from . import common
 from .components import components
 
 LANES = 16
+#: Sets of more shingles than bits of the sketch have a long one as well.
+LONG_FROM = LANES * 64
 #: Members of a word that are compared in one block.
 BLOCK = 1024
+#: Pairs, or numbers of their sketches, that are compared at a time.
+COMPARED = 1 << 18
+#: Rows of a word in a block: of the word's largest component, of others, and of others from another block.
+RANKS = {"big": 0, "minor": 1, "visitor": 2}
 #: Parts that the words are dealt into.
 PARTS = 8
 #: Partners of a set that are verified first.
@@ -77,6 +84,14 @@ def parity(h: np.ndarray, bits: np.ndarray, words: int) -> np.ndarray:
     return np.packbits((np.bincount(bits, minlength=words * 64) & 1).astype(np.uint8)).view(np.uint64)
 
 
+def long_parity(h: np.ndarray) -> np.ndarray:
+    """The sketch of a long set: as many bits as shingles, rounded up to a power of two; one of twice the bits folds on to it. Empty for others."""
+    if len(h) <= LONG_FROM:
+        return np.empty(0, np.int64)
+    words = 1 << (len(h) - 1).bit_length() - 6
+    return parity(h, (mixed(h ^ TURN) & np.uint64(64 * words - 1)).astype(np.int64), words).view(np.int64)
+
+
 @functools.lru_cache(maxsize=None)
 def bands(percent: int, limit: int = 1 << 40) -> list[int]:
     """Lower ends of the size bands, each a quarter longer than the one before."""
@@ -136,7 +151,7 @@ def fingerprints(h: np.ndarray) -> tuple[int, int]:
 
 def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Per row (id, text): id, a hash of the text, n_shingles, two fingerprints of the set, which tell equal sets, its sketch of
-    1024 bits, and its words for the join, those of part k in a field pk of their own.
+    1024 bits, its long sketch, and its words for the join, those of part k in a field pk of their own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,12 +160,12 @@ def features(docs: DataFrame, size: int, percent: int) -> DataFrame:
             sketches = [parity(h, (mixed(h ^ TURN) >> np.uint64(54)).astype(np.int64), LANES).view(np.int64) if len(h) else np.zeros(LANES, np.int64) for h in found]
             marks = [pa.array(x, pa.int64()) for x in zip(*((len(h), *fingerprints(h)) for h in found), strict=True)]
             words = pa.StructArray.from_arrays(dealt([words_of(h, percent) if len(h) else np.empty(0, np.uint64) for h in found]), [f"p{k}" for k in range(PARTS)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *marks, flat(sketches), words], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *marks, flat(sketches), flat([long_parity(h) for h in found]), words], names)
 
-    names = ["id", "th", "n_shingles", "fp1", "fp2", "sketch", "words"]
+    names = ["id", "th", "n_shingles", "fp1", "fp2", "sketch", "long", "words"]
     kind = docs.schema["id"].dataType.simpleString()
     fields = ", ".join(f"p{k}: array<long>" for k in range(PARTS))
-    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, th long, n_shingles long, fp1 long, fp2 long, sketch array<long>, words struct<{fields}>")
+    return docs.select("id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, f"id {kind}, th long, n_shingles long, fp1 long, fp2 long, sketch array<long>, long array<long>, words struct<{fields}>")
 
 
 def dealt(words: list[np.ndarray]) -> list[pa.ListArray]:
@@ -170,10 +185,26 @@ def hamming(a: str, b: str) -> Column:
     return functools.reduce(operator.add, (F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(LANES)))
 
 
+def sized(a: str, b: str, percent: int) -> Column:
+    """Whether sizes leave a link of two rows possible."""
+    na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
+    return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+
+
 def within(a: str, b: str, percent: int) -> Column:
     """Whether sizes and sketches leave a link of two rows possible."""
     na, nb = F.col(f"{a}.n_shingles"), F.col(f"{b}.n_shingles")
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & ((100 + percent) * hamming(a, b) <= (100 - percent) * (na + nb))
+    return sized(a, b, percent) & ((100 + percent) * hamming(a, b) <= (100 - percent) * (na + nb))
+
+
+def long_within(a: str, b: str, percent: int) -> Column:
+    """The same by long sketches, the longer one folded on to the other. Rows without one, or of over twice the bits, aren't ruled out."""
+    x, y, total = F.col(f"{a}.long"), F.col(f"{b}.long"), F.col(f"{a}.n_shingles") + F.col(f"{b}.n_shingles")
+    least, most = F.least(F.size(x), F.size(y)), F.greatest(F.size(x), F.size(y))
+    past = lambda v, i: F.coalesce(F.get(v, i + least), F.lit(0).cast("long"))
+    flipped = lambda i: F.get(x, i).bitwiseXOR(F.get(y, i)).bitwiseXOR(past(x, i)).bitwiseXOR(past(y, i))
+    far = F.aggregate(F.sequence(F.lit(0), least - 1), F.lit(0), lambda n, i: n + F.bit_count(flipped(i)))
+    return F.when((least > 0) & (most <= 2 * least), (100 + percent) * far <= (100 - percent) * total).otherwise(F.lit(True))
 
 
 def texts_of(pairs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -199,6 +230,64 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
     return common.stored(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(run, pairs.select("a", "b").schema))
 
 
+def longs(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of an array column, end to end, and where each row's begin and end; without signs, as the bits of absolute values are counted."""
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
+
+
+def left_open(x: np.ndarray, y: np.ndarray, n: np.ndarray, sketch: np.ndarray, long: tuple[np.ndarray, np.ndarray], percent: int) -> np.ndarray:
+    """Of pairs of rows (x[i], y[i]) which sizes and sketches don't rule out, as within and long_within tell of columns."""
+    ok = np.flatnonzero(100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    most = lambda i: (100 - percent) * (n[x[i]] + n[y[i]])
+    ok = ok[(100 + percent) * np.bitwise_count(sketch[x[ok]] ^ sketch[y[ok]]).sum(axis=1, dtype=np.int64) <= most(ok)]
+    flat, at = long
+    size = np.diff(at)
+    swap = size[x[ok]] > size[y[ok]]
+    short, longer = np.where(swap, y[ok], x[ok]), np.where(swap, x[ok], y[ok])
+    keep = np.ones(len(ok), bool)
+    for k in np.unique(size[short]).tolist():
+        for w in (k, 2 * k) if k else ():
+            these = np.flatnonzero((size[short] == k) & (size[longer] == w))
+            for i in np.split(these, range(step := max(1, COMPARED // w), len(these), step)):
+                folded = np.bitwise_xor.reduce(flat[at[longer[i]][:, None] + np.arange(w)].reshape(len(i), w // k, k), axis=1)
+                far = np.bitwise_count(folded ^ flat[at[short[i]][:, None] + np.arange(k)]).sum(axis=1, dtype=np.int64)
+                keep[i] = (100 + percent) * far <= most(ok[i])
+    return ok[keep]
+
+
+def open_in(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids that are in different components and that sketches can't rule out, of rows sorted by word, block and rank.
+
+    Each row but those of the largest component meets the rows before it that are at home in its block; a minor one at home in
+    another block meets those of the largest component, and the minor ones of later blocks. What is held is a block's own rows.
+    """
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        new, rows = rows.num_rows - batch.num_rows, rows.combine_chunks()
+        if not batch.num_rows:
+            continue
+        word, block, home, rank, part, n = (rows[c].to_numpy() for c in ("word", "block", "home", "rank", "part", "n_shingles"))
+        ids = rows["id"].combine_chunks()
+        sketch, long = longs(rows["sketch"].combine_chunks())[0].reshape(-1, LANES), longs(rows["long"].combine_chunks())
+        starts = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[1:] != block[:-1]))))
+        own = np.add.reduceat((rank != RANKS["visitor"]).astype(np.int64), starts)
+        group = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(word)))
+        row = np.arange(len(word))
+        counts = np.where((row >= new) & (rank != RANKS["big"]), np.minimum(row - starts[group], own[group]), 0)
+        ends, low = np.cumsum(counts), 0
+        while low < len(row):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + COMPARED, side="right")))
+            x = np.repeat(row[low:high], counts[low:high])
+            y = starts[group[x]] + np.arange(len(x)) - np.repeat(ends[low:high] - counts[low:high] - (ends[low - 1] if low else 0), counts[low:high])
+            once = (part[x] != part[y]) & ((rank[x] == RANKS["minor"]) | (rank[y] == RANKS["big"]) | (home[x] < block[x]))
+            x, y = x[once], y[once]
+            some = left_open(x, y, n, sketch, long, percent)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(x[some])), ids.take(pa.array(y[some]))], ["x", "y"])
+            low = high
+        held = rows.slice(starts[-1], own[-1])
+
+
 def open_pairs(many: DataFrame, slim: DataFrame, percent: int, block: int) -> DataFrame:
     """Pairs (a, b) of members of a word that are in different components and that sketches can't rule out.
 
@@ -211,12 +300,14 @@ def open_pairs(many: DataFrame, slim: DataFrame, percent: int, block: int) -> Da
     blocks = F.ceil(F.col("n") / block).cast("int")
     salts = info.select("word", "big", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
     dealt = many.withColumn("block", F.pmod(F.hash("id"), blocks)).join(salts, ["word", "block"])
-    rows = common.stored(dealt.join(slim, "id").select("id", "word", "n", "c", "big", "block", "n_shingles", "sketch"))
-    minor = rows.where("c <> big").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).alias("x")
-    all_rows = rows.alias("y")
-    once = (F.col("y.c") == F.col("y.big")) | (F.col("x.id") < F.col("y.id"))
-    across = minor.join(all_rows, (F.col("x.word") == F.col("y.word")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.c") != F.col("y.c")) & once & within("x", "y", percent))
-    found = common.stored(across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+    facts = ["id", "word", "block", "home", "rank", F.xxhash64("c").alias("part"), "n_shingles", "sketch", "long"]
+    rank = F.when(F.col("c") == F.col("big"), RANKS["big"]).otherwise(RANKS["minor"])
+    rows = common.stored(dealt.join(slim, "id").withColumns({"home": F.col("block"), "rank": rank}).select(*facts, (blocks - 1).alias("last")))
+    visits = rows.where(f"rank = {RANKS['minor']}").withColumn("block", F.explode(F.sequence(F.lit(0), "last"))).where("block <> home").withColumn("rank", F.lit(RANKS["visitor"]))
+    met = rows.union(visits.select(rows.columns)).drop("last").repartition("word", "block").sortWithinPartitions("word", "block", "rank")
+    kind = slim.schema["id"].dataType.simpleString()
+    across = met.mapInArrow(lambda batches: open_in(batches, percent), f"x {kind}, y {kind}")
+    found = common.stored(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
     common.dropped(rows)
     return found
 
@@ -236,7 +327,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # one row for each text of an id: a text is in one class, so it stands for one
         return known.select("id", "th", *columns).join(chosen, ["id", "th"], "left_semi").dropDuplicates(["id", "th"]).drop("th")
 
-    slim = common.stored(of_reps("n_shingles", "sketch"))
+    slim = common.stored(of_reps("n_shingles", "sketch", "long"))
 
     # the words are joined part by part, so that shuffle files of one part at a time are kept; first they are only counted
     shared_parts = []
@@ -253,8 +344,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # of each set's partners there are at most two for each of its own words
     stars = many.select("id", "word").join(ends.where("n > 2"), "word").select("id", F.explode(F.array("low", "high")).alias("other")).where("id <> other")
     pairs = ends.where("n = 2 and low <> high").select(F.col("low").alias("id"), F.col("high").alias("other")).union(stars).distinct()
-    one, other = slim.alias("x"), slim.withColumnRenamed("id", "other").alias("y")
-    near = common.stored(pairs.join(one, "id").join(other, "other").where(within("x", "y", percent)).select("id", "other", hamming("x", "y").alias("far")))
+    brief = slim.select("id", "n_shingles", "sketch")
+    one, other = brief.alias("x"), brief.withColumnRenamed("id", "other").alias("y")
+    hinted = common.stored(pairs.join(one, "id").join(other, "other").where(within("x", "y", percent)).select("id", "other", hamming("x", "y").alias("far")))
+    # long sketches go only to what the others leave; any two texts of a pair of ids may link
+    lengthy = slim.select("id", "n_shingles", "long")
+    one, other = lengthy.alias("x"), lengthy.withColumnRenamed("id", "other").alias("y")
+    near = common.stored(hinted.join(one, "id").join(other, "other").where(sized("x", "y", percent) & long_within("x", "y", percent)).select("id", "other", "far").distinct())
+    common.dropped(hinted)
     nearest = near.groupBy("id").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "other"))), 1, NEAREST).alias("p")).select("id", F.explode("p.other").alias("other"))
     both_ways = lambda df: df.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     checked = [common.stored(both_ways(nearest))]

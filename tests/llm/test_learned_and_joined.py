@@ -450,3 +450,65 @@ def test_words_are_dealt_by_remainder():
     got = [x.to_pylist() for x in jaccard_join.dealt(words)]
     assert got == [[[int(np.uint64(w).view(np.int64)) for w in row if int(w) % jaccard_join.PARTS == k] for row in words] for k in range(jaccard_join.PARTS)]
     assert [x.to_pylist() for x in jaccard_join.dealt([np.empty(0, np.uint64)])] == [[[]]] * jaccard_join.PARTS
+
+
+def test_long_texts_that_share_a_passage_are_ruled_out_by_sketches(spark, monkeypatch):
+    """Candidates with both texts grew with the square of their number, as 1024 bits rule out no two sets of thousands."""
+    import numpy as np
+
+    from framelake.llm import jaccard_join
+
+    real, checked = jaccard_join.verified, []
+
+    def verified(pairs, *rest):
+        checked.extend(tuple(r) for r in pairs.collect())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(jaccard_join, "verified", verified)
+    passage = [f"p{i}" for i in range(300)]
+    texts = [[*passage, *(f"w{k}.{i}" for i in range(2700 + 30 * k))] for k in range(8)]
+    texts += [[*texts[2][:-40], *(f"x{i}" for i in range(40))], [*texts[3], *(f"y{i}" for i in range(600))], texts[0][:1000], texts[0][:1100]]
+    rows = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)] + [(2, "other text of an id")], "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard_join.jaccard_components(rows).collect()}
+    assert {k: v for k, v in got.items() if k[0] != v} == {(8, len(texts[8]) - 4): 2, (9, len(texts[9]) - 4): 3, (11, 1096): 10}
+    assert sorted(set(checked)) == [(2, 8), (3, 9), (10, 11)]
+    # sketches of two lengths: the longer one folds on to the other
+    a, b = (np.unique(np.random.default_rng(k).integers(0, 2**63, n).astype(np.uint64)) for k, n in ((1, 2040), (2, 2300)))
+    b[:1990] = a[:1990]
+    sets = spark.createDataFrame([("a", len(a), jaccard_join.long_parity(a).tolist()), ("b", len(b), jaccard_join.long_parity(b).tolist())], "id string, n_shingles long, long array<long>")
+    pair = sets.where("id = 'a'").alias("x").crossJoin(sets.where("id = 'b'").alias("y"))
+    assert [pair.where(jaccard_join.long_within("x", "y", p)).count() for p in (80, 97)] == [1, 0]
+    assert [len(jaccard_join.long_parity(s)) for s in (a, b, a[:1024], a[:1025])] == [32, 64, 0, 32]
+
+
+def test_pairs_of_blocks_equal_brute_force(monkeypatch):
+    """Rows of a word in several blocks, in batches of any size, with long sketches and without."""
+    import numpy as np
+    import pyarrow as pa
+
+    from framelake.llm import jaccard_join as jj
+
+    monkeypatch.setattr(jj, "COMPARED", 500)
+    r, rows, want = np.random.default_rng(1), [], set()
+    fresh = lambda n: r.integers(0, 2**63, n).astype(np.uint64)
+    base = [np.unique(fresh(2000)) for _ in range(3)]
+    sets = [np.unique(np.concatenate((base[k % 3][: r.integers(700, 1999)], fresh(r.integers(0, 200))))) for k in range(90)]
+    short = [jj.parity(h, (jj.mixed(h ^ jj.TURN) >> np.uint64(54)).astype(np.int64), jj.LANES).view(np.int64) for h in sets]
+    for word in range(6):
+        comp = {int(i): int(r.integers(0, 4)) for i in r.choice(90, 40, replace=False)}
+        blocks, big = 1 + word % 3, max(range(4), key=lambda c: list(comp.values()).count(c))
+        for i, c in comp.items():
+            home = int(r.integers(0, blocks))
+            rows.append((i, word, home, home, int(c != big), c))
+            rows += [(i, word, b, home, 2, c) for b in range(blocks) if b != home and c != big]
+            for j in (j for j in comp if i < j and comp[j] != c):
+                total, inter = len(sets[i]) + len(sets[j]), len(np.intersect1d(sets[i], sets[j]))
+                want |= {(i, j)} if 100 * inter >= 80 * (total - inter) else set()
+    rows.sort(key=lambda t: (t[1], t[2], t[4]))
+    ids, *others = zip(*rows, strict=True)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64())
+    columns = [pa.array([str(i) for i in ids]), *(pa.array(c, k) for c, k in zip(others, kinds, strict=True)), pa.array([len(sets[i]) for i in ids], pa.int64()), jj.flat([short[i] for i in ids]), jj.flat([jj.long_parity(sets[i]) for i in ids])]
+    table = pa.table(dict(zip(("id", "word", "block", "home", "rank", "part", "n_shingles", "sketch", "long"), columns, strict=True)))
+    for size in (1, 7, 10000):
+        pairs = [tuple(sorted(map(int, p))) for b in jj.open_in(iter(table.to_batches(max_chunksize=size)), 80) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        assert want and want <= set(pairs) and len(set(pairs)) < 1.5 * len(want)
