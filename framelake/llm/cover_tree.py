@@ -4,20 +4,23 @@ On unit vectors the cosine bounds the distance d: cosine >= c is d <= t = sqrt(2
 centres with halving radii; a node knows the largest distance of its points to its centre. For two nodes with radii r and s
 and centres d apart: if d > t + r + s no pair of their points links, and if d + r + s <= t all do, so that both are
 decided without looking at the points. Other pairs are replaced by the pairs of their children; points are compared in
-double precision. Nothing is approximate.
+double precision. Nothing is approximate. Levels that gather few points, which bound nothing, are left out down to LEAP.
+
+* Products are bounded first: turned by one fixed rotation, a vector is a head of half the dimensions and a tail, and
+  x.y is at most the product of the heads plus that of the tails' lengths. Only pairs that this leaves are multiplied out.
 
 * Equal vectors are one class, which counts as often as it has rows.
 * The upper levels are the cover tree of at most SAMPLE classes, cut where it has up to CELLS nodes. Every class goes
   to the nearest of these cells; the cells' radii are those of all their classes. Pairs of cells that the bound rules out are never brought together.
 * Each cell is cut into blocks by hash, so that a hot cell is many blocks; a task makes a block's own tree and packs
-  it as one row. A task for each pair of blocks left walks both trees. Children are compared by one matrix product for a
+  both as one row. A task for each pair of blocks left walks both trees. Children are compared by one matrix product for a
   node and all nodes it is still open with.
 * A task returns one row for each class that has a link there: how many rows it links with, and the least class
   that it is connected with within the two blocks. So a group is never expanded into its pairs. Sums give n_links, and the
   distributed components of these few edges give component_id.
 
-Cost: the bounds prune as far as the vectors cluster. Independent directions in many dimensions are all about as far from
-each other, whatever the tree: then classes are compared with each other by matrix products, quadratic in classes. Blocks
+Cost: the trees prune as far as the vectors cluster. Independent directions in many dimensions are all about as far from
+each other, whatever the tree: then the heads of all classes are multiplied, quadratic in classes. Blocks
 grow with the table up to BLOCK_BYTES, so what is shuffled is classes * (number of blocks), and memory is bounded.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, and rows without vec_id link with nothing;
@@ -27,6 +30,7 @@ table; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -41,13 +45,19 @@ from .components import components
 #: Classes that the upper levels are made from, and the most cells.
 SAMPLE, CELLS = 2048, 256
 #: Blocks that a table is cut into while they hold at least LEAST_BLOCK vectors; no block is longer than BLOCK_BYTES.
-BLOCKS, LEAST_BLOCK, BLOCK_BYTES = 8, 2048, 16 << 20
+BLOCKS, LEAST_BLOCK, BLOCK_BYTES = 8, 2048, 32 << 20
+#: Tasks that pairs of blocks are dealt to, two for each as far as this goes, so that few tasks have many.
+MOST_TASKS = 4096
 #: Points of a node that isn't split any more, and the radius below which none is.
 FEW, FINE = 8, 2.0**-6
+#: Levels of larger radius are made only if they gather half of so many points.
+LEAP, TRIED = 0.25, 1024
 #: What rounding may add to a distance or a float product.
 SLACK, SLACK32 = 1e-7, 1e-5
 #: Numbers of a matrix that is made at a time.
 CELL_COUNT = 1 << 21
+#: Heads that are multiplied at a time, vectors of fewer dimensions have none, and the least product for which they are worth it.
+TILE, FEW_DIMENSIONS, WORTH = (256, 1024), 16, 0.6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -61,20 +71,62 @@ def distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosine))
 
 
+@functools.lru_cache(maxsize=8)
+def rotation(size: int) -> np.ndarray:
+    return np.linalg.qr(np.random.default_rng(size).standard_normal((size, size)))[0]
+
+
+def heads(x: np.ndarray) -> np.ndarray:
+    """Unit vectors of half the dimensions, the last of which holds the length of all others: no product is less than that of the vectors."""
+    size = x.shape[1]
+    if size < FEW_DIMENSIONS:
+        return x.astype(np.float32)
+    turned = x.astype(np.float64) @ rotation(size)
+    tail = turned[:, size // 2 - 1 :]
+    return np.concatenate((turned[:, : size // 2 - 1], np.sqrt(np.einsum("ij,ij->i", tail, tail))[:, None]), axis=1).astype(np.float32)
+
+
+def over(x: np.ndarray, y: np.ndarray, head_x: np.ndarray, head_y: np.ndarray, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j) of float vectors whose product may be `least` or more, and their float products."""
+    rows, columns = TILE
+    cut, brief = np.float32(least - SLACK32), least >= WORTH and head_x.shape[1] < x.shape[1]
+    for i in range(0, len(x), rows):
+        for j in range(0, len(y), columns):
+            a, b = x[i : i + rows], y[j : j + columns]
+            if brief:
+                c = head_x[i : i + rows] @ head_y[j : j + columns].T
+                at = np.flatnonzero((c >= cut).ravel())
+            if not brief or 64 * len(at) > c.size:
+                c = a @ b.T
+                at = np.flatnonzero((c >= cut).ravel())
+                m, n = np.divmod(at, len(b))
+                value = c.ravel()[at]
+            else:
+                m, n = np.divmod(at, len(b))
+                value = np.einsum("ij,ij->i", a[m], b[n])
+            if len(at):
+                yield m + i, n + j, value
+
+
 def cover(x: np.ndarray, radius: float) -> np.ndarray:
     """For each row of x the row that is its centre: rows within the radius of an earlier centre are covered, others become one."""
     cut, n, step = 1 - radius * radius / 2, len(x), 512
-    centre = np.empty(n, np.int64)
+    centre, head = np.empty(n, np.int64), heads(x)
     places, known = np.empty(n, np.int64), 0
+    seen, seen_head, brief = np.empty_like(x), np.empty_like(head), cut >= WORTH
     for low in range(0, n, step):
         part = x[low : low + step]
         best, where = np.full(len(part), -2.0, x.dtype), np.zeros(len(part), np.int64)
-        for at in range(0, known, 8192):
-            found = places[at : min(at + 8192, known)]
-            c = part @ x[found].T
-            near = c.argmax(axis=1)
-            value = c[np.arange(len(part)), near]
-            where, best = np.where(value > best, found[near], where), np.maximum(best, value)
+        for at in range(0, known, TILE[1]):
+            y, rows = slice(at, min(at + TILE[1], known)), np.arange(len(part))
+            if brief:
+                rows = np.flatnonzero((head[low : low + step] @ seen_head[y].T).max(axis=1) >= cut - SLACK32)
+            if len(rows):
+                c = part[rows] @ seen[y].T
+                near = c.argmax(axis=1)
+                value = c[np.arange(len(rows)), near]
+                better = value > best[rows]
+                where[rows[better]], best[rows[better]] = places[at + near[better]], value[better]
         own = part @ part.T
         for i in np.flatnonzero(best < cut):
             if best[i] < cut or i + low == 0:
@@ -83,7 +135,7 @@ def cover(x: np.ndarray, radius: float) -> np.ndarray:
                 nearer[i] = True
                 where[nearer], best[nearer] = low + i, own[i][nearer]
                 best[i] = 2.0
-                places[known], known = low + i, known + 1
+                places[known], seen[known], seen_head[known], known = low + i, part[i], head[low + i], known + 1
         centre[low : low + step] = where
     return centre
 
@@ -103,7 +155,7 @@ class Tree:
             if b - a <= FEW or r <= FINE:
                 kids[node] = list(range(-a - 1, -b - 1, -1))
                 continue
-            centre = cover(small[points], 2.0 ** (math.ceil(math.log2(r)) - 1))
+            centre = cover(small[points], self.following(small[points[:: -(-len(points) // TRIED)]], r))
             by = np.lexsort((centre != np.arange(len(points)), centre))
             order[a:b] = points[by]
             starts = np.flatnonzero(np.diff(centre[by], prepend=-1))
@@ -124,6 +176,26 @@ class Tree:
         flat = np.array([k if k >= 0 else self.inner - k - 1 for ks in kids for k in ks], np.int64)
         self.kids, self.kids_at = flat, np.concatenate(([0], np.cumsum([len(k) for k in kids]))).astype(np.int64)
 
+    @classmethod
+    def of(cls, radius: np.ndarray, low: np.ndarray, high: np.ndarray, kids: np.ndarray, kids_at: np.ndarray) -> Tree:
+        """The tree of points in tree order, of what parts() gave."""
+        t, n = cls.__new__(cls), int(high[0])
+        t.order, t.inner = np.arange(n), len(radius)
+        t.radius, t.low, t.high = np.concatenate((radius, np.zeros(n))), np.concatenate((low, t.order)), np.concatenate((high, t.order + 1))
+        t.kids, t.kids_at = kids.astype(np.int64), kids_at
+        return t
+
+    def parts(self) -> tuple[np.ndarray, ...]:
+        return self.radius[: self.inner], self.low[: self.inner], self.high[: self.inner], self.kids.astype(np.int32), self.kids_at
+
+    @staticmethod
+    def following(some: np.ndarray, radius: float) -> float:
+        """The radius of the level below: the next power of two that gathers half of some points, or LEAP, or less."""
+        r = 2.0 ** (math.ceil(math.log2(radius)) - 1)
+        while r > LEAP and 2 * len(np.unique(cover(some, r))) > len(some):
+            r /= 2
+        return r
+
     @staticmethod
     def reach(x: np.ndarray, points: np.ndarray) -> float:
         return float(distance(x[points] @ x[points[0]]).max())
@@ -146,7 +218,7 @@ class Side:
 
     def __init__(self, x: np.ndarray, ids: np.ndarray, counts: np.ndarray, tree: Tree) -> None:
         self.tree, self.x, self.ids, self.counts = tree, x[tree.order], ids[tree.order], counts[tree.order]
-        self.small = self.x.astype(np.float32)
+        self.small, self.head = self.x.astype(np.float32), heads(self.x)
         self.sums = np.concatenate(([0], np.cumsum(self.counts)))
         self.added = np.zeros(len(ids) + 1, np.int64)
         self.whole = np.zeros(len(tree.radius), bool)
@@ -216,23 +288,28 @@ def compare(one: Side, two: Side, cosine: float) -> tuple[np.ndarray, np.ndarray
             for right in (theirs[theirs >= two.tree.inner], theirs[theirs < two.tree.inner]):
                 if len(left) and len(right):
                     points = left[0] >= one.tree.inner and right[0] >= two.tree.inner
-                    step = max(1, CELL_COUNT // len(right))
+                    step = len(left) if points else max(1, CELL_COUNT // len(right))
                     for i in range(0, len(left), step):
                         decide(left[i : i + step], right, points)
 
     def decide(left: np.ndarray, right: np.ndarray, points: bool) -> None:
-        c = one.small[one.tree.low[left]] @ two.small[two.tree.low[right]].T
+        i, j = one.tree.low[left], two.tree.low[right]
+        # what is further apart than this neither links nor is open
+        far = min(2.0, t + one.tree.radius[left].max() + two.tree.radius[right].max() + 2 * SLACK)
+        known = over(one.small[i], two.small[j], one.head[i], two.head[j], cosine if points else 1 - far * far / 2 - SLACK32)
         if points:
-            x, y = np.nonzero(c >= np.float32(cosine - SLACK32))
-            linked = exact(left[x], right[y])
-            settle(left[x][linked], right[y][linked])
+            for x, y, _ in known:
+                linked = exact(left[x], right[y])
+                settle(left[x][linked], right[y][linked])
             return
-        both = one.tree.radius[left][:, None] + two.tree.radius[right][None, :]
+        found = list(known)
+        x, y, c = (np.concatenate(part) for part in zip(*found, strict=True)) if found else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        both = one.tree.radius[left[x]] + two.tree.radius[right[y]]
         linked = distance(c - SLACK32) + both + SLACK <= t
-        x, y = np.nonzero(linked)
-        settle(left[x], right[y])
-        x, y = np.nonzero(~linked & (distance(c + SLACK32) <= t + both + SLACK))
-        a, b = left[x], right[y]
+        settle(left[x[linked]], right[y[linked]])
+        still = ~linked & (distance(c + SLACK32) <= t + both + SLACK)
+        order = np.argsort(x[still], kind="stable")
+        a, b = left[x[still][order]], right[y[still][order]]
         if left[0] < one.tree.inner:
             for at in np.split(np.arange(len(a)), np.flatnonzero(np.diff(a)) + 1):
                 if len(at):
@@ -250,21 +327,27 @@ def compare(one: Side, two: Side, cosine: float) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([e[0] for e in ends]), np.concatenate([e[1] for e in ends])
 
 
-BLOCK = "slot string, dim int, ids binary, counts binary, vectors binary"
+PARTS = {"radius": np.float64, "low": np.int64, "high": np.int64, "kids": np.int32, "kids_at": np.int64}
+BLOCK = "slot string, dim int, ids binary, counts binary, vectors binary, " + ", ".join(f"{c} binary" for c in PARTS)
 
 
 def packed(slot: str, table: pa.Table) -> pa.Table:
-    """A block as one row: its classes and vectors, doubles of length one."""
+    """A block as one row: its classes and vectors, of length one, in the order of its tree, and the tree."""
     size = len(table["vector"].combine_chunks()[0])
     x = unit(table["vector"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, size))
+    x = x.astype(table["vector"].type.value_type.to_pandas_dtype())
     ids, counts = (table[c].to_numpy().astype(np.int64) for c in ("node", "n"))
     order = np.argsort(ids)
-    return pa.table({"slot": [slot], "dim": pa.array([size], pa.int32()), "ids": [ids[order].tobytes()], "counts": [counts[order].tobytes()], "vectors": [x[order].astype(table["vector"].type.value_type.to_pandas_dtype()).tobytes()]})
+    tree = Tree(unit(x[order]))
+    order = order[tree.order]
+    row = {"slot": [slot], "dim": pa.array([size], pa.int32()), "ids": [ids[order].tobytes()], "counts": [counts[order].tobytes()], "vectors": [x[order].tobytes()]}
+    return pa.table(row | {c: [part.tobytes()] for c, part in zip(PARTS, tree.parts(), strict=True)})
 
 
 def opened(row: dict, width: int) -> Side:
     x = unit(np.frombuffer(row["vectors"], np.float32 if width == 4 else np.float64).reshape(-1, row["dim"]))
-    return Side(x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64), Tree(x))
+    tree = Tree.of(*(np.frombuffer(row[c], kind) for c, kind in PARTS.items()))
+    return Side(x, np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int64), tree)
 
 
 def valid(id_col: str, e: Column) -> Column:
@@ -338,6 +421,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     near = spark.createDataFrame(pairs, "dim int, a int, b int, ka int, kb int")
     near = near.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ka") - 1))).withColumn("j", F.explode(F.sequence(F.when(F.col("a") == F.col("b"), F.col("i")).otherwise(F.lit(0)), F.col("kb") - 1)))
     near = near.select(slot("a", "i").alias("x"), slot("b", "j").alias("y"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, 2 * sum(ka * kb for *_, ka, kb in pairs)))
     sides = near.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("slot"))
 
     def linked(key: tuple, table: pa.Table) -> pa.Table:
@@ -358,7 +442,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
             out = [ids[some], n[some], least[some]]
         return pa.table(dict(zip(("node", "n", "least"), (pa.array(c, pa.int64()) for c in out or ([],) * 3), strict=True)))
 
-    found = common.stored(sides.join(blocks, "slot").groupBy("x", "y").applyInArrow(linked, "node long, n long, least long"))
+    found = common.stored(sides.join(blocks, "slot").repartition(tasks, "x", "y").groupBy("x", "y").applyInArrow(linked, "node long, n long, least long"))
     joined = components(found.where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
     # the links of a class hold its own rows, and so the row itself
     links = found.groupBy("node").agg((F.sum("n") - 1).alias("n_links"))

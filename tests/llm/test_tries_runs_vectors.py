@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from framelake.llm import cover_tree, periodic_runs, prefix_trie, queries
@@ -255,3 +256,46 @@ def test_vectors_without_rows_or_ids(spark):
 def test_links_of_the_embeddings(spark):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     assert sorted(tuple(r) for r in queries.op13_cover_tree(spark, SF).collect()) == brute_links(rows)
+
+
+def directions(n, d, seed, common=0.0):
+    r = np.random.default_rng(seed)
+    return cover_tree.unit(r.standard_normal((n, d)) + common * np.ones(d))
+
+
+def test_levels_that_gather_little_are_left_out():
+    """On independent directions nodes of large radius bounded nothing, and were opened with most points."""
+    x = directions(3000, 64, 1)
+    x[2500:] = cover_tree.unit(x[:500] + 0.01 * x[500:1000])
+    tree = cover_tree.Tree(x)
+    assert tree.inner > 1 and tree.radius[1:].max() <= cover_tree.LEAP + 1e-6
+    tight = cover_tree.Tree(cover_tree.unit(np.repeat(directions(6, 24, 2), 200, axis=0) + 0.05 * directions(1200, 24, 3)))
+    assert len(tight.tops(100)) >= 6  # levels that gather are made
+
+
+@pytest.mark.parametrize("d,common", [(64, 0.0), (64, 1.5), (17, 0.0), (5, 0.3)])
+def test_products_bounded_by_heads_equal_all_products(monkeypatch, d, common):
+    monkeypatch.setattr(cover_tree, "TILE", (50, 70))
+    x, y = directions(230, d, 4, common), directions(300, d, 5, common)
+    y[:40] = cover_tree.unit(x[:40] + 0.3 * directions(40, d, 6))
+    a, b, product = x.astype(np.float32), y.astype(np.float32), x @ y.T
+    assert (cover_tree.heads(x).astype(float) @ cover_tree.heads(y).T >= product - cover_tree.SLACK32).all()
+    for least in (0.9, 0.97, 0.2, -1.0):
+        found = {(i, j): v for p in cover_tree.over(a, b, cover_tree.heads(x), cover_tree.heads(y), least) for i, j, v in zip(*(c.tolist() for c in p), strict=True)}
+        assert set(zip(*(c.tolist() for c in np.nonzero(product >= least)), strict=True)) <= set(found)
+        assert all(abs(v - product[p]) < cover_tree.SLACK32 for p, v in found.items())
+
+
+def test_blocks_keep_their_tree():
+    x = directions(500, 20, 7)
+    x[300:] = cover_tree.unit(x[:200] + 0.02 * directions(200, 20, 8))
+    table = pa.table({"node": pa.array(np.random.default_rng(9).permutation(500)), "n": pa.array(np.arange(1, 501)), "vector": pa.array(x.astype(np.float32).tolist(), pa.list_(pa.float32()))})
+    side = cover_tree.opened(cover_tree.packed("s", table).to_pylist()[0], 4)
+    node = table["node"].to_numpy()
+    assert sorted(zip(side.ids.tolist(), side.counts.tolist(), strict=True)) == sorted(zip(node.tolist(), range(1, 501), strict=True))
+    assert np.abs(side.x - x[np.argsort(node)][side.ids]).max() < 1e-6
+    t = side.tree
+    for k in range(t.inner):
+        assert cover_tree.distance(side.x[t.low[k] : t.high[k]] @ side.x[t.low[k]]).max() <= t.radius[k] + cover_tree.SLACK
+        below = t.kids[t.kids_at[k] : t.kids_at[k + 1]]
+        assert sorted(i for c in below for i in range(t.low[c], t.high[c])) == list(range(t.low[k], t.high[k]))
